@@ -36,7 +36,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     A source whose target is r times its size takes every document floor(r) times for certain. For the rest r - floor(r)
     is the inclusion probability p of a further copy: documents are ranked by random odds u / (1 - u) over inclusion odds
     p / (1 - p), and the source takes from the front as many as come nearest to the words still wanted. u is a hash of
-    the id (and seed), so reruns agree. Whole documents only: a source misses its target by half a document at most.
+    the id (and seed), so reruns agree. Whole documents only; at the end one document per source, that whose size is
+    nearest to what is missing or too much, is added or left out if that brings the source nearer to its target.
 
     The running sum over a source is made in two levels, so that a source of any share of the rows is never in one task:
     sums of BUCKETS slices of the ranking variable, then rows within a slice.
@@ -56,15 +57,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ranked = sized.alias("a").join(side.alias("b"), same_source).select("a.doc_id", "a.source", "a.size", "b.source_size", "b.target", "b.copies", "b.p", "b.wanted")
     u = _uniform(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("p") / (1 - F.col("p")))
-    ranked = ranked.withColumn("u", u).withColumn("v", F.when(F.col("p") > 0, odds / (1 + odds)).otherwise(F.lit(1.0))).withColumn("slice", F.floor(F.col("v") * BUCKETS)).drop("u", "p")
+    ranked = ranked.withColumn("u", u).withColumn("v", F.when(F.col("p") > 0, odds / (1 + odds)).otherwise(F.lit(1.0))).withColumn("slice", F.floor(F.col("v") * BUCKETS)).drop("u")
 
     running = Window.partitionBy("source").orderBy("slice")
     slices = ranked.groupBy("source", "slice").agg(F.sum("size").alias("words")).withColumn("before", F.sum("words").over(running) - F.col("words")).drop("words")
     joined = ranked.alias("a").join(slices.alias("b"), same_source & (F.col("a.slice") == F.col("b.slice"))).select("a.*", "b.before")
     within = Window.partitionBy("source", "slice").orderBy("v", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     middle = F.col("before") + F.sum("size").over(within) - F.col("size") / 2
-    copies = F.when(F.col("size") > 0, F.col("copies") + (middle <= F.col("wanted")).cast("long")).otherwise(F.lit(0)).cast("long")
-    return joined.withColumn("copies", copies).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    first = joined.withColumn("extra", ((F.col("size") > 0) & (middle <= F.col("wanted"))).cast("long")).withColumn("rank", F.row_number().over(within))
+    first = materialize(first, "first")
+    # a large document where the source stops can leave a gap; the one document that closes it best is added or left out
+    gaps = first.groupBy("source").agg(F.sum(F.col("size") * F.col("extra")).alias("extra_words"), F.first("wanted").alias("goal")).select("source", (F.col("goal") - F.col("extra_words")).alias("gap"))
+    left = F.abs(F.abs("b.gap") - F.col("a.size"))
+    open_ = (F.col("a.size") > 0) & (F.col("a.p") > 0) & (left < F.abs("b.gap")) & (F.col("a.extra") == F.when(F.col("b.gap") > 0, 0).otherwise(1))
+    small = lambda x: F.broadcast(x) if side is not plan else x  # noqa: E731  one row per source
+    best = first.alias("a").join(small(gaps).alias("b"), same_source).where(open_).groupBy("a.source").agg(F.min(F.struct(left.alias("left"), "a.v", "a.doc_id", "a.slice", "a.rank")).alias("best"))
+    closed = first.alias("a").join(small(best).alias("b"), same_source & (F.col("a.slice") == F.col("b.best.slice")) & (F.col("a.rank") == F.col("b.best.rank")), "left")
+    extra = F.when(F.col("b.best").isNotNull(), 1 - F.col("a.extra")).otherwise(F.col("a.extra"))
+    copies = F.when(F.col("a.size") > 0, F.col("a.copies") + extra).otherwise(F.lit(0)).cast("long")
+    return closed.select("a.doc_id", "a.size", "a.source_size", "a.target", (F.col("a.size") * copies).alias("taken"), copies.alias("copies"))
 
 
 def _uniform(text: Column) -> Column:
@@ -88,13 +99,23 @@ WITH d AS (
   SELECT *, CAST(floor(r) AS BIGINT) AS whole, r - floor(r) AS p, target - floor(r) * source_size AS wanted
   FROM (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS r FROM t)
 ), q AS (
-  SELECT d.doc_id, d.source, d.size, p.source_size, p.target, p.whole, p.wanted,
+  SELECT d.doc_id, d.source, d.size, p.source_size, p.target, p.whole, p.p, p.wanted,
          CASE WHEN p.p > 0 THEN o / (1 + o) ELSE 1 END AS v
   FROM (SELECT *, (CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u FROM d) d
   JOIN p ON d.source IS NOT DISTINCT FROM p.source,
   LATERAL (SELECT CASE WHEN p.p > 0 THEN (d.u / (1 - d.u)) / (p.p / (1 - p.p)) END AS o)
 )
+, e AS (
+  SELECT *, CASE WHEN size > 0 AND sum(size) OVER o - size / 2.0 <= wanted THEN 1 ELSE 0 END AS extra, row_number() OVER o AS rank
+  FROM q WINDOW o AS (PARTITION BY source ORDER BY v, doc_id ROWS UNBOUNDED PRECEDING)
+), g AS (
+  SELECT *, wanted - sum(size * extra) OVER (PARTITION BY source) AS gap FROM e
+), c AS (
+  SELECT *, size > 0 AND p > 0 AND abs(abs(gap) - size) < abs(gap) AND extra = CASE WHEN gap > 0 THEN 0 ELSE 1 END AS open FROM g
+), n AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY open DESC, abs(abs(gap) - size), v, doc_id) AS place FROM c
+)
 SELECT doc_id, size, source_size, target,
-       size * (whole + CASE WHEN sum(size) OVER (PARTITION BY source ORDER BY v, doc_id ROWS UNBOUNDED PRECEDING) - size / 2.0 <= wanted THEN 1 ELSE 0 END) AS taken
-FROM q
+       size * (whole + CASE WHEN open AND place = 1 THEN 1 - extra ELSE extra END) AS taken
+FROM n
 """
