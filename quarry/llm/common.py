@@ -34,7 +34,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quarry-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -65,3 +65,53 @@ def text_or_empty(name: str) -> Column:
 def crc_mod(doc_id: str, n: int) -> Column:
     """crc32 of doc_id written as text, mod n; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
+
+
+#: A key with at least 1/HOT_SHARE of all rows is hot: there are HOT_SHARE such keys at most, so a table of them can be broadcast.
+HOT_SHARE = 256
+
+
+def lookup(rows: DataFrame, key: str, table: DataFrame, n_col: str, total: int, value: str) -> DataFrame:
+    """rows with ``value`` of the table's one row of the same key, null if none. n_col: how many rows have that key.
+
+    Hot keys find their row in a broadcast table; those rows then go on under a key of their own, so that no task gets
+    all rows of a key.
+    """
+    hot = table.where(F.col(n_col) * HOT_SHARE >= total).select(F.col(key).alias("__k"), F.col(value).alias("__hot"))
+    cold = table.where(F.col(n_col) * HOT_SHARE < total).select(F.col(key).alias("__k"), F.col(value).alias("__cold"))
+    names = rows.columns
+    found = rows.join(F.broadcast(hot), F.col(key) == F.col("__k"), "left").drop("__k")
+    spread = F.when(F.col("__hot").isNull(), F.col(key)).otherwise(F.xxhash64(*names))
+    found = found.withColumn("__key", spread).join(cold, F.col("__key") == F.col("__k"), "left")
+    return found.select(*names, F.coalesce("__hot", "__cold").alias(value))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(id, comp): of every end of an edge (a, b) the least id that edges reach.
+
+    Each vertex points to its least neighbour, pointers are followed to the root by doubling, and the graph of roots
+    goes on to the next round; every round at least halves the vertices that still have edges.
+    """
+    edges = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    rounds: list[DataFrame] = []
+    while edges.limit(1).count():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("comp"))
+        up = materialize(up, "up")
+        while True:
+            parent = up.select(F.col("id").alias("__id"), F.col("comp").alias("__next"))
+            step = materialize(up.join(parent, F.col("comp") == F.col("__id")).select("id", "comp", F.col("__next")), "step")
+            moved = step.where("comp <> __next").limit(1).count()
+            up = step.select("id", F.col("__next").alias("comp"))
+            if not moved:
+                break
+        rounds.append(up)
+        of_a, of_b = up.select(F.col("id").alias("a"), F.col("comp").alias("ra")), up.select(F.col("id").alias("b"), F.col("comp").alias("rb"))
+        edges = materialize(edges.join(of_a, "a").join(of_b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+    if not rounds:
+        return edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
+    out = rounds[0]
+    for up in rounds[1:]:
+        later = up.select(F.col("id").alias("comp"), F.col("comp").alias("__root"))
+        out = out.join(later, "comp", "left").select("id", F.coalesce("__root", "comp").alias("comp"))
+    return out
