@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from . import exact_dedup, jaccard, langid, line_dedup, lm_score, mixing, packing, quality, suffix_dedup, token_counts
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    # workers on this machine import the package from where the driver has it
+def reach(spark: SparkSession) -> None:
+    """Let workers on this machine import the package from where the driver has it."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(":"):
         spark.sparkContext.environment["PYTHONPATH"] = f"{root}:{paths}" if paths else root
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    reach(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
