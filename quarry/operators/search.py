@@ -5,11 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, digits
+from ..sources.shared import written
 
 # Weight, priority and selectivity of each kind of criterion.
 WEIGHTS = {"phone": 9, "email": 9, "id_number": 9, "account": 8, "name": 10, "company": 7, "date": 5, "amount": 5, "location": 6, "keyword": 3}
@@ -254,25 +254,17 @@ def expand(mentions: DataFrame, seeds: DataFrame, rounds: int = 5, per_round: in
     first new entities in the given order; most ends the search when so many are known. Rounds are written down, so the
     plan doesn't grow.
     """
-    seen = _cut(seeds.select("entity").distinct().withColumn("hop", F.lit(0)))
+    seen = written(seeds.select("entity").distinct().withColumn("hop", F.lit(0)))
     frontier = seen
     for hop in range(1, rounds + 1):
         records = mentions.join(frontier.select("entity"), "entity", "left_semi").select("record_id").distinct()
         new = mentions.join(records, "record_id", "left_semi").select("entity").distinct().join(seen.select("entity"), "entity", "left_anti")
         if per_round:
             new = new.orderBy(*(order or ["entity"])).limit(per_round)
-        frontier = _cut(new.withColumn("hop", F.lit(hop)))
+        frontier = written(new.withColumn("hop", F.lit(hop)))
         if not frontier.limit(1).count():
             break
-        seen = _cut(seen.unionByName(frontier))
+        seen = written(seen.unionByName(frontier))
         if most and seen.count() >= most:
             break
     return seen
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """End the plan here: a reliable checkpoint where the session has a folder for it, else kept on disk."""
-    context = df.sparkSession.sparkContext
-    if context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist(StorageLevel.DISK_ONLY)
