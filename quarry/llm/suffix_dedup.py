@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize
+from .common import discard, map_rows, materialize
 
 #: Bytes of a repeated string.
 LENGTH = 200
@@ -218,6 +218,8 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     # a document has one row per anchor in it at most
     wanted = found.join(shared, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "n", "run")).alias("runs"))
+    wanted = materialize(wanted, "wanted")
+    discard(found)
     same = rows["doc_id"].eqNullSafe(F.col("w.doc_id")) & (rows["th"] == F.col("w.th"))
     picked = rows.join(wanted.alias("w"), same).select(rows["doc_id"], rows["th"], rows["text"], F.col("w.runs").alias("runs"))
 
@@ -237,11 +239,14 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
             yield {"doc_id": b.column(0).take(np.array(at, np.int64)), "th": b.column(1).take(np.array(at, np.int64)), **out}
 
     regions = materialize(map_rows(picked, cut, f"doc_id {id_type}, th long, h long, n long, p0 long, count int, region binary, g binary"), "regions")
+    discard(wanted)
     # equal regions of equal anchors become one
     kinds = regions.groupBy("g").agg(F.count(F.lit(1)).alias("m"), *(F.first(c).alias(c) for c in ("doc_id", "th", "h", "n", "p0", "count", "region")))
     kinds = materialize(kinds, "kinds")
     several = kinds.where("m > 1").select("g")
     whole = regions.join(several, "g", "left_semi").select("doc_id", "th", F.col("p0").alias("start"), (F.col("p0") + F.col("count") - 1 + length).alias("stop"))
+    whole = materialize(whole, "whole")
+    discard(regions)
 
     total = kinds.agg(F.sum(F.length("region"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
@@ -249,6 +254,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     dealt = kinds.withColumn("parts", parts).withColumn("shard", F.pmod(F.xxhash64("h", F.when(parts > 1, F.pmod(F.xxhash64("g"), parts)).otherwise(0)), F.lit(shards)))
     sorted_ = dealt.repartition(max(1, min(shards, 4000)), "shard").groupBy("shard").applyInPandas(_shard(length), f"g binary, doc_id {id_type}, th long, start long, stop long, digest binary")
     sorted_ = materialize(sorted_, "sorted")
+    discard(kinds)
     near = sorted_.where("digest is null").select("doc_id", "th", "start", "stop")
     far = sorted_.where("digest is not null")
     twice = far.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest")
