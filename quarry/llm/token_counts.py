@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import map_rows, materialize
 from .encode import encoder
 
 VOCABULARY = "word_bpe_49k.json"
@@ -38,7 +38,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     documents within L. Between two lengths, and beyond, every answer follows from these rows: see at_limits().
     Null and empty texts have length 0. An empty table gives no rows.
     """
-    hist = length_histogram(encoded_lengths(docs, id_col, text_col, vocabulary)).withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_docs") * F.col("n_tokens"))
+    hist = materialize(length_histogram(encoded_lengths(docs, id_col, text_col, vocabulary)), "histogram").withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_docs") * F.col("n_tokens"))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # one row per 1,024 lengths: few, whatever the number of documents
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
