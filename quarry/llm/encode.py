@@ -26,6 +26,8 @@ class _Cache(dict):
         self.by_model = [x["type"] for x in steps] == ["Split", "ByteLevel"] and r"[\p{L}]+" in steps[0]["pattern"].get("Regex", "")
         self.bytes = {i: c for i, c in enumerate(_byte_letters()) if chr(i) != c}
         self.tail = {p: self.raw(p) for p in ",."}
+        #: folding case outside the tokenizer only if it folds case itself
+        self.folds = self.raw("A") == self.raw("a")
 
     def raw(self, word: str) -> bytes:
         if self.by_model and word.isalpha() and not _PLAIN.search(word) and word.islower():
@@ -35,6 +37,18 @@ class _Cache(dict):
             ids = self.tokenizer.encode(word, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def raw_words(self, word: str) -> bytes:
+        """Ids of one word without white space, past the cache."""
+        if not self.folds:
+            return self.raw(word)
+        if word.isascii():
+            word = word.lower() if "<|" not in word else word
+            if self.by_model and len(word) > 1 and word[-1] in ",." and word[:-1].isalpha():
+                return self.raw(word[:-1]) + self.tail[word[-1]]
+        elif not _PLAIN.search(word) and unicodedata.is_normalized("NFC", word):
+            word = word.lower()
+        return self.raw(word)
+
     def __missing__(self, word: str) -> bytes:
         # a comma or full stop after a letter is a piece of its own, so the word before it can be shared
         ids = self[word[:-1]] + self.tail[word[-1]] if len(word) > 1 and word[-1] in ",." and word[-2].isalpha() else self.raw(word)
@@ -58,8 +72,7 @@ class WordEncoder:
 
         tokenizer = Tokenizer.from_file(path)
         self.cache = _Cache(tokenizer)
-        # folding case outside the tokenizer only if it folds case itself
-        self.folds = self.cache.raw("A") == self.cache.raw("a")
+        self.folds = self.cache.folds
 
     def encode(self, text: str) -> bytes:
         if self.folds and not _PLAIN.search(text) and unicodedata.is_normalized("NFC", text) and "<|" not in text:
