@@ -202,3 +202,71 @@ def merge_results(*results: DataFrame) -> DataFrame:
     from functools import reduce
 
     return reduce(DataFrame.unionByName, results).dropDuplicates(["type", "normalized"])
+
+
+# Patterns of the compact catalog; what stands in the first group, or all of it, is the value.
+PATTERNS_3 = {
+    "phone": (r"(?:\+91[-\s]?|91[-\s]?|0[-\s]?)?[6-9]\d{9}\b", r"\+91[-\s]?[6-9]\d{4}[-\s]?\d{5}\b"), "email": (r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}",),
+    "id_number": (r"(?i)\b[A-Z]{5}\d{4}[A-Z]\b", r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}\b", r"\b[A-Z]{1,2}\d{6,8}\b", r"(?i)\b[A-Z]{3}\d{7}\b"), "account": (r"(?i)(?:account|a/c|acct|acc)[\s:-]*\d{9,18}\b", r"\b[A-Z]{4}0[A-Z0-9]{6}\b"),
+    "name": (r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b",), "location": (r"(?i)(?:from|in|at|near|of)\s+(?-i:[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)",), "company": (r"(?i)(?:company|firm|business|enterprise|pvt|ltd|llp|inc)\s*[.:]?\s*[A-Za-z][A-Za-z0-9\s]{2,30}",),
+}
+# Words that are no part of a name there.
+NAME_STOP = ("from", "having", "with", "near", "delhi", "mumbai", "bangalore", "chennai", "kolkata", "hyderabad", "pune", "india", "west", "east", "north", "south", "market", "road", "street", "area", "city")
+
+
+def _normal_3(kind: str, v: Column) -> Column:
+    d = digits(v)
+    if kind == "phone":
+        last = F.substring(d, -10, 10)
+        return F.when(last.rlike(r"^[6-9]\d{9}$"), last)
+    if kind == "email":
+        return F.lower(v)
+    if kind == "id_number":
+        up = F.regexp_replace(F.upper(v), r"[\s-]", "")
+        return F.when(up.rlike(r"^([A-Z]{5}\d{4}[A-Z]|\d{12}|[A-Z]{1,2}\d{6,8}|[A-Z]{3}\d{7})$"), up)
+    if kind == "account":
+        up = F.regexp_replace(F.upper(v), r"^(?:ACCOUNT|A/C|ACCT|ACC)[\s:-]*", "")
+        return F.when(up.rlike(r"^(\d{9,18}|[A-Z]{4}0[A-Z0-9]{6})$"), up)
+    low = F.lower(F.trim(F.regexp_replace(v, r"(?i)^(?:from|in|at|near|of|company|firm|business|enterprise|pvt|ltd|llp|inc)\s*[.:]?\s+", "") if kind != "name" else v))
+    if kind == "name":
+        words = F.split(low, r"\s+")
+        return F.when((F.size(words) >= 2) & F.forall(words, lambda w: (F.length(w) >= 2) & ~w.isin(*NAME_STOP)), low)
+    return F.when(F.length(low) >= 3, low)
+
+
+COMPACT = Catalog(PATTERNS_3, _normal_3, {"HIGH": ("phone", "email", "id_number", "account")}, {"phone": 0.98, "email": 0.95, "id_number": 0.85, "account": 0.9, "name": 0.6, "location": 0.5, "company": 0.6}, 0.5)
+# The agent's catalog.
+AGENT = Catalog({"phone": (r"(?:\+91[-.\s]?)?[6-9]\d{9}\b", r"(?:\+91[-.\s]?)?\d{3,4}[-.\s]?\d{6,7}\b"), "email": PATTERNS_3["email"], "pincode": (r"\b[1-9][0-9]{5}\b",)}, lambda k, v: F.when(F.length(F.regexp_replace(v, r"[^\d+]", "")) >= 10, F.regexp_replace(v, r"[^\d+]", "")) if k == "phone" else F.lower(v), PRIORITY, {}, 0.9)
+# Keyword families between two parties.
+RELATION_WORDS = {
+    "association": ("connected to", "linked to", "associated with", "related to", "relation to", "knows", "friend of", "colleague of"), "ownership": ("owns", "owner of", "possesses"),
+    "family": ("son of", "daughter of", "father of", "mother of", "brother of", "sister of", "husband of", "wife of", "cousin of", "uncle of", "aunt of"), "employment": ("works at", "working for", "employed at", "employee of", "job at"),
+}
+
+
+def layered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Second catalog, then what context adds, then the confidence: (doc, type, normalized, confidence)."""
+    e = extract(docs, id_col, text_col, SECOND)
+    c = with_context(docs, id_col, text_col).select("doc", "type", F.col("value").alias("normalized"), "context").dropDuplicates(["doc", "type", "normalized"])
+    both = e.join(c, ["doc", "type", "normalized"], "left")
+    return raised_confidence(both, F.col("context")).select("doc", "type", "normalized", "confidence")
+
+
+def relationships(docs: DataFrame, parties: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = 50) -> DataFrame:
+    """(doc, source, target, type): a keyword between two known parties of the document; and a name and a phone within
+    ``near`` characters are in contact. parties (doc, kind, value)."""
+    low = F.lower(text_col)
+    known = parties.select("doc", "kind", F.lower("value").alias("v")).distinct()
+    rows = docs.select(F.col(id_col).alias("doc"), low.alias("t"))
+    pairs = known.alias("x").join(known.alias("y"), (F.col("x.doc") == F.col("y.doc")) & (F.col("x.v") != F.col("y.v"))).select(F.col("x.doc").alias("doc"), F.col("x.kind").alias("k1"), F.col("x.v").alias("a"), F.col("y.kind").alias("k2"), F.col("y.v").alias("b")).join(rows, "doc")
+    said = [F.when(_any_phrase(words), F.lit(kind)) for kind, words in RELATION_WORDS.items()]
+    gap = F.abs(F.expr("instr(t, a)") - F.expr("instr(t, b)"))
+    said.append(F.when((F.col("k1") == "name") & (F.col("k2") == "phone") & (gap < near), F.lit("contact")))
+    found_ = F.filter(F.array(*said), lambda x: x.isNotNull())
+    return pairs.select("doc", F.col("a").alias("source"), F.col("b").alias("target"), F.explode(found_).alias("type"))
+
+
+def _any_phrase(words: tuple[str, ...]) -> Column:
+    from functools import reduce
+
+    return reduce(lambda p, q: p | q, [F.contains(F.col("t"), F.concat(F.col("a"), F.lit(f" {w} "), F.col("b"))) for w in words])
