@@ -183,13 +183,13 @@ def circles(t) -> DataFrame:
     return P.money_circles(values(t, _MONEY, "source string, target string, type string"))
 
 
-@query("h03_daily_spikes", "WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM (SELECT ts FROM events UNION ALL SELECT ts FROM events WHERE CAST(ts AS DATE) = (SELECT min(CAST(ts AS DATE)) FROM events) UNION ALL SELECT ts FROM events WHERE CAST(ts AS DATE) = (SELECT min(CAST(ts AS DATE)) FROM events)) GROUP BY 1) SELECT day, n, n / (3 * (SELECT avg(n) FROM d)) AS significance FROM d WHERE n > 2 * (SELECT avg(n) FROM d) AND n >= 3 AND n / (3 * (SELECT avg(n) FROM d)) >= 0.6")
+@query("h03_daily_spikes", "WITH d AS (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM (SELECT ts FROM events UNION ALL SELECT ts FROM events WHERE CAST(ts AS DATE) = (SELECT min(CAST(ts AS DATE)) FROM events) UNION ALL SELECT ts FROM events WHERE CAST(ts AS DATE) = (SELECT min(CAST(ts AS DATE)) FROM events)) GROUP BY 1) SELECT strftime(day, '%Y-%m-%d') AS day, n, n / (3 * (SELECT avg(n) FROM d)) AS significance FROM d WHERE n > 2 * (SELECT avg(n) FROM d) AND n >= 3 AND n / (3 * (SELECT avg(n) FROM d)) >= 0.6")
 def spikes(t) -> DataFrame:
     """The first day's events are counted three times, to make a spike."""
     e = t("events").select("ts")
     first = e.agg(F.min(F.to_date("ts")).alias("f"))
     day = e.join(F.broadcast(first), F.to_date("ts") == F.col("f")).select("ts")
-    return P.daily_spikes(e.unionByName(day).unionByName(day), "ts")
+    return P.daily_spikes(e.unionByName(day).unionByName(day), "ts").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 @query("h04_location_clusters", "SELECT 'n' || c_nationkey AS id, count(*) AS frequency, count(*)::DOUBLE / 10 AS significance FROM customer GROUP BY c_nationkey HAVING count(*) >= 5")

@@ -253,9 +253,9 @@ def relevant(t) -> DataFrame:
     return df.select("n_nationkey", F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("fields"))
 
 
-@query("b18_union_by_columns", "SELECT n_name AS name, n_regionkey AS region, NULL::DOUBLE AS balance FROM nation UNION ALL SELECT s_name, NULL, s_acctbal FROM supplier")
+@query("b18_union_by_columns", "SELECT n_name AS name, n_regionkey::DOUBLE AS region, NULL::DOUBLE AS balance FROM nation UNION ALL SELECT s_name, NULL, s_acctbal FROM supplier")
 def unioned(t) -> DataFrame:
-    return R.union_by_columns([t("nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")), t("supplier").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))])
+    return R.union_by_columns([t("nation").select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("double").alias("region")), t("supplier").select(F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))])
 
 
 @query("b19_display", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CASE WHEN n_regionkey = 1 THEN 'Yes' ELSE 'No' END AS home FROM nation")
