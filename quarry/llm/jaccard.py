@@ -8,18 +8,22 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, lookup, map_rows, materialize
+from .common import components, discard, lookup, map_rows, materialize
 
 SHINGLE = 5
 #: Similarity in percent.
 PERCENT = 80
 #: Groups that shingles are hashed into: the dimensions of the count vectors.
-GROUPS = 128
+GROUPS = 256
+#: Counts are held in a byte; one at this value stands for any larger one too, so where both have it nothing is ruled out.
+FULL = 127
 #: Texts that say which shingles are frequent, at most, and how many shingles are kept of them, at most. They only order
 #: the shingles of a set; any order gives the same links.
 SAMPLE, FREQUENT = 20_000, 200_000
 #: Rows per leaf of a block, and entries per inner node of the R-tree.
 LEAF, FANOUT = 2048, 16
+#: Turns in which components are joined by representatives before all remaining pairs are looked at.
+REPRESENTATIVE_TURNS = 2
 
 _LOWER = bytes.maketrans(bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B)))
 _SPACE = np.zeros(256, bool)
@@ -93,6 +97,12 @@ def least_overlap(n, m, percent: int = PERCENT):
     return -(-percent * (n + m) // (100 + percent))
 
 
+def most_overlap(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The sum of coordinate minima; without limit where a coordinate is FULL in both."""
+    least = np.minimum(a, b)
+    return np.where((least == FULL).any(axis=-1), 1 << 62, least.sum(axis=-1, dtype=np.int64))
+
+
 class RTree:
     """Boxes over count vectors, bulk-loaded: points in the order of set size and then of their widest coordinate.
 
@@ -117,7 +127,7 @@ class RTree:
         for depth in range(len(self.levels) - 1, -2, -1):
             hi, lo, top = self.levels[depth] if depth >= 0 else (self.points, self.sizes, self.sizes)
             found = found[found < len(hi)]
-            fits = (100 * np.minimum(top[found], size) >= self.percent * np.maximum(lo[found], size)) & (np.minimum(hi[found], point).sum(axis=1) >= least_overlap(lo[found], size, self.percent))
+            fits = (100 * np.minimum(top[found], size) >= self.percent * np.maximum(lo[found], size)) & (most_overlap(hi[found], point) >= least_overlap(lo[found], size, self.percent))
             found = found[fits]
             if depth >= 0:
                 found = (found[:, None] * FANOUT + np.arange(FANOUT)).ravel()
@@ -154,11 +164,11 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int)
                         keys = np.concatenate([s[~often], s[often][np.argsort(counts[k[often]], kind="stable")]])
                     keys = keys[: prefix_length(n, percent)]
                 vec = np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
-                for name, value in zip(out, (n, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), keys.view(np.int64), vec.astype(np.int32)), strict=True):
+                for name, value in zip(out, (n, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), keys.view(np.int64), np.minimum(vec, FULL).astype(np.int8)), strict=True):
                     out[name].append(value)
             yield {"doc_id": b.column(0), "th": b.column(1), **out}
 
-    return map_rows(rows, describe, f"doc_id {dict(rows.dtypes)['doc_id']}, th long, n long, nid long, check long, keys array<long>, vec array<int>")
+    return map_rows(rows, describe, f"doc_id {dict(rows.dtypes)['doc_id']}, th long, n long, nid long, check long, keys array<long>, vec array<tinyint>")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, size: int, percent: int) -> DataFrame:
@@ -178,59 +188,105 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str
     sets = materialize(map_rows(texts, shingles, "nid long, s array<long>"), "sets")
     both = pairs.join(sets.select(F.col("nid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("nid").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return materialize(both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "links")
+    links = materialize(both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "links")
+    discard(pairs, wanted, sets)
+    return links
 
 
-def _vector_overlap(a: str, b: str):
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+def _most_overlap(a: str, b: str):
+    """most_overlap() as a column."""
+    least = F.zip_with(a, b, lambda x, y: F.least(x, y).cast("int"))
+    return F.when(F.array_contains(least, FULL), 1 << 30).otherwise(F.aggregate(least, F.lit(0), lambda t, x: t + x)).cast("long")
 
 
 _BLOCK_COLUMNS = ["key", "leaf_a", "leaf_b", "side", "nid", "n", "comp", "keys", "vec"]
 
 
+def _shared_before(key: int, keys: list[np.ndarray], rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Which pairs (rows x columns) have a lesser prefix shingle in common, and so meet in another block."""
+    seen = np.zeros((len(rows), len(columns)), bool)
+    sides = []
+    for side in (rows, columns):
+        flat = np.concatenate([keys[i] for i in side])
+        who = np.repeat(np.arange(len(side)), [len(keys[i]) for i in side])
+        less = flat < key
+        flat, who = flat[less], who[less]
+        order = np.argsort(flat, kind="stable")
+        at = np.nonzero(np.concatenate([[True], flat[order][1:] != flat[order][:-1]]))[0] if len(flat) else np.zeros(0, np.int64)
+        sides.append((flat[order][at], np.split(who[order], at[1:])))
+        if rows is columns:
+            sides.append(sides[0])
+            break
+    common, i, j = np.intersect1d(sides[0][0], sides[1][0], assume_unique=True, return_indices=True)
+    for x, y in zip(i, j, strict=True):
+        one, other = sides[0][1][x], sides[1][1][y]
+        if len(one) > 1 or len(other) > 1 or rows is not columns:
+            seen[np.ix_(one, other)] = True
+    return seen
+
+
+def _pairs_of(rows: dict[str, np.ndarray], percent: int):
+    """Pairs of different components in one block, or pair of leaves, that the bounds let through. A pair is given by the
+    block of the least prefix shingle that both have, so no pair is given twice."""
+    key, nid, n, comp, vec, side, keys = (rows[c] for c in ("key", "nid", "n", "comp", "vec", "side", "keys"))
+    key, same = key[0], rows["leaf_a"][0] == rows["leaf_b"][0]
+    if len(nid) == 2 and same:
+        # most blocks: one pair
+        fits = comp[0] != comp[1] and 100 * min(n) >= percent * max(n) and most_overlap(vec[0], vec[1]) >= least_overlap(n[0], n[1], percent)
+        return [(min(nid), max(nid))] if fits and np.intersect1d(keys[0], keys[1]).min() == key else []
+    mine = np.arange(len(nid)) if same else np.nonzero(side == 0)[0]
+    other = mine if same else np.nonzero(side == 1)[0]
+    if len(other) < 1 + same or not len(mine):
+        return []
+    open_ = ~_shared_before(key, keys, mine, other) & (comp[mine][:, None] != comp[other][None, :])
+    if same:
+        open_ &= nid[mine][:, None] < nid[other][None, :]
+    asked = np.nonzero(open_.any(axis=1))[0]
+    if not len(asked):
+        return []
+    tree, found = RTree(vec[other], n[other], percent), []
+    for k in asked:
+        i = mine[k]
+        near = tree.near(vec[i], n[i])
+        found += [(min(nid[i], x), max(nid[i], x)) for x in nid[other[near[open_[k, near]]]]]
+    return found
+
+
 def _block_pairs(percent: int):
-    """Streams over rows sorted by block and pair of leaves; gives the pairs that the R-tree can't rule out."""
-
-    def pairs_of(rows: dict[str, list], first: int, last: int):
-        key, same = rows["key"][first], rows["leaf_a"][first] == rows["leaf_b"][first]
-        mine = [i for i in range(first, last) if rows["side"][i] == 0]
-        other = mine if same else [i for i in range(first, last) if rows["side"][i] == 1]
-        if len(mine) + (0 if same else len(other)) < 2 or not other:
-            return
-        points, sizes = np.array([rows["vec"][i] for i in other], np.int32), np.array([rows["n"][i] for i in other], np.int64)
-        tree = RTree(points, sizes, percent)
-        for k, i in enumerate(mine):
-            point = points[k] if same else np.array(rows["vec"][i], np.int32)
-            prefix = None
-            for j in tree.near(point, rows["n"][i]):
-                x = other[int(j)]
-                if rows["comp"][x] == rows["comp"][i] or (same and rows["nid"][i] >= rows["nid"][x]):
-                    continue
-                prefix = set(rows["keys"][i]) if prefix is None else prefix
-                # of the blocks that hold both, the one of the least key gives the pair
-                if min(prefix.intersection(rows["keys"][x])) == key:
-                    yield min(rows["nid"][i], rows["nid"][x]), max(rows["nid"][i], rows["nid"][x])
+    """Streams over rows sorted by block and pair of leaves."""
+
+    def arrays(b) -> dict[str, np.ndarray]:
+        out = {c: b.column(k).to_numpy(zero_copy_only=False) for k, c in enumerate(_BLOCK_COLUMNS[:-2])}
+        keys = np.empty(b.num_rows, object)
+        lists = b.column(len(out))
+        ends = np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+        for i, part in enumerate(np.split(lists.flatten().to_numpy(), ends[:-1])):
+            keys[i] = part
+        return out | {"keys": keys, "vec": b.column(len(out) + 1).flatten().to_numpy().reshape(-1, GROUPS)}
+
+    def done(rows: dict[str, np.ndarray], cut: int):
+        change = np.zeros(cut, bool)
+        change[:1] = True
+        for c in ("key", "leaf_a", "leaf_b"):
+            change[1:] |= rows[c][1:cut] != rows[c][: cut - 1]
+        at = np.append(np.nonzero(change)[0], cut)
+        found = [p for a, z in zip(at[:-1], at[1:], strict=True) if z - a > 1 for p in _pairs_of({c: v[a:z] for c, v in rows.items()}, percent)]
+        return {"a": [x for x, _ in found], "b": [y for _, y in found]}
 
     def run(slices):
-        held: dict[str, list] = {c: [] for c in _BLOCK_COLUMNS}
+        held = None
         for b in slices:
-            for k, c in enumerate(_BLOCK_COLUMNS):
-                held[c] += b.column(k).to_pylist()
-            marks = list(zip(held["key"], held["leaf_a"], held["leaf_b"], strict=True))
-            cut = len(marks)
-            while cut and marks[cut - 1] == marks[-1]:
-                cut -= 1
-            found, first = [], 0
-            for i in range(1, cut + 1):
-                if i == cut or marks[i] != marks[first]:
-                    if i > first:
-                        found += pairs_of(held, first, i)
-                    first = i
-            held = {c: v[cut:] for c, v in held.items()}
-            yield {"a": [x for x, _ in found], "b": [y for _, y in found]}
-        if held["key"]:
-            found = list(pairs_of(held, 0, len(held["key"])))
-            yield {"a": [x for x, _ in found], "b": [y for _, y in found]}
+            rows = arrays(b)
+            if held is not None:
+                rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
+            # the last block may go on in the next slice
+            last = (rows["key"] == rows["key"][-1]) & (rows["leaf_a"] == rows["leaf_a"][-1]) & (rows["leaf_b"] == rows["leaf_b"][-1])
+            cut = int(np.argmax(last))
+            held = {c: v[cut:] for c, v in rows.items()}
+            if cut:
+                yield done(rows, cut)
+        if held is not None:
+            yield done(held, len(held["key"]))
 
     return run
 
@@ -252,9 +308,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     boxes the same bounds let through. Rows that repeat an id are rows of their own; a null id never names a component
     that has another id. Other columns are not read. An empty table gives no rows.
     """
-    rows = materialize(_sets(docs, id_col, text_col, size, percent), "sets")
-    nodes = rows.where("n > 0").groupBy("nid").agg(F.min("doc_id").alias("lead"), F.first("th").alias("th"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("rows"), F.min("check").alias("c0"), F.max("check").alias("c1"))
+    described = materialize(_sets(docs, id_col, text_col, size, percent), "described")
+    rows = materialize(described.select("doc_id", "n", "nid"), "rows")
+    nodes = described.where("n > 0").groupBy("nid").agg(F.min("doc_id").alias("lead"), F.first("th").alias("th"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("rows"), F.min("check").alias("c0"), F.max("check").alias("c1"))
     nodes = materialize(nodes, "nodes")
+    discard(described)
     if nodes.where("c0 <> c1").limit(1).count():
         raise ValueError("two different sets have the same 64-bit hash")
     members = nodes.select("nid", "n", F.explode("keys").alias("key"))
@@ -263,27 +321,55 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     sized = F.col("a.n") * 100 >= F.col("b.n") * percent
     sized = sized & (F.col("b.n") * 100 >= F.col("a.n") * percent)
-    bound = _vector_overlap("a.vec", "b.vec") * (100 + percent) >= percent * (F.col("a.n") + F.col("b.n"))
+    bound = _most_overlap("a.vec", "b.vec") * (100 + percent) >= percent * (F.col("a.n") + F.col("b.n"))
     light = nodes.select("nid", "n", "vec")
     to_first = blocks.where("nid <> lead").select(F.col("nid").alias("x"), F.col("lead").alias("y")).distinct()
     to_first = to_first.join(light.alias("a"), F.col("x") == F.col("a.nid")).join(light.alias("b"), F.col("y") == F.col("b.nid")).where(sized & bound)
     links = _verified(to_first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), nodes, docs, text_col, size, percent)
     comp = materialize(components(links), "components")
 
-    placed = blocks.join(comp.withColumnRenamed("id", "nid"), "nid", "left").select("key", "nid", "n", "members", F.coalesce("comp", "nid").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    left = placed.join(mixed, "key", "left_semi").join(nodes.select("nid", "keys", "vec"), "nid")
+    def place() -> DataFrame:
+        return blocks.join(comp.withColumnRenamed("id", "nid"), "nid", "left").select("key", "nid", "n", "members", F.coalesce("comp", "nid").alias("comp"))
+
+    # components that meet in a block send one node each to be compared with one of the first component; that joins what
+    # is plainly one group, so that its members need not all be compared
+    for turn in range(REPRESENTATIVE_TURNS):
+        reps = place().groupBy("key", "comp").agg(F.min(F.struct(F.xxhash64("nid", "key", F.lit(turn)).alias("h"), "nid")).alias("rep"))
+        lead = reps.groupBy("key").agg(F.min(F.struct("comp", "rep.nid")).alias("lead"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "lead")
+        met = reps.join(lead, "key").where(F.col("comp") != F.col("lead.comp")).select(F.least("rep.nid", "lead.nid").alias("x"), F.greatest("rep.nid", "lead.nid").alias("y")).distinct()
+        met = met.join(light.alias("a"), F.col("x") == F.col("a.nid")).join(light.alias("b"), F.col("y") == F.col("b.nid")).where(sized & bound)
+        joined = _verified(met.select(F.col("x").alias("a"), F.col("y").alias("b")), nodes, docs, text_col, size, percent)
+        if not joined.limit(1).count():
+            break
+        links = links.unionByName(joined)
+        comp = materialize(components(links), "components")
+
+    placed = place()
+    # blocks of the same nodes are one: two hashes and the count tell
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.bit_xor(F.xxhash64("nid")).alias("h0"), F.bit_xor(F.xxhash64("nid", F.lit(1))).alias("h1"), F.count(F.lit(1)).alias("c")).where("c0 <> c1")
+    mixed = mixed.groupBy("h0", "h1", "c").agg(F.min("key").alias("key")).select("key")
+    left = materialize(placed.join(mixed, "key", "left_semi"), "open")
+    discard(blocks)
     # leaves of large blocks: a band of set sizes and a part of it
     leaf = F.when(F.col("members") <= LEAF, F.lit(0)).otherwise(F.xxhash64(F.floor(F.log1p("n") / 0.02), F.pmod(F.xxhash64("nid"), F.ceil(F.col("members") / LEAF))))
-    left = materialize(left.withColumn("leaf", leaf.cast("long")), "left")
-    boxes = left.groupBy("key", "leaf").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    left = left.withColumn("leaf", leaf.cast("long"))
+    some_large = left.where(F.col("members") > LEAF).limit(1).count() > 0
+    boxes = left.where(F.col("members") > LEAF).groupBy("key", "leaf").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    # of a node's prefix only the blocks that are left, at most one row each
+    own = left.groupBy("nid").agg(F.collect_list("key").alias("keys"))
+    left = left.join(own.join(light, "nid").select("nid", "keys", "vec"), "nid")
+    small = left.where(F.col("members") <= LEAF).withColumns({"leaf_a": F.col("leaf"), "leaf_b": F.col("leaf"), "side": F.lit(0)})
+    large = left.where(F.col("members") > LEAF)
     x, y = boxes.alias("x"), boxes.alias("y")
     leaf_pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.leaf") <= F.col("y.leaf")) & (F.col("x.hi") * 100 >= F.col("y.lo") * percent) & (F.col("y.hi") * 100 >= F.col("x.lo") * percent))
     leaf_pairs = leaf_pairs.select(F.col("x.key").alias("key"), F.col("x.leaf").alias("leaf_a"), F.col("y.leaf").alias("leaf_b"))
-    side_a = left.join(leaf_pairs.withColumn("leaf", F.col("leaf_a")), ["key", "leaf"]).withColumn("side", F.lit(0))
-    side_b = left.join(leaf_pairs.where("leaf_a <> leaf_b").withColumn("leaf", F.col("leaf_b")), ["key", "leaf"]).withColumn("side", F.lit(1))
-    dealt = side_a.unionByName(side_b).select(*_BLOCK_COLUMNS).repartition("key", "leaf_a", "leaf_b").sortWithinPartitions("key", "leaf_a", "leaf_b")
-    survivors = map_rows(dealt, _block_pairs(percent), "a long, b long").distinct()
+    side_a = large.join(leaf_pairs.withColumn("leaf", F.col("leaf_a")), ["key", "leaf"]).withColumn("side", F.lit(0))
+    side_b = large.join(leaf_pairs.where("leaf_a <> leaf_b").withColumn("leaf", F.col("leaf_b")), ["key", "leaf"]).withColumn("side", F.lit(1))
+    dealt = small.select(*_BLOCK_COLUMNS)
+    if some_large:
+        dealt = dealt.unionByName(side_a.select(*_BLOCK_COLUMNS)).unionByName(side_b.select(*_BLOCK_COLUMNS))
+    dealt = dealt.repartition("key", "leaf_a", "leaf_b").sortWithinPartitions("key", "leaf_a", "leaf_b")
+    survivors = map_rows(dealt, _block_pairs(percent), "a long, b long")
     more = _verified(survivors, nodes, docs, text_col, size, percent)
     if more.limit(1).count():
         comp = materialize(components(links.unionByName(more)), "components")

@@ -93,12 +93,13 @@ def test_jaccard(docs, none):
 
 def test_rtree_loses_nothing():
     rng = np.random.default_rng(0)
-    points = rng.integers(0, 4, (300, 128)).astype(np.int32)
+    points = rng.integers(0, 4, (300, jaccard.GROUPS)).astype(np.int8)
     points[100:150] = points[:50]
-    sizes = points.sum(axis=1)
+    points[7, 3] = points[14, 3] = jaccard.FULL
+    sizes = points.sum(axis=1, dtype=np.int64)
     tree = jaccard.RTree(points, sizes)
     for i in range(0, 300, 7):
-        want = {j for j in range(300) if 100 * min(sizes[i], sizes[j]) >= 80 * max(sizes[i], sizes[j]) and np.minimum(points[i], points[j]).sum() >= jaccard.least_overlap(sizes[i], sizes[j])}
+        want = {j for j in range(300) if 100 * min(sizes[i], sizes[j]) >= 80 * max(sizes[i], sizes[j]) and jaccard.most_overlap(points[i], points[j]) >= jaccard.least_overlap(sizes[i], sizes[j])}
         assert set(tree.near(points[i], sizes[i]).tolist()) == want
 
 
