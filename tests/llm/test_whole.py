@@ -1,0 +1,28 @@
+"""Whole inputs are used: what lies beyond a sample, a prefix or a block counts too."""
+
+import collections
+import zlib
+
+from quarry.llm import lm_score
+
+
+def test_lm_pairs_cover_all_of_every_text(spark, monkeypatch):
+    from quarry.llm.attention_lm import AttentionLM
+    from quarry.llm.encode import encoder
+
+    long = "river stone " * 40_000 + "Winter, glass " * 3
+    texts = {1: long, 2: "river glass unbelievably", 3: "", 4: None, 5: long, **{i: f"stone field {'light ' * (i % 4)}" for i in range(6, 40)}}
+    seen, start = [], AttentionLM.start
+    monkeypatch.setattr(AttentionLM, "start", lambda pairs, *a, **b: seen.append(pairs) or start(pairs, *a, **b))
+    got = lm_score.lm_score(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(texts) and all(r["score"] < 0 for r in got)
+
+    enc, want, ids = encoder(lm_score.VOCABULARY), collections.Counter(), {}
+    for i, x in texts.items():
+        if zlib.crc32(str(i).encode()) % 10 == 0:
+            continue
+        flat = [-1, *(k for w in (x or "").lower().split() for k in memoryview(enc.encode(w)).cast("I")), -1]
+        ids.update(dict.fromkeys(flat))
+        want.update(zip(flat[:-1], flat[1:], strict=True))
+    assert len(ids) < 2000  # each subword has a slot of its own
+    assert sorted(seen[0][seen[0] > 0].tolist()) == sorted(want.values())
