@@ -31,3 +31,39 @@ def test_expansion_reads_all_orders(spark, orders, name, rounds, limit, down):
         last = set(sorted(new, reverse=down)[:limit])
         want.update(dict.fromkeys(last, hop))
     assert {r["entity"]: r["hop"] for r in QUERIES[name](spark, DATA).collect()} == want
+
+
+@pytest.fixture(scope="module")
+def links(orders):
+    out = collections.defaultdict(set)
+    for named in orders.values():
+        for e in named:
+            out[e] |= named - {e}
+    return out
+
+
+def test_graphs_have_all_orders(spark, links):
+    left, parts = set(links), []
+    while left:
+        part, edge = set(), {min(left)}
+        while edge:
+            part |= edge
+            edge = {y for x in edge for y in links[x]} - part
+        left -= part
+        parts.append((min(part), len(part)))
+    got = QUERIES["f10_clusters_all"](spark, DATA).collect()
+    assert sorted((r["component"], r["size"]) for r in got) == sorted(p for p in parts if p[1] >= 3)
+
+    start = min(links)
+    one = links[start]
+    two = {y for x in one for y in links[x]} - one - {start}
+    got = QUERIES["f14_neighbours_all"](spark, DATA).collect()
+    assert {r["id"]: r["hops"] for r in got} == {**dict.fromkeys(one, 1), **dict.fromkeys(two, 2)}
+
+    got = QUERIES["f15_adjacency_all"](spark, DATA).collect()
+    assert {r["id"]: r["neighbours"] for r in got} == {x: ",".join(sorted(ys)) for x, ys in links.items()}
+
+
+def test_cycles_of_all_orders(spark, links):
+    want = sorted(f"{a}>{b}>{c}" for a in links for b in links[a] if a < b for c in links[b] & links[a] if b < c)
+    assert sorted(r["cycle"] for r in QUERIES["f22_cycles_all"](spark, DATA).collect()) == want
