@@ -1,4 +1,4 @@
-"""Line dedup by winnowing over line hashes."""
+"""Line dedup by grams of line hashes."""
 
 from __future__ import annotations
 
@@ -10,10 +10,8 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, materialize
 
-#: A gram is the fewest lines from a line on that hold so many words.
+#: A gram is the fewest lines from a line on, or up to a line, that hold so many words.
 MIN_WORDS = 20
-#: Of so many grams in a row the one with the least hash is a fingerprint.
-WINDOW = 2
 #: A fingerprint with at least 1/HOT_SHARE of all occurrences is hot; there are HOT_SHARE of them at most, so they are broadcast.
 HOT_SHARE = 256
 
@@ -28,55 +26,44 @@ def _line_hash(line: str) -> int:
     return int.from_bytes(blake2b(line.strip().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def fingerprints(text: str, min_words: int = MIN_WORDS, window: int = WINDOW) -> tuple[list[int], list[tuple[int, int, int]]]:
-    """(line hashes, [(place, gram length in lines, gram hash)]) over the lines that are not blank."""
+def fingerprints(text: str, min_words: int = MIN_WORDS) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """(line hashes, [(place, gram length in lines, gram hash)]) over the lines that are not blank.
+
+    Each line of a run with ``min_words`` words is in a gram that lies within the run: in the one that begins with it,
+    the one that ends with it or, if neither fits, in the one that begins where the run does.
+    """
     lines, at = split_lines(text)
     hashes = [_line_hash(lines[i]) for i in at]
     words = np.concatenate([[0], np.cumsum([len(lines[i].encode("utf-8", "surrogatepass").split()) for i in at], dtype=np.int64)]) if at else np.zeros(1, np.int64)
     ends = np.searchsorted(words, words[:-1] + min_words)  # lines before this one hold enough words
-    grams = []
-    for i, e in enumerate(ends):
-        if e > len(at):
-            break
-        body = np.array(hashes[i:e], dtype=np.int64).tobytes()
-        grams.append((int.from_bytes(blake2b(body, digest_size=8).digest(), "little", signed=True), i, int(e) - i))
-    chosen = {min(grams[s : s + window]) for s in range(max(1, len(grams) - window + 1))} if grams else set()
-    return hashes, sorted((i, n, h) for h, i, n in chosen)
-
-
-def extend(body_place: int, length: int, mine: tuple[list, list], first: tuple[list, list]) -> tuple[int, int]:
-    """Lines [from, to) of the later run. mine and first: line hashes before (nearest last) and after the gram."""
-    back = 0
-    while back < min(len(mine[0]), len(first[0])) and mine[0][-1 - back] == first[0][-1 - back]:
-        back += 1
-    on = 0
-    while on < min(len(mine[1]), len(first[1])) and mine[1][on] == first[1][on]:
-        on += 1
-    return body_place - back, body_place + length + on
-
-
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
+    starts = np.searchsorted(words, words[1:] - min_words, side="right") - 1  # lines from this one on do
+    spans = {(i, e) for i, e in enumerate(ends.tolist()) if e <= len(at)} | {(s, e) for e, s in enumerate(starts.tolist(), 1) if s >= 0}
+    body = np.array(hashes, dtype=np.int64).tobytes()
+    return hashes, [(i, e - i, int.from_bytes(blake2b(body[8 * i : 8 * e], digest_size=8).digest(), "little", signed=True)) for i, e in sorted(spans)]
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, runs array<struct<start, stop>>): lines of a document, counted without blank ones, that occur earlier.
 
-    Earlier is by id, then by place. Each fingerprint is compared with its first occurrence and extended ``window`` lines
-    both ways: within a repeated run the next fingerprint is no farther, so the union of the pieces is the whole run.
+    Earlier is by id, then by place. Every gram is compared with its first occurrence; the union of the grams that are
+    repeated is the union of all repeated runs of so many words, so nothing has to be extended.
     """
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = dict(rows.dtypes)["doc_id"]
 
     def occurrences(slices):
         for b in slices:
-            at, out = [], {"fp": [], "place": [], "length": [], "before": [], "body": [], "after": []}
+            at, out = [], {"fp": [], "place": [], "length": [], "body": []}
             for r, text in enumerate(b.column(1).to_pylist()):
-                hashes, prints = fingerprints(text, min_words, window)
+                hashes, prints = fingerprints(text, min_words)
                 for i, n, h in prints:
                     at.append(r)
-                    for name, value in zip(out, (h, i, n, hashes[max(0, i - window) : i], hashes[i : i + n], hashes[i + n : i + n + window]), strict=True):
+                    for name, value in zip(out, (h, i, n, hashes[i : i + n]), strict=True):
                         out[name].append(value)
             yield {"doc_id": b.column(0).take(np.array(at, dtype=np.int64)), **out}
 
-    found = materialize(map_rows(rows, occurrences, f"doc_id {id_type}, fp long, place int, length int, before array<long>, body array<long>, after array<long>"), "lines")
-    firsts = found.groupBy("fp").agg(F.min(F.struct("doc_id", "place", "before", "body", "after")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = materialize(map_rows(rows, occurrences, f"doc_id {id_type}, fp long, place int, length int, body array<long>"), "lines")
+    firsts = found.groupBy("fp").agg(F.min(F.struct("doc_id", "place", "body")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     firsts = materialize(firsts, "firsts")
     least = max(1, found.count() // HOT_SHARE)
     hot = firsts.where(F.col("n") >= least).select("fp", "first")
@@ -84,16 +71,8 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     in_hot = found.join(F.broadcast(hot), "fp")
     in_cold = found.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cold, "fp")
     later = in_hot.unionByName(in_cold).where((F.col("body") == F.col("first.body")) & ~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("place") == F.col("first.place"))))
-    later = later.select("doc_id", "place", "length", "before", "after", F.col("first.before").alias("b0"), F.col("first.after").alias("a0"))
-
-    def runs(slices):
-        for b in slices:
-            c = b.to_pydict()
-            spans = [extend(p, n, (x, y), (x0, y0)) for p, n, x, y, x0, y0 in zip(c["place"], c["length"], c["before"], c["after"], c["b0"], c["a0"], strict=True)]
-            yield {"doc_id": b.column(0), "start": [s for s, _ in spans], "stop": [e for _, e in spans]}
-
-    # at most one row per line of a document
-    return map_rows(later, runs, f"doc_id {id_type}, start int, stop int").groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
+    # at most two rows per line of a document
+    return later.groupBy("doc_id").agg(F.collect_set(F.struct(F.col("place").alias("start"), (F.col("place") + F.col("length")).alias("stop"))).alias("runs"))
 
 
 def without_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]:
@@ -103,18 +82,17 @@ def without_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]
     return "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text, len(at), len(gone)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, window: int = WINDOW) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of docs with the text cleaned, and __n_lines, __n_removed.
 
-    A gram is the fewest lines from a line on with ``min_words`` words; of ``window`` grams in a row the least hash is a
-    fingerprint, so that any repeated run with ``window`` grams in it shares one. The first occurrence (by id, then
-    place) stays and later runs go, extended to the lines around that agree. Lines are compared without the white space
-    at their ends; blank lines stay. A document with fewer words than a gram is left alone.
+    A line goes if it lies in a run of lines that holds ``min_words`` words and occurs earlier, by id, then by place; the
+    first occurrence stays. Lines are compared without the white space at their ends; blank lines stay. A document with
+    fewer words than that is left alone.
 
     Null text stays null. Null ids take no part. Rows that repeat an id count as one document and never delete each
     other. Further columns pass through. An empty table gives no rows.
     """
-    runs = repeated_runs(docs, id_col, text_col, min_words, window).select(F.col("doc_id").alias("__id"), F.col("runs").alias("__runs"))
+    runs = repeated_runs(docs, id_col, text_col, min_words).select(F.col("doc_id").alias("__id"), F.col("runs").alias("__runs"))
     joined = docs.join(runs, F.col(id_col) == F.col("__id"), "left").drop("__id")
     names = joined.columns
     at, last = names.index(text_col), len(names) - 1
