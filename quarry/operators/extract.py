@@ -50,6 +50,10 @@ PRIORITY = {
 PRIORITY_2 = {"HIGH": (*PRIORITY["HIGH"], "aadhaar_number", "account_number"), "MEDIUM": ("social_handle", "pincode", "address", "date", "amount", "id_number")}
 CONFIDENCE = {"email": 0.98, "vehicle_number": 0.90, "company": 0.80, "address": 0.80}
 UNIQUE_ORDER = ("phone", "email", "id_number", "account_number")
+# Words before a value, and the value.
+CONTEXT_PATTERNS = (
+    ("phone", "(?:call|contact|phone|mobile|number)", r"[6-9]\d{9}"), ("amount", "(?:transferred?|received?|paid?|amount|sum)", r"(?:Rs\.?|INR|₹)\s*[\d,]+(?:\.\d{2})?"),
+)
 # A small list of our own; callers give theirs.
 FIRST_NAMES = ("asha", "meena", "ravi", "rahul", "priya", "vikram", "kiran", "anil", "sunita", "john", "mary")
 CITIES = ("delhi", "mumbai", "pune", "chennai", "kolkata", "london", "paris", "berlin", "madrid")
@@ -167,11 +171,20 @@ def best_of(entities: DataFrame) -> DataFrame:
 
 
 def with_context(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 50) -> DataFrame:
-    """(doc, type, value, context): phones after words as call or contact, with what stands around them."""
-    pattern = r"(?i)(?:call|contact|phone|mobile|number)[:\s]*([6-9]\d{9})"
-    around = f"(?is).{{0,{width}}}(?:call|contact|phone|mobile|number)[:\\s]*[6-9]\\d{{9}}.{{0,{width}}}"
-    hits = F.regexp_extract_all(text_col, F.lit(around), F.lit(0))
-    return docs.select(F.col(id_col).alias("doc"), F.explode(hits).alias("context")).select("doc", F.lit("phone").alias("type"), F.regexp_extract("context", pattern, 1).alias("value"), "context")
+    """(doc, type, value, context): each phone after words as call or contact, and each amount after words as paid, with
+    ``width`` characters on both sides. What stands around is looked at, not consumed, so neighbours are found as well."""
+    before = rf"\A.{{0,{width - 1}}}|.{{{width}}}" if width else ""
+    hits = []
+    for kind, words, value in CONTEXT_PATTERNS:
+        around = rf"(?is)(?={words})(?<=({before}))({words}[:\s]*({value}))(?=(.{{0,{width}}}))"
+        left, match, found_, right = (F.regexp_extract_all(text_col, F.lit(around), F.lit(k)) for k in (1, 2, 3, 4))
+        parts = F.arrays_zip(left.alias("l"), match.alias("m"), found_.alias("v"), right.alias("r"))
+        hits.append(F.transform(parts, _in_context(kind)))
+    return docs.select(F.col(id_col).alias("doc"), F.inline(F.concat(*hits)))
+
+
+def _in_context(kind: str):
+    return lambda p: F.struct(F.lit(kind).alias("type"), _normal_2(kind, p["v"]).alias("value"), F.concat(p["l"], p["m"], p["r"]).alias("context"))
 
 
 def fuzzy_aliases(docs: DataFrame, entities: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.85) -> DataFrame:

@@ -67,3 +67,14 @@ def test_graphs_have_all_orders(spark, links):
 def test_cycles_of_all_orders(spark, links):
     want = sorted(f"{a}>{b}>{c}" for a in links for b in links[a] if a < b for c in links[b] & links[a] if b < c)
     assert sorted(r["cycle"] for r in QUERIES["f22_cycles_all"](spark, DATA).collect()) == want
+
+
+def test_context_of_neighbours_and_amounts(spark):
+    from quarry.operators import extract as X
+
+    texts = ["call 9000000001 or call 9000000002", "x" * 80 + " mobile: 9000000003\n" + "y" * 80, "paid Rs. 5,000 then received: INR 700.50, phone 9000000004", "", None]
+    got = X.with_context(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert sorted((r["doc"], r["type"], r["value"]) for r in got) == [(0, "phone", "9000000001"), (0, "phone", "9000000002"), (1, "phone", "9000000003"), (2, "amount", "5000"), (2, "amount", "700.50"), (2, "phone", "9000000004")]
+    by = {r["value"]: r["context"] for r in got}
+    assert by["9000000001"] == by["9000000002"] == texts[0]
+    assert by["9000000003"] == "x" * 49 + " mobile: 9000000003\n" + "y" * 49
