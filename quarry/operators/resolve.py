@@ -31,6 +31,34 @@ def blocking_keys(kind: Column, value: Column, whole_type: bool = False) -> Colu
     return F.filter(F.array(*keys), lambda k: k.isNotNull())
 
 
+#: At this edit similarity and above two strings share a bigram of their prefixes for sure.
+LOSSLESS = 0.8
+
+
+def edit_keys(value: Column, threshold: float) -> Column:
+    """Keys of which two strings share one if their similarity() is ``threshold`` or more.
+
+    A string of n characters is at most (1 - threshold) n / threshold edits, k, from such a partner, and an edit changes
+    two bigrams at most. Of bigrams numbered by occurrence, in one order for all, the first 2 k + 1 therefore have one in
+    common. Under LOSSLESS short strings don't have so many; then all strings have one key, and all pairs are compared.
+    """
+    v = F.lower(value)
+    if threshold < LOSSLESS:
+        return F.when(v.isNotNull(), F.array(F.lit("")))
+    n = F.length(v)
+    grams = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(v, i, F.lit(2)))
+    numbered = F.transform(grams, lambda g, i: F.concat(g, F.size(F.filter(F.slice(grams, 1, i + 1), lambda h: h == g)).cast("string")))
+    ordered = F.transform(F.array_sort(F.transform(numbered, lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g")))), lambda x: x["g"])
+    edits = F.floor((1 - threshold) * n / threshold + 1e-9).cast("int")
+    return F.when(n < 2, F.array(v)).when(v.isNotNull(), F.slice(ordered, 1, 2 * edits + 1))
+
+
+def near_lengths(a: Column, b: Column, threshold: float) -> Column:
+    """False only where the lengths alone keep the similarity below the threshold."""
+    x, y = F.length(F.lower(a)), F.length(F.lower(b))
+    return F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9
+
+
 def similarity_score(x: str, y: str, aliases: bool = False) -> Column:
     """Score of two entities of prefixes x and y with type and normalized: 1 if equal; else .6 of an edit similarity
     above .8, .3 for equal phonetic codes of names, .2 if an alias is part of the other."""
@@ -69,7 +97,12 @@ def compare(a_type: Column, a: Column, b_type: Column, b: Column) -> Column:
 
 def merge(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(id, aliases, confidence, merged_from): clusters of compare() at the threshold, under their least id."""
-    pairs = candidate_pairs(entities, blocking_keys(F.col("type"), F.col("normalized")))
+    keys = edit_keys(F.col("normalized"), threshold)
+    if LOSSLESS <= threshold <= 0.8:  # equal phonetic codes alone reach it
+        keys = F.concat(keys, F.array(F.concat(F.lit("phonetic:"), T.phonetic(F.col("normalized")))))
+    pairs = candidate_pairs(entities, keys)
+    if threshold > 0.8:
+        pairs = pairs.where(near_lengths(F.col("x.normalized"), F.col("y.normalized"), threshold))
     links = pairs.where(compare(F.col("x.type"), F.col("x.normalized"), F.col("y.type"), F.col("y.normalized")) >= threshold).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     comp = components(links)
     named = entities.join(comp, "id", "left").withColumn("cluster", F.coalesce("component", "id"))
@@ -107,7 +140,7 @@ def relations(entities: DataFrame, least: float = 0.6, address: float = 0.8, nam
     """(a, b, type, strength) of entities (id, type, name, phone, email, address, company, account).
 
     Equal phones, e-mails and accounts are equi-joins. Addresses of persons, and companies of persons against company
-    names, are compared within blocks of the first normalised characters.
+    names, meet by edit_keys(), which lose no pair of that similarity.
     """
     e = entities.withColumns({"p": T.last_ten(F.col("phone")), "m": F.lower(F.trim("email")), "ad": T.normalize_string(F.col("address")), "co": T.normalize_string(F.col("company")), "nm": T.normalize_string(F.col("name"))})
 
@@ -117,12 +150,12 @@ def relations(entities: DataFrame, least: float = 0.6, address: float = 0.8, nam
         return x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(kind).alias("type"), F.lit(strength).alias("strength"))
 
     out = equal("p", F.length("p") == 10, "shared_contact", 0.95).unionByName(equal("m", F.length("m") > 0, "shared_contact", 0.99)).unionByName(equal("account", F.length("account") > 0, "financial_link", 0.99))
-    people = e.where((F.col("type") == "person") & (F.length("ad") > 0)).select("id", "ad", F.substring("ad", 1, 3).alias("block"))
-    x, y = people.alias("x"), people.alias("y")
-    near = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.id") < F.col("y.id"))).withColumn("s", T.normalized_similarity(F.col("x.ad"), F.col("y.ad"))).where(F.col("s") >= address)
+    people = e.where((F.col("type") == "person") & (F.length("ad") > 0)).select("id", "ad")
+    near = candidate_pairs(people, edit_keys(F.col("ad"), address)).where(near_lengths(F.col("x.ad"), F.col("y.ad"), address)).withColumn("s", T.normalized_similarity(F.col("x.ad"), F.col("y.ad"))).where(F.col("s") >= address)
     out = out.unionByName(near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit("shared_address").alias("type"), F.col("s").alias("strength")))
-    works = e.where((F.col("type") == "person") & (F.length("co") > 0)).select("id", "co", F.substring("co", 1, 2).alias("block"))
-    firms = e.where((F.col("type") == "company") & (F.length("nm") > 0)).select(F.col("id").alias("firm"), "nm", F.substring("nm", 1, 2).alias("block"))
-    employed = works.join(firms, "block").where(T.normalized_similarity(F.col("co"), F.col("nm")) >= name)
+    works = e.where((F.col("type") == "person") & (F.length("co") > 0)).select("id", "co", edit_keys(F.col("co"), name).alias("k1")).select("*", F.explode("k1").alias("key"))
+    firms = e.where((F.col("type") == "company") & (F.length("nm") > 0)).select(F.col("id").alias("firm"), "nm", edit_keys(F.col("nm"), name).alias("k2")).select("*", F.explode("k2").alias("key"))
+    met = works.join(firms, "key").where((F.array_min(F.array_intersect("k1", "k2")) == F.col("key")) & near_lengths(F.col("co"), F.col("nm"), name))
+    employed = met.where(T.normalized_similarity(F.col("co"), F.col("nm")) >= name)
     out = out.unionByName(employed.select(F.col("id").alias("a"), F.col("firm").alias("b"), F.lit("employed_by").alias("type"), F.lit(0.85).alias("strength")))
     return out.where(F.col("strength") >= least)

@@ -78,3 +78,41 @@ def test_context_of_neighbours_and_amounts(spark):
     by = {r["value"]: r["context"] for r in got}
     assert by["9000000001"] == by["9000000002"] == texts[0]
     assert by["9000000003"] == "x" * 49 + " mobile: 9000000003\n" + "y" * 49
+
+
+def test_no_near_pair_is_lost(spark):
+    import itertools
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quarry.operators import resolve as X
+
+    rng = random.Random(5)
+    words = ["rajeshkum", "arajeshkum", "aaaa", "aaaaa", "aabaa", "abcd", "abcde", "bcde", "a", "", "2 lake road pune", "12 lake road pune"]
+    for _ in range(120):
+        w = list(rng.choice(words[:9] + words[10:]))
+        for _ in range(rng.randrange(1, 4)):
+            at = rng.randrange(len(w) + 1)
+            w[at : at + rng.randrange(2)] = rng.choice(["", "a", "b", "x"])
+        words.append("".join(w))
+    words = sorted(set(words))
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    df = spark.createDataFrame([(f"{i:03}", "person", w) for i, w in enumerate(words)], "id string, type string, normalized string")
+    for t in (0.8, 0.85, 0.9):
+        want = {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(words), 2) if 1 - edits(a, b) / max(len(a), len(b), 1) >= t}
+        met = {(int(r[0]), int(r[1])) for r in X.candidate_pairs(df, X.edit_keys(F.col("normalized"), t)).select("x.id", "y.id").collect()}
+        assert want and want <= met
+    two = df.where(F.col("normalized").isin("rajeshkum", "arajeshkum"))
+    assert [r["merged_from"] for r in X.merge(two.withColumn("confidence", F.lit(0.9))).collect()] == [2]
+    schema = "id string, type string, name string, phone string, email string, address string, company string, account string"
+    people = [("p1", "person", "A", None, None, "12 Lake Road Pune", "arajeshkum", None), ("p2", "person", "B", None, None, "2 Lake Road Pune", None, None), ("c1", "company", "Rajeshkum", None, None, None, None, None)]
+    assert sorted((r["a"], r["b"], r["type"]) for r in X.relations(spark.createDataFrame(people, schema)).collect()) == [("p1", "c1", "employed_by"), ("p1", "p2", "shared_address")]
