@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import digits, similarity
+from . import gazetteer
 
 _DATES = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 _IP = r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b"
@@ -54,9 +55,9 @@ UNIQUE_ORDER = ("phone", "email", "id_number", "account_number")
 CONTEXT_PATTERNS = (
     ("phone", "(?:call|contact|phone|mobile|number)", r"[6-9]\d{9}"), ("amount", "(?:transferred?|received?|paid?|amount|sum)", r"(?:Rs\.?|INR|₹)\s*[\d,]+(?:\.\d{2})?"),
 )
-# A small list of our own; callers give theirs.
-FIRST_NAMES = ("asha", "meena", "ravi", "rahul", "priya", "vikram", "kiran", "anil", "sunita", "john", "mary")
-CITIES = ("delhi", "mumbai", "pune", "chennai", "kolkata", "london", "paris", "berlin", "madrid")
+# The survey's lists and a few of our own; callers may give theirs.
+FIRST_NAMES = (*gazetteer.FIRST_NAMES, "asha", "anil", "mary")
+PLACES = (*gazetteer.CITIES, *gazetteer.STATES, "london", "paris", "berlin", "madrid")
 
 
 def ascii_bounds(pattern: str) -> str:
@@ -151,16 +152,25 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cat
     return rows.select("doc", "type", "normalized", "value", "priority", "confidence").dropDuplicates(["doc", "type", "normalized"])
 
 
-def names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_names: tuple[str, ...] = FIRST_NAMES) -> DataFrame:
-    """(doc, name): runs of capitalised words that begin with a known first name. The list is a bounded parameter."""
-    found_ = F.regexp_extract_all(text_col, F.lit(ascii_bounds(r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)\b")), F.lit(1))
-    known = F.filter(found_, lambda n: F.lower(F.regexp_extract(n, r"^\w+", 0)).isin(*first_names))
-    return docs.select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(known)).alias("name"))
+def names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_names: tuple[str, ...] = FIRST_NAMES, surnames: tuple[str, ...] = gazetteer.SURNAMES) -> DataFrame:
+    """(doc, name): first names with all names after them, surnames after no first name, and capitalised words after words
+    as named or Mr that don't begin with a stop word. The lists are bounded parameters; words count by their letters
+    a-z, in any case. Each name once per document, whatever the order."""
+    words = F.transform(F.split(text_col, r"\s+"), lambda w: F.regexp_replace(F.lower(w), "[^a-z]", ""))
+    firsts, lasts, stops = (sorted(set(x)) for x in (first_names, surnames, gazetteer.NAME_STOP_WORDS))
+    marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(*stops), "-").when(w.isin(*firsts), F.concat(F.lit("F:"), w)).when(w.isin(*lasts), F.concat(F.lit("S:"), w)).otherwise("-")), " ")
+    runs = F.regexp_extract_all(marked, F.lit(r"(?=(?<![^ ])(F:[a-z]+(?: [FS]:[a-z]+)*))F"), F.lit(1))
+    alone = F.regexp_extract_all(marked, F.lit(r"(?<!F:[a-z]{1,40} )(S:[a-z]+)"), F.lit(1))
+    said = [F.regexp_extract_all(text_col, F.lit(p + r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"), F.lit(1)) for p in (r"(?:name(?:d)?|called|known as)[:\s]+", r"(?i:mr\.?|mrs\.?|ms\.?|dr\.?|sri|smt|shri|shrimati)\s+")]
+    given = F.filter(F.concat(*said), lambda n: ~F.lower(F.regexp_extract(n, r"^\w+", 0)).isin(*stops))
+    found_ = F.concat(F.transform(F.concat(runs, alone), lambda n: F.regexp_replace(n, "[FS]:", "")), F.transform(given, lambda n: F.regexp_replace(n, r"\s+", " ")))
+    return docs.select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(F.transform(found_, lambda n: F.initcap(n)))).alias("name"))
 
 
-def locations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", places: tuple[str, ...] = CITIES) -> DataFrame:
+def locations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", places: tuple[str, ...] = PLACES) -> DataFrame:
+    """(doc, location): cities and states of the list that the text holds, in any case."""
     low = F.lower(text_col)
-    hits = F.filter(F.array(*(F.when(F.contains(low, F.lit(p)), F.lit(p)) for p in places)), lambda x: x.isNotNull())
+    hits = F.filter(F.array(*map(F.lit, sorted(set(places)))), lambda p: F.contains(low, p))
     return docs.select(F.col(id_col).alias("doc"), F.explode(hits).alias("location"))
 
 

@@ -76,6 +76,16 @@ def places(t) -> DataFrame:
     return X.locations(_talk(t))
 
 
+@query("c19_names_documents")
+def people_of_documents(t) -> DataFrame:
+    return X.names(t("documents"))
+
+
+@query("c20_locations_documents")
+def places_of_documents(t) -> DataFrame:
+    return X.locations(t("documents"))
+
+
 @query("c30_best_of", "SELECT 1 AS doc, 'phone' AS type, '9000000001' AS normalized, 0.95 AS confidence")
 def best(t) -> DataFrame:
     e = X.extract(_talk(t), kinds=["phone"])

@@ -116,3 +116,29 @@ def test_no_near_pair_is_lost(spark):
     schema = "id string, type string, name string, phone string, email string, address string, company string, account string"
     people = [("p1", "person", "A", None, None, "12 Lake Road Pune", "arajeshkum", None), ("p2", "person", "B", None, None, "2 Lake Road Pune", None, None), ("c1", "company", "Rajeshkum", None, None, None, None, None)]
     assert sorted((r["a"], r["b"], r["type"]) for r in X.relations(spark.createDataFrame(people, schema)).collect()) == [("p1", "c1", "employed_by"), ("p1", "p2", "shared_address")]
+
+
+def test_gazetteers_of_names_and_places(spark):
+    from quarry.operators import extract as X
+    from quarry.operators import gazetteer as G
+
+    assert [len(x) for x in (G.FIRST_NAMES, G.SURNAMES, G.NAME_STOP_WORDS, G.CITIES, G.STATES)] == [598, 462, 114, 160, 40]
+    texts = ["then AAKASH kumar, Tiwari came", "a certain wadhwa of Navi Mumbai in Tamil Nadu", "he is called Zorblat Qix; mr. Quux left", "named The Thing", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    names = {(r["doc"], r["name"]) for r in X.names(df).collect()}
+    assert {(0, "Aakash Kumar Tiwari"), (1, "Wadhwa"), (2, "Zorblat Qix"), (2, "Quux")} <= names and not any(d > 2 for d, _ in names)
+    assert {(r["doc"], r["location"]) for r in X.locations(df).collect()} == {(1, "mumbai"), (1, "navi mumbai"), (1, "tamil nadu")}
+
+    first, last = set(X.FIRST_NAMES), set(G.SURNAMES)
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = collections.defaultdict(set)
+    for r in QUERIES["c19_names_documents"](spark, DATA).collect():
+        got[r["doc"]].add(r["name"].lower())
+    for i, text in docs.items():
+        words = ["".join(c for c in w.lower() if "a" <= c <= "z") for w in (text or "").split()]
+        for k, w in enumerate(words):
+            if w in first:
+                end = next((j for j in range(k, len(words)) if words[j] not in first | last), len(words))
+                assert " ".join(words[k:end]) in got[i]
+            elif w in last and not (k and words[k - 1] in first):
+                assert w in got[i]
