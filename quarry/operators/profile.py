@@ -61,13 +61,16 @@ def type_by_name(field: str, strict: bool = False) -> tuple[str, float] | None:
     return None
 
 
-def detect_types(df: DataFrame, sample: int = 50, strict: bool = False) -> DataFrame:
-    """(field, detected_type, confidence): by name, else by more than half of a bounded sample of values, else unknown."""
+def detect_types(df: DataFrame, sample: int | None = None, strict: bool = False) -> DataFrame:
+    """(field, detected_type, confidence): by name, else by more than half of the values, else unknown.
+
+    sample: so many rows only, the first in the order of the columns that the name leaves open."""
     spark, names = df.sparkSession, {c: type_by_name(c, strict) for c in df.columns}
     rows = [(c, *x) for c, x in names.items() if x]
     open_ = [c for c, x in names.items() if not x]
     if open_:
-        few = df.select(*(blank_to_null(F.col(c)).alias(c) for c in open_)).limit(sample)
+        few = df.select(*(blank_to_null(F.col(c)).alias(c) for c in open_))
+        few = few.orderBy(*open_).limit(sample) if sample else few
         tests = [(c, k) for c in open_ for k, _, v in FIELD_TYPES if v]
         patterns = {k: v for k, _, v in FIELD_TYPES}
         got = few.agg(*(F.avg(F.col(c).rlike(patterns[k]).cast("double")).alias(f"{c}|{k}") for c, k in tests)).first()

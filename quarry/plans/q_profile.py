@@ -15,6 +15,12 @@ def field_types(t) -> DataFrame:
     return Q.detect_types(t("customer")).where("field in ('c_name', 'c_nationkey', 'c_acctbal')")
 
 
+@query("i01_field_types_all")
+def field_types_all(t) -> DataFrame:
+    """All columns; the SQL of i01_field_types has those that their names decide."""
+    return Q.detect_types(t("customer"))
+
+
 _VALUES = [("a@b.org", "2024-01-02", "word one"), ("c@d.com", "2024-05-06", "x"), (None, "2024-07-08", "y9")]
 
 

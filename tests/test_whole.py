@@ -142,3 +142,12 @@ def test_gazetteers_of_names_and_places(spark):
                 assert " ".join(words[k:end]) in got[i]
             elif w in last and not (k and words[k - 1] in first):
                 assert w in got[i]
+
+
+def test_types_by_all_values(spark):
+    from quarry.operators import profile as Q
+
+    df = spark.createDataFrame([("no mail",)] * 60 + [(f"a{i}@b.org",) for i in range(100)], "x1 string").coalesce(1)
+    assert [tuple(r) for r in Q.detect_types(df).collect()] == [("x1", "email", 0.8)]
+    got = {r["field"] for r in QUERIES["i01_field_types_all"](spark, DATA).collect()}
+    assert got == set(spark.read.parquet(f"{DATA}/customer.parquet").columns)
