@@ -3,34 +3,22 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quarry.sources.shared import shared_dir
+
 #: Words of the contracts: runs of anything but space, \t, \n, \v, \f, \r. bytes.split() splits at just these six.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows that a Python worker turns into objects at a time; the Arrow batch itself stays compact.
 SLICE = 256
 
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (one machine, tests) one of our own."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="quarry-"))
-    return _own_dir[0]
-
-
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors.
 
@@ -83,8 +71,26 @@ def crc_mod(doc_id: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
 
 
-#: A key with at least 1/HOT_SHARE of all rows is hot: there are HOT_SHARE such keys at most, so a table of them can be broadcast.
-HOT_SHARE = 256
+#: A key with so many rows is hot: more than a task should get, or 1/HOT_SHARE of a smaller table.
+HOT_ROWS, HOT_SHARE = 1_000_000, 256
+#: Hot keys at most, whatever the size of the table.
+HOT_KEYS = 100_000
+
+
+def hot_from(total: int) -> int:
+    """The number of rows from which a key is hot; fewer than HOT_KEYS keys have so many of ``total`` rows."""
+    return max(2, min(-(-total // HOT_SHARE), max(HOT_ROWS, -(-total // HOT_KEYS))))
+
+
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """Column names like the wanted ones that are not among those taken, which Spark tells apart without case."""
+    have, out = {x.lower() for x in taken}, []
+    for name in wanted:
+        while (name := f"__{name}").lower() in have:
+            pass
+        have.add(name.lower())
+        out.append(name)
+    return out
 
 
 def lookup(rows: DataFrame, key: str, table: DataFrame, n_col: str, total: int, value: str) -> DataFrame:
@@ -93,8 +99,9 @@ def lookup(rows: DataFrame, key: str, table: DataFrame, n_col: str, total: int,
     Hot keys find their row in a broadcast table; those rows then go on under a key of their own, so that no task gets
     all rows of a key.
     """
-    hot = table.where(F.col(n_col) * HOT_SHARE >= total).select(F.col(key).alias("__k"), F.col(value).alias("__hot"))
-    cold = table.where(F.col(n_col) * HOT_SHARE < total).select(F.col(key).alias("__k"), F.col(value).alias("__cold"))
+    least = hot_from(total)
+    hot = table.where(F.col(n_col) >= least).select(F.col(key).alias("__k"), F.col(value).alias("__hot"))
+    cold = table.where(F.col(n_col) < least).select(F.col(key).alias("__k"), F.col(value).alias("__cold"))
     names = rows.columns
     found = rows.join(F.broadcast(hot), F.col(key) == F.col("__k"), "left").drop("__k")
     spread = F.when(F.col("__hot").isNull(), F.col(key)).otherwise(F.xxhash64(*names))
@@ -116,18 +123,19 @@ def components(edges: DataFrame) -> DataFrame:
         up = materialize(up, "up")
         while True:
             parent = up.select(F.col("id").alias("__id"), F.col("comp").alias("__next"))
-            step = materialize(up.join(parent, F.col("comp") == F.col("__id")).select("id", "comp", F.col("__next")), "step")
-            moved = step.where("comp <> __next").limit(1).count()
-            up = step.select("id", F.col("__next").alias("comp"))
-            if not moved:
+            step = materialize(up.join(parent, F.col("comp") == F.col("__id")).select("id", F.col("__next").alias("comp"), (F.col("comp") != F.col("__next")).alias("moved")), "step")
+            discard(up)
+            up = step
+            if not step.where("moved").limit(1).count():
                 break
         rounds.append(up)
         of_a, of_b = up.select(F.col("id").alias("a"), F.col("comp").alias("ra")), up.select(F.col("id").alias("b"), F.col("comp").alias("rb"))
-        edges = materialize(edges.join(of_a, "a").join(of_b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        before, edges = edges, materialize(edges.join(of_a, "a").join(of_b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        discard(before)
     if not rounds:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
     out = rounds[0]
     for up in rounds[1:]:
         later = up.select(F.col("id").alias("comp"), F.col("comp").alias("__root"))
         out = out.join(later, "comp", "left").select("id", F.coalesce("__root", "comp").alias("comp"))
-    return out
+    return out.select("id", "comp")

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, text_or_empty
-
-#: A digest that holds at least 1/HOT_SHARE of all rows is hot; so there are HOT_SHARE hot digests at most, and they can be broadcast.
-HOT_SHARE = 256
+from .common import hot_from, materialize, text_or_empty
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 32, normalise=None) -> DataFrame:
@@ -39,8 +36,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     group = F.struct("keep_id", F.col("n").alias("group_size")).alias("g")
     single = groups.where("n_texts = 1")
-    hot = single.where(F.col("n") * HOT_SHARE >= total).select("digest", group.alias("hot"))
-    rest = single.where(F.col("n") * HOT_SHARE < total).select("digest", group.alias("cold"))
+    hot = single.where(F.col("n") >= hot_from(total)).select("digest", group.alias("hot"))
+    rest = single.where(F.col("n") < hot_from(total)).select("digest", group.alias("cold"))
 
     found = rows.join(F.broadcast(hot), "digest", "left")
     # rows that have found their hot group look for nothing more; a key of their own deals them out evenly
