@@ -1,19 +1,19 @@
-"""Line dedup by grams of line hashes."""
+"""Line dedup by winnowing over line hashes."""
 
 from __future__ import annotations
 
 from hashlib import blake2b
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize
+from .common import free_names, lookup, map_rows, materialize
 
-#: A gram is the fewest lines from a line on, or up to a line, that hold so many words.
+#: A window is the fewest lines from a line on, or up to a line, that hold so many words.
 MIN_WORDS = 20
-#: A fingerprint with at least 1/HOT_SHARE of all occurrences is hot; there are HOT_SHARE of them at most, so they are broadcast.
-HOT_SHARE = 256
+#: Windows that a map task holds before it gives them away.
+HELD = 20_000
 
 
 def split_lines(text: str) -> tuple[list[str], list[int]]:
@@ -26,51 +26,63 @@ def _line_hash(line: str) -> int:
     return int.from_bytes(blake2b(line.strip().encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
-def fingerprints(text: str, min_words: int = MIN_WORDS) -> tuple[list[int], list[tuple[int, int, int]]]:
-    """(line hashes, [(place, gram length in lines, gram hash)]) over the lines that are not blank.
+def fingerprints(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int, int, int, int, int]]:
+    """[(mark, at, place, length, h1, h2)] of every window over the lines that are not blank.
 
-    Each line of a run with ``min_words`` words is in a gram that lies within the run: in the one that begins with it,
-    the one that ends with it or, if neither fits, in the one that begins where the run does.
+    mark is the least line hash of the window and ``at`` the last line of the window that has it: what winnowing selects.
+    A window depends on nothing but its own lines, so both occurrences of a repeated run select the same lines, and every
+    run of ``min_words`` words holds the window that begins with it: a shared fingerprint is guaranteed. place, length
+    and the 128-bit hash h1, h2 are the window's own. Each line of a run with so many words is in a window within the
+    run: in the one that begins with it, the one that ends with it or, if neither fits, in the one that begins the run.
     """
     lines, at = split_lines(text)
-    hashes = [_line_hash(lines[i]) for i in at]
-    words = np.concatenate([[0], np.cumsum([len(lines[i].encode("utf-8", "surrogatepass").split()) for i in at], dtype=np.int64)]) if at else np.zeros(1, np.int64)
+    if not at:
+        return []
+    hashes = np.array([_line_hash(lines[i]) for i in at], dtype=np.int64)
+    words = np.concatenate([[0], np.cumsum([len(lines[i].encode("utf-8", "surrogatepass").split()) for i in at], dtype=np.int64)])
     ends = np.searchsorted(words, words[:-1] + min_words)  # lines before this one hold enough words
     starts = np.searchsorted(words, words[1:] - min_words, side="right") - 1  # lines from this one on do
     spans = {(i, e) for i, e in enumerate(ends.tolist()) if e <= len(at)} | {(s, e) for e, s in enumerate(starts.tolist(), 1) if s >= 0}
-    body = np.array(hashes, dtype=np.int64).tobytes()
-    return hashes, [(i, e - i, int.from_bytes(blake2b(body[8 * i : 8 * e], digest_size=8).digest(), "little", signed=True)) for i, e in sorted(spans)]
+    body, out = hashes.tobytes(), []
+    for i, e in sorted(spans):
+        digest = blake2b(body[8 * i : 8 * e], digest_size=16).digest()
+        k = e - 1 - int(np.argmin(hashes[i:e][::-1]))
+        out.append((int(hashes[k]), k, i, e - i, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)))
+    return out
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_runs(docs: DataFrame, id_col: str | Column = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, runs array<struct<start, stop>>): lines of a document, counted without blank ones, that occur earlier.
 
-    Earlier is by id, then by place. Every gram is compared with its first occurrence; the union of the grams that are
-    repeated is the union of all repeated runs of so many words, so nothing has to be extended.
+    Earlier is by id, then by place. The lines that windows select are joined by their hash; what stands at one position
+    only goes no further. Then a match extends both ways, window by window, as long as the windows around the shared
+    lines are equal: each is compared with its first occurrence, and windows that overlap make up the run. A run that is
+    equal to several earlier ones, here longer on one side and there on the other, is therefore covered by all of them.
     """
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     id_type = dict(rows.dtypes)["doc_id"]
+    names = ("mark", "at", "place", "length", "h1", "h2")
 
     def occurrences(slices):
         for b in slices:
-            at, out = [], {"fp": [], "place": [], "length": [], "body": []}
+            rows_, found = [], []
             for r, text in enumerate(b.column(1).to_pylist()):
-                hashes, prints = fingerprints(text, min_words)
-                for i, n, h in prints:
-                    at.append(r)
-                    for name, value in zip(out, (h, i, n, hashes[i : i + n]), strict=True):
-                        out[name].append(value)
-            yield {"doc_id": b.column(0).take(np.array(at, dtype=np.int64)), **out}
-
-    found = materialize(map_rows(rows, occurrences, f"doc_id {id_type}, fp long, place int, length int, body array<long>"), "lines")
-    firsts = found.groupBy("fp").agg(F.min(F.struct("doc_id", "place", "body")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = materialize(firsts, "firsts")
-    least = max(1, found.count() // HOT_SHARE)
-    hot = firsts.where(F.col("n") >= least).select("fp", "first")
-    cold = firsts.where(F.col("n") < least).select("fp", "first")
-    in_hot = found.join(F.broadcast(hot), "fp")
-    in_cold = found.join(F.broadcast(hot.select("fp")), "fp", "left_anti").join(cold, "fp")
-    later = in_hot.unionByName(in_cold).where((F.col("body") == F.col("first.body")) & ~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("place") == F.col("first.place"))))
+                own = fingerprints(text, min_words)
+                rows_ += [r] * len(own)
+                found += own
+                if len(found) >= HELD or (found and r == b.num_rows - 1):
+                    yield {"doc_id": b.column(0).take(np.array(rows_)), **dict(zip(names, zip(*found, strict=True), strict=True))}
+                    rows_, found = [], []
+
+    found = materialize(map_rows(rows, occurrences, f"doc_id {id_type}, mark long, at int, place int, length int, h1 long, h2 long"), "lines")
+    total = found.count()
+    where = F.struct("doc_id", "at")
+    marks = found.groupBy("mark").agg(F.min(where).alias("lo"), F.max(where).alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("mark", "n", F.lit(True).alias("shared"))
+    met = lookup(found, "mark", materialize(marks, "marks"), "n", total, "shared").where("shared").drop("shared", "mark", "at")
+    met = materialize(met.withColumn("fp", F.xxhash64("h1", "h2")), "met")
+    firsts = met.groupBy("fp").agg(F.min(F.struct("doc_id", "place", "h1", "h2")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = lookup(met, "fp", materialize(firsts, "firsts"), "n", max(1, met.count()), "first").where("first is not null")
+    later = later.where((F.col("h1") == F.col("first.h1")) & (F.col("h2") == F.col("first.h2")) & ~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("place") == F.col("first.place"))))
     # at most two rows per line of a document
     return later.groupBy("doc_id").agg(F.collect_set(F.struct(F.col("place").alias("start"), (F.col("place") + F.col("length")).alias("stop"))).alias("runs"))
 
@@ -82,26 +94,31 @@ def without_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]
     return "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text, len(at), len(gone)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """All columns of docs with the text cleaned, and __n_lines, __n_removed.
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, n_lines: str = "__n_lines", n_removed: str = "__n_removed") -> DataFrame:
+    """All columns of docs with the text cleaned, and two more named by ``n_lines`` and ``n_removed``: how many lines
+    were not blank, and how many of them went.
 
     A line goes if it lies in a run of lines that holds ``min_words`` words and occurs earlier, by id, then by place; the
     first occurrence stays. Lines are compared without the white space at their ends; blank lines stay. A document with
     fewer words than that is left alone.
 
     Null text stays null. Null ids take no part. Rows that repeat an id count as one document and never delete each
-    other. Further columns pass through. An empty table gives no rows.
+    other. Further columns pass through, whatever their names; the two names given must be free. An empty table gives no
+    rows.
     """
-    runs = repeated_runs(docs, id_col, text_col, min_words).select(F.col("doc_id").alias("__id"), F.col("runs").alias("__runs"))
-    joined = docs.join(runs, F.col(id_col) == F.col("__id"), "left").drop("__id")
+    if {n_lines, n_removed} & set(docs.columns):
+        raise ValueError(f"columns {n_lines} and {n_removed} must be free")
+    key, spans = free_names(docs.columns, "id", "runs")
+    runs = repeated_runs(docs, id_col, text_col, min_words).select(F.col("doc_id").alias(key), F.col("runs").alias(spans))
+    joined = docs.join(runs, F.col(id_col) == F.col(key), "left").drop(key)
     names = joined.columns
     at, last = names.index(text_col), len(names) - 1
 
     def clean(slices):
         for b in slices:
-            texts, spans = b.column(at).to_pylist(), b.column(last).to_pylist()
-            out = [(None, 0, 0) if x is None else without_runs(x, [(r["start"], r["stop"]) for r in s or []]) for x, s in zip(texts, spans, strict=True)]
-            yield {**{n: b.column(k) for k, n in enumerate(names[:-1])}, text_col: [o[0] for o in out], "__n_lines": [o[1] for o in out], "__n_removed": [o[2] for o in out]}
+            texts, found = b.column(at).to_pylist(), b.column(last).to_pylist()
+            out = [(None, 0, 0) if x is None else without_runs(x, [(r["start"], r["stop"]) for r in s or []]) for x, s in zip(texts, found, strict=True)]
+            yield {**{n: b.column(k) for k, n in enumerate(names[:-1])}, text_col: [o[0] for o in out], n_lines: [o[1] for o in out], n_removed: [o[2] for o in out]}
 
-    schema = ", ".join(f"`{n}` {t}" for n, t in joined.dtypes[:-1]) + ", __n_lines long, __n_removed long"
+    schema = ", ".join(f"`{n}` {t}" for n, t in [*joined.dtypes[:-1], (n_lines, "long"), (n_removed, "long")])
     return map_rows(joined, clean, schema)
