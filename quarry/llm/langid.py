@@ -9,16 +9,14 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_rows
+from .common import crc_mod, free_names, map_rows
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
-#: The matrix has BUCKETS floats per language; more languages than this are refused.
-MAX_LANGS = 512
 UNKNOWN = "und"
 #: Characters counted at a time, so a text of any length takes bounded memory.
 CHUNK = 1 << 19
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 def _chunks(texts: list[str]):
@@ -57,6 +55,11 @@ def _hashed(held) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(buckets), np.concatenate(owners)
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; numbers as \u00bd or \u2167, which count as word characters too, are none."""
+    return any(any(map(str.isalpha, m.group())) for m in _WORD.finditer(text))
+
+
 def _prepared(texts: list) -> list[str]:
     return ["" if t is None else t.lower() for t in texts]
 
@@ -81,7 +84,7 @@ class Model:
                     total[ids, k] += np.add.reduceat(self.log_prob[:, k][buckets].astype(np.float64), starts)
         names, scores = [], []
         for text, row in zip(low, total, strict=True):
-            if not len(self.langs) or not _LETTER.search(text):
+            if not len(self.langs) or not has_letter(text):
                 names.append(UNKNOWN)
                 scores.append(0.0)
                 continue
@@ -115,31 +118,32 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", alpha
             yield {"lang": [x] * (len(at) + 1), "bucket": [-1, *at.tolist()], "n": [docs[x], *c[at].tolist()]}
 
     sums = map_rows(chosen, run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = sums.where("bucket = -1").orderBy("lang").limit(MAX_LANGS + 1).collect()
-    if len(found) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages to learn")
+    found = sums.where("bucket = -1").orderBy("lang").collect()
     langs = [r["lang"] for r in found]
     counts = np.zeros((BUCKETS, len(langs)))
-    table = sums.where("bucket >= 0").toPandas()
+    names = {x: k for k, x in enumerate(langs)}
+    table = sums.where("bucket >= 0").toArrow()
     if len(table):
-        counts[table["bucket"].to_numpy(), table["lang"].map({x: k for k, x in enumerate(langs)}).to_numpy()] = table["n"].to_numpy()
+        codes = np.array([names[x] for x in table.column("lang").to_pylist()])
+        counts[table.column("bucket").to_numpy(), codes] = table.column("n").to_numpy()
     prior = np.log(np.array([float(r["n"]) for r in found]) / sum(r["n"] for r in found)) if langs else np.zeros(0)
     log_prob = np.log((counts + alpha) / (counts.sum(axis=0) + alpha * BUCKETS)) if langs else counts
     return Model(langs, log_prob.astype(np.float32), prior)
 
 
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(id, ..., lang_pred, score): keep names further columns to carry through."""
+def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+    """(id, ..., lang_pred, score): keep names further columns to carry through. The two columns may be named otherwise
+    where docs has their names."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # BUCKETS * MAX_LANGS floats at most
+    shared = spark.sparkContext.broadcast(model)  # BUCKETS floats per language
     carried = [id_col, *(c for c in keep or [] if c != id_col)]
-    rows = docs.select(*carried, F.col(text_col).cast("string").alias("__text"))
-    schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes[:-1]) + ", lang_pred string, score double"
+    rows = docs.select(*carried, F.col(text_col).cast("string").alias(free_names(carried, "text")[0]))
+    schema = ", ".join(f"`{c}` {t}" for c, t in [*rows.dtypes[:-1], (lang_pred, "string"), (score, "double")])
 
     def run(slices):
         for b in slices:
             names, scores = shared.value.predict(b.column(len(carried)).to_pylist())
-            yield {**{c: b.column(k) for k, c in enumerate(carried)}, "lang_pred": names, "score": scores}
+            yield {**{c: b.column(k) for k, c in enumerate(carried)}, lang_pred: names, score: scores}
 
     return map_rows(rows, run, schema)
 
