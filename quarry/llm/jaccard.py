@@ -21,7 +21,7 @@ FULL = 127
 #: the shingles of a set; any order gives the same links.
 SAMPLE, FREQUENT = 20_000, 200_000
 #: Rows per leaf of a block, and entries per inner node of the R-tree.
-LEAF, FANOUT = 2048, 16
+LEAF, FANOUT = 512, 16
 #: Turns in which components are joined by representatives before all remaining pairs are looked at.
 REPRESENTATIVE_TURNS = 2
 
@@ -134,9 +134,14 @@ class RTree:
         return self.order[found]
 
 
+def _text_hash(text_col: str):
+    """128 bits that stand for a text; null as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+
+
 def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
     """One row per document: doc_id, th, n, and what stands for its set: nid, check, keys (prefix), vec."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), _text_hash(text_col).alias("th"), F.col(text_col).cast("string").alias("text"))
     parts = max(1, -(-rows.count() // SAMPLE))
     sample = rows.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("th"), F.lit(parts)) == 0)).dropDuplicates(["th"]).select("text")
 
@@ -168,7 +173,18 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int)
                     out[name].append(value)
             yield {"doc_id": b.column(0), "th": b.column(1), **out}
 
-    return map_rows(rows, describe, f"doc_id {dict(rows.dtypes)['doc_id']}, th long, n long, nid long, check long, keys array<long>, vec array<tinyint>")
+    return map_rows(rows, describe, f"doc_id {dict(rows.dtypes)['doc_id']}, th binary, n long, nid long, check long, keys array<long>, vec array<tinyint>")
+
+
+def _told_apart(described: DataFrame) -> DataFrame:
+    """Sets are compared by 128 bits, nid and check, and named by nid; those few whose nid another set has too get a new one."""
+    clashes = described.where("n > 0").groupBy("nid").agg(F.min("check").alias("c0"), F.max("check").alias("c1")).where("c0 <> c1").select(F.col("nid").alias("__nid"))
+    clashes = materialize(clashes, "clashes")
+    if not clashes.limit(1).count():
+        return described
+    # n^2 / 2^65 of n sets are to be expected: 3 of 10^10
+    marked = described.join(F.broadcast(clashes), F.col("nid") == F.col("__nid"), "left")
+    return marked.withColumn("nid", F.when(F.col("__nid").isNotNull(), F.xxhash64("nid", "check")).otherwise(F.col("nid"))).drop("__nid")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, size: int, percent: int) -> DataFrame:
@@ -178,7 +194,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str
     wanted = materialize(nodes.join(ends, "nid").select("nid", "th"), "wanted")
     # a thousand bytes a row would still be small; beyond, the texts are shuffled to where the list is
     side = F.broadcast(wanted) if wanted.count() <= 500_000 else wanted
-    texts = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).cast("string").alias("text")).join(side, "th")
+    texts = docs.select(_text_hash(text_col).alias("th"), F.col(text_col).cast("string").alias("text")).join(side, "th")
     texts = texts.dropDuplicates(["nid"]).select("nid", "text")
 
     def shingles(slices):
@@ -305,19 +321,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     compared by their whole sets, each once. No pair is left out but by the bounds, and no set is cut.
 
     A block of more than LEAF nodes is split into leaves by set size and hash, and pairs of leaves are matched whose
-    boxes the same bounds let through. Rows that repeat an id are rows of their own; a null id never names a component
+    boxes, with the upper corners of their count vectors, the same bounds let through. Rows that repeat an id are rows of their own; a null id never names a component
     that has another id. Other columns are not read. An empty table gives no rows.
     """
     described = materialize(_sets(docs, id_col, text_col, size, percent), "described")
+    described, raw = _told_apart(described), described
     rows = materialize(described.select("doc_id", "n", "nid"), "rows")
-    nodes = described.where("n > 0").groupBy("nid").agg(F.min("doc_id").alias("lead"), F.first("th").alias("th"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("rows"), F.min("check").alias("c0"), F.max("check").alias("c1"))
+    nodes = described.where("n > 0").groupBy("nid").agg(F.min("doc_id").alias("lead"), F.first("th").alias("th"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("vec").alias("vec"), F.count(F.lit(1)).alias("rows"))
     nodes = materialize(nodes, "nodes")
-    discard(described)
-    if nodes.where("c0 <> c1").limit(1).count():
-        raise ValueError("two different sets have the same 64-bit hash")
+    discard(raw)
     members = nodes.select("nid", "n", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.min("nid").alias("lead")).where("members > 1")
-    blocks = materialize(members.join(shared, "key"), "blocks")
+    shared = materialize(shared.select("key", "members", F.struct("members", "lead").alias("block")), "shared")
+    in_all = nodes.agg(F.sum(F.size("keys"))).first()[0] or 0
+    blocks = lookup(members, "key", shared, "members", max(1, in_all), "block").where("block is not null").select("key", "nid", "n", "block.members", "block.lead")
+    blocks = materialize(blocks, "blocks")
+    discard(shared)
 
     sized = F.col("a.n") * 100 >= F.col("b.n") * percent
     sized = sized & (F.col("b.n") * 100 >= F.col("a.n") * percent)
@@ -350,23 +369,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     mixed = mixed.groupBy("h0", "h1", "c").agg(F.min("key").alias("key")).select("key")
     left = materialize(placed.join(mixed, "key", "left_semi"), "open")
     discard(blocks)
-    # leaves of large blocks: a band of set sizes and a part of it
+    # leaves of large blocks: a band of set sizes, and a part of it
     leaf = F.when(F.col("members") <= LEAF, F.lit(0)).otherwise(F.xxhash64(F.floor(F.log1p("n") / 0.02), F.pmod(F.xxhash64("nid"), F.ceil(F.col("members") / LEAF))))
     left = left.withColumn("leaf", leaf.cast("long"))
     some_large = left.where(F.col("members") > LEAF).limit(1).count() > 0
-    boxes = left.where(F.col("members") > LEAF).groupBy("key", "leaf").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     # of a node's prefix only the blocks that are left, at most one row each
     own = left.groupBy("nid").agg(F.collect_list("key").alias("keys"))
     left = left.join(own.join(light, "nid").select("nid", "keys", "vec"), "nid")
+    # a leaf's box: its range of set sizes, and the upper corner of its count vectors
+    corner = F.array(*(F.max(F.col("vec")[i]) for i in range(GROUPS)))
+    boxes = left.where(F.col("members") > LEAF).groupBy("key", "leaf").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), corner.alias("corner")) if some_large else None
     small = left.where(F.col("members") <= LEAF).withColumns({"leaf_a": F.col("leaf"), "leaf_b": F.col("leaf"), "side": F.lit(0)})
     large = left.where(F.col("members") > LEAF)
-    x, y = boxes.alias("x"), boxes.alias("y")
-    leaf_pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.leaf") <= F.col("y.leaf")) & (F.col("x.hi") * 100 >= F.col("y.lo") * percent) & (F.col("y.hi") * 100 >= F.col("x.lo") * percent))
-    leaf_pairs = leaf_pairs.select(F.col("x.key").alias("key"), F.col("x.leaf").alias("leaf_a"), F.col("y.leaf").alias("leaf_b"))
-    side_a = large.join(leaf_pairs.withColumn("leaf", F.col("leaf_a")), ["key", "leaf"]).withColumn("side", F.lit(0))
-    side_b = large.join(leaf_pairs.where("leaf_a <> leaf_b").withColumn("leaf", F.col("leaf_b")), ["key", "leaf"]).withColumn("side", F.lit(1))
     dealt = small.select(*_BLOCK_COLUMNS)
     if some_large:
+        boxes = materialize(boxes, "boxes")
+        x, y = boxes.alias("x"), boxes.alias("y")
+        alike = (F.col("x.hi") * 100 >= F.col("y.lo") * percent) & (F.col("y.hi") * 100 >= F.col("x.lo") * percent)
+        alike = alike & (_most_overlap("x.corner", "y.corner") * (100 + percent) >= percent * (F.col("x.lo") + F.col("y.lo")))
+        leaf_pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.leaf") <= F.col("y.leaf")) & alike)
+        leaf_pairs = leaf_pairs.select(F.col("x.key").alias("key"), F.col("x.leaf").alias("leaf_a"), F.col("y.leaf").alias("leaf_b"))
+        side_a = large.join(leaf_pairs.withColumn("leaf", F.col("leaf_a")), ["key", "leaf"]).withColumn("side", F.lit(0))
+        side_b = large.join(leaf_pairs.where("leaf_a <> leaf_b").withColumn("leaf", F.col("leaf_b")), ["key", "leaf"]).withColumn("side", F.lit(1))
         dealt = dealt.unionByName(side_a.select(*_BLOCK_COLUMNS)).unionByName(side_b.select(*_BLOCK_COLUMNS))
     dealt = dealt.repartition("key", "leaf_a", "leaf_b").sortWithinPartitions("key", "leaf_a", "leaf_b")
     survivors = map_rows(dealt, _block_pairs(percent), "a long, b long")
