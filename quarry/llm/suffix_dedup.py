@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_rows, materialize
+from .common import discard, lookup, map_rows, materialize
 
 #: Bytes of a repeated string.
 LENGTH = 200
@@ -215,11 +215,12 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     if length - gram + 1 > 256:
         raise ValueError("length may exceed gram by 255 at most")
     found = materialize(map_rows(rows, anchors, f"doc_id {id_type}, th long, h long, run long"), "anchors")
-    shared = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialize(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+    met = lookup(found, "h", shared, "n", max(1, found.count()), "n").where("n is not null")
     # a document has one row per anchor in it at most
-    wanted = found.join(shared, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "n", "run")).alias("runs"))
+    wanted = met.groupBy("doc_id", "th").agg(F.collect_list(F.struct("h", "n", "run")).alias("runs"))
     wanted = materialize(wanted, "wanted")
-    discard(found)
+    discard(found, shared)
     same = rows["doc_id"].eqNullSafe(F.col("w.doc_id")) & (rows["th"] == F.col("w.th"))
     picked = rows.join(wanted.alias("w"), same).select(rows["doc_id"], rows["th"], rows["text"], F.col("w.runs").alias("runs"))
 
@@ -252,7 +253,7 @@ def repeated_spans(docs: DataFrame, id_col: str, text_col: str, length: int = LE
     shards = max(1, -(-total // SHARD_BYTES))
     parts = F.ceil(F.col("n") / SHARD_REGIONS)
     dealt = kinds.withColumn("parts", parts).withColumn("shard", F.pmod(F.xxhash64("h", F.when(parts > 1, F.pmod(F.xxhash64("g"), parts)).otherwise(0)), F.lit(shards)))
-    sorted_ = dealt.repartition(max(1, min(shards, 4000)), "shard").groupBy("shard").applyInPandas(_shard(length), f"g binary, doc_id {id_type}, th long, start long, stop long, digest binary")
+    sorted_ = dealt.repartition(max(1, min(shards, max(4000, shards // 64))), "shard").groupBy("shard").applyInPandas(_shard(length), f"g binary, doc_id {id_type}, th long, start long, stop long, digest binary")
     sorted_ = materialize(sorted_, "sorted")
     discard(kinds)
     near = sorted_.where("digest is null").select("doc_id", "th", "start", "stop")
