@@ -110,17 +110,16 @@ def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[int
 
 
 def evolve(sizes: list[int], elites: list[list[list[int]]], seed: int, capacity: int = CAPACITY, population: int = 4, children: int = 6) -> list[list[int]]:
-    """One epoch of one island: the best packing found. Ends at once when no packing can have fewer bins."""
+    """One epoch of one island: the best packing found. Ends when no packing can have fewer bins.
+
+    The population is filled up with best-fit packings of random orders; which bins survive is left to the crossover."""
     rng = random.Random(seed)
     least = -(-sum(sizes) // capacity)
-    decreasing = sorted(range(len(sizes)), key=lambda i: -sizes[i])
-    pop = list(elites) or [best_fit(decreasing, sizes, capacity)]
-    best = min(pop, key=len)
-    if len(best) <= least:
-        return best
+    pop = list(elites)
     while len(pop) < population:
-        spread = {i: sizes[i] * rng.uniform(0.7, 1.3) for i in decreasing}
-        pop.append(best_fit(sorted(decreasing, key=lambda i: -spread[i]), sizes, capacity))
+        order = list(range(len(sizes)))
+        rng.shuffle(order)
+        pop.append(best_fit(order, sizes, capacity))
     scored = sorted(((fitness(b, sizes, capacity), k, b) for k, b in enumerate(pop)), reverse=True)
     for n in range(children):
         if len(scored[0][2]) <= least:
@@ -150,9 +149,11 @@ def pack(items: DataFrame, length_col: str = "length", capacity: int = CAPACITY,
     """Adds sequence_id and offset to rows with a length of 1 to capacity.
 
     Rows are dealt evenly into blocks of about ``block``. Each block is packed by ``islands`` populations, every one in a
-    task of its own; after each epoch but the last an island's best packing moves to the next island, and the block's
-    best packing stays. A full-length row is a sequence by itself. The extra cost over one packing of everything is less
-    than a sequence per block. Repeated rows are packed one by one; an empty table gives no rows.
+    task of its own, from packings of random orders; after each epoch but the last an island's best packing moves to the
+    next island, and the block's best packing stays. At the end it is measured against best fit by decreasing size, which
+    takes its place only where it needs fewer sequences. A full-length row is a sequence by itself. The extra cost over
+    one packing of everything is less than a sequence per block. Repeated rows are packed one by one; an empty table gives
+    no rows.
     """
     items = materialize(items, "pieces")  # so that row numbers hold when tasks run again
     n = items.count()
@@ -164,9 +165,9 @@ def pack(items: DataFrame, length_col: str = "length", capacity: int = CAPACITY,
     grouped = dealt.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("row", "size", "item"))).alias("rows"))
     grouped = materialize(grouped, "blocks")
     sizes = grouped.select("block", F.col("rows.size").alias("sizes"))
-    isles = sizes.withColumn("island", F.explode(F.array(*map(F.lit, range(islands))))).withColumn("elites", F.array().cast("array<array<int>>")).repartition(max(1, min(blocks * islands, 2000)), "block", "island")
+    isles = sizes.withColumn("island", F.explode(F.array(*map(F.lit, range(islands))))).withColumn("elites", F.array().cast("array<array<int>>")).repartition(max(1, min(blocks * islands, max(2000, blocks * islands // 64))), "block", "island")
     for epoch in range(epochs):
-        evolved = isles.mapInPandas(_epoch(capacity, epoch), "block long, island int, sizes array<int>, best array<int>, n_bins int")
+        evolved = isles.mapInPandas(_epoch(capacity, epoch, epoch == epochs - 1), "block long, island int, sizes array<int>, best array<int>, n_bins int")
         if epoch < epochs - 1:
             evolved = materialize(evolved, "islands")
             mine = evolved.select("block", "island", "sizes", F.array("best").alias("mine"))
@@ -180,7 +181,7 @@ def pack(items: DataFrame, length_col: str = "length", capacity: int = CAPACITY,
     return placed.select("item.*", (F.col("block") * F.lit(1 << 24) + F.col("bin")).alias("sequence_id"), (F.sum("size").over(before) - F.col("size")).cast("long").alias("offset"))
 
 
-def _epoch(capacity: int, epoch: int):
+def _epoch(capacity: int, epoch: int, last: bool):
     def run(frames):
         for frame in frames:
             out = []
@@ -190,7 +191,10 @@ def _epoch(capacity: int, epoch: int):
                 rest = [i for i, s in enumerate(sizes) if s < capacity]
                 at = {i: k for k, i in enumerate(rest)}
                 elites = [[[at[i] for i in b] for b in _bins(e) if sizes[b[0]] < capacity] for e in row.elites]
-                best = evolve([sizes[i] for i in rest], elites, hash((int(row.block), int(row.island), epoch)), capacity) if rest else []
+                small = [sizes[i] for i in rest]
+                best = evolve(small, elites, hash((int(row.block), int(row.island), epoch)), capacity) if rest else []
+                if last and len(best) * capacity - sum(small) >= capacity:  # fewer are thinkable
+                    best = min(best, best_fit(sorted(range(len(small)), key=lambda i: -small[i]), small, capacity), key=len)
                 bins = [[rest[i] for i in b] for b in best] + [[i] for i in full]
                 out.append((row.block, row.island, row.sizes, _labels(bins, len(sizes)), len(bins)))
             yield pd.DataFrame(out, columns=["block", "island", "sizes", "best", "n_bins"])
