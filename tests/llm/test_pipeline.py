@@ -3,6 +3,7 @@
 import collections
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 DATA = "/root/testdata/sf0.001"
@@ -30,6 +31,20 @@ def test_stages(spark):
     assert packed.where("start = 0").count() == docs.count()
 
 
+def test_clashing_names(spark):
+    """Columns named like any helper column pass through every stage, and change nothing."""
+    extra = ["lang_pred", "score", "__lang_pred", "__score", "__text", "__n_lines", "__n_removed", "n_lines", "__id", "__runs", "__row", "__copies", "__copy", "row", "copies", "piece", "component_id", "size", "runs", "text_", "key", "__key", "__k"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60).cache()
+    wide = docs.select("*", *(F.concat(F.lit(f"{c} of "), F.col("doc_id")).alias(c) for c in extra)).cache()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, DATA)
+        assert out.columns == wide.columns, name
+        assert out.where(F.col("__row") != F.concat(F.lit("__row of "), F.col("doc_id"))).count() == 0
+        want = collections.Counter(map(tuple, stage(spark, docs, DATA).collect()))
+        assert collections.Counter(map(tuple, out.select(*docs.columns).collect())) == want, name
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, DATA).count() == corpus_pipeline.STAGES[-1][1](spark, docs, DATA).count()
+
+
 def test_awkward(spark):
     rows = [(1, None, "en", "a", 0), (2, "", None, None, 0), (None, "some words are here", "en", "a", 4), (3, "some words are here", "en", "b", 4), (3, "some words are here", "en", "b", 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
