@@ -56,7 +56,7 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[di
                     yield batch.slice(at, SLICE)
 
         for out in fn(slices()):
-            columns = [x if isinstance(x, pa.Array) and x.type == f.type else pa.array(x, f.type) for x, f in ((out[f.name], f) for f in arrow)]
+            columns = [x if isinstance(x, pa.Array) and x.type == f.type else x.cast(f.type) if isinstance(x, pa.ListArray) else pa.array(x, f.type) for x, f in ((out[f.name], f) for f in arrow)]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return df.mapInArrow(run, target)
