@@ -26,4 +26,14 @@ def written(df: DataFrame) -> DataFrame:
     """df as Parquet in the shared folder, read back: the plan ends here, and a lost executor costs nothing."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/quarry-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._quarry_path = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete written tables that nothing will read again."""
+    for df in tables:
+        jvm, context = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
+        path = jvm.org.apache.hadoop.fs.Path(df._quarry_path)
+        path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
