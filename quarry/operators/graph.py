@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import dropped, written
 
 # Risk weight of each entity type in a cluster; what is not listed, and a weight of nothing, counts .05.
 RISK_WEIGHTS = {
@@ -19,6 +20,7 @@ NODE_TYPES = {"name": "person", "phone": "phone", "email": "email", "account_num
 # Keywords between two words that tell how they relate, with the strength of the relation.
 RELATION_PATTERNS = (
     ("family", r"(\w+)\s+(?:is\s+)?(?:the\s+)?(?:son|daughter|father|mother|brother|sister|husband|wife|cousin|uncle|aunt)\s+(?:of|to)\s+(\w+)", "strong"),
+    ("family", r"(\w+)'s\s+(?:son|daughter|father|mother|brother|sister|husband|wife)", "strong"),
     ("financial", r"(\w+)\s+(?:transferred?|sent|paid)\s+(?:Rs\.?|INR|₹)?\s*[\d,]+\s*(?:to|for)\s+(\w+)", "strong"),
     ("financial", r"(\w+)\s+(?:received?|got)\s+(?:Rs\.?|INR|₹)?\s*[\d,]+\s*(?:from|by)\s+(\w+)", "strong"),
     ("financial", r"transaction\s+(?:from|by)\s+(\w+)\s+(?:to)\s+(\w+)", "strong"),
@@ -30,6 +32,7 @@ RELATION_PATTERNS = (
     ("employment", r"(\w+)\s+(?:works?|employed|working)\s+(?:at|for|in)\s+(\w+)", "moderate"),
     ("employment", r"(\w+)\s+(?:is|was)\s+(?:an?\s+)?(?:employee|staff|worker)\s+(?:at|of)\s+(\w+)", "moderate"),
     ("ownership", r"(\w+)\s+(?:owns?|possesses?|has)\s+(?:a\s+)?(\w+)", "strong"),
+    ("ownership", r"(\w+)'s\s+(?:vehicle|car|property|house|account)", "strong"),
 )
 
 
@@ -87,12 +90,13 @@ def field_graph(cells: DataFrame, types: dict[str, str]) -> tuple[DataFrame, Dat
 
 def text_relations(texts: DataFrame, entities: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc, source, target, type, strength, confidence): pattern matches whose ends are both known entities of the document.
+    A possessive names one end only, which then stands for both.
 
     entities (doc, entity). One pass over the text per pattern, in the JVM; then two equi-joins.
     """
     parts = []
     for kind, pattern, strength in RELATION_PATTERNS:
-        left, right = F.regexp_extract_all(text_col, F.lit(f"(?i){pattern}"), F.lit(1)), F.regexp_extract_all(text_col, F.lit(f"(?i){pattern}"), F.lit(2))
+        left, right = (F.regexp_extract_all(text_col, F.lit(f"(?i){pattern}"), F.lit(k)) for k in (1, 2 if pattern.count(r"(\w+)") > 1 else 1))
         parts.append(F.transform(F.arrays_zip(left.alias("l"), right.alias("r")), _relation(kind, strength)))
     rows = texts.select(F.col(id_col).alias("doc"), F.inline(F.concat(*parts)))
     known = entities.select("doc", F.lower("entity").alias("e")).distinct()
@@ -126,29 +130,37 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the least id that edges reach, for every end of an edge.
+def components(edges: DataFrame, write: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
+    """(id, component): the least id that edges (a, b) reach, for every end of an edge.
 
-    Vertices point to their least neighbour, pointers are followed by doubling, and the graph of roots goes on; each
-    round at least halves what is left. Every step is written down so that plans don't grow.
+    Vertices point to their least neighbour, pointers are followed to the root by doubling, and the graph of roots goes
+    on to the next round; each round at least halves the vertices that still have edges. Every step is written down by
+    ``write`` so that plans don't grow, and deleted when the next one is there.
     """
-    left = written(both_ways(edges).where("a < b"))
-    out: DataFrame | None = None
+    left = write(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
+    rounds: list[DataFrame] = []
     while left.limit(1).count():
-        up = written(both_ways(left).groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("up")))
+        least = both_ways(left).groupBy("a").agg(F.min("b").alias("b"))
+        up = write(least.select(F.col("a").alias("id"), F.least("a", "b").alias("up")))
         while True:
-            step = written(up.join(up.select(F.col("id").alias("up"), F.col("up").alias("next")), "up").select("id", "up", "next"))
-            moved = step.where("up <> next").limit(1).count()
-            up = step.select("id", F.col("next").alias("up"))
-            if not moved:
+            parent = up.select(F.col("id").alias("up"), F.col("up").alias("next"))
+            step = write(up.select("id", "up").join(parent, "up").select("id", F.col("next").alias("up"), (F.col("up") != F.col("next")).alias("moved")))
+            dropped(up)
+            up = step
+            if not up.where("moved").limit(1).count():
                 break
-        if out is None:
-            out = up.withColumnRenamed("up", "component")
-        else:
-            out = out.join(up.select(F.col("id").alias("component"), "up"), "component", "left").select("id", F.coalesce("up", "component").alias("component"))
-        roots = left.join(up.select(F.col("id").alias("a"), F.col("up").alias("ra")), "a").join(up.select(F.col("id").alias("b"), F.col("up").alias("rb")), "b")
-        left = written(roots.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
-    return out if out is not None else left.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        rounds.append(up)
+        root_a, root_b = up.select(F.col("id").alias("a"), F.col("up").alias("ra")), up.select(F.col("id").alias("b"), F.col("up").alias("rb"))
+        roots = left.join(root_a, "a").join(root_b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
+        before, left = left, write(roots)
+        dropped(before)
+    if not rounds:
+        return left.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    out = rounds[0].select("id", F.col("up").alias("component"))
+    for up in rounds[1:]:
+        later = up.select(F.col("id").alias("component"), "up")
+        out = out.join(later, "component", "left").select("id", F.coalesce("up", "component").alias("component"))
+    return out
 
 
 def clusters(comp: DataFrame, least: int = 3) -> DataFrame:
@@ -196,25 +208,25 @@ def neighbours(edges: DataFrame, start: str, depth: int = 1) -> DataFrame:
     return seen.where("hops > 0")
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, most: int = 20) -> DataFrame:
-    """(path): the shortest path, of several the first by its ids; no row if there is none."""
+def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
+    """(path): the shortest path, of several the first by its ids; no row if there is none. A round per hop, until the
+    goal or nothing new is met."""
     links = both_ways(edges)
     spark = edges.sparkSession
     if start == goal:
         return spark.createDataFrame([([start],)], "path array<string>")
     frontier = spark.createDataFrame([(start, [start])], "id string, path array<string>")
     seen = frontier.select("id")
-    for _ in range(most):
+    while True:
         # each new node keeps its first path, so the frontier is no larger than the nodes
         new = frontier.join(links, frontier["id"] == links["a"]).select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path")).join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path"))
         frontier = written(new)
         if not frontier.limit(1).count():
-            break
+            return spark.createDataFrame([], "path array<string>")
         hit = frontier.where(F.col("id") == goal)
         if hit.limit(1).count():
             return hit.select("path")
         seen = written(seen.unionByName(frontier.select("id")))
-    return spark.createDataFrame([], "path array<string>")
 
 
 def simple_paths(edges: DataFrame, start: str, goal: str, most: int = 3) -> DataFrame:
@@ -260,20 +272,19 @@ def chains(records: DataFrame, keys: dict[str, tuple[Column, float]], order: str
     return parts
 
 
-def closure(rels: DataFrame, least: float = 0.6, factor: float = 0.7, rounds: int = 100) -> DataFrame:
+def closure(rels: DataFrame, least: float = 0.6, factor: float = 0.7) -> DataFrame:
     """rels (a, b, strength) with a < b -> with suspected links added: two hops whose weaker half has ``least`` give
     ``factor`` of it, where nothing links the two yet; whole rounds until none is new."""
     best = written(rels.groupBy("a", "b").agg(F.max("strength").alias("strength")).withColumn("inferred", F.lit(False)))
-    for _ in range(rounds):
+    while True:
         both = best.select("a", "b", "strength").unionByName(best.select(F.col("b").alias("a"), F.col("a").alias("b"), "strength"))
         x, y = both.alias("x"), both.alias("y")
         hops = x.join(y, (F.col("x.b") == F.col("y.a")) & (F.col("x.a") < F.col("y.b"))).where(F.least("x.strength", "y.strength") >= least)
         new = hops.groupBy(F.col("x.a").alias("a"), F.col("y.b").alias("b")).agg((F.max(F.least("x.strength", "y.strength")) * factor).alias("strength")).join(best, ["a", "b"], "left_anti")
         new = written(new.withColumn("inferred", F.lit(True)))
         if not new.limit(1).count():
-            break
+            return best
         best = written(best.unionByName(new))
-    return best
 
 
 def entity_clusters(entities: DataFrame, rels: DataFrame, comp: DataFrame) -> DataFrame:
