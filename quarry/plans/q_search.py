@@ -211,21 +211,13 @@ def profile_stats(t) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).cast("int").alias("tables"), F.sum("n").alias("columns"), F.count_if(F.col("n") > 0).cast("int").alias("searchable"))
 
 
-def _all_mentions(t) -> DataFrame:
+def _mentions(t) -> DataFrame:
     """Orders name their customer and their suppliers."""
     l = t("lineitem")
     return l.select(F.col("l_orderkey").alias("record_id"), F.concat(F.lit("s"), "l_suppkey").alias("entity")).unionByName(t("orders").select(F.col("o_orderkey").alias("record_id"), F.concat(F.lit("c"), "o_custkey").alias("entity")))
 
 
-def _mentions(t) -> DataFrame:
-    """Those of one order in 97, as the SQL of e03, e04 and e05 has it; the *_all queries read all of them."""
-    return _all_mentions(t).where("record_id % 97 = 1")
-
-
-_MENTIONS = "mn AS MATERIALIZED (SELECT * FROM (SELECT l_orderkey AS record_id, 's' || l_suppkey AS entity FROM lineitem UNION ALL SELECT o_orderkey, 'c' || o_custkey FROM orders) WHERE record_id % 97 = 1)"
-
-
-_ALL_MENTIONS = "mn AS MATERIALIZED (SELECT l_orderkey AS record_id, 's' || l_suppkey AS entity FROM lineitem UNION ALL SELECT o_orderkey, 'c' || o_custkey FROM orders)"
+_MENTIONS = "mn AS MATERIALIZED (SELECT l_orderkey AS record_id, 's' || l_suppkey AS entity FROM lineitem UNION ALL SELECT o_orderkey, 'c' || o_custkey FROM orders)"
 
 
 def _hop(k: int, extra: str = "") -> str:
@@ -233,13 +225,13 @@ def _hop(k: int, extra: str = "") -> str:
     return f"h{k} AS MATERIALIZED (SELECT entity, {k} AS hop FROM (SELECT DISTINCT entity FROM mn WHERE record_id IN (SELECT record_id FROM mn WHERE entity IN (SELECT entity FROM h{k - 1})) AND entity NOT IN ({before})) {extra})"
 
 
-def _hops(n: int, extra: str = "", mentions: str = _MENTIONS) -> str:
-    return f"WITH {mentions}, h0 AS MATERIALIZED (SELECT 's1' AS entity, 0 AS hop), " + ", ".join(_hop(k, extra) for k in range(1, n + 1)) + " " + " UNION ALL ".join(f"SELECT * FROM h{k}" for k in range(n + 1))
+def _hops(n: int, extra: str = "") -> str:
+    return f"WITH {_MENTIONS}, h0 AS MATERIALIZED (SELECT 's1' AS entity, 0 AS hop), " + ", ".join(_hop(k, extra) for k in range(1, n + 1)) + " " + " UNION ALL ".join(f"SELECT * FROM h{k}" for k in range(n + 1))
 
 
 @query("e03_expand_leads", _hops(3))
 def expanded(t) -> DataFrame:
-    """Suppliers and customers that three rounds of shared orders reach from supplier 1, over the orders of a batch."""
+    """Suppliers and customers that three rounds of shared orders reach from supplier 1."""
     return S.expand(_mentions(t), values(t, [("s1",)], "entity string"), 3)
 
 
@@ -253,22 +245,6 @@ def expanded_agent(t) -> DataFrame:
     return S.expand(_mentions(t), values(t, [("s1",)], "entity string"), 2, per_round=5, order=[F.col("entity").desc()])
 
 
-@query("e03_expand_leads_all", _hops(3, mentions=_ALL_MENTIONS))
-def expanded_all(t) -> DataFrame:
-    """Suppliers and customers that three rounds of shared orders reach from supplier 1, over all orders."""
-    return S.expand(_all_mentions(t), values(t, [("s1",)], "entity string"), 3)
-
-
-@query("e04_expand_by_priority_all", _hops(3, "ORDER BY entity LIMIT 5", _ALL_MENTIONS))
-def expanded_limited_all(t) -> DataFrame:
-    return S.expand(_all_mentions(t), values(t, [("s1",)], "entity string"), 3, per_round=5, most=50_000)
-
-
-@query("e05_agent_expansion_all", _hops(2, "ORDER BY entity DESC LIMIT 5", _ALL_MENTIONS))
-def expanded_agent_all(t) -> DataFrame:
-    return S.expand(_all_mentions(t), values(t, [("s1",)], "entity string"), 2, per_round=5, order=[F.col("entity").desc()])
-
-
 @query("a30_ranked_export", f"""{_WITH}, s AS (SELECT *, {_CROSS} AS score FROM m WHERE table_name = 'customer' ORDER BY score DESC, record_id LIMIT 50)
 SELECT CAST(row_number() OVER (ORDER BY score DESC, record_id) AS INT) AS "Rank", 'customer' AS "Table", CAST(round(score) AS BIGINT) AS "Match Score", match_count AS "Match Count", 'No' AS "Is Exact Match", replace(criteria, ',', '; ') AS "Matched Criteria", c_mktsegment, c_name FROM s JOIN customer ON c_custkey = CAST(record_id AS BIGINT)""")
 def exported(t) -> DataFrame:

@@ -23,7 +23,7 @@ def orders(spark):
     return out
 
 
-@pytest.mark.parametrize("name, rounds, limit, down", [("e03_expand_leads_all", 3, None, False), ("e04_expand_by_priority_all", 3, 5, False), ("e05_agent_expansion_all", 2, 5, True)])
+@pytest.mark.parametrize("name, rounds, limit, down", [("e03_expand_leads", 3, None, False), ("e04_expand_by_priority", 3, 5, False), ("e05_agent_expansion", 2, 5, True)])
 def test_expansion_reads_all_orders(spark, orders, name, rounds, limit, down):
     want, last = {"s1": 0}, {"s1"}
     for hop in range(1, rounds + 1):
@@ -51,22 +51,22 @@ def test_graphs_have_all_orders(spark, links):
             edge = {y for x in edge for y in links[x]} - part
         left -= part
         parts.append((min(part), len(part)))
-    got = QUERIES["f10_clusters_all"](spark, DATA).collect()
+    got = QUERIES["f10_clusters"](spark, DATA).collect()
     assert sorted((r["component"], r["size"]) for r in got) == sorted(p for p in parts if p[1] >= 3)
 
     start = min(links)
     one = links[start]
     two = {y for x in one for y in links[x]} - one - {start}
-    got = QUERIES["f14_neighbours_all"](spark, DATA).collect()
+    got = QUERIES["f14_neighbours"](spark, DATA).collect()
     assert {r["id"]: r["hops"] for r in got} == {**dict.fromkeys(one, 1), **dict.fromkeys(two, 2)}
 
-    got = QUERIES["f15_adjacency_all"](spark, DATA).collect()
+    got = QUERIES["f15_adjacency"](spark, DATA).collect()
     assert {r["id"]: r["neighbours"] for r in got} == {x: ",".join(sorted(ys)) for x, ys in links.items()}
 
 
 def test_cycles_of_all_orders(spark, links):
     want = sorted(f"{a}>{b}>{c}" for a in links for b in links[a] if a < b for c in links[b] & links[a] if b < c)
-    assert sorted(r["cycle"] for r in QUERIES["f22_cycles_all"](spark, DATA).collect()) == want
+    assert sorted(r["cycle"] for r in QUERIES["f22_cycles"](spark, DATA).collect()) == want
 
 
 def test_context_of_neighbours_and_amounts(spark):
@@ -149,5 +149,5 @@ def test_types_by_all_values(spark):
 
     df = spark.createDataFrame([("no mail",)] * 60 + [(f"a{i}@b.org",) for i in range(100)], "x1 string").coalesce(1)
     assert [tuple(r) for r in Q.detect_types(df).collect()] == [("x1", "email", 0.8)]
-    got = {r["field"] for r in QUERIES["i01_field_types_all"](spark, DATA).collect()}
+    got = {r["field"] for r in QUERIES["i01_field_types"](spark, DATA).collect()}
     assert got == set(spark.read.parquet(f"{DATA}/customer.parquet").columns)
