@@ -71,21 +71,94 @@ def _best(shared, k: int):
     return run
 
 
-def near_pairs(vectors: DataFrame, threshold: float = 0.9, planes: int = 8, id_col: str = "id", vec_col: str = "vector", exhaustive: bool = False) -> DataFrame:
-    """(a, b, similarity) of at least the threshold. exhaustive compares all pairs and is for small tables; otherwise
-    pairs must agree in the signs of one of four groups of fixed random planes, which can miss some."""
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"))
-    if exhaustive:
-        rows = rows.withColumn("keys", F.array(F.lit("all")))
-    else:
-        size = len(rows.first()["v"])
-        rng = np.random.default_rng(17)
-        keys = []
-        for g in range(4):
-            signs = [F.when(dot("v", F.array(*(F.lit(float(x)) for x in rng.standard_normal(size)))) >= 0, "1").otherwise("0") for _ in range(planes)]
-            keys.append(F.concat(F.lit(f"{g}:"), *signs))
-        rows = rows.withColumn("keys", F.array(*keys))
-    blocks = rows.select("*", F.explode("keys").alias("key"))
+#: Rows of a block, and directions by which blocks are kept apart.
+BLOCK, PIVOTS = 2048, 16
+
+
+def near_pairs(vectors: DataFrame, threshold: float = 0.9, id_col: str = "id", vec_col: str = "vector", recall: float | None = None, planes: int = 8, block: int = BLOCK) -> DataFrame:
+    """(a, b, similarity) with a < b and a cosine of at least the threshold.
+
+    By default every pair is found: rows are dealt into blocks of about ``block`` by the nearest of a few pivots, pairs of
+    blocks meet in one task each as one matrix product, and those are left out that a pivot keeps apart: two vectors
+    whose angles to it differ by more than the threshold's angle can't be near. With ``recall`` rows meet only if they
+    agree in the signs of ``planes`` random planes in one of several tables; there are as many tables as find a pair that
+    is just near enough with that probability, and others more often.
+    """
+    rows = vectors.select(F.col(id_col).alias("id"), _double(vec_col).alias("v")).where("id is not null and v is not null")
+    return _sketched_pairs(rows, threshold, recall, planes) if recall is not None else _exact_pairs(rows, threshold, block)
+
+
+def _exact_pairs(rows: DataFrame, threshold: float, block: int) -> DataFrame:
+    from ..sources.shared import written
+
+    spark, kind = rows.sparkSession, dict(rows.dtypes)["id"]
+    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("v").collect()
+    if not chosen:
+        return spark.createDataFrame([], f"a {kind}, b {kind}, similarity double")
+    pivots = spark.sparkContext.broadcast(_unit(np.array([r["v"] for r in chosen])))
+    cells = min(len(chosen), -(-rows.count() // block))  # no more than there are blocks to fill
+
+    def place(frames):
+        for f in frames:
+            if len(f):
+                u = _unit(np.stack(f["v"].to_numpy()))
+                yield pd.DataFrame({"id": f["id"], "cell": (u @ pivots.value[:cells].T).argmax(axis=1).astype(np.int32), "u": [x.tobytes() for x in u]})
+
+    placed = written(rows.mapInPandas(place, f"id {kind}, cell int, u binary"))
+    sizes = sorted((r["cell"], -(-r["count"] // block)) for r in placed.groupBy("cell").count().collect())  # a row per pivot
+    first = dict(zip([c for c, _ in sizes], np.cumsum([0] + [n for _, n in sizes])[:-1].tolist(), strict=True))
+    at = lambda table: F.create_map(*(F.lit(int(x)) for kv in table for x in kv))[F.col("cell")]
+    dealt = placed.withColumn("block", (at(first.items()) + F.pmod(F.xxhash64("id"), at(sizes).cast("long"))).cast("int"))
+
+    def gather(f: pd.DataFrame) -> pd.DataFrame:
+        u = np.frombuffer(b"".join(f["u"]), np.float64).reshape(len(f), -1)
+        angle = np.arccos(np.clip(u @ pivots.value.T, -1, 1))
+        return pd.DataFrame({"block": [f["block"].iloc[0]], "ids": [f["id"].tolist()], "data": [u.tobytes()], "lo": [angle.min(axis=0)], "hi": [angle.max(axis=0)]})
+
+    blocks = written(dealt.groupBy("block").applyInPandas(gather, f"block int, ids array<{kind}>, data binary, lo array<double>, hi array<double>"))
+    total = sum(n for _, n in sizes)
+    box = blocks.select("block", "lo", "hi")
+    pairs = box.select(F.col("block").alias("x"), F.col("lo").alias("lx"), F.col("hi").alias("hx"), F.explode(F.sequence("block", F.lit(total - 1))).alias("block")).join(box, "block")
+    limit = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-9
+    apart = F.exists(F.arrays_zip("lx", "hx", "lo", "hi"), lambda p: (p["lx"] - p["hi"] > limit) | (p["lo"] - p["hx"] > limit))
+    open_ = pairs.where(~apart) if threshold > 0 else pairs
+    one, other = blocks.select(F.col("block").alias("x"), F.col("ids").alias("ia"), F.col("data").alias("da")), blocks.select("block", F.col("ids").alias("ib"), F.col("data").alias("db"))
+    met = open_.select("x", "block").repartition(max(1, min(total * (total + 1) // 2, 100_000)), "x", "block").join(one, "x").join(other, "block")
+
+    def product(frames):
+        for f in frames:
+            for r in f.itertuples(index=False):
+                n, m = len(r.ia), len(r.ib)
+                s = np.frombuffer(r.da).reshape(n, -1) @ np.frombuffer(r.db).reshape(m, -1).T
+                i, j = np.nonzero(s >= threshold)
+                a, b = np.asarray(r.ia)[i], np.asarray(r.ib)[j]
+                # within a block each pair comes twice, and each row meets itself
+                keep = a < b if r.x == r.block else a != b
+                a, b, s = a[keep], b[keep], s[i, j][keep]
+                yield pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "similarity": s})
+
+    return met.select("x", "block", "ia", "da", "ib", "db").mapInPandas(product, f"a {kind}, b {kind}, similarity double")
+
+
+def tables_for(threshold: float, recall: float, planes: int) -> int:
+    """Tables of so many planes that find a pair at the threshold with that probability."""
+    agree = (1 - np.arccos(np.clip(threshold, -1, 1)) / np.pi) ** planes
+    return max(1, int(np.ceil(np.log(1 - recall) / np.log1p(-min(agree, 1 - 1e-12)))))
+
+
+def _sketched_pairs(rows: DataFrame, threshold: float, recall: float, planes: int) -> DataFrame:
+    kind = dict(rows.dtypes)["id"]
+    tables = tables_for(threshold, recall, planes)
+
+    def sketch(frames):
+        for f in frames:
+            if len(f):
+                v = np.stack(f["v"].to_numpy())
+                signs = (v @ np.random.default_rng(17).standard_normal((v.shape[1], tables * planes)) >= 0).reshape(len(v), tables, planes)
+                keys = signs @ (1 << np.arange(planes, dtype=np.int64)) + (np.arange(tables, dtype=np.int64) << planes)
+                yield pd.DataFrame({"id": f["id"], "v": f["v"], "keys": list(keys)})
+
+    blocks = rows.mapInPandas(sketch, f"id {kind}, v array<double>, keys array<long>").select("*", F.explode("keys").alias("key"))
     x, y = blocks.alias("x"), blocks.alias("y")
     pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id"))).where(F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), cosine(F.col("x.v"), F.col("y.v")).alias("similarity")).where(F.col("similarity") >= threshold)
@@ -94,8 +167,10 @@ def near_pairs(vectors: DataFrame, threshold: float = 0.9, planes: int = 8, id_c
 def leader_clusters(vectors: DataFrame, threshold: float = 0.85, id_col: str = "id", vec_col: str = "vector", chunk: int = 5000) -> DataFrame:
     """(leader, id): rows in the order of their ids join the first leader that is near enough, or lead themselves.
 
-    The next ``chunk`` rows without a leader go to the driver, which finds the leaders among them; all other rows then
-    look for the first of these in one pass. The rule is sequential, so there is a round per chunk of leaders."""
+    The rule is sequential: whether a row leads depends on all before it. The next ``chunk`` rows without a leader go to
+    the driver, a bounded number, which finds the leaders among them; all other rows then look for the first of these in
+    one pass. So there are as many rounds as leaders by ``chunk`` at most; for very many leaders take components of
+    near_pairs(), which depend on no order."""
     from functools import reduce
 
     from ..sources.shared import written
