@@ -33,7 +33,7 @@ PATTERNS_1 = {
         r"(?i)\b(?:sector|sec|block)\s*[-]?\s*\d+[a-z]?[\w\s,-]{5,50}", r"(?i)\b\d+[\w\s,-]*(?:street|st|road|rd|lane|ln|avenue|ave|colony|nagar|puram|layout|area|market|chowk|mandi)[\w\s,-]{5,50}",
         r"(?i)\b\d+\s+(?:near|lane|opposite|opp|behind|beside|adjacent)[\w\s,-]{5,80}",
     ),
-    "company": (r"\b[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*\s+(?:Pvt\.?|Private)?\s*(?:Ltd\.?|Limited|Inc\.?|Corporation|Corp\.?|Company|Co\.?|LLP|LLC)\b",),
+    "company": (r"\b[A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*\s+(?:Pvt\.?|Private)?\s*(?:Ltd\.?|Limited|Inc\.?|Corporation|Corp\.?|Company|Co\.?|LLP|LLC)\b", (r"(?i)\b(?:company|firm|business|enterprise)[:\s]+([A-Z][A-Za-z]+(?:\s+[A-Z][A-Za-z]+)*)", 1)),
 }
 # Patterns of the second catalog that are its own or differ.
 PATTERNS_2 = {
@@ -41,6 +41,7 @@ PATTERNS_2 = {
     "aadhaar_number": (r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}\b",), "aadhaar_vid": (r"\b\d{4}[\s-]?\d{4}[\s-]?\d{4}[\s-]?\d{4}\b",),
     "upi_id": (r"(?i)\b[A-Za-z0-9._-]+@(?:paytm|ybl|oksbi|okaxis|okicici|gpay|phonepe|ibl)\b",), "account_number": (r"(?i)\b(?:a/c|account|acc)[:\s]+\d{9,18}\b",), "pincode": (r"(?i)\b(?:pin|pincode|postal)[:\s]+\d{6}\b",),
     "amount": PATTERNS_1["amount"][:2], "date": (PATTERNS_1["date"][0], r"(?i)\b\d{1,2}(?:st|nd|rd|th)?\s+(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{2,4}\b", PATTERNS_1["date"][2]),
+    "address": (r"(?i)\b(?:flat|fl|house|hs|plot|plt|shop|sh)[:\s]*\d+[a-z]?(?:\s*[-,]?\s*(?:apt|bldg|floor|wing|block|sector))?[\w\s,-]{5,50}", r"(?i)\b(?:sector|sec|block)\s*[-]?\s*\d+[a-z]?[\w\s,-]{5,50}"),
     "crypto_address": (r"\b[13][a-km-zA-HJ-NP-Z1-9]{25,34}\b", r"\b0x[a-fA-F0-9]{40}\b"), "social_handle": (r"@[\w]{1,15}\b", r"(?i)\b(?:twitter|instagram|facebook|linkedin)[:\s]+@?[\w]+\b"), "id_number": (r"\b[A-Z]{2,4}\d{6,12}\b",),
 }
 # Priority of each type, and confidence of those that have one of their own.
@@ -116,7 +117,7 @@ def _normal_2(kind: str, v: Column) -> Column:
 
 @dataclass(frozen=True)
 class Catalog:
-    patterns: dict[str, tuple[str, ...]]
+    patterns: dict[str, tuple]
     normal: object
     priority: dict[str, tuple[str, ...]]
     confidence: dict[str, float]
@@ -138,12 +139,14 @@ def found(text: Column, catalog: Catalog = FIRST, kinds: list[str] | None = None
         if kinds and kind not in kinds:
             continue
         for p in patterns:
-            parts.append(F.transform(F.regexp_extract_all(text, F.lit(ascii_bounds(p)), F.lit(0)), _entity(kind, catalog)))
+            # a pattern with a group: the group is the value, taken as it is
+            p, group = p if isinstance(p, tuple) else (p, 0)
+            parts.append(F.transform(F.regexp_extract_all(text, F.lit(ascii_bounds(p)), F.lit(group)), _entity(kind, catalog, bool(group))))
     return F.array_distinct(F.filter(F.concat(*parts), lambda e: e["normalized"].isNotNull() & (e["normalized"] != "")))
 
 
-def _entity(kind: str, catalog: Catalog):
-    return lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value"), catalog.normal(kind, v).alias("normalized"), F.lit(priority(kind, catalog.priority)).alias("priority"), F.lit(catalog.confidence.get(kind, catalog.default)).alias("confidence"))
+def _entity(kind: str, catalog: Catalog, as_is: bool = False):
+    return lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value"), (v if as_is else catalog.normal(kind, v)).alias("normalized"), F.lit(priority(kind, catalog.priority)).alias("priority"), F.lit(catalog.confidence.get(kind, catalog.default)).alias("confidence"))
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", catalog: Catalog = FIRST, kinds: list[str] | None = None) -> DataFrame:
@@ -258,12 +261,52 @@ def _normal_3(kind: str, v: Column) -> Column:
 
 
 COMPACT = Catalog(PATTERNS_3, _normal_3, {"HIGH": ("phone", "email", "id_number", "account")}, {"phone": 0.98, "email": 0.95, "id_number": 0.85, "account": 0.9, "name": 0.6, "location": 0.5, "company": 0.6}, 0.5)
-# The agent's catalog.
-AGENT = Catalog({"phone": (r"(?:\+91[-.\s]?)?[6-9]\d{9}\b", r"(?:\+91[-.\s]?)?\d{3,4}[-.\s]?\d{6,7}\b"), "email": PATTERNS_3["email"], "pincode": (r"\b[1-9][0-9]{5}\b",)}, lambda k, v: F.when(F.length(F.regexp_replace(v, r"[^\d+]", "")) >= 10, F.regexp_replace(v, r"[^\d+]", "")) if k == "phone" else F.lower(v), PRIORITY, {}, 0.9)
-# Keyword families between two parties.
+# The agent's patterns, names and cities.
+PATTERNS_4 = {
+    "phone": (r"(?:\+91[-.\s]?)?[6-9]\d{9}\b", r"(?:\+91[-.\s]?)?\d{3,4}[-.\s]?\d{6,7}\b", r"(?i)(?:phone|mobile|contact|cell)[\s:.-]*[6-9]\d{9}\b"), "email": PATTERNS_3["email"], "pincode": (r"\b[1-9][0-9]{5}\b",),
+    "name": (r"[A-Z][a-z]+(?:\s+[A-Z][a-z]+)?",),
+}
+AGENT_FIRST_NAMES = ("rahul", "amit", "priya", "vikram", "neha", "arun", "pooja", "rajesh", "sunita", "sanjay", "anil", "deepak", "ravi", "manish", "varun", "ankit", "nitin", "akash", "naveen", "suresh", "kumar", "sharma", "singh", "verma", "gupta", "jain", "mehta", "patel", "shah", "agarwal")
+AGENT_LAST_NAMES = ("sharma", "verma", "gupta", "singh", "kumar", "jain", "mehta", "patel", "shah", "agarwal", "mittal", "bansal", "goyal", "bhargava", "dixit", "tiwari", "tripathi", "mishra", "pandey", "yadav")
+AGENT_CITIES = (
+    "delhi", "mumbai", "bangalore", "bengaluru", "chennai", "kolkata", "hyderabad", "pune", "ahmedabad", "jaipur", "lucknow", "kanpur", "nagpur", "indore", "bhopal", "patna", "ludhiana", "agra", "nashik",
+    "faridabad", "meerut", "rajkot", "varanasi", "srinagar", "aurangabad", "dhanbad", "amritsar", "navi mumbai", "gurgaon", "ghaziabad", "noida", "greater noida", "howrah", "ranchi", "coimbatore",
+)
+AGENT_CONFIDENCE = {"phone": 0.95, "email": 0.95, "pincode": 0.8, "name": 0.85, "city": 0.9}
+
+
+def _normal_4(kind: str, v: Column) -> Column:
+    if kind == "phone":
+        number = F.regexp_replace(v, r"[^\d+]", "")
+        return F.when(F.length(number) >= 10, number)
+    if kind == "name":
+        return F.when(F.exists(F.split(F.lower(v), r"\s+"), lambda w: w.isin(*AGENT_FIRST_NAMES, *AGENT_LAST_NAMES)), v)
+    return F.lower(v) if kind == "email" else v
+
+
+AGENT = Catalog(PATTERNS_4, _normal_4, {"HIGH": ("phone", "email")}, AGENT_CONFIDENCE, 0.5)
+
+
+def agent_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, type, value, confidence) of the agent's catalog, with the cities of its list that the text holds; each once
+    whatever its case, the first spelling by order of the alphabet."""
+    e = found(F.col(text_col), AGENT)
+    own = F.transform(e, lambda x: F.struct(x["type"].alias("type"), x["normalized"].alias("value"), x["confidence"].alias("confidence")))
+    low = F.lower(text_col)
+    cities = F.filter(F.array(*map(F.lit, AGENT_CITIES)), lambda c: F.contains(low, c))
+    there = F.transform(cities, lambda c: F.struct(F.lit("city").alias("type"), F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 100)).alias("value"), F.lit(AGENT_CONFIDENCE["city"]).alias("confidence")))
+    rows = docs.select(F.col(id_col).alias("doc"), F.inline(F.concat(own, there)))
+    return rows.groupBy("doc", "type", F.lower("value").alias("k")).agg(F.min("value").alias("value"), F.max("confidence").alias("confidence")).drop("k")
+
+
+# Keyword families between two parties, in the order they are tried.
 RELATION_WORDS = {
-    "association": ("connected to", "linked to", "associated with", "related to", "relation to", "knows", "friend of", "colleague of"), "ownership": ("owns", "owner of", "possesses"),
-    "family": ("son of", "daughter of", "father of", "mother of", "brother of", "sister of", "husband of", "wife of", "cousin of", "uncle of", "aunt of"), "employment": ("works at", "working for", "employed at", "employee of", "job at"),
+    "location": ("from", "in", "at", "living in", "residing in", "based in", "staying in", "located in"),
+    "association": ("connected to", "linked to", "associated with", "related to", "relation to", "knows", "friend of", "colleague of"),
+    "family": ("son of", "daughter of", "father of", "mother of", "brother of", "sister of", "husband of", "wife of", "cousin of", "uncle of", "aunt of"),
+    "contact": ("having phone", "phone number", "mobile", "contact", "email", "mail"),
+    "ownership": ("owns", "owner of", "possesses", "has"),
+    "employment": ("works at", "working for", "employed at", "employee of", "job at"),
 }
 
 
@@ -276,20 +319,60 @@ def layered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def relationships(docs: DataFrame, parties: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = 50) -> DataFrame:
-    """(doc, source, target, type): a keyword between two known parties of the document; and a name and a phone within
-    ``near`` characters are in contact. parties (doc, kind, value)."""
-    low = F.lower(text_col)
+    """(doc, source, target, type): runs of words on both sides of a keyword that are known parties of the document; and
+    a name and a phone that begin within ``near`` characters are in contact. parties (doc, kind, value).
+
+    The left side is a name, whole or part of one; the right side a location, a name, or a phone by its digits. Runs end
+    where something else than words and spaces stands, and the keyword is the last one in the run. All matches count, and
+    the phone may be written with anything between its digits: it is looked for by its first five.
+    """
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t"))
+    parts = []
+    for kind, words in RELATION_WORDS.items():
+        for word in words:
+            pattern = rf"(?i)([a-zA-Z0-9_\s]+)\s+{word}\s+([a-zA-Z0-9_\s]+)"
+            left, right = (F.regexp_extract_all("t", F.lit(pattern), F.lit(k)) for k in (1, 2))
+            parts.append(F.when(F.contains(F.lower("t"), F.lit(f"{word}")), F.transform(F.arrays_zip(left.alias("l"), right.alias("r")), _sides(kind))).otherwise(F.array()))
+    said = rows.select("doc", F.inline(F.concat(*parts)))
     known = parties.select("doc", "kind", F.lower("value").alias("v")).distinct()
-    rows = docs.select(F.col(id_col).alias("doc"), low.alias("t"))
-    pairs = known.alias("x").join(known.alias("y"), (F.col("x.doc") == F.col("y.doc")) & (F.col("x.v") != F.col("y.v"))).select(F.col("x.doc").alias("doc"), F.col("x.kind").alias("k1"), F.col("x.v").alias("a"), F.col("y.kind").alias("k2"), F.col("y.v").alias("b")).join(rows, "doc")
-    said = [F.when(_any_phrase(words), F.lit(kind)) for kind, words in RELATION_WORDS.items()]
-    gap = F.abs(F.expr("instr(t, a)") - F.expr("instr(t, b)"))
-    said.append(F.when((F.col("k1") == "name") & (F.col("k2") == "phone") & (gap < near), F.lit("contact")))
-    found_ = F.filter(F.array(*said), lambda x: x.isNotNull())
-    return pairs.select("doc", F.col("a").alias("source"), F.col("b").alias("target"), F.explode(found_).alias("type"))
-
-
-def _any_phrase(words: tuple[str, ...]) -> Column:
-    from functools import reduce
-
-    return reduce(lambda p, q: p | q, [F.contains(F.col("t"), F.concat(F.col("a"), F.lit(f" {w} "), F.col("b"))) for w in words])
+    lefts, rights = known.where("kind = 'name'").select("doc", F.col("v").alias("source")), known.where("kind in ('name', 'location', 'phone')").select("doc", "kind", F.col("v").alias("target"))
+    ends = said.join(lefts, "doc").where(F.contains("source", F.col("left")) & (F.col("left") != ""))
+    # a whole name goes before names that hold the words
+    exact = F.col("source") == F.col("left")
+    best = Window.partitionBy("doc", "left", "right", "type")
+    ends = ends.withColumn("whole", F.max(exact.cast("int")).over(best)).where((F.col("whole") == 0) | exact)
+    meant = F.when(F.col("kind") == "phone", F.col("target") == F.regexp_replace("right", r"\D", "")).otherwise(F.col("target") == F.col("right"))
+    told = ends.join(rights, "doc").where(meant & (F.col("source") != F.col("target"))).select("doc", "source", "target", "type")
+    names_, phones = known.where("kind = 'name'").select("doc", F.col("v").alias("source")), known.where("kind = 'phone'").select("doc", F.col("v").alias("target"))
+    at = names_.join(phones, "doc").join(rows, "doc").withColumn("x", F.instr(F.lower("t"), F.col("source"))).withColumn("y", F.instr(F.lower("t"), F.substring("target", 1, 5)))
+    close = at.where((F.col("x") > 0) & (F.col("y") > 0) & (F.abs(F.col("x") - F.col("y")) < near)).select("doc", "source", "target", F.lit("contact").alias("type"))
+    return told.unionByName(close).distinct()
+
+
+def _sides(kind: str):
+    return lambda p: F.struct(F.lower(F.trim(p["l"])).alias("left"), F.lower(F.trim(p["r"])).alias("right"), F.lit(kind).alias("type"))
+
+
+# Words that tell what a question wants; the last one that occurs counts.
+INTENT_WORDS = (("find", ("find", "search")), ("connect", ("connect", "related", "linked")), ("analyze", ("analyze", "analysis")))
+
+
+def intents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, intent) of questions, by keywords alone."""
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    intent = F.lit("search")
+    for name, words in INTENT_WORDS:
+        hit = F.lit(False)
+        for w in words:
+            hit = hit | F.contains(low, F.lit(w))
+        intent = F.when(hit, name).otherwise(intent)
+    return docs.select(F.col(id_col).alias("doc"), intent.alias("intent"))
+
+
+def smart_parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, intent, names, locations, companies): what a question wants, and its weak entities as filters."""
+    base = intents(docs, id_col, text_col)
+    parts = {"names": names(docs, id_col, text_col).select("doc", F.col("name").alias("v")), "locations": locations(docs, id_col, text_col).select("doc", F.initcap("location").alias("v")), "companies": extract(docs, id_col, text_col, kinds=["company"]).select("doc", F.col("normalized").alias("v"))}
+    for name, rows in parts.items():
+        base = base.join(rows.groupBy("doc").agg(F.sort_array(F.collect_set("v")).alias(name)), "doc", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return base

@@ -41,7 +41,8 @@ for _id, _kind, _catalog, _cases in (
     ("c16_crypto", "crypto_address", X.SECOND, [("0x" + "aB" * 20, "0x" + "ab" * 20)]),
     ("c17_social", "social_handle", X.SECOND, [("by @Some_one", "@some_one")]),
     ("c18_id", "id_number", X.SECOND, [("no AB123456 x", "ab123456")]),
-    ("c21_company", "company", X.FIRST, [("of Blue Lake Pvt Ltd today", "Blue Lake")]),
+    ("c21_company", "company", X.FIRST, [("of Blue Lake Pvt Ltd today", "Blue Lake"), ("the firm: Acme Works, 12", "Acme Works")]),
+    ("c15_address_second", "address", X.SECOND, [("at Shop 7a lake view tower.", "shop 7a lake view tower"), ("in Sector-12 green park", "sector-12 green park"), ("no place", None)]),
 ):
     _run, _sql = _fixture(_kind, _catalog, _cases)
     query(_id, _sql)(_run)
@@ -81,11 +82,22 @@ def people_of_documents(t) -> DataFrame:
     return X.names(t("documents"))
 
 
-@query("c20_locations_documents")
+@query("c20_locations_documents", "SELECT doc_id AS doc, p AS location FROM documents, (SELECT unnest([" + ", ".join(f"'{p}'" for p in sorted(set(X.PLACES))) + "]) AS p) WHERE contains(lower(text), p)")
 def places_of_documents(t) -> DataFrame:
     return X.locations(t("documents"))
 
 
+_PLACES = sorted(set(X.PLACES))
+_PLACED = "[" + ", ".join(f"'{p}'" for p in _PLACES) + "]"
+
+
+@query("c20_locations_placed", f"WITH d AS (SELECT doc_id, lower(coalesce(text, '') || ' in ' || {_PLACED}[(doc_id % {len(_PLACES)} + 1)::INT]) AS x FROM documents) SELECT doc_id AS doc, p AS location FROM d, (SELECT unnest({_PLACED}) AS p) WHERE contains(x, p)")
+def places_put_in(t) -> DataFrame:
+    """The documents with a place at the end of each, as they hold none of their own."""
+    place = F.element_at(F.array(*map(F.lit, _PLACES)), (F.col("doc_id") % len(_PLACES) + 1).cast("int"))
+    return X.locations(t("documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" in "), F.initcap(place)).alias("text")))
+
+
 @query("c30_best_of", "SELECT 1 AS doc, 'phone' AS type, '9000000001' AS normalized, 0.95 AS confidence")
 def best(t) -> DataFrame:
     e = X.extract(_talk(t), kinds=["phone"])
@@ -102,6 +114,17 @@ def context(t) -> DataFrame:
     return X.with_context(_talk(t)).select("doc", "value")
 
 
+@query("c33_context_turns", r"""WITH t AS (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT conv_id, -turn, text || ' call 90000' || lpad((conv_id % 100000)::VARCHAR, 5, '0') || ' or Phone: 8' || lpad(turn::VARCHAR, 9, '0') || ', paid Rs. 5' || turn || '0 ' || text FROM conversations)
+SELECT conv_id, turn, 'phone' AS type, unnest(regexp_extract_all(text, '(?i)(?:call|contact|phone|mobile|number)[:\s]*([6-9]\d{9})', 1)) AS value FROM t UNION ALL SELECT conv_id, turn, 'amount', replace(regexp_extract(unnest(regexp_extract_all(text, '(?i)(?:transferred?|received?|paid?|amount|sum)[:\s]*((?:Rs\.?|INR|₹)\s*[\d,]+(?:\.\d{2})?)', 1)), '[\d,]+(?:\.\d{2})?'), ',', '') FROM t""")
+def context_turns(t) -> DataFrame:
+    """Every turn of the conversations as it is, and once more with two phones and an amount put in."""
+    c = t("conversations").select("conv_id", "turn", "text")
+    said = F.concat(F.col("text"), F.lit(" call 90000"), F.lpad((F.col("conv_id") % 100000).cast("string"), 5, "0"), F.lit(" or Phone: 8"), F.lpad(F.col("turn").cast("string"), 9, "0"), F.lit(", paid Rs. 5"), F.col("turn").cast("string"), F.lit("0 "), F.col("text"))
+    rows = c.unionByName(c.select("conv_id", (-F.col("turn")).alias("turn"), said.alias("text")))
+    out = X.with_context(rows.select(F.struct("conv_id", "turn").alias("doc_id"), "text"))
+    return out.select("doc.conv_id", "doc.turn", "type", "value")
+
+
 @query("c34_fuzzy_aliases", "SELECT 1 AS doc, 'rajeshkumar' AS normalized, 'Rajeshkumaar' AS alias")
 def aliases(t) -> DataFrame:
     docs = values(t, [(1, "Rajeshkumaar, Rajeshkumar and Ravi")], "doc_id int, text string")
