@@ -59,15 +59,19 @@ def near_lengths(a: Column, b: Column, threshold: float) -> Column:
     return F.least(x, y) >= threshold * F.greatest(x, y) - 1e-9
 
 
-def similarity_score(x: str, y: str, aliases: bool = False) -> Column:
+def similarity_score(x: str, y: str, aliases: bool = False, contexts: bool = False) -> Column:
     """Score of two entities of prefixes x and y with type and normalized: 1 if equal; else .6 of an edit similarity
-    above .8, .3 for equal phonetic codes of names, .2 if an alias is part of the other."""
+    above .8, .3 for equal phonetic codes of names, .2 if an alias is part of the other, .1 if the contexts that both
+    have are more than half alike."""
     a, b, kind = F.col(f"{x}.normalized"), F.col(f"{y}.normalized"), F.col(f"{x}.type")
     edit = T.similarity(a, b)
     score = F.when(edit > 0.8, edit * 0.6).otherwise(0.0) + F.when(kind.isin("name", "organization") & (T.phonetic(a) == T.phonetic(b)), 0.3).otherwise(0.0)
     if aliases:
         part = F.exists(f"{x}.aliases", lambda s: F.contains(b, s)) | F.exists(f"{y}.aliases", lambda s: F.contains(a, s))
         score = score + F.when(F.coalesce(part, F.lit(False)), 0.2).otherwise(0.0)
+    if contexts:
+        c, d = F.col(f"{x}.context"), F.col(f"{y}.context")
+        score = score + F.when((F.length(c) > 0) & (F.length(d) > 0) & (T.similarity(c, d) > 0.5), 0.1).otherwise(0.0)
     return F.when(kind != F.col(f"{y}.type"), 0.0).when(a == b, 1.0).otherwise(score)
 
 
@@ -81,12 +85,25 @@ def candidate_pairs(entities: DataFrame, keys: Column) -> DataFrame:
     return pairs.where(F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key"))
 
 
-def resolve(entities: DataFrame, threshold: float = 0.85, whole_type: bool = False) -> DataFrame:
-    """(id, cluster): entities joined by pairs of at least that score; clusters are components, named by their least id."""
-    pairs = candidate_pairs(entities.select("id", "type", "normalized"), blocking_keys(F.col("type"), F.col("normalized"), whole_type))
+def resolve(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
+    """(id, cluster): entities joined by pairs of at least that score; clusters are components, named by their least id.
+
+    Above .6 a pair that is not equal needs equal phonetic codes, or an alias or a context; entities (id, type,
+    normalized) have neither, so equal values and equal codes are all the keys there are. At .6 or less edit similarity
+    alone is enough, and pairs meet by edit_keys() as well.
+    """
+    e = entities.select("id", "type", "normalized")
+    # equal entities are one from the start, so a value that very many have makes no pairs
+    same = e.groupBy("type", "normalized").agg(F.min("id").alias("id"))
+    named = F.when(F.col("type").isin("name", "organization"), F.concat(F.lit("phonetic:"), "type", F.lit(":"), T.phonetic(F.col("normalized"))))
+    keys = F.filter(F.array(named), lambda k: k.isNotNull())
+    if threshold <= 0.6:
+        keys = F.concat(keys, F.transform(edit_keys(F.col("normalized"), LOSSLESS), lambda k: F.concat("type", F.lit(":"), k)))
+    pairs = candidate_pairs(same, keys)
     links = pairs.where(similarity_score("x", "y") >= threshold).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     comp = components(links)
-    return entities.select("id").join(comp, "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
+    clusters = same.withColumnRenamed("id", "lead").join(comp.withColumnRenamed("id", "lead"), "lead", "left").select("type", "normalized", F.coalesce("component", "lead").alias("cluster"))
+    return e.join(clusters, e["type"].eqNullSafe(clusters["type"]) & e["normalized"].eqNullSafe(clusters["normalized"])).select("id", "cluster")
 
 
 def compare(a_type: Column, a: Column, b_type: Column, b: Column) -> Column:
@@ -139,15 +156,16 @@ def days_between(a: Column, b: Column) -> Column:
 def relations(entities: DataFrame, least: float = 0.6, address: float = 0.8, name: float = 0.85) -> DataFrame:
     """(a, b, type, strength) of entities (id, type, name, phone, email, address, company, account).
 
-    Equal phones, e-mails and accounts are equi-joins. Addresses of persons, and companies of persons against company
+    Entities with equal phones, e-mails or accounts are each related to the first of them, so that a contact that k of
+    them share gives k - 1 rows, and whoever shares it with whom can be read from the first. Addresses of persons, and companies of persons against company
     names, meet by edit_keys(), which lose no pair of that similarity.
     """
     e = entities.withColumns({"p": T.last_ten(F.col("phone")), "m": F.lower(F.trim("email")), "ad": T.normalize_string(F.col("address")), "co": T.normalize_string(F.col("company")), "nm": T.normalize_string(F.col("name"))})
 
     def equal(key: str, test: Column, kind: str, strength: float) -> DataFrame:
         rows = e.where(test).select("id", key)
-        x, y = rows.alias("x"), rows.alias("y")
-        return x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.id") < F.col("y.id"))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit(kind).alias("type"), F.lit(strength).alias("strength"))
+        first = rows.groupBy(key).agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select(key, "a")
+        return rows.join(first, key).where("id <> a").select("a", F.col("id").alias("b"), F.lit(kind).alias("type"), F.lit(strength).alias("strength")).distinct()
 
     out = equal("p", F.length("p") == 10, "shared_contact", 0.95).unionByName(equal("m", F.length("m") > 0, "shared_contact", 0.99)).unionByName(equal("account", F.length("account") > 0, "financial_link", 0.99))
     people = e.where((F.col("type") == "person") & (F.length("ad") > 0)).select("id", "ad")
