@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.records import predicate
 from ..functions.text import last_ten, normalize_string
 from .graph import both_ways, case_map, degrees
 
@@ -21,6 +23,31 @@ FACTORS = {"high_value": 0.30, "frequent": 0.20, "cross_border": 0.25, "multiple
 SEVERITY_RANK = {"critical": 0, "high": 1, "medium": 2, "low": 3}
 
 
+@dataclass(frozen=True)
+class Rule:
+    """A named rule of (field, operator, value) conditions, all of which must hold; operators as in CONDITIONS."""
+
+    name: str
+    conditions: tuple[tuple[str, str, object], ...]
+    action: str = "flag"
+    severity: str = "medium"
+
+
+# The conditions of a rule, and the filter that each is.
+CONDITIONS = {"equals": "equals", "contains": "contains", "greaterThan": "greater_than", "lessThan": "less_than", "matches": "regex", "exists": "exists"}
+
+
+def apply_rules(df: DataFrame, rules: list[Rule], id_col: str) -> DataFrame:
+    """(id, rule, action, severity) of the rules that hold for a record, in one pass. A record that a rule with the action
+    ignore holds for gives nothing."""
+    holds = lambda r: reduce(lambda a, b: a & b, [predicate(F.col(f), CONDITIONS[o], v) for f, o, v in r.conditions], F.lit(True))
+    ignored = reduce(lambda a, b: a | b, [holds(r) for r in rules if r.action == "ignore"], F.lit(False))
+    told = [F.when(holds(r), F.struct(F.lit(r.name).alias("rule"), F.lit(r.action).alias("action"), F.lit(r.severity).alias("severity"))) for r in rules if r.action != "ignore"]
+    if not told:
+        return df.select(F.col(id_col).alias("id"), *(F.lit("").alias(c) for c in ("rule", "action", "severity"))).limit(0)
+    return df.where(~ignored).select(F.col(id_col).alias("id"), F.inline(F.filter(F.array(*told), lambda x: x.isNotNull())))
+
+
 def severity_rank(c: Column) -> Column:
     return case_map(c, SEVERITY_RANK, 4)
 

@@ -27,7 +27,7 @@ FIELD_TYPES = (
     ("aadhaar_number", r"aadhaar|aadhar|uid|uidai", r"^\d{4}\s?\d{4}\s?\d{4}$|^\d{12}$"),
     ("account_number", r"account|acc|acc_?no|bank_?acc", r"^\d{9,18}$"),
     ("ifsc_code", r"ifsc|bank_?code", r"^[A-Z]{4}0[A-Z0-9]{6}$"),
-    ("case_number", r"case_?no|case_?id|fir_?no|sc_?no|cc_?no|crl_?no|case|fir|sc|cc|crl", r"(?i)^\d+/\d{4}$|^[A-Z]+/\d+/\d{4}$|^FIR\s*\d+"),
+    ("case_number", r"case_?no|case_?id|fir_?no|sc_?no|cc_?no|crl_?no", r"(?i)^\d+/\d{4}$|^[A-Z]+/\d+/\d{4}$|^FIR\s*\d+"),
     ("fir_number", r"fir|fir_?no|fir_?number", r"(?i)^\d+/\d{4}$|^FIR\s*\d+"),
     ("vehicle_number", r"vehicle|reg_?no|number_?plate|chassis|engine", r"(?i)^[A-Z]{2}\d{1,2}[A-Z]{1,2}\d{4}$|^[A-Z]{3}\d{4}$"),
     ("ip_address", r"ip|ip_?address", r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"),
@@ -46,6 +46,8 @@ FIELD_TYPES = (
     ("category", r"category|type|classification|kind", ""),
     ("priority", r"priority|urgency|importance", r"(?i)^(high|medium|low|critical|urgent)$"),
 )
+# Keywords of a type beyond what its name patterns cover; they count less.
+FIELD_KEYWORDS = {"case_number": ("case", "fir", "sc", "cc", "crl")}
 # Weight of each quality dimension.
 WEIGHTS = {"completeness": 0.25, "accuracy": 0.20, "consistency": 0.15, "timeliness": 0.15, "validity": 0.15, "uniqueness": 0.10}
 EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
@@ -53,11 +55,14 @@ ENTITY_TYPES = ("person", "company", "address", "phone", "email", "bank_account"
 
 
 def type_by_name(field: str, strict: bool = False) -> tuple[str, float] | None:
-    """The first type whose name pattern occurs in the field's name. strict: only at word limits."""
+    """The first type of which a name pattern (.9) or a keyword (.7) occurs in the field's name. strict: only at word limits."""
+    edge = (r"(?<![a-z])", r"(?![a-z])") if strict else ("", "")
+    forms = (field, re.sub("[^a-z0-9]", "_", field.lower()))
     for kind, names, _ in FIELD_TYPES:
-        pattern = rf"(?<![a-z])(?:{names})(?![a-z])" if strict else names
-        if re.search(pattern, field, re.IGNORECASE):
+        if any(re.search(rf"{edge[0]}(?:{names}){edge[1]}", f, re.IGNORECASE) for f in forms):
             return kind, 0.9
+        if any(re.search(edge[0] + w + edge[1], forms[1]) for w in FIELD_KEYWORDS.get(kind, ())):
+            return kind, 0.7
     return None
 
 
@@ -81,14 +86,20 @@ def detect_types(df: DataFrame, sample: int | None = None, strict: bool = False)
 
 
 def profile(df: DataFrame, table: str) -> DataFrame:
-    """(table_name, field, filled, empty, unique, total): one pass; distinct values are counted exactly."""
-    total = F.count(F.lit(1))
-    aggs = []
-    for c in df.columns:
-        text = F.col(c).cast("string")
-        full = F.count_if(text.isNotNull() & (text != ""))
-        aggs.append(F.struct(F.lit(c).alias("field"), full.alias("filled"), (total - full).alias("empty"), F.countDistinct(F.coalesce(text, F.lit("null"))).alias("unique"), total.alias("total")).alias(c))
-    return df.agg(F.array(*aggs).alias("p")).select(F.lit(table).alias("table_name"), F.inline("p"))
+    """(table_name, field, filled, empty, unique, total); distinct values are counted exactly, null as the text null.
+
+    Cells are counted by field and value, map tasks first, so a row is read once and goes on as one row per field, and a
+    value that most rows have is no hot key.
+    """
+    spark, names = df.sparkSession, df.columns
+    cells = df.select(F.inline(F.array(*(F.struct(F.lit(k).alias("f"), F.col(c).cast("string").alias("v")) for k, c in enumerate(names)))))
+    values = cells.groupBy("f", "v").agg(F.count(F.lit(1)).alias("n"))
+    full = F.coalesce(F.col("v") != "", F.lit(False))
+    counts = values.groupBy("f").agg(F.sum(F.when(full, F.col("n")).otherwise(0)).alias("filled"), F.sum(F.when(full, 0).otherwise(F.col("n"))).alias("empty"), F.countDistinct(F.coalesce("v", F.lit("null"))).alias("unique"), F.sum("n").alias("total"))
+    # a row per field, also for a table without rows
+    fields = spark.createDataFrame(list(enumerate(names)), "f int, field string")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return fields.join(F.broadcast(counts), "f", "left").select(F.lit(table).alias("table_name"), "field", *(zero(c) for c in ("filled", "empty", "unique", "total")))
 
 
 def key_fields(prof: DataFrame, table: str) -> DataFrame:
@@ -150,9 +161,9 @@ def entity_key() -> Column:
 
 
 def dimensions(e: DataFrame, now: str, required: tuple[str, ...] = ("name", "type"), validators: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
-    """(dimension, score, weight) of entities (type, name, email, phone, address, company, updated_at).
+    """(dimension, score, weight) of entities (type, name, email, phone, address, company, updated_at, and dob if known).
 
-    Completeness counts filled cells; accuracy the rows whose e-mail and phone are right or absent; consistency spoils
+    Completeness counts filled cells; accuracy the rows whose e-mail, phone and date of birth are right or absent; consistency spoils
     rows whose normalised name is written in several ways; timeliness the rows changed within 365 days of ``now`` (.5 if
     none says); validity rows with a known type, a name and no failed validator; uniqueness distinct keys.
     """
@@ -161,12 +172,13 @@ def dimensions(e: DataFrame, now: str, required: tuple[str, ...] = ("name", "typ
     filled = reduce(lambda a, b: a + b, [F.sum(has_value(F.col(c)).cast("long")) for c in fields])
     ok_mail = ~has_value(F.col("email")) | valid_email(F.col("email"))
     ok_phone = ~has_value(F.col("phone")) | valid_phone(F.col("phone"))
+    ok_birth = ~has_value(F.col("dob")) | valid_date(F.col("dob")) if "dob" in e.columns else F.lit(True)
     valid = F.coalesce(F.col("type").isin(*ENTITY_TYPES), F.lit(False)) & has_value(F.col("name"))
     for c, check in (validators or {}).items():
         valid = valid & (~has_value(F.col(c)) | F.coalesce(check(F.col(c)), F.lit(False)))
     fresh = F.col("updated_at") >= F.lit(now).cast("timestamp_ntz") - F.expr("INTERVAL 365 DAYS")
     one = e.agg(
-        n.alias("n"), (filled / (n * len(fields))).alias("completeness"), F.avg((ok_mail.cast("double") + ok_phone.cast("double")) / 2).alias("accuracy"), F.avg(valid.cast("double")).alias("validity"),
+        n.alias("n"), (filled / (n * len(fields))).alias("completeness"), F.avg((ok_mail & ok_phone & ok_birth).cast("double")).alias("accuracy"), F.avg(valid.cast("double")).alias("validity"),
         F.coalesce(F.avg(F.when(F.col("updated_at").isNotNull(), fresh.cast("double"))), F.lit(0.5)).alias("timeliness"), (F.countDistinct(entity_key()) / n).alias("uniqueness"),
     )
     plain = F.regexp_replace(F.lower("name"), "[^a-z0-9]", "")

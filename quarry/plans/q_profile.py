@@ -10,17 +10,23 @@ from ..operators import vectors as V
 from .registry import query, sql_values, values
 
 
-@query("i01_field_types", "SELECT * FROM " + sql_values([("c_custkey", "unknown", 0.0), ("c_name", "person_name", 0.9), ("c_nationkey", "country", 0.9), ("c_acctbal", "account_number", 0.9), ("c_mktsegment", "unknown", 0.0)], "field, detected_type, confidence") + " WHERE field IN ('c_name', 'c_nationkey', 'c_acctbal')")
-def field_types(t) -> DataFrame:
-    return Q.detect_types(t("customer")).where("field in ('c_name', 'c_nationkey', 'c_acctbal')")
+def _by_value(field: str) -> str:
+    """The first type whose values most of a field's are, for the types that come before what the customers hold."""
+    v = f"CAST({field} AS VARCHAR)"
+    tests = (("person_name", "^[A-Z][a-z]+(\\s+[A-Z][a-z]+)+$|^[A-Z]+$"), ("company_name", "(?i)PVT\\.?\\s*LTD\\.?$|LIMITED$|LLP$|INC\\.?$|CORP\\.?$|CO\\.?$"), ("address", "(?i)^\\d+|street|road|colony|sector|village|mandal|district|pin.*\\d{6}"))
+    return f"SELECT '{field}' AS field, CASE " + " ".join(f"WHEN (SELECT avg(regexp_matches({v}, '{p}')::INT) FROM customer) > 0.5 THEN '{k}'" for k, p in tests) + " END AS detected_type, 0.8::DOUBLE AS confidence"
 
 
-@query("i01_field_types_all")
-def field_types_all(t) -> DataFrame:
-    """All columns; the SQL of i01_field_types has those that their names decide."""
+@query("i01_field_types", "SELECT * FROM " + sql_values([("c_name", "person_name", 0.9), ("c_nationkey", "country", 0.9), ("c_acctbal", "account_number", 0.9)], "field, detected_type, confidence") + " UNION ALL " + _by_value("c_custkey") + " UNION ALL " + _by_value("c_mktsegment"))
+def field_types(t) -> DataFrame:
     return Q.detect_types(t("customer"))
 
 
+@query("i01_field_types_by_name", "SELECT * FROM " + sql_values([("FIR Date", "date", 0.9), ("case", "case_number", 0.7), ("crl no", "case_number", 0.9), ("acc", "account_number", 0.9), ("zz", "unknown", 0.0)], "field, detected_type, confidence"))
+def types_by_name(t) -> DataFrame:
+    return Q.detect_types(values(t, [(None,) * 5], "`FIR Date` string, `case` string, `crl no` string, acc string, zz string"))
+
+
 _VALUES = [("a@b.org", "2024-01-02", "word one"), ("c@d.com", "2024-05-06", "x"), (None, "2024-07-08", "y9")]
 
 
@@ -62,7 +68,7 @@ def fills(t) -> DataFrame:
 
 
 _SQL_ENT = """e AS (SELECT 'c' || c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN 'alien' ELSE 'person' END AS type, CASE WHEN c_custkey % 13 = 0 THEN ' ' WHEN c_custkey % 17 = 0 THEN 'Same Name' WHEN c_custkey % 19 = 0 THEN 'same-name' ELSE c_name END AS name,
-CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN 'bad mail' ELSE 'u' || c_custkey || '@x.org' END AS email, CASE WHEN c_custkey % 3 = 0 THEN '123' ELSE '9' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') END AS phone, c_mktsegment AS address, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE 'Acme' END AS company,
+CASE WHEN c_custkey % 5 = 0 THEN NULL WHEN c_custkey % 7 = 0 THEN 'bad mail' ELSE 'u' || c_custkey || '@x.org' END AS email, CASE WHEN c_custkey % 3 = 0 THEN '123' ELSE '9' || lpad(CAST(c_custkey AS VARCHAR), 9, '0') END AS phone, c_mktsegment AS address, CASE WHEN c_custkey % 9 = 0 THEN 'never' WHEN c_custkey % 2 = 0 THEN '1990-05-06' END AS dob, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE 'Acme' END AS company,
 CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE TIMESTAMP '2024-01-01 00:00:00' - to_days(CAST(c_custkey AS INT)) END AS updated_at FROM customer)"""
 
 
@@ -71,7 +77,7 @@ def entities(t) -> DataFrame:
     k = F.col("c_custkey")
     return t("customer").select(
         F.concat(F.lit("c"), k).alias("id"), F.when(k % 11 == 0, "alien").otherwise("person").alias("type"), F.when(k % 13 == 0, " ").when(k % 17 == 0, "Same Name").when(k % 19 == 0, "same-name").otherwise(F.col("c_name")).alias("name"),
-        F.when(k % 5 == 0, None).when(k % 7 == 0, "bad mail").otherwise(F.concat(F.lit("u"), k, F.lit("@x.org"))).alias("email"), F.when(k % 3 == 0, "123").otherwise(F.concat(F.lit("9"), F.lpad(k.cast("string"), 9, "0"))).alias("phone"), F.col("c_mktsegment").alias("address"), F.when(k % 2 == 0, None).otherwise("Acme").alias("company"),
+        F.when(k % 5 == 0, None).when(k % 7 == 0, "bad mail").otherwise(F.concat(F.lit("u"), k, F.lit("@x.org"))).alias("email"), F.when(k % 3 == 0, "123").otherwise(F.concat(F.lit("9"), F.lpad(k.cast("string"), 9, "0"))).alias("phone"), F.col("c_mktsegment").alias("address"), F.when(k % 9 == 0, "never").when(k % 2 == 0, "1990-05-06").alias("dob"), F.when(k % 2 == 0, None).otherwise("Acme").alias("company"),
         F.when(k % 4 == 0, None).otherwise(F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' - make_dt_interval(int(c_custkey))")).alias("updated_at"),
     )
 
@@ -79,7 +85,7 @@ def entities(t) -> DataFrame:
 _FILLED = "(trim(name) <> '')::INT + 1 + (coalesce(trim(email), '') <> '')::INT + 1 + 1 + (company IS NOT NULL)::INT"
 _MAIL = "(email IS NULL OR regexp_matches(email, '^[^\\s@]+@[^\\s@]+\\.[^\\s@]+$'))::INT"
 _PHONE = "(length(phone) BETWEEN 7 AND 15)::INT"
-_DIMS = f"""d AS (SELECT count(*)::DOUBLE AS n, sum({_FILLED}) / (count(*)::DOUBLE * 6) AS completeness, avg(({_MAIL} + {_PHONE}) / 2.0::DOUBLE) AS accuracy, avg((type = 'person' AND trim(name) <> '')::INT::DOUBLE) AS validity,
+_DIMS = f"""d AS (SELECT count(*)::DOUBLE AS n, sum({_FILLED}) / (count(*)::DOUBLE * 6) AS completeness, avg(({_MAIL} * {_PHONE} * (coalesce(dob, '') <> 'never')::INT)::DOUBLE) AS accuracy, avg((type = 'person' AND trim(name) <> '')::INT::DOUBLE) AS validity,
 avg(CASE WHEN updated_at IS NOT NULL THEN (updated_at >= TIMESTAMP '2024-01-01 00:00:00' - INTERVAL 365 DAY)::INT::DOUBLE END) AS timeliness, count(DISTINCT lower(concat_ws('|', type, name, coalesce(email, ''), phone))) / count(*)::DOUBLE AS uniqueness FROM e),
 s AS (SELECT coalesce(sum(v), 0) AS spoiled FROM (SELECT count(DISTINCT name) AS v FROM e WHERE trim(name) <> '' GROUP BY regexp_replace(lower(name), '[^a-z0-9]', '', 'g')) WHERE v > 1),
 q AS (SELECT 'completeness' AS dimension, completeness AS score, 0.25::DOUBLE AS weight FROM d UNION ALL SELECT 'accuracy', accuracy, 0.2 FROM d UNION ALL SELECT 'consistency', greatest(0, 1 - spoiled / n), 0.15 FROM d, s UNION ALL SELECT 'timeliness', timeliness, 0.15 FROM d UNION ALL SELECT 'validity', validity, 0.15 FROM d UNION ALL SELECT 'uniqueness', uniqueness, 0.1 FROM d)"""
@@ -168,7 +174,13 @@ def nearest_of_each(t) -> DataFrame:
 
 @query("j05_near_pairs", f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COS} >= 0.9")
 def near_pairs(t) -> DataFrame:
-    return V.near_pairs(vecs(t), 0.9, exhaustive=True).withColumn("similarity", F.round("similarity", 6))
+    return V.near_pairs(vecs(t), 0.9).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("j05_near_pairs_looser", f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COS} >= 0.4")
+def looser_pairs(t) -> DataFrame:
+    """At a limit that pairs of the tables reach."""
+    return V.near_pairs(vecs(t), 0.4).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("j04_leader_clusters")
@@ -179,7 +191,7 @@ def leaders(t) -> DataFrame:
 @query("j06_semantic_dedup", f"SELECT vec_id AS id FROM embeddings b WHERE NOT EXISTS (SELECT 1 FROM embeddings a WHERE a.vec_id < b.vec_id AND {_COS} >= 0.95)")
 def semantic_dedup(t) -> DataFrame:
     v = vecs(t)
-    pairs = V.near_pairs(v, 0.95, exhaustive=True).select(F.col("b").alias("id")).distinct()
+    pairs = V.near_pairs(v, 0.95).select(F.col("b").alias("id")).distinct()
     return v.select("id").join(pairs, "id", "left_anti")
 
 
