@@ -24,6 +24,16 @@ def agent_insights(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.unionByName(edges.where("weight >= 2").orderBy(F.col("weight").desc(), "a", "b").limit(5).select(F.lit("edge").alias("kind"), F.concat_ws("-", "a", "b").alias("subject"), F.col("weight").alias("value")))
 
 
+def agent_counts(records: DataFrame, entities: DataFrame, shared: DataFrame) -> DataFrame:
+    """(kind, n, detail): records and the tables they are from; phones and e-mails if there are several, places if any,
+    and how often a phone or an e-mail is shared. records (table_name), entities (type, value), shared (type)."""
+    r = records.agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set("table_name")), ", ").alias("detail")).select(F.lit("records").alias("kind"), "n", "detail")
+    e = entities.select(F.when(F.col("type") == "phone", "phones").when(F.col("type") == "email", "emails").when(F.col("type").isin("address", "city"), "places").alias("kind"), "value").where("kind is not null").distinct().groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    e = e.where("n > 1 or kind = 'places'").select("kind", "n", F.lit(None).cast("string").alias("detail"))
+    s = shared.where(F.col("type").isin("shared_phone", "shared_email")).groupBy(F.col("type").alias("kind")).agg(F.count(F.lit(1)).alias("n")).select("kind", "n", F.lit(None).cast("string").alias("detail"))
+    return r.unionByName(e).unionByName(s)
+
+
 def findings(patterns: DataFrame, anomalies: DataFrame, threshold: float) -> DataFrame:
     """(kind, id, score, severity): five patterns above .7 and three anomalies above the threshold."""
     s = F.col("significance")

@@ -8,6 +8,7 @@ from collections import OrderedDict, deque
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,10 +95,45 @@ class Fetcher:
                 return
 
     def frame(self, spark: SparkSession, urls: list[str]) -> DataFrame:
-        """(url, record_json) of several endpoints."""
+        """(url, record_json) of several endpoints, fetched here one after the other; see fetch_all() for many."""
         return spark.createDataFrame([(u, json.dumps(r, ensure_ascii=False)) for u in urls for r in self.records(u)], "url string, record_json string")
 
 
+def fetch_all(urls: DataFrame, fetch: Callable[[str, dict], str], parallel: int = 4, per_minute: int = 60, retries: int = 3, transform: Callable[[object], list[dict]] | None = None, url: str = "url") -> DataFrame:
+    """(url, record_json) of any number of endpoints, fetched by ``parallel`` tasks at a time on the executors.
+
+    Each task keeps to its share of the calls a minute. Each url is asked once however often it is listed. A task that
+    runs again asks again, so answers should not change what they answer."""
+    tasks = max(1, min(parallel, per_minute))
+
+    def run(frames):
+        source = Fetcher(fetch, max(1, per_minute // tasks), retries=retries, transform=transform)
+        for f in frames:
+            for u in f["url"]:
+                rows = source.records(u)
+                if rows:
+                    yield pd.DataFrame({"url": [u] * len(rows), "record_json": [json.dumps(r, ensure_ascii=False) for r in rows]})
+
+    return urls.select(F.col(url).alias("url")).where("url is not null").distinct().repartition(tasks, "url").mapInPandas(run, "url string, record_json string")
+
+
+def entities_of(records: DataFrame) -> DataFrame:
+    """(url, record_json, type, normalized, value, priority, confidence): the entities in every fetched record's JSON."""
+    from ..operators.extract import found
+
+    return records.select("url", "record_json", F.inline(found(F.col("record_json")))).select("url", "record_json", "type", "normalized", "value", "priority", "confidence")
+
+
+def relations_of(records: DataFrame, entities: DataFrame) -> DataFrame:
+    """(doc, source, target, type, strength, confidence): relations that a record's JSON states between its entities; doc
+    is a hash of the url and the record."""
+    from ..operators.graph import text_relations
+
+    doc = F.xxhash64("url", "record_json").alias("doc_id")
+    known = entities.select(doc.alias("doc"), F.col("value").alias("entity"))
+    return text_relations(records.select(doc, F.col("record_json").alias("text")).dropDuplicates(["doc_id"]), known)
+
+
 def _rows(answer) -> list[dict]:
     if isinstance(answer, list):
         return answer

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import threading
+from collections import deque
+from collections.abc import Callable
+from datetime import datetime, timezone
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 
 def start_folder_job(spark: SparkSession, folder: str, schema: str, target: str, checkpoint: str, fmt: str = "csv", recursive: bool = True, continuous: bool = False):
@@ -13,10 +19,66 @@ def start_folder_job(spark: SparkSession, folder: str, schema: str, target: str,
     return (writer.trigger(processingTime="10 seconds") if continuous else writer.trigger(availableNow=True)).start()
 
 
-def job_status(query) -> dict:
-    """state, rows and batches so far, and the error if there is one."""
+class JobLog(StreamingQueryListener):
+    """What all jobs of a session do: totals for as long as they run, the last ``kept`` log lines of each, and callbacks
+    that are given every event as (job, level, message). An error in a callback is logged and stops nothing."""
+
+    def __init__(self, kept: int = 1000) -> None:
+        super().__init__()
+        self.kept, self.jobs, self.listeners, self._lock = kept, {}, [], threading.Lock()
+
+    def attach(self, spark: SparkSession) -> JobLog:
+        spark.streams.addListener(self)
+        return self
+
+    def listen(self, callback: Callable[[str, str, str], None]) -> None:
+        self.listeners.append(callback)
+
+    def _note(self, job: str, level: str, message: str, **change) -> None:
+        with self._lock:
+            state = self.jobs.setdefault(job, {"id": job, "name": None, "active": True, "rows": 0, "batches": 0, "error": None, "log": deque(maxlen=self.kept)})
+            state["log"].append({"time": datetime.now(timezone.utc).isoformat(), "level": level, "message": message})
+            for k, v in change.items():
+                state[k] = state[k] + v if k in ("rows", "batches") else v
+        for callback in self.listeners:
+            try:
+                callback(job, level, message)
+            except Exception as error:  # foreign code
+                with self._lock:
+                    state["log"].append({"time": datetime.now(timezone.utc).isoformat(), "level": "error", "message": f"callback: {error}"})
+
+    def onQueryStarted(self, event) -> None:
+        self._note(str(event.id), "info", "started", name=event.name, active=True)
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self._note(str(p.id), "info", f"batch {p.batchId}: {p.numInputRows} rows", rows=p.numInputRows, batches=int(p.numInputRows > 0))
+
+    def onQueryIdle(self, event) -> None:
+        self._note(str(event.id), "debug", "idle")
+
+    def onQueryTerminated(self, event) -> None:
+        self._note(str(event.id), "error" if event.exception else "info", event.exception or "ended", active=False, error=event.exception)
+
+    def list(self) -> list[dict]:
+        """All jobs seen so far, without their logs."""
+        with self._lock:
+            return [{k: v for k, v in s.items() if k != "log"} for s in self.jobs.values()]
+
+    def logs(self, job: str) -> list[dict]:
+        with self._lock:
+            return list(self.jobs[job]["log"]) if job in self.jobs else []
+
+
+def job_status(query, log: JobLog | None = None) -> dict:
+    """id, active, rows and batches, and the error if there is one. Spark itself keeps the last batches only; rows of
+    longer jobs are counted by a JobLog."""
+    state = {"id": str(query.id), "active": query.isActive, "error": str(query.exception()) if query.exception() else None}
+    if log is not None:
+        seen = next((j for j in log.list() if j["id"] == state["id"]), {"rows": 0, "batches": 0})
+        return {**state, "rows": seen["rows"], "batches": seen["batches"]}
     done = query.recentProgress
-    return {"id": str(query.id), "active": query.isActive, "rows": sum(p["numInputRows"] for p in done), "batches": len(done), "error": str(query.exception()) if query.exception() else None}
+    return {**state, "rows": sum(p["numInputRows"] for p in done), "batches": len(done)}
 
 
 def cancel(query) -> None:
