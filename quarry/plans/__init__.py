@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("q_records", "q_search", "q_graph", "q_links", "q_profile", "q_extract", "q_questions", "q_reports", "q_more")
+MODULES = ("q_records", "q_search", "q_graph", "q_links", "q_profile", "q_extract", "q_questions", "q_reports", "q_more", "q_tables")
 
 
 def load() -> tuple[dict, dict]:

@@ -107,7 +107,12 @@ def in_memory(t) -> DataFrame:
     return values(t, _IN_MEMORY, "id int, label string, amount double")
 
 
-@query("a18_html_to_text")
+_PAGE_SQL = r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>', '', 'g'), '(?is)<style\b.*?</style>', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '<[^>]+>', ' ', 'g') AS x FROM pages),
+b AS (SELECT page_id, string_split(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#') AS p FROM a)
+SELECT page_id, trim(regexp_replace(p[1] || array_to_string(list_transform(p[2:], lambda s: CASE WHEN regexp_matches(s, '^\d{1,7};') THEN chr((regexp_extract(s, '^(\d{1,7});', 1)::INT % 65536)::INT) || regexp_replace(s, '^\d{1,7};', '') ELSE '&#' || s END), ''), '\s+', ' ', 'g')) AS text FROM b"""
+
+
+@query("a18_html_to_text", _PAGE_SQL)
 def html_text(t) -> DataFrame:
     return t("pages").select("page_id", T.html_to_text(F.col("html")).alias("text"))
 
