@@ -3,47 +3,53 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quarry.operators.graph import components as connected
+from quarry.sources.shared import dropped as discard
 from quarry.sources.shared import shared_dir
 
 #: Words of the contracts: runs of anything but space, \t, \n, \v, \f, \r. bytes.split() splits at just these six.
 WORD = r"[^\x20\x09-\x0D]+"
 
+GC_SECONDS = 5.0
+_collected = 0.0
+
 #: Rows that a Python worker turns into objects at a time; the Arrow batch itself stays compact.
 SLICE = 256
+SLICE_BYTES = 2 << 20
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors.
 
-    Then the driver collects its garbage, upon which Spark deletes the shuffle files that nothing refers to any more.
+    Then the driver collects its garbage, upon which Spark deletes the shuffle files that nothing refers to any more; they
+    have no name to delete them by. Not more often than every GC_SECONDS, in which shuffles can't become large.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quarry-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quarry_path = path
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    global _collected
+    if time.monotonic() - _collected > GC_SECONDS:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
     return out
 
 
-def discard(*tables: DataFrame) -> None:
-    """Delete materialized tables that nothing will read again."""
-    for df in tables:
-        jvm, context = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc
-        path = jvm.org.apache.hadoop.fs.Path(df._quarry_path)
-        path.getFileSystem(context.hadoopConfiguration()).delete(path, True)
-
-
-def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | StructType) -> DataFrame:
-    """mapInArrow where fn gets slices of at most SLICE rows and yields dicts of column -> list or array."""
+def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | StructType, rows: int = SLICE) -> DataFrame:
+    """mapInArrow where fn gets slices and yields dicts of column -> list or array. A slice has at most ``rows`` rows, and
+    if it has more than one, no more than SLICE_BYTES of text and bytes."""
     target = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -52,8 +58,15 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[di
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def slices() -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at in range(0, batch.num_rows, SLICE):
-                    yield batch.slice(at, SLICE)
+                size = np.zeros(batch.num_rows + 1, np.int64)
+                for c in batch.columns:
+                    if pa.types.is_string(c.type) or pa.types.is_binary(c.type):
+                        size[1:] += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+                before, at = np.cumsum(size), 0
+                while at < batch.num_rows:
+                    end = min(at + rows, max(at + 1, int(np.searchsorted(before, before[at] + SLICE_BYTES, side="right")) - 1), batch.num_rows)
+                    yield batch.slice(at, end - at)
+                    at = end
 
         for out in fn(slices()):
             columns = [x if isinstance(x, pa.Array) and x.type == f.type else x.cast(f.type) if isinstance(x, pa.ListArray) else pa.array(x, f.type) for x, f in ((out[f.name], f) for f in arrow)]
@@ -62,6 +75,24 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[di
     return df.mapInArrow(run, target)
 
 
+def split_words(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(text index of each word, its place among the distinct words, the distinct words as bytes) of the texts' words, in
+    their order. Null texts have none. lower: A-Z become a-z first."""
+    texts = pc.fill_null(texts, "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    coded = lists.flatten().dictionary_encode()
+    words, place = coded.dictionary.cast(pa.binary()), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    # white space at the ends of a text leaves an empty word
+    empty = np.nonzero(pc.equal(words, b"").to_numpy(zero_copy_only=False))[0]
+    if len(empty):
+        kept = place != empty[0]
+        owner, place = owner[kept], place[kept]
+        place = place - (place > empty[0])
+        words = words.filter(pc.not_equal(words, b""))
+    return owner, place, words
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -110,32 +141,5 @@ def lookup(rows: DataFrame, key: str, table: DataFrame, n_col: str, total: int,
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, comp): of every end of an edge (a, b) the least id that edges reach.
-
-    Each vertex points to its least neighbour, pointers are followed to the root by doubling, and the graph of roots
-    goes on to the next round; every round at least halves the vertices that still have edges.
-    """
-    edges = materialize(edges.select("a", "b").where("a <> b").distinct(), "edges")
-    rounds: list[DataFrame] = []
-    while edges.limit(1).count():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.least("a", "b").alias("comp"))
-        up = materialize(up, "up")
-        while True:
-            parent = up.select(F.col("id").alias("__id"), F.col("comp").alias("__next"))
-            step = materialize(up.join(parent, F.col("comp") == F.col("__id")).select("id", F.col("__next").alias("comp"), (F.col("comp") != F.col("__next")).alias("moved")), "step")
-            discard(up)
-            up = step
-            if not step.where("moved").limit(1).count():
-                break
-        rounds.append(up)
-        of_a, of_b = up.select(F.col("id").alias("a"), F.col("comp").alias("ra")), up.select(F.col("id").alias("b"), F.col("comp").alias("rb"))
-        before, edges = edges, materialize(edges.join(of_a, "a").join(of_b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
-        discard(before)
-    if not rounds:
-        return edges.select(F.col("a").alias("id"), F.col("b").alias("comp"))
-    out = rounds[0]
-    for up in rounds[1:]:
-        later = up.select(F.col("id").alias("comp"), F.col("comp").alias("__root"))
-        out = out.join(later, "comp", "left").select("id", F.coalesce("__root", "comp").alias("comp"))
-    return out.select("id", "comp")
+    """(id, comp): of every end of an edge (a, b) the least id that edges reach."""
+    return connected(edges, lambda df: materialize(df, "components")).withColumnRenamed("component", "comp")
