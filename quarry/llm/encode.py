@@ -6,6 +6,12 @@ import json
 import re
 import struct
 import unicodedata
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+
+from .common import split_words
 
 #: Outside this range lower-casing or composing a character can depend on more than the character; such texts skip the case folding.
 _PLAIN = re.compile("[^\x00-įı-ɏ]")
@@ -65,7 +71,7 @@ def _byte_letters() -> list[str]:
 
 
 class WordEncoder:
-    """encode(text) equals Tokenizer.encode(text, add_special_tokens=False).ids, as packed bytes."""
+    """encode(text) equals Tokenizer.encode(text, add_special_tokens=False).ids, as packed bytes; encode_all() does many."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -74,19 +80,26 @@ class WordEncoder:
         self.cache = _Cache(tokenizer)
         self.folds = self.cache.folds
 
-    def encode(self, text: str) -> bytes:
-        if self.folds and not _PLAIN.search(text) and unicodedata.is_normalized("NFC", text) and "<|" not in text:
-            text = text.lower()
-        # only ASCII white space parts words here; other white space is left to the tokenizer
-        return b"".join(map(self.cache.__getitem__, text.split() if text.isascii() and not _CONTROL.search(text) else _words(text)))
+    def _folded(self, text: str | None) -> str | None:
+        return text.lower() if text and self.folds and not _PLAIN.search(text) and unicodedata.is_normalized("NFC", text) and "<|" not in text else text
 
+    def encode_all(self, texts: list[str | None]) -> tuple[Callable[[], np.ndarray], np.ndarray]:
+        """(ids, lengths): the number of ids of every text, and what makes the ids of all texts in a row. Null has none.
 
-_CONTROL = re.compile("[\x1c-\x1f]")
-_SPACE = re.compile("[ \t-\r]+")
+        Only ASCII white space parts words here; other white space is left to the tokenizer. Each distinct word is looked
+        up once."""
+        owner, place, words = split_words(pa.array(list(map(self._folded, texts)), pa.string()))
+        parts = list(map(self.cache.__getitem__, words.cast(pa.string()).to_numpy(zero_copy_only=False)))
+        size = np.array([len(p) // 4 for p in parts], dtype=np.int64)
 
+        def ids() -> np.ndarray:
+            each = size[place]
+            return np.frombuffer(b"".join(parts), "<u4")[np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each - (np.cumsum(size) - size)[place], each)]
 
-def _words(text: str) -> list[str]:
-    return [w.decode() for w in text.encode().split()] if len(text) < 1 << 20 else [w for w in _SPACE.split(text) if w]
+        return ids, np.bincount(owner, size[place], minlength=len(texts)).astype(np.int64)
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]().tobytes()
 
 
 def public_path(name: str) -> str:

@@ -22,22 +22,29 @@ BLOCK = 8192
 def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, vocabulary: str = VOCABULARY, end_id: int = 0) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): a document's ids and end_id, cut only where longer than capacity."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    end = int(end_id).to_bytes(4, "little")
+    step = 4 * capacity
 
     def run(slices):
-        encode = encoder(vocabulary).encode
+        encode_all = encoder(vocabulary).encode_all
         for b in slices:
-            at, out = [], {"piece": [], "start": [], "length": [], "ids_crc32": []}
-            for i, x in enumerate(b.column(1).to_pylist()):
-                ids = memoryview((encode(x) if x else b"") + end)
-                for k, s in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[s : s + 4 * capacity]
+            ids, lengths = encode_all(b.column(1).to_pylist())
+            # every document's ids, then the end
+            flat = np.full(int(lengths.sum()) + len(lengths), end_id, "<u4")
+            inner = np.ones(len(flat), bool)
+            inner[np.cumsum(lengths + 1) - 1] = False
+            flat[inner] = ids()
+            raw, at, out = memoryview(flat.tobytes()), [], {"piece": [], "start": [], "length": [], "ids_crc32": []}
+            stop = 0
+            for i, n in enumerate((4 * (lengths + 1)).tolist()):
+                first, stop = stop, stop + n
+                for k, s in enumerate(range(first, stop, step)):
+                    part = raw[s : min(s + step, stop)]
                     at.append(i)
-                    for name, value in zip(out, (k, s // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                    for name, value in zip(out, (k, (s - first) // 4, len(part) // 4, zlib.crc32(part)), strict=True):
                         out[name].append(value)
-            yield {"doc_id": b.column(0).take(np.array(at, dtype=np.int64)) if at else b.column(0).slice(0, 0), **out}
+            yield {"doc_id": b.column(0).take(np.array(at, dtype=np.int64)), **out}
 
-    return map_rows(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long")
+    return map_rows(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long", rows=2048)
 
 
 class Bins:
@@ -109,14 +116,15 @@ def fitness(bins: list[list[int]], sizes: list[int], capacity: int) -> tuple[int
     return -len(bins), sum((sum(sizes[i] for i in b) / capacity) ** 2 for b in bins)
 
 
-def evolve(sizes: list[int], elites: list[list[list[int]]], seed: int, capacity: int = CAPACITY, population: int = 4, children: int = 6) -> list[list[int]]:
+def evolve(sizes: list[int], elites: list[list[list[int]]], seed: int, capacity: int = CAPACITY, founders: int = 2, population: int = 4, children: int = 6) -> list[list[int]]:
     """One epoch of one island: the best packing found. Ends when no packing can have fewer bins.
 
-    The population is filled up with best-fit packings of random orders; which bins survive is left to the crossover."""
+    Where there are fewer elites than ``founders``, best-fit packings of random orders join them; children fill the
+    population up, and then take the place of the worst."""
     rng = random.Random(seed)
     least = -(-sum(sizes) // capacity)
     pop = list(elites)
-    while len(pop) < population:
+    while len(pop) < founders:
         order = list(range(len(sizes)))
         rng.shuffle(order)
         pop.append(best_fit(order, sizes, capacity))
