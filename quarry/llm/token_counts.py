@@ -18,11 +18,11 @@ def encoded_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(slices):
-        encode = encoder(vocabulary).encode
+        encode_all = encoder(vocabulary).encode_all
         for b in slices:
-            yield {"doc_id": b.column(0), "n_tokens": [len(encode(x)) // 4 if x else 0 for x in b.column(1).to_pylist()]}
+            yield {"doc_id": b.column(0), "n_tokens": encode_all(b.column(1).to_pylist())[1]}
 
-    return map_rows(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long")
+    return map_rows(rows, run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long", rows=2048)
 
 
 def length_histogram(lengths: DataFrame) -> DataFrame:
@@ -36,7 +36,8 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     n_docs: documents of that length; docs_within, tokens_within: those of L or less; docs_longer: those above;
     tokens_kept: sum of min(length, L), what truncation at L leaves; tokens_lost: what it cuts; quantile: the share of
     documents within L. Between two lengths, and beyond, every answer follows from these rows: see at_limits().
-    Null and empty texts have length 0. An empty table gives no rows.
+    Null and empty texts have length 0. Whole texts are encoded, however long. Repeated rows, and rows with equal or null
+    ids, each count. Other columns, whatever their names, are not read. An empty table gives no rows.
     """
     hist = materialize(length_histogram(encoded_lengths(docs, id_col, text_col, vocabulary)), "histogram").withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_docs") * F.col("n_tokens"))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
