@@ -9,10 +9,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, free_names, map_rows
+from .common import crc_mod, discard, free_names, map_rows, materialize
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
+#: Languages of one model; its matrix is broadcast.
+LANGS = 512
 UNKNOWN = "und"
 #: Characters counted at a time, so a text of any length takes bounded memory.
 CHUNK = 1 << 19
@@ -66,12 +68,15 @@ def _prepared(texts: list) -> list[str]:
 
 @dataclass
 class Model:
+    """Some of the languages, in the order of their names."""
+
     langs: list[str]
     log_prob: np.ndarray  # (BUCKETS, langs) float32
     prior: np.ndarray
 
-    def predict(self, texts: list) -> tuple[list[str], list[float]]:
-        """Language and its posterior probability; UNKNOWN and 0 for null, for texts without a letter, and if nothing was learned."""
+    def best(self, texts: list) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+        """The most likely language of each text, the log of its joint probability, and the log of the sum over all.
+        None for null and for texts without a letter."""
         low = _prepared(texts)
         total = np.tile(self.prior.astype(np.float64), (len(texts), 1))
         for held in _chunks(low):
@@ -82,26 +87,25 @@ class Model:
                 buckets = buckets[order]
                 for k in range(len(self.langs)):
                     total[ids, k] += np.add.reduceat(self.log_prob[:, k][buckets].astype(np.float64), starts)
-        names, scores = [], []
-        for text, row in zip(low, total, strict=True):
-            if not len(self.langs) or not has_letter(text):
-                names.append(UNKNOWN)
-                scores.append(0.0)
-                continue
-            k = int(np.argmax(row))
-            names.append(self.langs[k])
-            scores.append(float(1.0 / np.exp(row - row[k]).sum()))
-        return names, scores
-
-
-def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", alpha: float = 0.5) -> Model:
-    """Counts n-grams of every row with a text and a language. Map tasks count by themselves; the driver gets at most
-    BUCKETS rows per language."""
+        k = total.argmax(axis=1)
+        top = total[np.arange(len(texts)), k]
+        return [self.langs[i] if has_letter(x) else None for i, x in zip(k.tolist(), low, strict=True)], top, top + np.log(np.exp(total - top[:, None]).sum(axis=1))
+
+
+def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", alpha: float = 0.5) -> list[Model]:
+    """Models of LANGS languages at most, from the n-grams of every row with a text and a language. Map tasks count by
+    themselves, LANGS languages at a time; the driver gets at most BUCKETS rows per language, a model at a time."""
     chosen = rows.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
     def run(slices):
         counts: dict[str, np.ndarray] = {}
         docs: dict[str, int] = {}
+
+        def counted():
+            for x, c in counts.items():
+                at = np.nonzero(c)[0]
+                yield {"lang": [x] * (len(at) + 1), "bucket": [-1, *at.tolist()], "n": [docs[x], *c[at].tolist()]}
+
         for b in slices:
             langs, texts = b.column(0).to_pylist(), _prepared(b.column(1).to_pylist())
             codes = {x: k for k, x in enumerate(sorted(set(langs)))}
@@ -113,39 +117,60 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", alpha
                     counts[x] = counts[x] + both[k] if x in counts else both[k].astype(np.int64)
             for x in langs:
                 docs[x] = docs.get(x, 0) + 1
-        for x, c in counts.items():
-            at = np.nonzero(c)[0]
-            yield {"lang": [x] * (len(at) + 1), "bucket": [-1, *at.tolist()], "n": [docs[x], *c[at].tolist()]}
-
-    sums = map_rows(chosen, run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = sums.where("bucket = -1").orderBy("lang").collect()
-    langs = [r["lang"] for r in found]
-    counts = np.zeros((BUCKETS, len(langs)))
-    names = {x: k for k, x in enumerate(langs)}
-    table = sums.where("bucket >= 0").toArrow()
-    if len(table):
-        codes = np.array([names[x] for x in table.column("lang").to_pylist()])
-        counts[table.column("bucket").to_numpy(), codes] = table.column("n").to_numpy()
-    prior = np.log(np.array([float(r["n"]) for r in found]) / sum(r["n"] for r in found)) if langs else np.zeros(0)
-    log_prob = np.log((counts + alpha) / (counts.sum(axis=0) + alpha * BUCKETS)) if langs else counts
-    return Model(langs, log_prob.astype(np.float32), prior)
-
-
-def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
+                if x not in counts:  # texts without a character
+                    counts[x] = np.zeros(BUCKETS, np.int64)
+            if len(counts) >= LANGS:
+                yield from counted()
+                counts, docs = {}, {}
+        yield from counted()
+
+    sums = materialize(map_rows(chosen, run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "ngrams")
+    found = sums.where("bucket = -1").select("lang", "n").orderBy("lang").collect()  # a row per language
+    models, every = [], sum(r["n"] for r in found)
+    for a in range(0, len(found), LANGS):
+        some = found[a : a + LANGS]
+        names = {r["lang"]: k for k, r in enumerate(some)}
+        counts = np.zeros((BUCKETS, len(some)))
+        table = sums.where((F.col("bucket") >= 0) & F.col("lang").between(some[0]["lang"], some[-1]["lang"])).toArrow()
+        if len(table):
+            codes = np.array([names[x] for x in table.column("lang").to_pylist()])
+            counts[table.column("bucket").to_numpy(), codes] = table.column("n").to_numpy()
+        log_prob = np.log((counts + alpha) / (counts.sum(axis=0) + alpha * BUCKETS))
+        models.append(Model([r["lang"] for r in some], log_prob.astype(np.float32), np.log(np.array([float(r["n"]) for r in some]) / every)))
+    discard(sums)
+    return models
+
+
+def predict(docs: DataFrame, models: list[Model], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, lang_pred: str = "lang_pred", score: str = "score") -> DataFrame:
     """(id, ..., lang_pred, score): keep names further columns to carry through. The two columns may be named otherwise
-    where docs has their names."""
+    where docs has their names. There is a pass for each model, over what the passes before have found."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # BUCKETS floats per language
     carried = [id_col, *(c for c in keep or [] if c != id_col)]
-    rows = docs.select(*carried, F.col(text_col).cast("string").alias(free_names(carried, "text")[0]))
-    schema = ", ".join(f"`{c}` {t}" for c, t in [*rows.dtypes[:-1], (lang_pred, "string"), (score, "double")])
+    text, name, top, whole = free_names(carried, "text", "name", "top", "whole")
+    rows = docs.select(*carried, F.col(text_col).cast("string").alias(text), F.lit(None).cast("string").alias(name), F.lit(float("-inf")).alias(top), F.lit(float("-inf")).alias(whole))
+    kinds, n = rows.dtypes, len(carried)
+    for k, model in enumerate(models, 1):
+        # after the last pass the text is no longer needed
+        out = [x for x in kinds if k < len(models) or x[0] != text]
+        shared = spark.sparkContext.broadcast(model)  # BUCKETS * LANGS floats at most
+        rows = map_rows(rows, _pass(shared, [c for c, _ in kinds], n), ", ".join(f"`{c}` {t}" for c, t in out))
+    known = F.col(name).isNotNull()
+    return rows.select(*carried, F.coalesce(name, F.lit(UNKNOWN)).alias(lang_pred), F.when(known, F.exp(F.col(top) - F.col(whole))).otherwise(0.0).alias(score))
+
+
+def _pass(shared, columns: list[str], n: int):
+    text, name, top, whole = columns[n:]
 
     def run(slices):
         for b in slices:
-            names, scores = shared.value.predict(b.column(len(carried)).to_pylist())
-            yield {**{c: b.column(k) for k, c in enumerate(carried)}, lang_pred: names, score: scores}
+            names, best, every = shared.value.best(b.column(n).to_pylist())
+            held, summed = (b.column(n + k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            # of equal ones the first by name stays
+            new = best > held
+            told = [x if more or y is None else y for x, y, more in zip(names, b.column(n + 1).to_pylist(), new.tolist(), strict=True)]
+            yield {**{c: b.column(k) for k, c in enumerate(columns[: n + 1])}, name: told, top: np.where(new, best, held), whole: np.logaddexp(summed, every)}
 
-    return map_rows(rows, run, schema)
+    return run
 
 
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 3, held: int = 1) -> DataFrame:
@@ -157,6 +182,6 @@ def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Other columns are not read. An empty table gives no rows.
     """
     fold = crc_mod(id_col, folds)
-    model = train(docs.where(fold != held), text_col, lang_col)
-    out = predict(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model)
+    models = train(docs.where(fold != held), text_col, lang_col)
+    out = predict(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), models)
     return out.select("doc_id", (crc_mod("doc_id", folds) == held).alias("held_out"), "lang_pred", "score")
