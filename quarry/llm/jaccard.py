@@ -22,6 +22,8 @@ FULL = 127
 SAMPLE, FREQUENT = 20_000, 200_000
 #: Rows per leaf of a block, and entries per inner node of the R-tree.
 LEAF, FANOUT = 512, 16
+#: Pairs that are compared with one set in one task, at most.
+PART = 256
 #: Turns in which components are joined by representatives before all remaining pairs are looked at.
 REPRESENTATIVE_TURNS = 2
 
@@ -188,9 +190,15 @@ def _told_apart(described: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar enough, from the whole sets."""
+    """Those of the pairs (a, b) whose sets are similar enough, from the whole sets.
+
+    Pairs go to where the set of their b is: it is sent once to each task that has some of its pairs, PART of them at
+    most, and held there while the sets of their a pass by.
+    """
     pairs = materialize(pairs, "pairs")
-    ends = pairs.select(F.col("a").alias("nid")).union(pairs.select(F.col("b").alias("nid"))).distinct()
+    total = max(1, pairs.count())
+    per = materialize(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "per")
+    ends = pairs.select(F.col("a").alias("nid")).union(per.select(F.col("b").alias("nid"))).distinct()
     wanted = materialize(nodes.join(ends, "nid").select("nid", "th"), "wanted")
     # a thousand bytes a row would still be small; beyond, the texts are shuffled to where the list is
     side = F.broadcast(wanted) if wanted.count() <= 500_000 else wanted
@@ -202,10 +210,32 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text_col: str
             yield {"nid": b.column(0), "s": [x.view(np.int64) for x in shingle_sets(b.column(1).to_pylist(), size)]}
 
     sets = materialize(map_rows(texts, shingles, "nid long, s array<long>"), "sets")
-    both = pairs.join(sets.select(F.col("nid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("nid").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    links = materialize(both.where(100 * common >= percent * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "links")
-    discard(pairs, wanted, sets)
+    parts = F.ceil(F.col("n") / PART)
+    dealt = lookup(pairs, "b", per, "n", total, "n").select("a", "b", F.pmod(F.xxhash64("a"), parts).alias("part"))
+    passing = dealt.join(sets.select(F.col("nid").alias("a"), "s"), "a").select("b", "part", "a", "s")
+    held = per.select("b", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part")).join(sets.select(F.col("nid").alias("b"), "s"), "b")
+    both = passing.unionByName(held.select("b", "part", F.lit(None).cast("long").alias("a"), "s"))
+    both = both.repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+
+    def compare(slices):
+        mine = np.zeros(0, np.uint64)
+        for x in slices:
+            ids, others, lists = x.column(0).to_pylist(), x.column(2).to_pylist(), x.column(3)
+            found: list[tuple[int, int]] = []
+            for i, (b, a) in enumerate(zip(ids, others, strict=True)):
+                own = lists[i].values.to_numpy().view(np.uint64)
+                if a is None:
+                    mine = own
+                    continue
+                few, many = (own, mine) if len(own) < len(mine) else (mine, own)
+                at = np.minimum(np.searchsorted(many, few), len(many) - 1)
+                common = int((many[at] == few).sum())
+                if 100 * common >= percent * (len(few) + len(many) - common):
+                    found.append((a, b))
+            yield {"a": [p for p, _ in found], "b": [q for _, q in found]}
+
+    links = materialize(map_rows(both, compare, "a long, b long"), "links")
+    discard(pairs, per, wanted, sets)
     return links
 
 
@@ -344,7 +374,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     light = nodes.select("nid", "n", "vec")
     to_first = blocks.where("nid <> lead").select(F.col("nid").alias("x"), F.col("lead").alias("y")).distinct()
     to_first = to_first.join(light.alias("a"), F.col("x") == F.col("a.nid")).join(light.alias("b"), F.col("y") == F.col("b.nid")).where(sized & bound)
-    links = _verified(to_first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), nodes, docs, text_col, size, percent)
+    links = _verified(to_first.select(F.col("x").alias("a"), F.col("y").alias("b")), nodes, docs, text_col, size, percent)
     comp = materialize(components(links), "components")
 
     def place() -> DataFrame:
