@@ -81,9 +81,15 @@ def test_language_equals_plain_code(spark):
             assert abs(got[i]["score"] - 1 / sum(math.exp(v - total[best]) for v in total.values())) < 1e-3
 
 
-def test_many_languages(spark):
-    rows = [(i, f"text {i} {'x' * (i % 7)}", f"l{i}") for i in range(600)]
-    assert langid.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).where("lang_pred = 'und'").count() == 0
+def test_many_languages(spark, monkeypatch):
+    rows = [(i, f"text {i} {'x' * (i % 7)}", f"l{i}") for i in range(40)] + [(90, "", "empty"), (91, None, "l1"), (92, "7", "l2")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    whole = sorted(langid.language_id(df).collect())
+    assert sum(r["lang_pred"] == "und" for r in whole) == 3
+    monkeypatch.setattr(langid, "LANGS", 7)
+    assert len(langid.train(df)) == 6
+    parts = sorted(langid.language_id(df).collect())
+    assert [r[:3] for r in parts] == [r[:3] for r in whole] and all(abs(x["score"] - y["score"]) < 1e-9 for x, y in zip(parts, whole, strict=True))
 
 
 def test_forest_equals_plain_walk_and_threshold(spark, real):
@@ -121,3 +127,40 @@ def test_hot_keys_are_few():
     for total in (1, 10, 1000, 5 * 10**6, 10**9, 10**11, 10**13):
         assert total / common.hot_from(total) <= common.HOT_KEYS and common.hot_from(total) >= 2
     assert common.hot_from(10**11) <= 10**6
+
+
+def test_large_group_of_copies_in_parts_and_leaves(spark, monkeypatch):
+    """One group of many near copies beside pairs; whole, and with sets held in many tasks and blocks cut into leaves."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    texts = []
+    for i in range(90):
+        x = list(base)
+        x[rng.randrange(120)] = f"n{i}"
+        texts.append(" ".join(x))
+    for i in range(40):
+        own = [f"v{rng.randrange(300)}" for _ in range(60)]
+        texts += [" ".join(own), " ".join(own[:-2] + [f"z{i}"])]
+    # texts that share a rare beginning and nothing else
+    texts += ["same rare words come first " + " ".join(f"u{i}x{k}" for k in range(12)) for i in range(30)]
+    sets = [frozenset(zip(*(x.split()[k:] for k in range(5)), strict=False)) for x in texts]
+    parent = list(range(len(texts)))
+
+    def root(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a in range(len(texts)):
+        for b in range(a + 1, len(texts)):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    want = {i: root(i) for i in range(len(texts))}
+    assert len(set(want.values())) < len(texts) - 80
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for part, leaf, turns in ((256, 512, 2), (3, 4, 0)):
+        monkeypatch.setattr(jaccard, "PART", part)
+        monkeypatch.setattr(jaccard, "LEAF", leaf)
+        monkeypatch.setattr(jaccard, "REPRESENTATIVE_TURNS", turns)
+        assert {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()} == want
