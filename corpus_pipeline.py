@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import jaccard, langid, line_dedup, mixing, packing
-from quarry.llm.common import free_names, materialize
+from quarry.llm.common import discard, free_names, materialize
 from quarry.llm.queries import reach
 
 #: A document whose language is less certain than this, or that has no letter, goes.
@@ -23,9 +23,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     reach(spark)
     names = docs.columns
-    model = langid.train(docs, "text", "lang")
+    models = langid.train(docs, "text", "lang")
     lang, score = free_names(names, "lang_pred", "score")
-    found = langid.predict(docs, model, "doc_id", "text", keep=names, lang_pred=lang, score=score)
+    found = langid.predict(docs, models, "doc_id", "text", keep=names, lang_pred=lang, score=score)
     return found.where((F.col(lang) != langid.UNKNOWN) & (F.col(score) >= MIN_SCORE)).select(*names)
 
 
@@ -98,8 +98,10 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, each written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
