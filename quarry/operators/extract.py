@@ -56,6 +56,9 @@ UNIQUE_ORDER = ("phone", "email", "id_number", "account_number")
 CONTEXT_PATTERNS = (
     ("phone", "(?:call|contact|phone|mobile|number)", r"[6-9]\d{9}"), ("amount", "(?:transferred?|received?|paid?|amount|sum)", r"(?:Rs\.?|INR|₹)\s*[\d,]+(?:\.\d{2})?"),
 )
+# Confidence of names and places.
+NAME_CONFIDENCE = {"full": 0.90, "first": 0.75, "last": 0.70, "said": 0.85}
+PLACE_CONFIDENCE = {"city": 0.85, "state": 0.90}
 # The survey's lists and a few of our own; callers may give theirs.
 FIRST_NAMES = (*gazetteer.FIRST_NAMES, "asha", "anil", "mary")
 PLACES = (*gazetteer.CITIES, *gazetteer.STATES, "london", "paris", "berlin", "madrid")
@@ -156,9 +159,10 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cat
 
 
 def names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first_names: tuple[str, ...] = FIRST_NAMES, surnames: tuple[str, ...] = gazetteer.SURNAMES) -> DataFrame:
-    """(doc, name): first names with all names after them, surnames after no first name, and capitalised words after words
+    """(doc, name, confidence): first names with all names after them, surnames after no first name, and capitalised words after words
     as named or Mr that don't begin with a stop word. The lists are bounded parameters; words count by their letters
-    a-z, in any case. Each name once per document, whatever the order."""
+    a-z, in any case. Each name once per document, whatever the order. A run that ends in a surname counts .9, another .75,
+    a surname alone .7, a name known by the words before it .85; what the lists have goes before what the words say."""
     words = F.transform(F.split(text_col, r"\s+"), lambda w: F.regexp_replace(F.lower(w), "[^a-z]", ""))
     firsts, lasts, stops = (sorted(set(x)) for x in (first_names, surnames, gazetteer.NAME_STOP_WORDS))
     marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(*stops), "-").when(w.isin(*firsts), F.concat(F.lit("F:"), w)).when(w.isin(*lasts), F.concat(F.lit("S:"), w)).otherwise("-")), " ")
@@ -166,15 +170,23 @@ def names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first
     alone = F.regexp_extract_all(marked, F.lit(r"(?<!F:[a-z]{1,40} )(S:[a-z]+)"), F.lit(1))
     said = [F.regexp_extract_all(text_col, F.lit(p + r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"), F.lit(1)) for p in (r"(?:name(?:d)?|called|known as)[:\s]+", r"(?i:mr\.?|mrs\.?|ms\.?|dr\.?|sri|smt|shri|shrimati)\s+")]
     given = F.filter(F.concat(*said), lambda n: ~F.lower(F.regexp_extract(n, r"^\w+", 0)).isin(*stops))
-    found_ = F.concat(F.transform(F.concat(runs, alone), lambda n: F.regexp_replace(n, "[FS]:", "")), F.transform(given, lambda n: F.regexp_replace(n, r"\s+", " ")))
-    return docs.select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(F.transform(found_, lambda n: F.initcap(n)))).alias("name"))
-
-
-def locations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", places: tuple[str, ...] = PLACES) -> DataFrame:
-    """(doc, location): cities and states of the list that the text holds, in any case."""
+    plain = lambda n: F.initcap(F.regexp_replace(n, "[FS]:", ""))
+    worth = lambda n, c: F.struct(n.alias("name"), c.alias("confidence"))
+    listed = F.concat(
+        F.transform(runs, lambda n: worth(plain(n), F.when(F.regexp_extract(n, "[a-z]+$", 0).isin(*lasts), NAME_CONFIDENCE["full"]).otherwise(NAME_CONFIDENCE["first"]))),
+        F.transform(alone, lambda n: worth(plain(n), F.lit(NAME_CONFIDENCE["last"]))),
+    )
+    both = F.concat(F.transform(listed, lambda x: F.struct(F.lit(1).alias("rank"), x["confidence"].alias("confidence"), x["name"].alias("name"))), F.transform(given, lambda n: F.struct(F.lit(0).alias("rank"), F.lit(NAME_CONFIDENCE["said"]).alias("confidence"), F.initcap(F.regexp_replace(n, r"\s+", " ")).alias("name"))))
+    best = F.transform(F.array_distinct(F.transform(both, lambda x: x["name"])), lambda n: F.array_max(F.filter(both, lambda x: x["name"] == n)))
+    return docs.select(F.col(id_col).alias("doc"), F.explode(best).alias("b")).select("doc", "b.name", "b.confidence")
+
+
+def locations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", places: tuple[str, ...] = PLACES, states: tuple[str, ...] = gazetteer.STATES) -> DataFrame:
+    """(doc, location, confidence): cities and states of the list that the text holds, in any case; states are the surer."""
     low = F.lower(text_col)
     hits = F.filter(F.array(*map(F.lit, sorted(set(places)))), lambda p: F.contains(low, p))
-    return docs.select(F.col(id_col).alias("doc"), F.explode(hits).alias("location"))
+    found_ = docs.select(F.col(id_col).alias("doc"), F.explode(hits).alias("location"))
+    return found_.select("doc", "location", F.when(F.col("location").isin(*states), PLACE_CONFIDENCE["state"]).otherwise(PLACE_CONFIDENCE["city"]).alias("confidence"))
 
 
 def best_of(entities: DataFrame) -> DataFrame:
@@ -311,11 +323,16 @@ RELATION_WORDS = {
 
 
 def layered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Second catalog, then what context adds, then the confidence: (doc, type, normalized, confidence)."""
-    e = extract(docs, id_col, text_col, SECOND)
-    c = with_context(docs, id_col, text_col).select("doc", "type", F.col("value").alias("normalized"), "context").dropDuplicates(["doc", "type", "normalized"])
-    both = e.join(c, ["doc", "type", "normalized"], "left")
-    return raised_confidence(both, F.col("context")).select("doc", "type", "normalized", "confidence")
+    """(doc, type, normalized, confidence, aliases): the second catalog, then what the words before a value add (.85 where
+    no pattern has found it), then words that are nearly an entity as its aliases, and the confidence that follows."""
+    kinds = ["doc", "type", "normalized"]
+    e = extract(docs, id_col, text_col, SECOND).select(*kinds, "confidence")
+    c = with_context(docs, id_col, text_col).select("doc", "type", F.col("value").alias("normalized"), "context").where("normalized <> ''").dropDuplicates(kinds)
+    new = c.join(e, kinds, "left_anti").select(*kinds, F.lit(0.85).alias("confidence"))
+    every = e.unionByName(new)
+    near = fuzzy_aliases(docs, every.select("doc", "normalized").distinct(), id_col, text_col).groupBy("doc", "normalized").agg(F.sort_array(F.collect_set("alias")).alias("aliases"))
+    both = every.join(c, kinds, "left").join(near, ["doc", "normalized"], "left")
+    return raised_confidence(both, F.col("context"), F.coalesce(F.size("aliases"), F.lit(0))).select(*kinds, "confidence", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
 
 
 def relationships(docs: DataFrame, parties: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = 50) -> DataFrame:

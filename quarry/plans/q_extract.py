@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import extract as X
+from ..operators import gazetteer
 from .registry import query, sql_values, values
 
 
@@ -67,12 +68,12 @@ def _talk(t) -> DataFrame:
     return values(t, _TALK, "doc_id int, text string, s string")
 
 
-@query("c19_names", "SELECT * FROM " + sql_values([(1, "Asha Rao"), (1, "Kiran"), (2, "Meena")], "doc, name"))
+@query("c19_names", "SELECT * FROM " + sql_values([(1, "Asha Rao", 0.9), (1, "Kiran", 0.75), (2, "Meena", 0.9)], "doc, name, confidence"))
 def people(t) -> DataFrame:
     return X.names(_talk(t))
 
 
-@query("c20_locations", "SELECT * FROM " + sql_values([(1, "pune"), (2, "delhi")], "doc, location"))
+@query("c20_locations", "SELECT * FROM " + sql_values([(1, "pune", 0.85), (2, "delhi", 0.9)], "doc, location, confidence"))
 def places(t) -> DataFrame:
     return X.locations(_talk(t))
 
@@ -82,16 +83,17 @@ def people_of_documents(t) -> DataFrame:
     return X.names(t("documents"))
 
 
-@query("c20_locations_documents", "SELECT doc_id AS doc, p AS location FROM documents, (SELECT unnest([" + ", ".join(f"'{p}'" for p in sorted(set(X.PLACES))) + "]) AS p) WHERE contains(lower(text), p)")
-def places_of_documents(t) -> DataFrame:
-    return X.locations(t("documents"))
-
-
 _PLACES = sorted(set(X.PLACES))
 _PLACED = "[" + ", ".join(f"'{p}'" for p in _PLACES) + "]"
+_SURE = "CASE WHEN p IN (" + ", ".join(f"'{p}'" for p in sorted(set(gazetteer.STATES))) + ") THEN 0.9 ELSE 0.85 END::DOUBLE"
+
+
+@query("c20_locations_documents", f"SELECT doc_id AS doc, p AS location, {_SURE} AS confidence FROM documents, (SELECT unnest({_PLACED}) AS p) WHERE contains(lower(text), p)")
+def places_of_documents(t) -> DataFrame:
+    return X.locations(t("documents"))
 
 
-@query("c20_locations_placed", f"WITH d AS (SELECT doc_id, lower(coalesce(text, '') || ' in ' || {_PLACED}[(doc_id % {len(_PLACES)} + 1)::INT]) AS x FROM documents) SELECT doc_id AS doc, p AS location FROM d, (SELECT unnest({_PLACED}) AS p) WHERE contains(x, p)")
+@query("c20_locations_placed", f"WITH d AS (SELECT doc_id, lower(coalesce(text, '') || ' in ' || {_PLACED}[(doc_id % {len(_PLACES)} + 1)::INT]) AS x FROM documents) SELECT doc_id AS doc, p AS location, {_SURE} AS confidence FROM d, (SELECT unnest({_PLACED}) AS p) WHERE contains(x, p)")
 def places_put_in(t) -> DataFrame:
     """The documents with a place at the end of each, as they hold none of their own."""
     place = F.element_at(F.array(*map(F.lit, _PLACES)), (F.col("doc_id") % len(_PLACES) + 1).cast("int"))

@@ -82,6 +82,12 @@ def layered(t) -> DataFrame:
     return X.layered(docs).where("type = 'phone'").select("doc", "normalized", F.round("confidence", 6).alias("confidence"))
 
 
+@query("c32_layers", "SELECT * FROM " + sql_values([(1, "email", "rajesh.k@example.org", 0.97, "rajesh.k@exemple.org"), (1, "email", "rajesh.k@exemple.org", 0.97, "rajesh.k@example.org"), (2, "amount", "500", 1.0, "")], "doc, type, normalized, confidence, aliases"))
+def layers(t) -> DataFrame:
+    docs = values(t, [(1, "mail rajesh.k@example.org or rajesh.k@exemple.org"), (2, "paid Rs. 500")], "doc_id int, text string")
+    return X.layered(docs).where("type in ('email', 'amount')").select("doc", "type", "normalized", F.round("confidence", 6).alias("confidence"), F.array_join("aliases", ",").alias("aliases"))
+
+
 @query("c40_relationships", "SELECT * FROM " + sql_values([(2, "asha rao", "ravi shah", "association"), (2, "ravi shah", "9000000002", "contact")], "doc, source, target, type"))
 def relationships(t) -> DataFrame:
     parties = values(t, [(2, "name", "Asha Rao"), (2, "name", "Ravi Shah"), (2, "company", "Acme Ltd"), (2, "phone", "9000000002")], "doc int, kind string, value string")
@@ -258,3 +264,44 @@ def job_events(t) -> DataFrame:
         spark.streams.removeListener(log)
     lines = [x["message"] for x in log.logs(job)]
     return values(t, [(lines[0], lines[-1], ingest.job_status(q, log)["rows"], sum(j["id"] == job and not j["active"] for j in log.list()), sum(x["level"] == "error" for x in log.logs(job)))], "first string, last string, rows long, jobs int, errors int")
+
+
+@query("a15_presets", "SELECT * FROM " + sql_values([("fast", 60, 3600), ("slow", 10, 86400), ("standard", 30, 300)], "name, per_minute, ttl"))
+def presets(t) -> DataFrame:
+    made = {n: web.preset(n, lambda u, p: "[]") for n in web.PRESETS}
+    return values(t, [(n, f.limiter.n, int(f.cache.ttl)) for n, f in made.items()], "name string, per_minute int, ttl int")
+
+
+@query("a16_cached_answers", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'kept' ELSE 'asked' END AS answer FROM nation")
+def cached(t) -> DataFrame:
+    """Every third nation is asked for again within its time to live, the others when it is over."""
+    out = []
+    for (k,) in sorted(t("nation").select("n_nationkey").collect()):
+        now = [0.0]
+        cache = web.TTLCache(10, clock=lambda now=now: now[0])
+        cache.put(str(k), "kept")
+        now[0] = 9.0 if k % 3 == 0 else 11.0
+        out.append((k, cache.get(str(k)) or "asked"))
+    return values(t, out, "n_nationkey int, answer string")
+
+
+@query("a17_limited_calls", "SELECT i AS call, CASE WHEN i % 13 < 10 THEN 0 ELSE 60 - i % 13 END AS wait FROM range(39) r(i)")
+def limited(t) -> DataFrame:
+    """Ten calls a minute, a call a second; after thirteen a minute's rest."""
+    now, out = [0.0], []
+    for i in range(39):
+        if i % 13 == 0:
+            limiter = web.RateLimiter(10, clock=lambda: now[0])
+        now[0] += 1.0
+        out.append((i, int(limiter.wait())))
+    return values(t, out, "call long, wait long")
+
+
+@query("a32_simple_csv", "SELECT p_partkey, p_name || CASE WHEN p_partkey % 2 = 0 THEN ', \"' || p_brand || '\"' ELSE '' END AS label FROM part")
+def simple_csv(t) -> DataFrame:
+    """Parts with commas and quotes, written and read back."""
+    spark = t("region").sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/csv-{uuid.uuid4().hex}"
+    label = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(', "'), "p_brand", F.lit('"'))).otherwise(""))
+    sinks.write_csv(t("part").select("p_partkey", label.alias("label")), path)
+    return spark.read.option("header", True).option("escape", '"').schema("p_partkey long, label string").csv(path)
