@@ -10,7 +10,7 @@ from .encode import encoder
 
 VOCABULARY = "word_bpe_49k.json"
 #: Lengths per block: running sums are made over blocks, then within each.
-BLOCK = 1024
+BLOCK = 128
 
 
 def encoded_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
@@ -41,7 +41,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     hist = materialize(length_histogram(encoded_lengths(docs, id_col, text_col, vocabulary)), "histogram").withColumn("block", F.floor(F.col("n_tokens") / BLOCK)).withColumn("tokens", F.col("n_docs") * F.col("n_tokens"))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    # one row per 1,024 lengths: few, whatever the number of documents
+    # one row per BLOCK lengths: few, whatever the number of documents
     blocks = hist.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum("tokens").alias("t"))
     blocks = blocks.select("block", (F.sum("d").over(later) - F.col("d")).alias("docs_after"), (F.sum("t").over(later) - F.col("t")).alias("tokens_after"), F.sum("d").over(Window.partitionBy()).alias("all_docs"), F.sum("t").over(Window.partitionBy()).alias("all_tokens"))
     inner = Window.partitionBy("block").orderBy(F.col("n_tokens").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
