@@ -434,3 +434,28 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     named = materialize(named.where("rows > 1 or comp <> nid").join(least, "comp").unionByName(named.where("rows = 1 and comp = nid").join(comp.select("comp").distinct(), "comp", "left_semi").join(least, "comp")).select("nid", "rows", "component_id"), "named")
     out = lookup(rows.select("doc_id", "n", "nid"), "nid", named, "rows", max(1, rows.count()), "component_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+#: The rows of op4_ngram_jaccard: all pairs of documents that share a shingle, and what links reach.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, md5(s) AS s FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN ['short ' || array_to_string(w, ' ')] ELSE [] END) AS s FROM w)
+), n AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS MATERIALIZED (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL
+), e AS MATERIALIZED (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 80 * (x.n + y.n - common)
+), l AS MATERIALIZED (
+  SELECT a, b FROM e UNION ALL SELECT b, a FROM e
+), r(id, o) AS (
+  SELECT a, b FROM l UNION SELECT r.id, l.b FROM r JOIN l ON r.o = l.a
+), c AS (
+  SELECT id, min(o) AS o FROM r GROUP BY id
+)
+SELECT documents.doc_id, coalesce(n, 0) AS n_shingles, least(documents.doc_id, coalesce(o, documents.doc_id)) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.id = documents.doc_id
+"""

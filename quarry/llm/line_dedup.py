@@ -122,3 +122,31 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     schema = ", ".join(f"`{n}` {t}" for n, t in [*joined.dtypes[:-1], (n_lines, "long"), (n_removed, "long")])
     return map_rows(joined, clean, schema)
+
+
+#: White space of all scripts, as lines are stripped of.
+_SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+#: The rows of op1_line_dedup: windows of 20 words from each line on and up to each line, and the first place of each.
+ORACLE_SQL = rf"""
+WITH a AS MATERIALIZED (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM documents WHERE text IS NOT NULL
+), t AS MATERIALIZED (
+  SELECT doc_id, k, raw, regexp_replace(raw, '^{_SPACE}+|{_SPACE}+$', '', 'g') AS line, len(regexp_extract_all(raw, '[^\x20\x09-\x0D]+')) AS n FROM a
+), l AS MATERIALIZED (
+  SELECT doc_id, k, line, n, row_number() OVER o AS i, sum(n) OVER o AS upto FROM t WHERE line <> '' WINDOW o AS (PARTITION BY doc_id ORDER BY k ROWS UNBOUNDED PRECEDING)
+), w AS MATERIALIZED (
+  SELECT x.doc_id, x.i AS s, y.i AS e FROM (SELECT *, upto - n + 20 AS need FROM l) x ASOF JOIN l y ON x.doc_id = y.doc_id AND x.need <= y.upto
+  UNION SELECT y.doc_id, x.i, y.i FROM (SELECT *, upto - 20 AS most FROM l) y ASOF JOIN (SELECT *, upto - n AS before FROM l) x ON x.doc_id = y.doc_id AND y.most >= x.before
+), c AS MATERIALIZED (
+  SELECT w.*, array_to_string(list_slice(d.lines, s, e), chr(10)) AS content FROM w JOIN (SELECT doc_id, list(line ORDER BY i) AS lines FROM l GROUP BY doc_id) d USING (doc_id)
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY content ORDER BY doc_id, s) AS place FROM c
+), g AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(range(s, e + 1)) AS i FROM r WHERE place > 1
+), q AS (
+  SELECT t.doc_id, t.k, t.raw, l.i IS NOT NULL AS filled, g.i IS NOT NULL AS gone FROM t LEFT JOIN l USING (doc_id, k) LEFT JOIN g ON g.doc_id = l.doc_id AND g.i = l.i
+)
+SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN text IS NOT NULL THEN sha256(coalesce(kept, '')) END AS kept_sha256
+FROM documents LEFT JOIN (SELECT doc_id, count_if(filled) AS n_lines, count_if(gone) AS n_removed, string_agg(raw, chr(10) ORDER BY k) FILTER (NOT gone) AS kept FROM q GROUP BY doc_id) USING (doc_id)
+"""

@@ -69,4 +69,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_exact_dedup, op4_ngram_jaccard, op5_suffix_dedup, op6_best_fit_packing, op7_source_mixing, op8_lm_score, op9_quality_rules, op10_token_counts)
 }
-ORACLES: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op7_source_mixing": mixing.ORACLE_SQL}
+ORACLES: dict[str, str] = {
+    "op1_line_dedup": line_dedup.ORACLE_SQL, "op3_exact_dedup": exact_dedup.ORACLE_SQL, "op4_ngram_jaccard": jaccard.ORACLE_SQL, "op5_suffix_dedup": suffix_dedup.ORACLE_SQL, "op7_source_mixing": mixing.ORACLE_SQL,
+}

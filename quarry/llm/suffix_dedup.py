@@ -311,3 +311,31 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield {"doc_id": b.column(0), **out}
 
     return map_rows(joined, clean, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+#: The rows of op5_suffix_dedup: every string of 200 bytes, in hexadecimal, and the runs that those cover which occur twice.
+ORACLE_SQL = r"""
+WITH h AS MATERIALIZED (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), b AS MATERIALIZED (
+  SELECT doc_id, h, length(h) // 2 AS n FROM h
+), c AS (
+  SELECT doc_id, n, c, substr(h, 2 * c + 1, 2398) AS piece FROM (SELECT *, unnest(range(0, n, 1000)) AS c FROM b)
+), p AS MATERIALIZED (
+  SELECT doc_id, c + i AS pos, md5(substr(piece, 2 * i + 1, 400)) AS bytes FROM (SELECT *, unnest(range(0, least(1000, n - c - 199))) AS i FROM c WHERE n - c >= 200)
+), d AS MATERIALIZED (
+  SELECT doc_id, pos FROM p WHERE bytes IN (SELECT bytes FROM p GROUP BY bytes HAVING count(*) > 1)
+), s AS (
+  SELECT doc_id, pos, coalesce(pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) > 200, true) AS fresh FROM d
+), g AS (
+  SELECT doc_id, pos, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM s
+), r AS MATERIALIZED (
+  SELECT doc_id, run, min(pos) AS a, max(pos) + 200 AS z FROM g GROUP BY ALL
+), k AS (
+  SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS last FROM r GROUP BY doc_id
+), f AS (
+  SELECT r.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM (SELECT *, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM r) r JOIN b USING (doc_id) GROUP BY r.doc_id
+)
+SELECT b.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM b LEFT JOIN k USING (doc_id) LEFT JOIN f USING (doc_id)
+"""
