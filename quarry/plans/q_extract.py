@@ -78,7 +78,22 @@ def places(t) -> DataFrame:
     return X.locations(_talk(t))
 
 
-@query("c19_names_documents")
+def _listed(words) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in sorted(set(words))) + ")"
+
+
+_NAMES_SQL = rf"""WITH d AS MATERIALIZED (SELECT doc_id, list_transform(string_split_regex(text, '\s+'), lambda w: regexp_replace(lower(w), '[^a-z]', '', 'g')) AS ws FROM documents WHERE text IS NOT NULL),
+t AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+k AS MATERIALIZED (SELECT *, CASE WHEN w IN {_listed(gazetteer.NAME_STOP_WORDS)} THEN '-' WHEN w IN {_listed(X.FIRST_NAMES)} THEN 'F' WHEN w IN {_listed(gazetteer.SURNAMES)} THEN 'S' ELSE '-' END AS g FROM t),
+b AS (SELECT *, coalesce(min(CASE WHEN g = '-' THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), max(i) OVER (PARTITION BY doc_id) + 1) AS stop, lag(g, 1, '-') OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM k),
+n AS (SELECT doc_id, array_to_string(ws[i:stop - 1], ' ') AS name, CASE WHEN ws[stop - 1] IN {_listed(gazetteer.SURNAMES)} THEN 0.9 ELSE 0.75 END::DOUBLE AS c, 1 AS rank FROM b JOIN d USING (doc_id) WHERE g = 'F'
+UNION ALL SELECT doc_id, w, 0.7, 1 FROM b WHERE g = 'S' AND prev <> 'F'
+UNION ALL SELECT doc_id, regexp_replace(m, '\s+', ' ', 'g'), 0.85, 0 FROM (SELECT doc_id, unnest(list_concat(regexp_extract_all(text, '(?:name(?:d)?|called|known as)[:\s]+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)', 1), regexp_extract_all(text, '(?:(?i:mr\.?|mrs\.?|ms\.?|dr\.?|sri|smt|shri|shrimati))\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)', 1))) AS m FROM documents WHERE text IS NOT NULL) WHERE lower(regexp_extract(m, '^\w+')) NOT IN {_listed(gazetteer.NAME_STOP_WORDS)}),
+v AS (SELECT doc_id, array_to_string(list_transform(string_split(name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') AS name, c, rank FROM n)
+SELECT doc_id AS doc, name, arg_max(c, rank * 10 + c) AS confidence FROM v GROUP BY doc_id, name"""
+
+
+@query("c19_names_documents", _NAMES_SQL)
 def people_of_documents(t) -> DataFrame:
     return X.names(t("documents"))
 

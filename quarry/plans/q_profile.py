@@ -183,11 +183,25 @@ def looser_pairs(t) -> DataFrame:
     return V.near_pairs(vecs(t), 0.4).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("j04_leader_clusters")
+def _leaders_sql(threshold: float) -> str:
+    """One row after the other joins the first leader that is near enough, or leads itself."""
+    return f"""WITH RECURSIVE near AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COS} >= {threshold}),
+p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS k, vec_id, coalesce(before, []) AS before FROM embeddings LEFT JOIN (SELECT b, list(a) AS before FROM near GROUP BY b) ON b = vec_id),
+r(k, leaders) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT p.k, CASE WHEN len(list_intersect(leaders, before)) > 0 THEN leaders ELSE list_append(leaders, vec_id) END FROM r JOIN p ON p.k = r.k + 1)
+SELECT coalesce(list_min(list_intersect(leaders, before)), vec_id) AS leader, vec_id AS id FROM p, (SELECT leaders FROM r ORDER BY k DESC LIMIT 1)"""
+
+
+@query("j04_leader_clusters", _leaders_sql(0.85))
 def leaders(t) -> DataFrame:
     return V.leader_clusters(vecs(t), 0.85)
 
 
+@query("j04_leader_clusters_looser", _leaders_sql(0.3))
+def looser_leaders(t) -> DataFrame:
+    """At a limit that vectors of the tables reach."""
+    return V.leader_clusters(vecs(t), 0.3)
+
+
 @query("j06_semantic_dedup", f"SELECT vec_id AS id FROM embeddings b WHERE NOT EXISTS (SELECT 1 FROM embeddings a WHERE a.vec_id < b.vec_id AND {_COS} >= 0.95)")
 def semantic_dedup(t) -> DataFrame:
     v = vecs(t)
