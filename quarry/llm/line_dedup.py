@@ -52,39 +52,42 @@ def fingerprints(text: str, min_words: int = MIN_WORDS) -> list[tuple[int, int,
 
 
 def repeated_runs(docs: DataFrame, id_col: str | Column = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, runs array<struct<start, stop>>): lines of a document, counted without blank ones, that occur earlier.
+    """(doc_id, text_key, runs array<struct<start, stop>>): lines of a document, counted without blank ones, that occur earlier.
 
-    Earlier is by id, then by place. The lines that windows select are joined by their hash; what stands at one position
+    A document is an id with a text, as ids may repeat; text_key is the text's 64-bit hash. Earlier is by id, then by
+    text_key, then by place. The lines that windows select are joined by their hash; what stands at one position
     only goes no further. Then a match extends both ways, window by window, as long as the windows around the shared
     lines are equal: each is compared with its first occurrence, and windows that overlap make up the run. A run that is
     equal to several earlier ones, here longer on one side and there on the other, is therefore covered by all of them.
     """
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     id_type = dict(rows.dtypes)["doc_id"]
     names = ("mark", "at", "place", "length", "h1", "h2")
 
     def occurrences(slices):
         for b in slices:
             rows_, found = [], []
-            for r, text in enumerate(b.column(1).to_pylist()):
+            for r, text in enumerate(b.column(2).to_pylist()):
                 own = fingerprints(text, min_words)
                 rows_ += [r] * len(own)
                 found += own
                 if len(found) >= HELD or (found and r == b.num_rows - 1):
-                    yield {"doc_id": b.column(0).take(np.array(rows_)), **dict(zip(names, zip(*found, strict=True), strict=True))}
+                    at = np.array(rows_)
+                    yield {"doc_id": b.column(0).take(at), "text_key": b.column(1).take(at), **dict(zip(names, zip(*found, strict=True), strict=True))}
                     rows_, found = [], []
 
-    found = materialize(map_rows(rows, occurrences, f"doc_id {id_type}, mark long, at int, place int, length int, h1 long, h2 long"), "lines")
+    found = materialize(map_rows(rows, occurrences, f"doc_id {id_type}, text_key long, mark long, at int, place int, length int, h1 long, h2 long"), "lines")
     total = found.count()
-    where = F.struct("doc_id", "at")
+    where = F.struct("doc_id", "text_key", "at")
     marks = found.groupBy("mark").agg(F.min(where).alias("lo"), F.max(where).alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi").select("mark", "n", F.lit(True).alias("shared"))
     met = lookup(found, "mark", materialize(marks, "marks"), "n", total, "shared").where("shared").drop("shared", "mark", "at")
     met = materialize(met.withColumn("fp", F.xxhash64("h1", "h2")), "met")
-    firsts = met.groupBy("fp").agg(F.min(F.struct("doc_id", "place", "h1", "h2")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = met.groupBy("fp").agg(F.min(F.struct("doc_id", "text_key", "place", "h1", "h2")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = lookup(met, "fp", materialize(firsts, "firsts"), "n", max(1, met.count()), "first").where("first is not null")
-    later = later.where((F.col("h1") == F.col("first.h1")) & (F.col("h2") == F.col("first.h2")) & ~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("place") == F.col("first.place"))))
+    later = later.where((F.col("h1") == F.col("first.h1")) & (F.col("h2") == F.col("first.h2")) & ~((F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")) & (F.col("place") == F.col("first.place"))))
     # at most two rows per line of a document
-    return later.groupBy("doc_id").agg(F.collect_set(F.struct(F.col("place").alias("start"), (F.col("place") + F.col("length")).alias("stop"))).alias("runs"))
+    return later.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(F.col("place").alias("start"), (F.col("place") + F.col("length")).alias("stop"))).alias("runs"))
 
 
 def without_runs(text: str, runs: list[tuple[int, int]]) -> tuple[str, int, int]:
@@ -102,15 +105,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first occurrence stays. Lines are compared without the white space at their ends; blank lines stay. A document with
     fewer words than that is left alone.
 
-    Null text stays null. Null ids take no part. Rows that repeat an id count as one document and never delete each
-    other. Further columns pass through, whatever their names; the two names given must be free. An empty table gives no
-    rows.
+    Null text stays null. Null ids take no part. Rows that repeat an id and its text count as one document and never
+    delete each other; rows that repeat an id with other texts are documents of their own, in the order of their texts'
+    hashes, and a line that goes from one of them stays in an earlier one. Further columns pass through, whatever their
+    names; the two names given must be free. An empty table gives no rows.
     """
     if {n_lines, n_removed} & set(docs.columns):
         raise ValueError(f"columns {n_lines} and {n_removed} must be free")
-    key, spans = free_names(docs.columns, "id", "runs")
-    runs = repeated_runs(docs, id_col, text_col, min_words).select(F.col("doc_id").alias(key), F.col("runs").alias(spans))
-    joined = docs.join(runs, F.col(id_col) == F.col(key), "left").drop(key)
+    key, text_key, spans = free_names(docs.columns, "id", "key", "runs")
+    runs = repeated_runs(docs, id_col, text_col, min_words).select(F.col("doc_id").alias(key), F.col("text_key").alias(text_key), F.col("runs").alias(spans))
+    # null ids are spread by the hash of their text
+    joined = docs.join(runs, (F.col(id_col) == F.col(key)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(text_key)), "left").drop(key, text_key)
     names = joined.columns
     at, last = names.index(text_col), len(names) - 1
 

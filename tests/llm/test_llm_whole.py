@@ -50,3 +50,15 @@ def test_every_repeated_run_of_lines_goes(spark):
         want[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     out = line_dedup.line_dedup(spark.createDataFrame([(i, "\n".join(x)) for i, x in texts.items()], "doc_id long, text string").repartition(3))
     assert {r["doc_id"]: r["text"] for r in out.collect()} == want
+
+
+def test_lines_of_repeated_ids_stay_once(spark):
+    """Rows of one id with other texts are documents of their own: no line may vanish from all of them."""
+    line = lambda name: " ".join(f"{name}{j}" for j in range(25))
+    a, b, c, p, q, z = map(line, "abcpqz")
+    rows = [(1, a), (3, f"{b}\n{c}"), (3, f"{a}\n{z}"), (5, f"{p}\n{q}"), (5, f"{z} x\n{p}"), (7, b), (7, b), (None, p)]
+    out = [(r["doc_id"], r["text"]) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()]
+    assert (1, a) in out and (3, f"{b}\n{c}") in out and (3, z) in out and (None, p) in out
+    assert out.count((7, "")) == 2
+    fives = sorted(x for i, x in out if i == 5)
+    assert fives in (sorted([f"{p}\n{q}", f"{z} x"]), sorted([q, f"{z} x\n{p}"]))
