@@ -33,8 +33,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later runs of repeated lines go; a document of which no line is left goes too.
 
     Null, empty and blank texts have no line that could go and stay as they are, as do rows without an id. ``n_chars``
-    is set anew where lines went. Rows that repeat an id count as one document; of equal runs that of the least id, then
-    of the least place stays. Any further column passes through, whatever its name. An empty table gives no rows.
+    is set anew where lines went. Rows that repeat an id and its text count as one document; of equal runs that of the
+    least id, then of the least text hash, then of the least place stays. Any further column passes through, whatever its name. An empty table gives no rows.
     """
     reach(spark)
     names = docs.columns
