@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, langid, line_dedup, lm_score, mixing, packing, quality, suffix_dedup, token_counts
+from . import chat_format, exact_dedup, jaccard, langid, line_dedup, lm_score, mixing, packing, quality, suffix_dedup, token_counts
 
 
 def reach(spark: SparkSession) -> None:
@@ -66,9 +66,17 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the formatted text of each conversation says when it is read back, of an imitation of the template too."""
+    imitation = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(chat_format.IMITATION).alias("text"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(imitation)
+    return chat_format.read_back(chat_format.chat_format(turns))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_exact_dedup, op4_ngram_jaccard, op5_suffix_dedup, op6_best_fit_packing, op7_source_mixing, op8_lm_score, op9_quality_rules, op10_token_counts)
+    f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_exact_dedup, op4_ngram_jaccard, op5_suffix_dedup, op6_best_fit_packing, op7_source_mixing, op8_lm_score, op9_quality_rules, op10_token_counts, op11_chat_formatting)
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL, "op3_exact_dedup": exact_dedup.ORACLE_SQL, "op4_ngram_jaccard": jaccard.ORACLE_SQL, "op5_suffix_dedup": suffix_dedup.ORACLE_SQL, "op7_source_mixing": mixing.ORACLE_SQL,
+    "op11_chat_formatting": chat_format.ORACLE_SQL,
 }

@@ -14,7 +14,8 @@ def test_query(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{DATA}/documents.parquet'")
+    for name_ in ("documents", "conversations"):
+        con.execute(f"create view {name_} as select * from '{DATA}/{name_}.parquet'")
     want = con.sql(ORACLES[name])
     got = QUERIES[name](spark, DATA)
     assert sorted(got.columns) == sorted(want.columns)
