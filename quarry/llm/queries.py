@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, jaccard, langid, line_dedup, lm_score, mixing, packing, quality, suffix_dedup, token_counts
+from . import chat_format, exact_dedup, jaccard, langid, line_dedup, lm_score, mixing, packing, periodic_runs, quality, suffix_dedup, token_counts
+from .common import WORD
 
 
 def reach(spark: SparkSession) -> None:
@@ -73,10 +74,33 @@ def op11_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.chat_format(turns))
 
 
+def _with_period(doc_id: Column, text: Column) -> Column:
+    """The text, which in one document of ten goes on periodically from some word on, as the id's hash says."""
+    h = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+    words, g = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.floor(h / 10)
+    n = F.size(words).cast("long")
+    a = F.pmod(g, n)
+    p = F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))) + 1
+    made = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.element_at(words, (a + F.pmod(i - a, p) + 1).cast("int"))))
+    return F.when((h % 10 == 0) & text.rlike(WORD), F.array_join(made, " ")).otherwise(text)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of each document, some of which are made periodic first: how many, the greatest, digests of all and of the rest."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", _with_period(F.col("doc_id"), F.col("text")).alias("text"))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    out = periodic_runs.periodic_runs(docs).withColumn("b", best)
+    return out.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("b.start")).alias("start"), F.col("b.length").alias("length"), (-F.col("b.period")).alias("period"),
+        F.expr("1000 * b.length div -b.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_exact_dedup, op4_ngram_jaccard, op5_suffix_dedup, op6_best_fit_packing, op7_source_mixing, op8_lm_score, op9_quality_rules, op10_token_counts, op11_chat_formatting)
+    f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_exact_dedup, op4_ngram_jaccard, op5_suffix_dedup, op6_best_fit_packing, op7_source_mixing, op8_lm_score, op9_quality_rules, op10_token_counts, op11_chat_formatting, op12_periodic_runs)
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL, "op3_exact_dedup": exact_dedup.ORACLE_SQL, "op4_ngram_jaccard": jaccard.ORACLE_SQL, "op5_suffix_dedup": suffix_dedup.ORACLE_SQL, "op7_source_mixing": mixing.ORACLE_SQL,
-    "op11_chat_formatting": chat_format.ORACLE_SQL,
+    "op11_chat_formatting": chat_format.ORACLE_SQL, "op12_periodic_runs": periodic_runs.ORACLE_SQL,
 }
