@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import as_strided
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,12 @@ def lag_cuts(n: int, shares: int, min_exp: int = MIN_EXP) -> list[int]:
     return [1, *(np.searchsorted(upto, wanted, side="left") + 1).tolist(), lags + 1]
 
 
+@lru_cache(maxsize=1)
+def _cells(n: int) -> np.ndarray:
+    """Room for so many results, used again and again."""
+    return np.empty(n, np.bool_)
+
+
 def scan(ids: np.ndarray, lo: int, hi: int, min_length: int = MIN_LENGTH, min_exp: int = MIN_EXP) -> list[tuple[int, int, int]]:
     """[(start, length, period)] of the maximal stretches that keep a period from lo to hi - 1 for long enough.
 
@@ -43,23 +50,33 @@ def scan(ids: np.ndarray, lo: int, hi: int, min_length: int = MIN_LENGTH, min_ex
     here = np.full(width, np.iinfo(wide).max, wide)
     there = np.full(width + hi, np.iinfo(wide).max - 1, wide)
     here[:n] = there[:n] = ids
-    rows = max(1, CELLS // width)
-    all_true = np.uint64(0x0101010101010101)
-    for first in range(lo, hi, rows):
+    rows, first = max(1, CELLS // width), lo
+    all_true, cells = np.uint64(0x0101010101010101), _cells(max(CELLS, width))
+    while first < hi:
         last = min(first + rows, hi)
-        same = as_strided(there[first:], (last - first, width), (there.itemsize, there.itemsize)) == here
-        # a lag needs a stretch of max(lag * (min_exp - 1), min_length - lag); one of 15 holds a whole 8-byte word
-        if first * (min_exp - 1) >= 15:
-            found = np.flatnonzero((same.view(np.uint64) == all_true).any(axis=1))
+        # a lag needs a true stretch of so many; one of 15 holds a whole 8-byte word
+        if first * (min_exp - 1) < 15:
+            last = min(last, -(-15 // (min_exp - 1)))
+        shifted = np.ndarray((last - first, width), wide, there, first * there.itemsize, (there.itemsize, there.itemsize))
+        same = np.equal(shifted, here, out=cells[: (last - first) * width].reshape(last - first, width))
+        if first * (min_exp - 1) < 15:
+            held, most = same, min(max(q * (min_exp - 1), min_length - q) for q in range(first, last))
+            while most > 1:
+                step = most // 2
+                held, most = held[:, :-step] & held[:, step:], most - step
         else:
-            found = range(last - first)
-        for k in found:
-            lag = first + int(k)
-            edges = np.flatnonzero(np.diff(same[k].view(np.int8), prepend=0, append=0))
+            held = same.view(np.uint64) == all_true
+        for k in np.flatnonzero(held.any(axis=1)).tolist():
+            lag = first + k
+            # the last comparison of a lag is with what stands beyond the end, so every stretch ends before it
+            edges = np.flatnonzero(same[k, 1:] != same[k, :-1]) + 1
+            if same[k, 0]:
+                edges = np.concatenate(([0], edges))
             start, stop = edges[::2], edges[1::2]
             length = stop - start + lag
             keep = (length >= min_length) & (length >= min_exp * lag)
             out += zip(start[keep].tolist(), length[keep].tolist(), [lag] * int(keep.sum()), strict=True)
+        first = last
     return out
 
 
@@ -127,7 +144,7 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for _, ids, words in found(b, 1):
                 own = least_periods(scan(ids, 1, len(ids) // min_exp + 1, min_length, min_exp))
                 runs.append(_structs(own))
-                texts.append(collapsed([words[k] for k in ids], own).decode("utf-8", "replace"))
+                texts.append(collapsed([words[k] for k in ids.tolist()], own).decode("utf-8", "replace"))
             yield {"doc_id": b.column(0), "runs": runs, "collapsed": texts}
 
     def share(slices):
@@ -145,7 +162,7 @@ def periodic_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for r, ids, words in found(b, 1):
                 own = least_periods([(x["start"], x["length"], x["period"]) for part in parts[r] for x in part])
                 runs.append(_structs(own))
-                texts.append(collapsed([words[k] for k in ids], own).decode("utf-8", "replace"))
+                texts.append(collapsed([words[k] for k in ids.tolist()], own).decode("utf-8", "replace"))
             yield {"doc_id": b.column(0), "runs": runs, "collapsed": texts}
 
     short = map_rows(rows.where(size <= long_bytes), whole, f"doc_id {id_type}, {schema}")

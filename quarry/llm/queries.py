@@ -78,11 +78,17 @@ def _with_period(doc_id: Column, text: Column) -> Column:
     """The text, which in one document of ten goes on periodically from some word on, as the id's hash says."""
     h = F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
     words, g = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.floor(h / 10)
-    n = F.size(words).cast("long")
-    a = F.pmod(g, n)
-    p = F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))) + 1
-    made = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.element_at(words, (a + F.pmod(i - a, p) + 1).cast("int"))))
-    return F.when((h % 10 == 0) & text.rlike(WORD), F.array_join(made, " ")).otherwise(text)
+
+    def made(ws: Column) -> Column:
+        n = F.size(ws).cast("long")
+        a = F.pmod(g, n)
+        p = F.floor((n - a) / (3 + F.pmod(g, F.lit(8)))) + 1
+        period = F.slice(ws, (a + 1).cast("int"), p.cast("int"))
+        tail = F.flatten(F.array_repeat(period, F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(ws, F.lit(1), a.cast("int")), F.slice(tail, F.lit(1), (n - a).cast("int"))), " ")
+
+    # an array of one, so that the words are split once and not once per word
+    return F.when((h % 10 == 0) & text.rlike(WORD), F.transform(F.array(words), made)[0]).otherwise(text)
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
