@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, jaccard, langid, line_dedup, lm_score, mixing, packing, periodic_runs, quality, suffix_dedup, token_counts
+from . import chat_format, divergence, exact_dedup, jaccard, langid, line_dedup, lm_score, mixing, packing, periodic_runs, quality, suffix_dedup, token_counts
 from .common import WORD
 
 
@@ -103,10 +103,14 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_exact_dedup, op4_ngram_jaccard, op5_suffix_dedup, op6_best_fit_packing, op7_source_mixing, op8_lm_score, op9_quality_rules, op10_token_counts, op11_chat_formatting, op12_periodic_runs)
+    f.__name__: f for f in (op1_line_dedup, op2_language_id, op3_exact_dedup, op4_ngram_jaccard, op5_suffix_dedup, op6_best_fit_packing, op7_source_mixing, op8_lm_score, op9_quality_rules, op10_token_counts, op11_chat_formatting, op12_periodic_runs, op13_source_divergence)
 }
 ORACLES: dict[str, str] = {
     "op1_line_dedup": line_dedup.ORACLE_SQL, "op3_exact_dedup": exact_dedup.ORACLE_SQL, "op4_ngram_jaccard": jaccard.ORACLE_SQL, "op5_suffix_dedup": suffix_dedup.ORACLE_SQL, "op7_source_mixing": mixing.ORACLE_SQL,
-    "op11_chat_formatting": chat_format.ORACLE_SQL, "op12_periodic_runs": periodic_runs.ORACLE_SQL,
+    "op11_chat_formatting": chat_format.ORACLE_SQL, "op12_periodic_runs": periodic_runs.ORACLE_SQL, "op13_source_divergence": divergence.ORACLE_SQL,
 }
