@@ -29,6 +29,8 @@ TOP = 10
 HELD = 1 << 20
 #: Terms and sources of a tile; tiles bound what a task of the pairs holds.
 TILE_TERMS, TILE_SOURCES = 16_384, 64
+#: Tasks that the terms of one language or source are dealt out to.
+SALTS = 32
 
 
 def boundaries(texts: pa.Array) -> tuple[np.ndarray, list[bytes]]:
@@ -189,6 +191,13 @@ def _share_column(count: Column, n: Column, v: Column) -> Column:
     return F.lit(1) + F.call_function("div", (count + 2).cast(wide) * F.lit(UNIT).cast("decimal(10,0)"), (n + 2 * v).cast(wide))
 
 
+def _looked_up(rows: DataFrame, table: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of the one row of table that has their keys. Rows of a key are dealt out by their term."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(SALTS)).cast("int"))
+    copies = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*keys, "salt"]).drop("salt")
+
+
 def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """(lang, source, part, item, value, rank): how each source's words differ from those of others of its language.
 
@@ -216,7 +225,7 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
     numbered = totals.withColumn("no", F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("lang")))
     sources = materialize(numbered.join(langs, "lang"), "sources")
 
-    named = cells.where("term <> '' and n > 0").join(sources, ["lang", "source"])
+    named = _looked_up(cells.where("term <> '' and n > 0"), sources, ["lang", "source"])
     p, q = _share_column(F.col("n"), F.col("total"), F.col("v")), _share_column(F.col("lang_n"), F.col("lang_total"), F.col("v"))
     terms = named.select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q")).where("p > q")
     terms = terms.select("lang", "source", "item", F.expr("((p - q) * (p - q)) div (p + q)").alias("value"))
@@ -233,7 +242,7 @@ def source_divergence(docs: DataFrame, text_col: str = "text", lang_col: str = "
         return other.withColumn("a", F.least(block, "other")).withColumn("b", F.greatest(block, "other"))
 
     tile = F.pmod(F.xxhash64("term"), tiles)
-    sizes = kept.where("term <> ''").join(langs, "lang").groupBy("lang", tile.alias("tile")).agg(F.count(F.lit(1)).alias("terms"))
+    sizes = _looked_up(kept.where("term <> ''").select("lang", "term"), langs, ["lang"]).groupBy("lang", tile.alias("tile")).agg(F.count(F.lit(1)).alias("terms"))
     in_tiles = both(named.withColumn("tile", tile)).select("lang", "a", "b", "tile", "no", "term", "n")
     # columns of their own, as both sides of the pairing come from the same table
     fresh = [F.col(c).alias(c) for c in ("lang", "a", "b", "tile", "no", "source", "total", "v", "terms")]
