@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.records import combine, first_of
 from .graph import components
+from .near import near_classes, near_pairs
 
 # Where a record's person, company and account are found.
 PERSON_FIELDS = ["name", "NAME", "first_name", "FIRST_NAME", "customer_name", "client_name"]
@@ -88,24 +89,31 @@ def candidate_pairs(entities: DataFrame, keys: Column) -> DataFrame:
 def resolve(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
     """(id, cluster): entities joined by pairs of at least that score; clusters are components, named by their least id.
 
-    Above .6 a pair that is not equal needs equal phonetic codes, or an alias or a context; entities (id, type,
-    normalized) have neither, so equal values and equal codes are all the keys there are. At .6 or less edit similarity
-    alone is enough, and pairs meet by edit_keys() as well.
+    A pair that is not equal needs an edit similarity above .8, and above a score of .6 equal phonetic codes as well, or
+    an alias or a context; entities (id, type, normalized) have neither. So near_classes() finds all that may be linked.
+    At .3 or less equal codes are enough, and everybody of a code is linked with the first.
     """
     e = entities.select("id", "type", "normalized")
     # equal entities are one from the start, so a value that very many have makes no pairs
     same = e.groupBy("type", "normalized").agg(F.min("id").alias("id"))
-    named = F.when(F.col("type").isin("name", "organization"), F.concat(F.lit("phonetic:"), "type", F.lit(":"), T.phonetic(F.col("normalized"))))
-    keys = F.filter(F.array(named), lambda k: k.isNotNull())
-    if threshold <= 0.6:
-        keys = F.concat(keys, F.transform(edit_keys(F.col("normalized"), LOSSLESS), lambda k: F.concat("type", F.lit(":"), k)))
-    pairs = candidate_pairs(same, keys)
-    links = pairs.where(similarity_score("x", "y") >= threshold).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    nodes = same.select("id", F.col("type").alias("kind"), F.lower("normalized").alias("v")).where("kind is not null and v is not null")
+    x, y = F.col("x.v"), F.col("y.v")
+    edit, coded = T.similarity(x, y), F.col("x.kind").isin("name", "organization") & (T.phonetic(x) == T.phonetic(y))
+    score = F.when(edit > 0.8, edit * 0.6).otherwise(0.0) + F.when(coded, 0.3).otherwise(0.0)
+    links = near_classes(nodes, max(LOSSLESS, (threshold - 0.3) / 0.6 - 1e-9), score >= threshold).select(F.col("id").alias("a"), F.col("component").alias("b"))
+    if threshold <= 0.3:
+        links = links.unionByName(_to_first(nodes.where(F.col("kind").isin("name", "organization")).withColumn("code", T.phonetic(F.col("v"))), ["kind", "code"]))
     comp = components(links)
     clusters = same.withColumnRenamed("id", "lead").join(comp.withColumnRenamed("id", "lead"), "lead", "left").select("type", "normalized", F.coalesce("component", "lead").alias("cluster"))
     return e.join(clusters, e["type"].eqNullSafe(clusters["type"]) & e["normalized"].eqNullSafe(clusters["normalized"])).select("id", "cluster")
 
 
+def _to_first(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(a, b): the first id of each key with every other one."""
+    firsts = rows.groupBy(*keys).agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a <> last").drop("last")
+    return rows.join(firsts, keys).where("id <> a").select("a", F.col("id").alias("b"))
+
+
 def compare(a_type: Column, a: Column, b_type: Column, b: Column) -> Column:
     """1 if equal, 0 for different types, at least .8 for equal phonetic codes, else the edit similarity."""
     edit = T.similarity(a, b)
@@ -113,16 +121,21 @@ def compare(a_type: Column, a: Column, b_type: Column, b: Column) -> Column:
 
 
 def merge(entities: DataFrame, threshold: float = 0.85) -> DataFrame:
-    """(id, aliases, confidence, merged_from): clusters of compare() at the threshold, under their least id."""
-    keys = edit_keys(F.col("normalized"), threshold)
-    if LOSSLESS <= threshold <= 0.8:  # equal phonetic codes alone reach it
-        keys = F.concat(keys, F.array(F.concat(F.lit("phonetic:"), T.phonetic(F.col("normalized")))))
-    pairs = candidate_pairs(entities, keys)
-    if threshold > 0.8:
-        pairs = pairs.where(near_lengths(F.col("x.normalized"), F.col("y.normalized"), threshold))
-    links = pairs.where(compare(F.col("x.type"), F.col("x.normalized"), F.col("y.type"), F.col("y.normalized")) >= threshold).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    comp = components(links)
-    named = entities.join(comp, "id", "left").withColumn("cluster", F.coalesce("component", "id"))
+    """(id, aliases, confidence, merged_from): clusters of compare() at the threshold, under their least id.
+
+    Values that are equal but for case are one from the start; near_classes() links the others, and equal values of
+    different types meet by the first of them. Entities without a value stay alone.
+    """
+    e = entities.withColumn("v", F.lower("normalized"))
+    same = e.where("v is not null").groupBy("type", "v").agg(F.min("id").alias("lead"))
+    nodes = same.select(F.col("lead").alias("id"), F.col("type").alias("kind"), "v").where("kind is not null")
+    links = near_classes(nodes, threshold).select(F.col("id").alias("a"), F.col("component").alias("b"))
+    if threshold <= 0.8:  # equal phonetic codes alone reach it
+        links = links.unionByName(_to_first(nodes.withColumn("code", T.phonetic(F.col("v"))), ["kind", "code"]))
+    exact = e.select("type", "v", "normalized").distinct().join(same, ["type", "v"]).select(F.col("lead").alias("id"), "normalized")
+    comp = components(links.unionByName(_to_first(exact, ["normalized"])))
+    placed = same.join(comp.withColumnRenamed("id", "lead"), "lead", "left").select(F.col("type").alias("t"), F.col("v").alias("w"), F.coalesce("component", "lead").alias("cluster"))
+    named = e.join(placed, F.col("type").eqNullSafe(F.col("t")) & (F.col("v") == F.col("w")), "left").withColumn("cluster", F.coalesce("cluster", "id"))
     return named.groupBy(F.col("cluster").alias("id")).agg(F.sort_array(F.collect_set("normalized")).alias("aliases"), F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("merged_from"))
 
 
@@ -156,9 +169,10 @@ def days_between(a: Column, b: Column) -> Column:
 def relations(entities: DataFrame, least: float = 0.6, address: float = 0.8, name: float = 0.85) -> DataFrame:
     """(a, b, type, strength) of entities (id, type, name, phone, email, address, company, account).
 
-    Entities with equal phones, e-mails or accounts are each related to the first of them, so that a contact that k of
-    them share gives k - 1 rows, and whoever shares it with whom can be read from the first. Addresses of persons, and companies of persons against company
-    names, meet by edit_keys(), which lose no pair of that similarity.
+    Entities with equal phones, e-mails, accounts or addresses are each related to the first of them, so that what k of
+    them share gives k - 1 rows, and whoever shares it with whom can be read from the first. Different addresses of
+    persons that are near are related by the first person of each, and persons are related to the first company of each
+    name that is near their company's; near_pairs() loses no pair of that similarity.
     """
     e = entities.withColumns({"p": T.last_ten(F.col("phone")), "m": F.lower(F.trim("email")), "ad": T.normalize_string(F.col("address")), "co": T.normalize_string(F.col("company")), "nm": T.normalize_string(F.col("name"))})
 
@@ -168,12 +182,15 @@ def relations(entities: DataFrame, least: float = 0.6, address: float = 0.8, nam
         return rows.join(first, key).where("id <> a").select("a", F.col("id").alias("b"), F.lit(kind).alias("type"), F.lit(strength).alias("strength")).distinct()
 
     out = equal("p", F.length("p") == 10, "shared_contact", 0.95).unionByName(equal("m", F.length("m") > 0, "shared_contact", 0.99)).unionByName(equal("account", F.length("account") > 0, "financial_link", 0.99))
-    people = e.where((F.col("type") == "person") & (F.length("ad") > 0)).select("id", "ad")
-    near = candidate_pairs(people, edit_keys(F.col("ad"), address)).where(near_lengths(F.col("x.ad"), F.col("y.ad"), address)).withColumn("s", T.normalized_similarity(F.col("x.ad"), F.col("y.ad"))).where(F.col("s") >= address)
-    out = out.unionByName(near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.lit("shared_address").alias("type"), F.col("s").alias("strength")))
-    works = e.where((F.col("type") == "person") & (F.length("co") > 0)).select("id", "co", edit_keys(F.col("co"), name).alias("k1")).select("*", F.explode("k1").alias("key"))
-    firms = e.where((F.col("type") == "company") & (F.length("nm") > 0)).select(F.col("id").alias("firm"), "nm", edit_keys(F.col("nm"), name).alias("k2")).select("*", F.explode("k2").alias("key"))
-    met = works.join(firms, "key").where((F.array_min(F.array_intersect("k1", "k2")) == F.col("key")) & near_lengths(F.col("co"), F.col("nm"), name))
-    employed = met.where(T.normalized_similarity(F.col("co"), F.col("nm")) >= name)
+    at = e.where((F.col("type") == "person") & (F.length("ad") > 0)).select("id", "ad")
+    addresses = at.groupBy("ad").agg(F.min("id").alias("id")).select("id", F.lit("").alias("kind"), F.col("ad").alias("v"))
+    near = near_pairs(addresses, address).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit("shared_address").alias("type"), F.col("similarity").alias("strength"))
+    out = out.unionByName(equal("ad", (F.col("type") == "person") & (F.length("ad") > 0), "shared_address", 1.0)).unionByName(near)
+    works = e.where((F.col("type") == "person") & (F.length("co") > 0)).select("id", F.col("co").alias("v"))
+    firms = e.where((F.col("type") == "company") & (F.length("nm") > 0)).groupBy(F.col("nm").alias("v")).agg(F.min("id").alias("firm"))
+    names = works.select("v").distinct().withColumn("works", F.lit(True)).join(firms, "v", "full").select(F.col("v").alias("id"), F.lit("").alias("kind"), "v", "works", "firm")
+    across = near_pairs(names, name, F.expr("(x.works and y.firm is not null) or (y.works and x.firm is not null)")).select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+    matches = across.unionByName(firms.select(F.col("v").alias("a"), F.col("v").alias("b"))).join(firms.withColumnRenamed("v", "b"), "b").select(F.col("a").alias("v"), "firm")
+    employed = works.join(matches, "v")
     out = out.unionByName(employed.select(F.col("id").alias("a"), F.col("firm").alias("b"), F.lit("employed_by").alias("type"), F.lit(0.85).alias("strength")))
     return out.where(F.col("strength") >= least)

@@ -114,7 +114,7 @@ _ENTITIES = [
 _ESCHEMA = "id string, type string, name string, phone string, email string, address string, company string, account string, website string"
 
 
-@query("f19_relations", "SELECT * FROM " + sql_values([("c2", "c3", "shared_contact", 0.95), ("p1", "p2", "shared_contact", 0.95), ("p1", "p3", "shared_contact", 0.99), ("p2", "p3", "financial_link", 0.99), ("p1", "p2", "shared_address", 1.0), ("p1", "p3", "shared_address", round(1 - 2 / 17, 6)), ("p2", "p3", "shared_address", round(1 - 2 / 17, 6)), ("p1", "c1", "employed_by", 0.85), ("p3", "c1", "employed_by", 0.85)], "a, b, type, strength"))
+@query("f19_relations", "SELECT * FROM " + sql_values([("c2", "c3", "shared_contact", 0.95), ("p1", "p2", "shared_contact", 0.95), ("p1", "p3", "shared_contact", 0.99), ("p2", "p3", "financial_link", 0.99), ("p1", "p2", "shared_address", 1.0), ("p1", "p3", "shared_address", round(1 - 2 / 17, 6)), ("p1", "c1", "employed_by", 0.85), ("p3", "c1", "employed_by", 0.85)], "a, b, type, strength"))
 def relations(t) -> DataFrame:
     return X.relations(values(t, _ENTITIES, _ESCHEMA)).withColumn("strength", F.round("strength", 6))
 

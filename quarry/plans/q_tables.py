@@ -51,8 +51,8 @@ _LINKED = f"WITH e AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS n FROM
 _RESOLVED = _LINKED.format(test=f"CASE WHEN {_LIKE} > 0.8 THEN {_LIKE} * 0.6 ELSE 0 END + CASE WHEN {_code('a.n')} = {_code('b.n')} THEN 0.3 ELSE 0 END >= 0.85")
 
 
-def _part_entities(t) -> DataFrame:
-    return t("part").select(F.col("p_partkey").cast("string").alias("id"), F.lit("name").alias("type"), F.col("p_name").alias("normalized"))
+def _part_entities(t, *more) -> DataFrame:
+    return t("part").select(F.col("p_partkey").cast("string").alias("id"), F.lit("name").alias("type"), F.col("p_name").alias("normalized"), *more)
 
 
 @query("g03_resolve_parts", f"{_RESOLVED} SELECT e.id, r.cluster FROM e JOIN r ON r.n = e.n")
@@ -60,6 +60,30 @@ def resolved_parts(t) -> DataFrame:
     return E.resolve(_part_entities(t))
 
 
+_MERGED = " SELECT r.cluster AS id, string_agg(DISTINCT r.n, '|' ORDER BY r.n) AS aliases, max(confidence) AS confidence, count(*) AS merged_from FROM e JOIN r ON r.n = e.n GROUP BY r.cluster"
+
+
+def _merged(e: DataFrame) -> DataFrame:
+    return E.merge(e).withColumn("aliases", F.array_join("aliases", "|"))
+
+
+@query("g07_merge_parts", _LINKED.format(test=f"{_LIKE} >= 0.85").replace("p_name AS n FROM", "p_name AS n, p_retailprice AS confidence FROM") + _MERGED)
+def merged_parts(t) -> DataFrame:
+    """Parts under the least key of those with names that are nearly equal."""
+    return _merged(_part_entities(t, F.col("p_retailprice").alias("confidence")))
+
+
+@query("g07_merge_customers", f"""WITH RECURSIVE e AS (SELECT c_custkey AS id, 'Customer#' || lpad(c_custkey::VARCHAR, 9, '0') AS n, c_acctbal AS confidence FROM customer), d AS (SELECT id, n, substr(n, 1, i) || '*' || substr(n, i + 2) AS rest FROM e, range(0, 18) r(i)),
+l AS MATERIALIZED (SELECT DISTINCT x.id AS a, y.id AS b FROM (SELECT rest, min(id) AS id FROM d GROUP BY rest) x JOIN d y USING (rest) WHERE x.id <> y.id), w AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l),
+s AS (SELECT min(id) AS id FROM e UNION SELECT b FROM s JOIN w ON a = s.id)
+SELECT min(e.id) AS id, count(*) AS merged_from, max(confidence) AS confidence FROM e JOIN s USING (id)""")
+def merged_customers(t) -> DataFrame:
+    """Customers by their numbered names, each of which is near very many others: one class, by links that grow with the
+    names and not with their pairs. The SQL follows names that differ in one place."""
+    e = t("customer").select(F.col("c_custkey").alias("id"), F.lit("name").alias("type"), F.col("c_name").alias("normalized"), F.col("c_acctbal").alias("confidence"))
+    return E.merge(e).select("id", "merged_from", "confidence")
+
+
 @query("g01_blocking_keys_parts", f"SELECT p_partkey AS id, CASE WHEN length(p_name) >= 2 THEN 'prefix:name:' || substr(p_name, 1, 2) || ',' ELSE '' END || 'phonetic:' || {_code('p_name')} || ',length:name:' || (length(p_name) // 5) AS keys FROM part")
 def blocks_of_parts(t) -> DataFrame:
     return t("part").select(F.col("p_partkey").alias("id"), F.array_join(E.blocking_keys(F.lit("name"), F.col("p_name")), ",").alias("keys"))
@@ -150,6 +174,23 @@ def accounts_of_customers(t) -> DataFrame:
     return P.shared_accounts(contacts(t))
 
 
+_PEOPLE = "e AS (SELECT lpad(c_custkey::VARCHAR, 6, '0') AS id, lower(c_mktsegment) || ' ' || c_nationkey || ' road ' || (c_custkey % 50) AS n, CASE WHEN c_custkey % 3 = 0 THEN 'part ' || p_name ELSE NULL END AS co FROM customer LEFT JOIN part ON p_partkey = c_custkey)"
+
+
+@query("f19_relations_people", f"""WITH {_PEOPLE}, k AS (SELECT n, min(id) AS id FROM e GROUP BY n), f AS (SELECT 'part ' || p_name AS n, min('f' || lpad(p_partkey::VARCHAR, 6, '0')) AS id FROM part GROUP BY 1), c AS (SELECT DISTINCT co AS n FROM e WHERE co IS NOT NULL), m AS (SELECT a.n AS co, b.id AS firm FROM c a JOIN f b ON {_LIKE} >= 0.85)
+SELECT k.id AS a, e.id AS b, 'shared_address' AS type, 1.0::DOUBLE AS strength FROM e JOIN k USING (n) WHERE e.id <> k.id UNION ALL SELECT a.id, b.id, 'shared_address', round({_LIKE}, 6) FROM k a JOIN k b ON a.id < b.id AND {_LIKE} >= 0.8 UNION ALL SELECT e.id, firm, 'employed_by', 0.85 FROM e JOIN m USING (co)""")
+def relations_of_people(t) -> DataFrame:
+    """Customers as persons with addresses that many share or nearly share, and companies of other tables they work for."""
+    c, p = t("customer"), t("part")
+    none = F.lit(None).cast("string")
+    blank = {"phone": none, "email": none, "account": none}
+    key = F.lpad(F.col("c_custkey").cast("string"), 6, "0")
+    where = F.concat_ws(" ", F.lower("c_mktsegment"), F.col("c_nationkey").cast("string"), F.lit("road"), (F.col("c_custkey") % 50).cast("string"))
+    people = c.join(p, F.col("p_partkey") == F.col("c_custkey"), "left").select(key.alias("id"), F.lit("person").alias("type"), none.alias("name"), where.alias("address"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("Part "), "p_name")).alias("company"))
+    firms = p.select(F.concat(F.lit("f"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("id"), F.lit("company").alias("type"), F.concat(F.lit("part "), "p_name").alias("name"), none.alias("address"), none.alias("company"))
+    return E.relations(people.unionByName(firms).withColumns(blank)).withColumn("strength", F.round("strength", 6))
+
+
 @query("f19_relations_customers", f"""WITH {_CONTACTS}, i AS (SELECT lpad(k::VARCHAR, 6, '0') AS id, * FROM e), s AS (SELECT right(phone, 10) AS v, min(id) AS a FROM i GROUP BY 1), m AS (SELECT lower(trim(email)) AS v, min(id) AS a FROM i WHERE email IS NOT NULL GROUP BY 1), c AS (SELECT account AS v, min(id) AS a FROM i GROUP BY 1)
 SELECT a, id AS b, 'shared_contact' AS type, 0.95::DOUBLE AS strength FROM i JOIN s ON v = right(phone, 10) WHERE id <> a UNION ALL SELECT a, id, 'shared_contact', 0.99 FROM i JOIN m ON v = lower(trim(email)) WHERE id <> a UNION ALL SELECT a, id, 'financial_link', 0.99 FROM i JOIN c ON v = account WHERE id <> a""")
 def relations_of_customers(t) -> DataFrame:
