@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -256,6 +259,102 @@ def cycles(edges: DataFrame, most: int = 4) -> DataFrame:
     return found.select(F.col("path").alias("cycle"))
 
 
+def ranked(df: DataFrame, *order: str | Column, name: str = "rank") -> DataFrame:
+    """df with ``name``, 1 for the first row in that order, and so on, as row_number() over all rows would give, without
+    one task for all: rows are dealt out by ranges and sorted there, and each range begins where those before it end. Rows
+    that the order does not tell apart come in any order, which is written down."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # the lower 33 bits count the rows of a range
+    rows = written(rows.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)))
+    before, starts = 0, []
+    for r in rows.groupBy("__part").count().orderBy("__part").collect():  # one row per range
+        starts.append((r["__part"], before))
+        before += r["count"]
+    offsets = df.sparkSession.createDataFrame(starts, "__part int, __before long")
+    return rows.join(F.broadcast(offsets), "__part").withColumn(name, F.col("__before") + F.col("__at") + 1).drop("__part", "__at", "__before")
+
+
+#: Links whose ends a task of _ways() goes on from.
+TILE_LINKS = 4_000_000
+
+
+def _ways(near: DataFrame, down: DataFrame) -> DataFrame:
+    """(v, w, k, first, last): of the ways v - u - w with u and w below v, how many there are, and the least and greatest u.
+
+    Rows of a pair add up. Neighbours of u go, in blocks of TILE_LINKS links, to every task that has a share of the nodes
+    v; there are as many shares as shuffle partitions, and more if a share would have more links down than that. What a
+    task makes is counted where it is made, so that ways are never shuffled.
+    """
+    links = near.count()
+    blocks = max(1, -(-links // TILE_LINKS))
+    shares = max(int(near.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks)
+    block, share = F.pmod(F.xxhash64("u"), F.lit(blocks)).alias("block"), F.pmod(F.xxhash64("v"), F.lit(shares)).alias("share")
+    lists = near.groupBy(F.col("x").alias("u")).agg(F.array_sort(F.collect_list("y")).alias("ws"))
+    sent = lists.select("u", "ws", block, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share"))
+    return down.select("v", "u", block, share).groupBy("block", "share").cogroup(sent.groupBy("block", "share")).applyInArrow(_tile_ways, "v long, w long, k long, first long, last long")
+
+
+def _tile_ways(down: pa.Table, lists: pa.Table) -> pa.Table:
+    empty = [np.zeros(0, np.int64)] * 5
+    if not down.num_rows or not lists.num_rows:
+        return pa.table(dict(zip(("v", "w", "k", "first", "last"), empty, strict=True)))
+    lists = lists.sort_by("u")
+    nodes, ws = lists.column("u").to_numpy(), lists.column("ws").combine_chunks()
+    starts = np.concatenate(([0], np.cumsum(pc.list_value_length(ws).to_numpy())))
+    values, codes = np.unique(ws.flatten().to_numpy(), return_inverse=True)
+    down = down.sort_by([("v", "ascending"), ("u", "ascending")])
+    v, at = down.column("v").to_numpy(), np.searchsorted(nodes, down.column("u").to_numpy())
+    # lists are sorted, so what is below v begins each: ends are found for all links down at once
+    keys = np.repeat(np.arange(len(nodes)), np.diff(starts)) * np.int64(len(values) + 1) + codes
+    ends = np.searchsorted(keys, at * np.int64(len(values) + 1) + np.searchsorted(values, v))
+    out = []
+    for group in np.split(np.arange(len(v)), np.flatnonzero(np.diff(v)) + 1):
+        first, last, k = (np.zeros(len(values), np.int64) for _ in range(3))
+        for part in np.array_split(group, -(-int((ends[group] - starts[at[group]]).sum() + 1) // TILE_LINKS)):
+            length = ends[part] - starts[at[part]]
+            met = codes[np.repeat(starts[at[part]] - np.cumsum(length) + length, length) + np.arange(int(length.sum()))]
+            by = np.repeat(nodes[at[part]], length)
+            # u go up, so the last one to be set is the greatest
+            before = k > 0
+            fresh = np.zeros(len(values), np.int64)
+            fresh[met[::-1]] = by[::-1]
+            first = np.where(before, first, fresh)
+            last[met] = by
+            k += np.bincount(met, minlength=len(values))
+        w = np.flatnonzero(k)
+        out.append((np.full(len(w), v[group[0]]), values[w], k[w], first[w], last[w]))
+    return pa.table(dict(zip(("v", "w", "k", "first", "last"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+
+
+def cycle_classes(edges: DataFrame) -> DataFrame:
+    """(hub, size, cycles, example): how many cycles of three and of four nodes have this node as their hub, the one of
+    most neighbours (the last by id if several have as many), and one of them. Cycles are counted, not listed, so the
+    result grows with the nodes.
+
+    Nodes are numbered by their neighbours. From a hub v one step down to u and one further to w, both below v: of k such
+    ways from v to w each two make a cycle of four, and if v and w are linked each one makes a cycle of three, which is
+    met from both ends. A node is passed only from nodes of more neighbours, so a very large hub is passed by few.
+    """
+    links = written(both_ways(edges))
+    nodes = written(ranked(links.groupBy(F.col("a").alias("id")).agg(F.count(F.lit(1)).alias("degree")), "degree", "id", name="no").select("id", "no"))
+    ends = links.join(nodes.select(F.col("id").alias("a"), F.col("no").alias("x")), "a").join(nodes.select(F.col("id").alias("b"), F.col("no").alias("y")), "b")
+    near = written(ends.select("x", "y"))
+    down = near.where("y < x").select(F.col("x").alias("v"), F.col("y").alias("u"))
+    pairs = _ways(near, down).groupBy("v", "w").agg(F.sum("k").alias("k"), F.min("first").alias("first"), F.max("last").alias("last"))
+    linked = down.select("v", F.col("u").alias("w"), F.lit(True).alias("linked"))
+    met = pairs.join(linked, ["v", "w"], "left")
+    three, four = F.col("linked"), F.col("k") > 1
+    least = lambda test, *path: F.min(F.when(test, F.struct("w", F.array("v", *path).alias("path"))))["path"]
+    sums = met.groupBy("v").agg(
+        F.sum(F.when(three, F.col("k"))).alias("n3"), least(three, "first", "w").alias("e3"), F.sum(F.when(four, F.expr("k * (k - 1) div 2"))).alias("n4"), least(four, "first", "w", "last").alias("e4")
+    )
+    found = sums.select("v", F.inline(F.array(F.struct(F.lit(3).alias("size"), F.expr("n3 div 2").alias("cycles"), F.col("e3").alias("example")), F.struct(F.lit(4).alias("size"), F.col("n4").alias("cycles"), F.col("e4").alias("example"))))).where("cycles > 0")
+    named = found.select("v", "size", "cycles", F.posexplode("example").alias("at", "no")).join(nodes, "no")
+    out = named.groupBy("v", "size", "cycles").agg(F.array_sort(F.collect_list(F.struct("at", "id"))).alias("path"))
+    return out.select(F.col("path")[0]["id"].alias("hub"), "size", "cycles", F.transform("path", lambda p: p["id"]).alias("example"))
+
+
 def star_clusters(edges: DataFrame, least: int = 2) -> DataFrame:
     """Components over the edges of that weight or more: the same members whatever the order of the nodes."""
     return components(edges.where(F.col("weight") >= least))

@@ -164,57 +164,45 @@ def _sketched_pairs(rows: DataFrame, threshold: float, recall: float, planes: in
     return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), cosine(F.col("x.v"), F.col("y.v")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def leader_clusters(vectors: DataFrame, threshold: float = 0.85, id_col: str = "id", vec_col: str = "vector", chunk: int = 5000) -> DataFrame:
+def leader_clusters(vectors: DataFrame, threshold: float = 0.85, id_col: str = "id", vec_col: str = "vector", chunk: int = BLOCK) -> DataFrame:
     """(leader, id): rows in the order of their ids join the first leader that is near enough, or lead themselves.
 
-    The rule is sequential: whether a row leads depends on all before it. The next ``chunk`` rows without a leader go to
-    the driver, a bounded number, which finds the leaders among them; all other rows then look for the first of these in
-    one pass. So there are as many rounds as leaders by ``chunk`` at most; for very many leaders take components of
-    near_pairs(), which depend on no order."""
-    from functools import reduce
-
-    from ..sources.shared import written
-
-    spark = vectors.sparkSession
-    kind = dict(vectors.dtypes)[id_col]
-    left = written(vectors.select(F.col(id_col).alias("id"), _double(vec_col).alias("v")))
-    out: list[DataFrame] = []
-    while True:
-        rows = left.orderBy("id").limit(chunk).collect()
-        if not rows:
-            return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], f"leader {kind}, id {kind}")
-        unit = _unit(np.array([r["v"] for r in rows]))
-        near, free, leads, found = unit @ unit.T >= threshold, np.ones(len(rows), bool), [], []
-        for i in range(len(rows)):
-            if free[i]:
-                mine = free & near[i]
-                mine[i] = True
-                free &= ~mine
-                leads.append(i)
-                found += [(rows[i]["id"], rows[k]["id"]) for k in np.nonzero(mine)[0]]
-        out.append(spark.createDataFrame(found, f"leader {kind}, id {kind}"))
-        shared = spark.sparkContext.broadcast(([rows[i]["id"] for i in leads], unit[leads]))  # a chunk at most
-        placed = written(left.where(F.col("id") > F.lit(rows[-1]["id"])).mapInPandas(_first_leader(shared, threshold), f"leader {kind}, id {kind}, v array<double>"))
-        out.append(placed.where("leader is not null").select("leader", "id"))
-        left = placed.where("leader is null").select("id", "v")
+    The rule is sequential, yet its leaders are the first independent set of the near graph, which comes from rounds:
+    whoever has no earlier row near it that is undecided leads, and all rows near it don't. A round decides many rows at
+    once, wherever they are, and there are as many as the longest chain of rows that wait for each other. Equal vectors
+    are one from the start. ``chunk`` is the block size of near_pairs(). Rows without a vector lead themselves, as zero
+    vectors do, which are near nothing; rows without an id are left out.
+    """
+    from ..sources.shared import dropped, written
+
+    rows = written(vectors.select(F.col(id_col).alias("id"), _double(vec_col).alias("v")).where("id is not null"))
+    solid = rows.where(F.col("v").isNotNull() & (norm("v") > 0)) if threshold > 0 else rows.where("v is not null")
+    same = solid.groupBy("v").agg(F.min("id").alias("first"))
+    pairs = written(near_pairs(same.select(F.col("first").alias("id"), "v"), threshold, "id", "v", block=chunk).select("a", "b"))
+    left, out = pairs, None
+    while left.limit(1).count():
+        waiting = left.select(F.col("b").alias("a")).distinct()
+        leads = left.select("a").distinct().join(waiting, "a", "left_anti")
+        gone = left.join(leads, "a").select("b").distinct()
+        joined = written(gone if out is None else out.unionByName(gone))
+        rest = written(left.join(joined.select(F.col("b").alias("a")), "a", "left_anti").join(joined, "b", "left_anti").select("a", "b"))
+        if out is not None:
+            dropped(out, left)
+        left, out = rest, joined
+    if out is None:
+        found = same.select(F.col("first"), F.lit(None).cast(dict(rows.dtypes)["id"]).alias("leader"))
+    else:
+        # all pairs of a row that follows, but for those with other followers
+        first = pairs.join(out.select(F.col("b").alias("a")), "a", "left_anti").join(out, "b").groupBy(F.col("b").alias("first")).agg(F.min("a").alias("leader"))
+        found = same.select("first").join(first, "first", "left")
+    members = solid.join(same, "v").select("id", "first").join(found, "first", "left").select("id", F.coalesce("leader", "first").alias("leader"))
+    return rows.select("id").join(members, "id", "left").select(F.coalesce("leader", "id").alias("leader"), "id")
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
 
 
-def _first_leader(shared, threshold: float):
-    def run(frames):
-        names, leads = shared.value
-        names = np.array(names, dtype=object)
-        for f in frames:
-            if len(f):
-                near = _unit(np.stack(f["v"].to_numpy())) @ leads.T >= threshold
-                yield pd.DataFrame({"leader": [names[k] if hit else None for k, hit in zip(near.argmax(axis=1), near.any(axis=1), strict=True)], "id": f["id"], "v": f["v"]})
-
-    return run
-
-
 def representation(columns: dict[str, Column]) -> Column:
     """What of an entity is embedded: `type: value; name: value; ...` of the parts that are there."""
     return F.concat_ws("; ", *(F.when(F.length(c) > 0, F.concat(F.lit(f"{k}: "), c)) for k, c in columns.items()))

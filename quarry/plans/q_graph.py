@@ -120,6 +120,23 @@ def cycles(t) -> DataFrame:
     return G.cycles(written(all_edges(t)), 3).select(F.array_join("cycle", ">").alias("cycle"))
 
 
+_CLASSES = f"""WITH {_SQL_B}, n AS MATERIALIZED (SELECT a AS id, row_number() OVER (ORDER BY count(*), a) AS no FROM l GROUP BY a), e AS MATERIALIZED (SELECT p.no AS x, q.no AS y FROM l JOIN n p ON p.id = l.a JOIN n q ON q.id = l.b),
+w AS (SELECT p.x AS v, q.y AS w, count(*) AS k, min(q.x) AS f, max(q.x) AS t FROM e p JOIN e q ON p.y = q.x WHERE p.y < p.x AND q.y < p.x GROUP BY ALL), c AS (SELECT w.*, e.x IS NOT NULL AS linked FROM w LEFT JOIN e ON e.x = w.v AND e.y = w.w),
+s AS (SELECT v, 3 AS size, sum(k) // 2 AS cycles, arg_min([v, f, w], w) AS path FROM c WHERE linked GROUP BY v UNION ALL SELECT v, 4, sum(k * (k - 1) // 2), arg_min([v, f, w, t], w) FROM c WHERE k > 1 GROUP BY v)"""
+
+
+@query("f22_cycle_classes", f"{_CLASSES} SELECT n.id AS hub, size, cycles::BIGINT AS cycles, (SELECT string_agg(m.id, '>' ORDER BY i) FROM (SELECT unnest(path) AS no, generate_subscripts(path, 1) AS i) p JOIN n m ON m.no = p.no) AS example FROM s JOIN n ON n.no = v")
+def cycle_classes(t) -> DataFrame:
+    """Cycles of three and four suppliers and customers over all orders: how many each hub has, and one of them."""
+    return G.cycle_classes(written(all_edges(t))).withColumn("example", F.array_join("example", ">"))
+
+
+@query("h18_circular_hubs", f"{_CLASSES} SELECT n.id AS hub, sum(cycles)::BIGINT AS cycles, 'high' AS severity, 0.85::DOUBLE AS score FROM s JOIN n ON n.no = v GROUP BY n.id")
+def circular_hubs(t) -> DataFrame:
+    """Circular relations of all orders, by the node of each that has most relations."""
+    return G.cycle_classes(written(all_edges(t))).groupBy("hub").agg(F.sum("cycles").alias("cycles"), F.lit("high").alias("severity"), F.lit(0.85).alias("score"))
+
+
 _SAID = [(1, "Asha is the sister of Ravi. Ravi paid Rs. 5,000 to Kiran"), (2, "Kiran lives in Pune and Meena works at Acme"), (3, "nobody called anyone")]
 _KNOWN = [(1, "Asha"), (1, "ravi"), (1, "Kiran"), (2, "Kiran"), (2, "Pune"), (2, "Meena"), (3, "anyone")]
 

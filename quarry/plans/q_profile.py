@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import ann as A
 from ..operators import profile as Q
 from ..operators import vectors as V
 from .registry import query, sql_values, values
@@ -172,6 +173,20 @@ def nearest_of_each(t) -> DataFrame:
     return V.nearest_of_each(v.select("id", "vector"), v.where("id % 100 = 0").select(F.col("id").alias("query"), "vector"), 5).withColumn("score", F.round("score", 6))
 
 
+@query("j03_nearest_by_index")
+def nearest_by_index(t) -> DataFrame:
+    """The five nearest of every hundredth vector, by an index of all vectors; tests hold its recall against brute force."""
+    v = vecs(t)
+    out = A.search(A.build(v, k=5), v.where("id % 100 = 0").select(F.col("id").alias("query"), "vector"), 5)
+    return out.withColumn("score", F.round("score", 6))
+
+
+@query("j05_near_pairs_by_index")
+def pairs_by_index(t) -> DataFrame:
+    """Near pairs by an index of all vectors; each is truly near, and tests hold how many are found against brute force."""
+    return A.near_pairs(A.build(vecs(t), k=5), 0.4).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("j05_near_pairs", f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COS} >= 0.9")
 def near_pairs(t) -> DataFrame:
     return V.near_pairs(vecs(t), 0.9).withColumn("similarity", F.round("similarity", 6))
