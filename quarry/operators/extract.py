@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import digits, similarity
 from . import gazetteer
+from .near import near_pairs
+from .terms import held_terms
 
 _DATES = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 _IP = r"\b(?:(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\.){3}(?:25[0-5]|2[0-4][0-9]|[01]?[0-9][0-9]?)\b"
@@ -182,9 +184,9 @@ def names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first
 
 
 def locations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", places: tuple[str, ...] = PLACES, states: tuple[str, ...] = gazetteer.STATES) -> DataFrame:
-    """(doc, location, confidence): cities and states of the list that the text holds, in any case; states are the surer."""
-    low = F.lower(text_col)
-    hits = F.filter(F.array(*map(F.lit, sorted(set(places)))), lambda p: F.contains(low, p))
+    """(doc, location, confidence): cities and states of the list that the text holds, in any case; states are the surer.
+    Each text is read once, whatever the length of the list."""
+    hits = held_terms(docs.sparkSession, F.lower(text_col), sorted(set(places)))
     found_ = docs.select(F.col(id_col).alias("doc"), F.explode(hits).alias("location"))
     return found_.select("doc", "location", F.when(F.col("location").isin(*states), PLACE_CONFIDENCE["state"]).otherwise(PLACE_CONFIDENCE["city"]).alias("confidence"))
 
@@ -213,10 +215,23 @@ def _in_context(kind: str):
 
 
 def fuzzy_aliases(docs: DataFrame, entities: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.85) -> DataFrame:
-    """(doc, normalized, alias): words of the same document that are nearly the entity."""
-    words = docs.select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(F.split(text_col, r"[\s,;:\-]+"))).alias("alias")).where("length(alias) > 2")
-    pairs = entities.select("doc", "normalized").join(words, "doc")
-    return pairs.where((F.abs(F.length("alias") - F.length("normalized")) <= 0.15 * F.greatest(F.length("alias"), F.length("normalized"))) & (F.lower("alias") != F.lower("normalized"))).where(similarity(F.col("alias"), F.col("normalized")) >= threshold)
+    """(doc, normalized, alias): words of the same document that are nearly the entity.
+
+    Words and entities of a document meet by rare bigrams (near_pairs), so a long text with many entities is not compared
+    word by word with each. Words and entities that differ in case only are the same."""
+    words = docs.select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(F.split(text_col, r"[\s,;:\-]+"))).alias("alias")).where("length(alias) > 2").withColumn("v", F.lower("alias"))
+    known = entities.select("doc", "normalized", F.lower("normalized").alias("v")).where("doc is not null and v is not null")
+    # only words as long as some entity of the document, or nearly so, can be its aliases
+    n = F.length("v")
+    lengths = known.groupBy("doc").agg(F.floor(F.min(n) * threshold).alias("least"), F.ceil(F.max(n) / threshold).alias("most"))
+    mine = words.join(lengths, "doc").where(n.between(F.col("least"), F.col("most")))
+    both = mine.select("doc", "v", F.lit(True).alias("word"), F.lit(False).alias("entity")).unionByName(known.select("doc", "v", F.lit(False).alias("word"), F.lit(True).alias("entity")))
+    nodes = both.groupBy("doc", "v").agg(F.max("word").alias("word"), F.max("entity").alias("entity"))
+    nodes = nodes.select(F.struct("doc", "v").alias("id"), F.col("doc").alias("kind"), "v", "word", "entity")
+    pairs = near_pairs(nodes, threshold, F.expr("(x.word and y.entity) or (x.entity and y.word)"))
+    found_ = pairs.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
+    found_ = found_.select(F.col("a.doc").alias("doc"), F.col("a.v").alias("v"), F.col("b.v").alias("w"))
+    return found_.join(known, ["doc", "v"]).join(words.withColumnRenamed("v", "w"), ["doc", "w"]).select("doc", "normalized", "alias")
 
 
 def raised_confidence(entities: DataFrame, context: Column | None = None, aliases: Column | None = None) -> DataFrame:
@@ -304,8 +319,7 @@ def agent_entities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     whatever its case, the first spelling by order of the alphabet."""
     e = found(F.col(text_col), AGENT)
     own = F.transform(e, lambda x: F.struct(x["type"].alias("type"), x["normalized"].alias("value"), x["confidence"].alias("confidence")))
-    low = F.lower(text_col)
-    cities = F.filter(F.array(*map(F.lit, AGENT_CITIES)), lambda c: F.contains(low, c))
+    cities = held_terms(docs.sparkSession, F.lower(text_col), list(AGENT_CITIES))
     there = F.transform(cities, lambda c: F.struct(F.lit("city").alias("type"), F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 100)).alias("value"), F.lit(AGENT_CONFIDENCE["city"]).alias("confidence")))
     rows = docs.select(F.col(id_col).alias("doc"), F.inline(F.concat(own, there)))
     return rows.groupBy("doc", "type", F.lower("value").alias("k")).agg(F.min("value").alias("value"), F.max("confidence").alias("confidence")).drop("k")

@@ -371,19 +371,33 @@ def chains(records: DataFrame, keys: dict[str, tuple[Column, float]], order: str
     return parts
 
 
+#: Links of a node that meet in one cell when two hops over it are followed.
+HUB = 10_000
+
+
 def closure(rels: DataFrame, least: float = 0.6, factor: float = 0.7) -> DataFrame:
     """rels (a, b, strength) with a < b -> with suspected links added: two hops whose weaker half has ``least`` give
-    ``factor`` of it, where nothing links the two yet; whole rounds until none is new."""
+    ``factor`` of it, where nothing links the two yet; whole rounds until none is new.
+
+    A round extends the links of the last one only: two hops over older links were followed before. Links below ``least``
+    are not followed. Two hops over a node of more than HUB links are followed in cells of as many links each.
+    """
     best = written(rels.groupBy("a", "b").agg(F.max("strength").alias("strength")).withColumn("inferred", F.lit(False)))
+    last = best
+    ways = lambda df: df.where(F.col("strength") >= least).select(F.inline(F.array(F.struct("a", "b", "strength"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "strength"))))
     while True:
-        both = best.select("a", "b", "strength").unionByName(best.select(F.col("b").alias("a"), F.col("a").alias("b"), "strength"))
-        x, y = both.alias("x"), both.alias("y")
-        hops = x.join(y, (F.col("x.b") == F.col("y.a")) & (F.col("x.a") < F.col("y.b"))).where(F.least("x.strength", "y.strength") >= least)
-        new = hops.groupBy(F.col("x.a").alias("a"), F.col("y.b").alias("b")).agg((F.max(F.least("x.strength", "y.strength")) * factor).alias("strength")).join(best, ["a", "b"], "left_anti")
-        new = written(new.withColumn("inferred", F.lit(True)))
+        every = ways(best).select(F.col("a").alias("via"), F.col("b").alias("end"), "strength")
+        hubs = every.groupBy("via").count().where(F.col("count") > HUB).select("via", F.ceil(F.col("count") / HUB).cast("int").alias("cells"))
+        cells = F.coalesce("cells", F.lit(1))
+        x = ways(last).select(F.col("b").alias("via"), F.col("a").alias("begin"), F.col("strength").alias("s")).join(hubs, "via", "left")
+        x = x.withColumn("row", F.pmod(F.xxhash64("begin"), cells)).withColumn("column", F.explode(F.sequence(F.lit(0), cells - 1))).drop("cells")
+        y = every.join(hubs, "via", "left").withColumn("column", F.pmod(F.xxhash64("end"), cells).cast("int")).withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), cells.cast("long") - 1))).drop("cells")
+        hops = x.join(y, ["via", "row", "column"]).where("begin <> end")
+        new = hops.groupBy(F.least("begin", "end").alias("a"), F.greatest("begin", "end").alias("b")).agg((F.max(F.least("s", "strength")) * factor).alias("strength"))
+        new = written(new.join(best, ["a", "b"], "left_anti").withColumn("inferred", F.lit(True)))
         if not new.limit(1).count():
             return best
-        best = written(best.unionByName(new))
+        last, best = new, written(best.unionByName(new))
 
 
 def entity_clusters(entities: DataFrame, rels: DataFrame, comp: DataFrame) -> DataFrame:

@@ -115,6 +115,16 @@ def places_put_in(t) -> DataFrame:
     return X.locations(t("documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" in "), F.initcap(place)).alias("text")))
 
 
+@query("c34_aliases_documents", r"""WITH w AS MATERIALIZED (SELECT DISTINCT doc_id AS doc, unnest(string_split_regex(text, '[\s,;:\-]+')) AS alias FROM documents),
+e AS (SELECT doc, arg_max(alias, (length(alias), alias)) AS n FROM w WHERE alias SIMILAR TO '[a-z]+' GROUP BY doc)
+SELECT doc, n AS normalized, alias FROM w JOIN e USING (doc) WHERE length(alias) > 2 AND lower(alias) <> n AND abs(length(alias) - length(n)) <= 0.15 * greatest(length(alias), length(n)) + 1e-9 AND 1 - levenshtein(lower(alias), n)::DOUBLE / greatest(length(alias), length(n)) >= 0.85 - 1e-9""")
+def aliases_in_documents(t) -> DataFrame:
+    """Words of each document that are nearly its longest plain word."""
+    words = t("documents").select(F.col("doc_id").alias("doc"), F.explode(F.split("text", r"[\s,;:\-]+")).alias("w")).where(r"w rlike '^[a-z]+$'")
+    longest = words.groupBy("doc").agg(F.max(F.struct(F.length("w"), "w"))["w"].alias("normalized"))
+    return X.fuzzy_aliases(t("documents"), longest)
+
+
 @query("c30_best_of", "SELECT 1 AS doc, 'phone' AS type, '9000000001' AS normalized, 0.95 AS confidence")
 def best(t) -> DataFrame:
     e = X.extract(_talk(t), kinds=["phone"])

@@ -212,6 +212,27 @@ def closure(t) -> DataFrame:
     return G.closure(values(t, _LINKS, "a string, b string, strength double")).withColumn("strength", F.round("strength", 6))
 
 
+def _closed(rounds: int) -> str:
+    """SQL of so many rounds of two hops over links of .6 or more."""
+    steps = []
+    for k in range(1, rounds + 1):
+        steps.append(f"w{k} AS (SELECT a, b, strength FROM r{k - 1} WHERE strength >= 0.6 UNION ALL SELECT b, a, strength FROM r{k - 1} WHERE strength >= 0.6), n{k} AS MATERIALIZED (SELECT x.a, y.b, max(least(x.strength, y.strength)) * 0.7 AS strength FROM w{k} x JOIN w{k} y ON x.b = y.a AND x.a < y.b GROUP BY ALL), r{k} AS MATERIALIZED (SELECT * FROM r{k - 1} UNION ALL SELECT a, b, strength, true FROM n{k} ANTI JOIN r{k - 1} USING (a, b))")
+    return ", ".join(steps)
+
+
+def repeated_links(t) -> DataFrame:
+    """Customers and suppliers with two orders or more in common, the stronger the more."""
+    return G.pair_counts(mentions(t)).where("weight >= 2 and a like 'c%' and b like 's%'").select("a", "b", F.least(F.lit(1.0), 0.5 + 0.15 * F.col("weight")).alias("strength"))
+
+
+_REPEATED = f"{_SQL_M}, d AS (SELECT DISTINCT record_id, entity FROM m), r0 AS MATERIALIZED (SELECT x.entity AS a, y.entity AS b, least(1.0, 0.5 + 0.15 * count(*))::DOUBLE AS strength, false AS inferred FROM d x JOIN d y ON x.record_id = y.record_id AND x.entity < y.entity WHERE x.entity LIKE 'c%' AND y.entity LIKE 's%' GROUP BY ALL HAVING count(*) >= 2)"
+
+
+@query("f20_closure_orders", f"WITH {_REPEATED}, {_closed(3)} SELECT a, b, round(strength, 6) AS strength, inferred FROM r3")
+def closure_of_orders(t) -> DataFrame:
+    return G.closure(repeated_links(t)).withColumn("strength", F.round("strength", 6))
+
+
 _PEOPLE = [("a", "person", "Asha"), ("b", "person", "Bina"), ("c", "company", "Acme"), ("p", "person", "Pia"), ("q", "person", "Qi"), ("r", "person", "Ra"), ("s", "person", "Su")]
 _PLINKS = [("a", "b", 0.9), ("b", "c", 0.7), ("p", "q", 1.0), ("q", "r", 1.0), ("r", "s", 0.7)]
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import records as R
 from ..operators import search as S
+from ..operators import terms as M
 from ..sources import sinks
 from .registry import query, sql_values, values
 
@@ -50,6 +51,18 @@ def criteria_search(t) -> DataFrame:
     return matched(t).select("table_name", "record_id", F.array_join("matched_criteria", ",").alias("criteria"))
 
 
+_WATCHED = "w AS (SELECT 'brand' || n_nationkey AS id, 'Brand#' || n_nationkey AS term FROM nation UNION ALL SELECT 's' || s_suppkey, substr(s_name, 12) FROM supplier UNION ALL SELECT DISTINCT 'p' || p_name, p_name FROM part)"
+
+
+@query("e06_watch_list", f"WITH {_SQL_RECS}, {_WATCHED}, k AS (SELECT lower(term) AS low, id FROM w) SELECT table_name, record_id, id FROM r JOIN k ON contains(txt, low)")
+def watch_list(t) -> DataFrame:
+    """Records of five tables that hold a term of a list that is itself a table: numbers of suppliers, names of parts, brands."""
+    nation = t("nation").select(F.concat(F.lit("brand"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("Brand#"), F.col("n_nationkey").cast("string")).alias("term"))
+    number = t("supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), F.substring("s_name", 12, 100))
+    named = t("part").select(F.concat(F.lit("p"), "p_name"), "p_name").distinct()
+    return M.watch(recs(t), nation.union(number).union(named))
+
+
 @query("e12_cross_reference_plain", f"{_WITH} SELECT table_name, record_id, criteria, {_PLAIN} * CASE WHEN match_count > 1 THEN 1 + 0.5::DOUBLE * match_count ELSE 1 END AS score, match_count = {len(_USED)} AS is_exact FROM m")
 def cross_reference_plain(t) -> DataFrame:
     return _shown(S.cross_reference_plain(matched(t), _USED))
