@@ -211,36 +211,85 @@ def neighbours(edges: DataFrame, start: str, depth: int = 1) -> DataFrame:
     return seen.where("hops > 0")
 
 
+def _level(frontier: DataFrame, links: DataFrame, seen: DataFrame) -> DataFrame:
+    """(id) one hop on from the frontier, but for what was seen."""
+    near = frontier.select(F.col("id").alias("a")).join(links, "a").select(F.col("b").alias("id")).distinct()
+    return written(near.join(seen, "id", "left_anti"))
+
+
 def shortest_path(edges: DataFrame, start: str, goal: str) -> DataFrame:
-    """(path): the shortest path, of several the first by its ids; no row if there is none. A round per hop, until the
-    goal or nothing new is met."""
-    links = both_ways(edges)
-    spark = edges.sparkSession
+    """(path): the shortest path, of several the first by its ids; no row if there is none.
+
+    Two searches, from the start and from the goal, until they meet; the one whose last round met fewer nodes goes on, so
+    neither spreads over the whole graph. Nodes go with them, not paths: those are put together only of nodes that lie on
+    a shortest one."""
+    spark, links = edges.sparkSession, written(both_ways(edges))
     if start == goal:
         return spark.createDataFrame([([start],)], "path array<string>")
-    frontier = spark.createDataFrame([(start, [start])], "id string, path array<string>")
-    seen = frontier.select("id")
+    sides = [[spark.createDataFrame([(x,)], "id string")] for x in (start, goal)]
+    seen, sizes = [side[0] for side in sides], [1, 1]
     while True:
-        # each new node keeps its first path, so the frontier is no larger than the nodes
-        new = frontier.join(links, frontier["id"] == links["a"]).select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path")).join(seen, "id", "left_anti").groupBy("id").agg(F.min("path").alias("path"))
-        frontier = written(new)
-        if not frontier.limit(1).count():
+        k = 0 if sizes[0] <= sizes[1] else 1
+        new = _level(sides[k][-1], links, seen[k])
+        sizes[k] = new.count()
+        if not sizes[k]:
             return spark.createDataFrame([], "path array<string>")
-        hit = frontier.where(F.col("id") == goal)
-        if hit.limit(1).count():
-            return hit.select("path")
-        seen = written(seen.unionByName(frontier.select("id")))
+        sides[k].append(new)
+        seen[k] = written(seen[k].unionByName(new))
+        met = new.join(sides[1 - k][-1], "id", "left_semi")
+        if met.limit(1).count():
+            break
+    # back from where they met, only what leads there
+    middle = written(met)
+    steps = [middle]
+    for level in reversed(sides[0][:-1]):
+        steps.insert(0, written(level.join(steps[0].select(F.col("id").alias("a")).join(links, "a").select(F.col("b").alias("id")).distinct(), "id", "left_semi")))
+    for level in reversed(sides[1][:-1]):
+        steps.append(written(level.join(steps[-1].select(F.col("id").alias("a")).join(links, "a").select(F.col("b").alias("id")).distinct(), "id", "left_semi")))
+    paths = steps[0].select("id", F.array("id").alias("path"))
+    for step in steps[1:]:
+        on = paths.select(F.col("id").alias("a"), "path").join(links, "a").select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path"))
+        paths = written(on.join(step, "id", "left_semi").groupBy("id").agg(F.min("path").alias("path")))
+    return paths.select("path")
 
 
 def simple_paths(edges: DataFrame, start: str, goal: str, most: int = 3) -> DataFrame:
-    """(path): all paths of up to so many hops that visit no node twice."""
-    links = both_ways(edges)
-    open_ = links.where(F.col("a") == start).select(F.array("a", "b").alias("path"))
-    found = open_.where(F.element_at("path", -1) == goal)
-    for _ in range(most - 1):
-        open_ = open_.where(F.element_at("path", -1) != goal).join(links, F.element_at("path", -1) == F.col("a")).where(~F.array_contains("path", F.col("b"))).select(F.concat("path", F.array("b")).alias("path"))
-        found = found.unionByName(open_.where(F.element_at("path", -1) == goal))
-    return found
+    """(path): all paths of up to so many hops that visit no node twice.
+
+    Paths grow from both ends and meet: half of the hops from the start, the rest from the goal. An end grows only to
+    nodes from which the other can still be reached in the hops that are left, as a search for distances has told."""
+    spark, links = edges.sparkSession, written(both_ways(edges))
+    if start == goal or most < 1:
+        return spark.createDataFrame([], "path array<string>")
+
+    def distances(end: str) -> DataFrame:
+        level = spark.createDataFrame([(end,)], "id string")
+        out = level.withColumn("left", F.lit(0))
+        for hop in range(1, most):
+            level = _level(level, links, out.select("id"))
+            out = written(out.unionByName(level.withColumn("left", F.lit(hop))))
+        return out
+
+    def grown(begin: str, end: str, hops: int) -> list[DataFrame]:
+        """Paths from begin of 0 to ``hops`` hops, without end."""
+        away, out = distances(end), [spark.createDataFrame([(begin, [begin])], "id string, path array<string>")]
+        for hop in range(1, hops + 1):
+            on = out[-1].select(F.col("id").alias("a"), "path").join(links, "a").where((F.col("b") != end) & ~F.array_contains("path", F.col("b")))
+            on = on.select(F.col("b").alias("id"), F.concat("path", F.array("b")).alias("path"))
+            out.append(written(on.join(away.where(F.col("left") <= most - hop).select("id"), "id", "left_semi")))
+        return out
+
+    ahead, back = (most + 1) // 2, most // 2
+    first, second = grown(start, goal, ahead - 1), grown(goal, start, back)
+    # a path is cut before its hop number ``ahead``, or before its last one if it has fewer
+    parts = []
+    for x, y in [(first[k], second[0]) for k in range(ahead)] + [(first[ahead - 1], second[j]) for j in range(1, back + 1)]:
+        left, right = x.select(F.col("id").alias("a"), F.col("path").alias("p")), y.select(F.col("id").alias("b"), F.col("path").alias("q"))
+        parts.append(left.join(links, "a").join(right, "b").where(~F.arrays_overlap("p", "q")).select(F.concat("p", F.reverse("q")).alias("path")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

@@ -114,6 +114,18 @@ def simple_paths(t) -> DataFrame:
     return G.simple_paths(edges(t), "x", "z", 3).select(F.array_join("path", ">").alias("path"))
 
 
+_ENDS = "z AS (SELECT min(a) AS x, max(a) AS y FROM l)"
+
+
+@query("f17_simple_paths_orders", f"""WITH {_SQL_B}, {_ENDS} SELECT a || '>' || b AS path FROM l, z WHERE a = x AND b = y UNION ALL SELECT p.a || '>' || p.b || '>' || q.b FROM z, l p JOIN l q ON p.b = q.a WHERE p.a = x AND q.b = y
+UNION ALL SELECT p.a || '>' || p.b || '>' || q.b || '>' || r.b FROM z, l p JOIN l q ON p.b = q.a JOIN l r ON q.b = r.a WHERE p.a = x AND r.b = y AND p.b <> y AND q.b <> x AND q.b <> y""")
+def simple_paths_of_orders(t) -> DataFrame:
+    """Paths of three hops at most from the first customer to the last supplier by name."""
+    e = written(all_edges(t))
+    ends = e.select(F.least(F.min("a"), F.min("b")).alias("x"), F.greatest(F.max("a"), F.max("b")).alias("y")).first()
+    return G.simple_paths(e, ends["x"], ends["y"], 3).select(F.array_join("path", ">").alias("path"))
+
+
 @query("f22_cycles", f"WITH {_SQL_B}, c3 AS (SELECT p.a || '>' || p.b || '>' || q.b AS cycle FROM l p JOIN l q ON p.b = q.a JOIN l r ON q.b = r.a AND r.b = p.a WHERE p.a < p.b AND p.a < q.b AND p.b < q.b) SELECT cycle FROM c3")
 def cycles(t) -> DataFrame:
     """Every triangle of suppliers and customers over all orders; their number is in the nature of a dense graph."""

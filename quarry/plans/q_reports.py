@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import patterns as P
-from ..sources import web
+from ..sources import pages, web
 from . import reports as M
 from .q_graph import _SQL_M, _SQL_P, mentions
 from .q_links import _DEG, degree
@@ -87,6 +87,17 @@ def paged(t) -> DataFrame:
     return values(t, [(r["id"],) for rows in pages for r in rows], "id int")
 
 
+@query("a14_paged_orders", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
+def paged_orders(t) -> DataFrame:
+    """All orders from a service that gives 1,000 rows a page, 20 pages to a task."""
+    orders = t("orders")
+    spark = orders.sparkSession
+    pages.register(spark)
+    files = ",".join(sorted(x.removeprefix("file:").replace("///", "/") for x in orders.inputFiles()))
+    served = spark.read.format(pages.NAME).option("service", "quarry.sources.pages:ParquetService").option("path", files).option("page_size", 1000).option("pages", 20).load()
+    return served.select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+
+
 @query("a19_scraped", "SELECT url, length(substr(html, 1, 10000)) AS n FROM pages")
 def scraped(t) -> DataFrame:
     return web.scraped(t("pages")).select("url", F.length("raw").cast("long").alias("n"))

@@ -57,3 +57,27 @@ def test_ranks_need_no_single_task(spark):
     got = [(r["rank"], r["w"], r["v"]) for r in graph.ranked(df, F.col("w").desc(), "v").collect()]
     assert sorted(got) == [(k, w, v) for k, (w, v) in enumerate(sorted(((w, v) for _, w, v in got), key=lambda x: (-x[0], x[1])), 1)]
     assert graph.ranked(df.limit(0), "v").count() == 0
+
+
+def test_paths_from_both_ends(spark):
+    rng = random.Random(8)
+    links = {(f"n{a}", f"n{b}") for a, b in ((rng.randrange(9), rng.randrange(9)) for _ in range(16)) if a != b} | {("n0", "m"), ("p", "q")}
+    near = collections.defaultdict(set)
+    for a, b in links:
+        near[a].add(b)
+        near[b].add(a)
+
+    def walk(path, goal, most):
+        if path[-1] == goal:
+            yield tuple(path)
+        elif len(path) <= most:
+            for x in near[path[-1]] - set(path):
+                yield from walk([*path, x], goal, most)
+
+    df = spark.createDataFrame(sorted(links), "a string, b string")
+    for goal, most in (("n1", 1), ("n1", 2), ("n4", 4), ("p", 3)):
+        got = [tuple(r["path"]) for r in graph.simple_paths(df, "n0", goal, most).collect()]
+        assert sorted(got) == sorted(walk(["n0"], goal, most))
+    for goal in ("m", "n4", "q"):
+        all_ = sorted(walk(["n0"], goal, 10), key=lambda p: (len(p), p))
+        assert [tuple(r["path"]) for r in graph.shortest_path(df, "n0", goal).collect()] == all_[:1]
