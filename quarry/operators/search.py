@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -246,13 +247,13 @@ def per_table(results: DataFrame, k: int | None = None) -> DataFrame:
     return results.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= k).drop("__r")
 
 
-def expand(mentions: DataFrame, seeds: DataFrame, rounds: int = 5, per_round: int | None = None, most: int | None = None, order: list[str] | None = None) -> DataFrame:
+def expand(mentions: DataFrame, seeds: DataFrame, rounds: int = 5, per_round: int | None = None, most: int | None = None, order: list[str] | None = None, progress: Callable[[dict], None] | None = None) -> DataFrame:
     """Iterative lead expansion: (entity, hop), seeds at hop 0.
 
     mentions (record_id, entity): which entities a record names. Each round takes the records that name an entity of the
     last round and all new entities in them: two equi-joins and an anti-join on what has been seen. per_round keeps the
     first new entities in the given order; most ends the search when so many are known. Rounds are written down, so the
-    plan doesn't grow.
+    plan doesn't grow. ``progress`` is told {"round", "new", "known"} after each round.
     """
     seen = written(seeds.select("entity").distinct().withColumn("hop", F.lit(0)))
     frontier = seen
@@ -265,6 +266,9 @@ def expand(mentions: DataFrame, seeds: DataFrame, rounds: int = 5, per_round: in
         if not frontier.limit(1).count():
             break
         seen = written(seen.unionByName(frontier))
-        if most and seen.count() >= most:
+        known = seen.count() if most or progress else 0
+        if progress:
+            progress({"round": hop, "new": frontier.count(), "known": known})
+        if most and known >= most:
             break
     return seen
