@@ -11,43 +11,41 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank_to_null, digits, parse_date
 
-# Field types in the order they are tried, each with patterns of names, keywords and patterns of values.
+# Field types in the order they are tried, each with patterns of names, patterns of values, and keywords.
 FIELD_TYPES = (
-    ("person_name", r"name|full_?name|first_?name|last_?name|suspect|victim|witness|accused|complainant|applicant|father_?name|mother_?name|spouse|nominee", r"^[A-Z][a-z]+(\s+[A-Z][a-z]+)+$|^[A-Z]+$"),
-    ("company_name", r"company|firm|organization|org_?name|business|employer|establishment", r"(?i)PVT\.?\s*LTD\.?$|LIMITED$|LLP$|INC\.?$|CORP\.?$|CO\.?$"),
-    ("address", r"address|addr|location|street|residence|perm_?addr|present_?addr|house|building", r"(?i)^\d+|street|road|colony|sector|village|mandal|district|pin.*\d{6}"),
-    ("phone", r"phone|mobile|contact|cell|tel|mob|phone_?no", r"^[+]?[\d\s\-\(\)]{10,15}$|^\d{10}$|^[+]?91\d{10}$"),
-    ("email", r"email|mail|e_?mail", r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$"),
-    ("date", r"date|_date$|^dt_|dob|birth|reg_?date|created|updated", r"^\d{4}-\d{2}-\d{2}$|^\d{2}/\d{2}/\d{4}$|^\d{2}-\d{2}-\d{4}$"),
-    ("datetime", r"datetime|timestamp|created_at|updated_at|time", r"^\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}"),
-    ("amount", r"amount|amt|value|price|cost|fee|balance|deposit|withdrawal|transaction|sum", r"(?i)^[\d,]+\.?\d*$|^Rs\.?\s*\d|^\$\s*\d|^INR\s*\d"),
-    ("currency", r"currency|curr", r"(?i)^INR$|^USD$|^EUR$|^₹$"),
-    ("id_number", r"id|_id$|^id_|identifier", r"^\d+$|^[A-Z0-9\-]{5,30}$"),
-    ("pan_number", r"pan|pan_?no|pan_?card", r"^[A-Z]{5}\d{4}[A-Z]$"),
-    ("aadhaar_number", r"aadhaar|aadhar|uid|uidai", r"^\d{4}\s?\d{4}\s?\d{4}$|^\d{12}$"),
-    ("account_number", r"account|acc|acc_?no|bank_?acc", r"^\d{9,18}$"),
-    ("ifsc_code", r"ifsc|bank_?code", r"^[A-Z]{4}0[A-Z0-9]{6}$"),
-    ("case_number", r"case_?no|case_?id|fir_?no|sc_?no|cc_?no|crl_?no", r"(?i)^\d+/\d{4}$|^[A-Z]+/\d+/\d{4}$|^FIR\s*\d+"),
-    ("fir_number", r"fir|fir_?no|fir_?number", r"(?i)^\d+/\d{4}$|^FIR\s*\d+"),
-    ("vehicle_number", r"vehicle|reg_?no|number_?plate|chassis|engine", r"(?i)^[A-Z]{2}\d{1,2}[A-Z]{1,2}\d{4}$|^[A-Z]{3}\d{4}$"),
-    ("ip_address", r"ip|ip_?address", r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"),
-    ("url", r"url|website|link|domain", r"(?i)^https?://|^www\."),
-    ("age", r"age|_age$", r"^\d{1,3}$|^(1[0-5]|[1-9]\d?)$"),
-    ("gender", r"gender|sex", r"(?i)^[MF]$|^male$|^female$|^other$"),
-    ("occupation", r"occupation|profession|job|designation|role", ""),
-    ("relation", r"relation|relationship|relative|kin|guardian", r"(?i)S/O|D/O|W/O|H/O|son of|daughter of"),
-    ("location", r"place|spot|area|locality|venue|scene", ""),
-    ("district", r"district|dist|zilla", ""),
-    ("state", r"state|province", ""),
-    ("country", r"country|nation|nationality", r"(?i)^INDIA$|^USA$|^IN$"),
-    ("pincode", r"pin|pincode|postal|zip", r"^\d{6}$|^\d{5}$"),
-    ("description", r"description|desc|details|remarks|notes|narrative|summary|comment|observation", ""),
-    ("status", r"status|stage|state$", r"(?i)^(active|inactive|pending|closed|open|resolved|under.*investigation)$"),
-    ("category", r"category|type|classification|kind", ""),
-    ("priority", r"priority|urgency|importance", r"(?i)^(high|medium|low|critical|urgent)$"),
-)
-# Keywords of a type beyond what its name patterns cover; they count less.
-FIELD_KEYWORDS = {"case_number": ("case", "fir", "sc", "cc", "crl")}
+    ("person_name", ("name", "full_?name", "first_?name", "last_?name", "suspect", "victim", "witness", "accused", "complainant", "applicant", "father_?name", "mother_?name", "spouse", "nominee"), (r"^[A-Z][a-z]+(\s+[A-Z][a-z]+)+$", "^[A-Z]+$"), ("name", "suspect", "victim", "witness", "accused", "complainant", "applicant")),
+    ("company_name", ("company", "firm", "organization", "org_?name", "business", "employer", "establishment"), (r"(?i)PVT\.?\s*LTD\.?$", "(?i)LIMITED$", "(?i)LLP$", r"(?i)INC\.?$", r"(?i)CORP\.?$", r"(?i)CO\.?$"), ("company", "firm", "organization", "business", "employer")),
+    ("address", ("address", "addr", "location", "street", "residence", "perm_?addr", "present_?addr", "house", "building"), (r"^\d+", "(?i)street", "(?i)road", "(?i)colony", "(?i)sector", "(?i)village", "(?i)mandal", "(?i)district", r"(?i)pin.*\d{6}"), ("address", "location", "residence", "street", "house")),
+    ("phone", ("phone", "mobile", "contact", "cell", "tel", "mob", "phone_?no"), (r"^[+]?[\d\s\-\(\)]{10,15}$", r"^\d{10}$", r"^[+]?91\d{10}$"), ("phone", "mobile", "contact", "cell")),
+    ("email", ("email", "mail", "e_?mail"), (r"^[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}$",), ("email", "mail")),
+    ("date", ("date", "_date$", "^dt_", "dob", "birth", "reg_?date", "created", "updated"), (r"^\d{4}-\d{2}-\d{2}$", r"^\d{2}/\d{2}/\d{4}$", r"^\d{2}-\d{2}-\d{4}$"), ("date", "dob", "birth", "created", "updated")),
+    ("datetime", ("datetime", "timestamp", "created_at", "updated_at", "time"), (r"^\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}",), ("datetime", "timestamp", "created_at", "updated_at")),
+    ("amount", ("amount", "amt", "value", "price", "cost", "fee", "balance", "deposit", "withdrawal", "transaction", "sum"), (r"^[\d,]+\.?\d*$", r"(?i)^Rs\.?\s*\d", r"^\$\s*\d", r"(?i)^INR\s*\d"), ("amount", "value", "price", "cost", "balance", "deposit")),
+    ("currency", ("currency", "curr"), ("(?i)^INR$", "(?i)^USD$", "(?i)^EUR$", "^₹$"), ("currency",)),
+    ("id_number", ("id", "_id$", "^id_", "identifier"), (r"^\d+$", r"^[A-Z0-9\-]{5,30}$"), ("id", "identifier")),
+    ("pan_number", ("pan", "pan_?no", "pan_?card"), (r"^[A-Z]{5}\d{4}[A-Z]$",), ("pan",)),
+    ("aadhaar_number", ("aadhaar", "aadhar", "uid", "uidai"), (r"^\d{4}\s?\d{4}\s?\d{4}$", r"^\d{12}$"), ("aadhaar", "aadhar", "uid")),
+    ("account_number", ("account", "acc", "acc_?no", "bank_?acc"), (r"^\d{9,18}$",), ("account", "acc")),
+    ("ifsc_code", ("ifsc", "bank_?code"), ("^[A-Z]{4}0[A-Z0-9]{6}$",), ("ifsc",)),
+    ("case_number", ("case_?no", "case_?id", "fir_?no", "sc_?no", "cc_?no", "crl_?no"), (r"^\d+/\d{4}$", r"^[A-Z]+/\d+/\d{4}$", r"(?i)^FIR\s*\d+"), ("case", "fir", "sc", "cc", "crl")),
+    ("fir_number", ("fir", "fir_?no", "fir_?number"), (r"^\d+/\d{4}$", r"(?i)^FIR\s*\d+"), ("fir",)),
+    ("vehicle_number", ("vehicle", "reg_?no", "number_?plate", "chassis", "engine"), (r"(?i)^[A-Z]{2}\d{1,2}[A-Z]{1,2}\d{4}$", r"(?i)^[A-Z]{3}\d{4}$"), ("vehicle", "reg_no", "number_plate")),
+    ("ip_address", ("ip", "ip_?address"), (r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$",), ("ip", "ip_address")),
+    ("url", ("url", "website", "link", "domain"), ("(?i)^https?://", r"(?i)^www\."), ("url", "website", "link")),
+    ("age", ("age", "_age$"), (r"^\d{1,3}$", r"^(1[0-5]|[1-9]\d?)$"), ("age",)),
+    ("gender", ("gender", "sex"), ("(?i)^[MF]$", "(?i)^male$", "(?i)^female$", "(?i)^other$"), ("gender", "sex")),
+    ("occupation", ("occupation", "profession", "job", "designation", "role"), (), ("occupation", "profession", "job", "designation")),
+    ("relation", ("relation", "relationship", "relative", "kin", "guardian"), ("(?i)S/O", "(?i)D/O", "(?i)W/O", "(?i)H/O", "(?i)son of", "(?i)daughter of"), ("relation", "relationship", "relative", "kin")),
+    ("location", ("place", "spot", "area", "locality", "venue", "scene"), (), ("place", "spot", "area", "locality", "venue")),
+    ("district", ("district", "dist", "zilla"), (), ("district", "dist")),
+    ("state", ("state", "province"), (), ("state",)),
+    ("country", ("country", "nation", "nationality"), ("(?i)^INDIA$", "(?i)^USA$", "(?i)^IN$"), ("country", "nation", "nationality")),
+    ("pincode", ("pin", "pincode", "postal", "zip"), (r"^\d{6}$", r"^\d{5}$"), ("pin", "pincode", "postal", "zip")),
+    ("description", ("description", "desc", "details", "remarks", "notes", "narrative", "summary", "comment", "observation"), (), ("description", "details", "remarks", "notes", "narrative")),
+    ("status", ("status", "stage", "state$"), ("(?i)^(active|inactive|pending|closed|open|resolved|under.*investigation)$",), ("status", "stage")),
+    ("category", ("category", "type", "classification", "kind"), (), ("category", "type", "classification")),
+    ("priority", ("priority", "urgency", "importance"), ("(?i)^(high|medium|low|critical|urgent)$",), ("priority", "urgency")),
+)
 # Weight of each quality dimension.
 WEIGHTS = {"completeness": 0.25, "accuracy": 0.20, "consistency": 0.15, "timeliness": 0.15, "validity": 0.15, "uniqueness": 0.10}
 EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
@@ -58,10 +56,10 @@ def type_by_name(field: str, strict: bool = False) -> tuple[str, float] | None:
     """The first type of which a name pattern (.9) or a keyword (.7) occurs in the field's name. strict: only at word limits."""
     edge = (r"(?<![a-z])", r"(?![a-z])") if strict else ("", "")
     forms = (field, re.sub("[^a-z0-9]", "_", field.lower()))
-    for kind, names, _ in FIELD_TYPES:
-        if any(re.search(rf"{edge[0]}(?:{names}){edge[1]}", f, re.IGNORECASE) for f in forms):
+    for kind, names, _, keywords in FIELD_TYPES:
+        if any(re.search(rf"{edge[0]}(?:{'|'.join(names)}){edge[1]}", f, re.IGNORECASE) for f in forms):
             return kind, 0.9
-        if any(re.search(edge[0] + w + edge[1], forms[1]) for w in FIELD_KEYWORDS.get(kind, ())):
+        if any(re.search(edge[0] + w + edge[1], forms[1]) for w in keywords):
             return kind, 0.7
     return None
 
@@ -76,8 +74,8 @@ def detect_types(df: DataFrame, sample: int | None = None, strict: bool = False)
     if open_:
         few = df.select(*(blank_to_null(F.col(c)).alias(c) for c in open_))
         few = few.orderBy(*open_).limit(sample) if sample else few
-        tests = [(c, k) for c in open_ for k, _, v in FIELD_TYPES if v]
-        patterns = {k: v for k, _, v in FIELD_TYPES}
+        tests = [(c, k) for c in open_ for k, _, v, _ in FIELD_TYPES if v]
+        patterns = {k: "|".join(f"(?:{x})" for x in v) for k, _, v, _ in FIELD_TYPES}
         got = few.agg(*(F.avg(F.col(c).rlike(patterns[k]).cast("double")).alias(f"{c}|{k}") for c, k in tests)).first()
         for c in open_:
             kind = next((k for x, k in tests if x == c and (got[f"{c}|{k}"] or 0) > 0.5), None)
