@@ -61,9 +61,11 @@ CONTEXT_PATTERNS = (
 # Confidence of names and places.
 NAME_CONFIDENCE = {"full": 0.90, "first": 0.75, "last": 0.70, "said": 0.85}
 PLACE_CONFIDENCE = {"city": 0.85, "state": 0.90}
-# The survey's lists and a few of our own; callers may give theirs.
-FIRST_NAMES = (*gazetteer.FIRST_NAMES, "asha", "anil", "mary")
-PLACES = (*gazetteer.CITIES, *gazetteer.STATES, "london", "paris", "berlin", "madrid")
+# A few names and places of our own beside the fixed lists; callers may give theirs.
+OWN_NAMES = ("asha", "anil", "mary")
+OWN_PLACES = ("london", "paris", "berlin", "madrid")
+FIRST_NAMES = (*gazetteer.FIRST_NAMES, *OWN_NAMES)
+PLACES = (*gazetteer.CITIES, *gazetteer.STATES, *OWN_PLACES)
 
 
 def ascii_bounds(pattern: str) -> str:
