@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -48,6 +50,58 @@ for _id, _kind, _catalog, _cases in (
     _run, _sql = _fixture(_kind, _catalog, _cases)
     query(_id, _sql)(_run)
 
+def _notes(template: str) -> tuple[Column, str]:
+    """A text of each customer, as a column and in SQL: {n} is the key in n digits, {segment} the market segment."""
+    parts = re.split(r"\{(\w+)\}", template)
+    columns, sql = [], []
+    for k, part in enumerate(parts):
+        if k % 2 == 0:
+            columns.append(F.lit(part))
+            sql.append("'" + part.replace("'", "''") + "'")
+        elif part == "segment":
+            columns.append(F.initcap("c_mktsegment"))
+            sql.append("upper(c_mktsegment[1]) || lower(c_mktsegment[2:])")
+        else:
+            columns.append(F.lpad(F.col("c_custkey").cast("string"), int(part), "0"))
+            sql.append(f"lpad(CAST(c_custkey AS VARCHAR), {part}, '0')")
+    return F.concat(*columns), " || ".join(sql)
+
+
+def _of_customers(kind: str, catalog: X.Catalog, text: str, wanted: str):
+    """A query over a text of every customer: what is found of one type."""
+
+    def run(t) -> DataFrame:
+        notes = t("customer").select(F.col("c_custkey").alias("doc_id"), _notes(text)[0].alias("text"))
+        return X.extract(notes, catalog=catalog, kinds=[kind]).select("doc", "normalized")
+
+    def sql() -> str:
+        return f"SELECT c_custkey AS doc, {_notes(wanted)[1]} AS normalized FROM customer"
+
+    return run, sql
+
+
+for _id, _kind, _catalog, _text, _wanted in (
+    ("c01_phone", "phone", X.FIRST, "call +91 9{9} now", "9{9}"),
+    ("c03_pan", "pan_number", X.FIRST, "PAN: AAAPZ{4}Z and no more", "AAAPZ{4}Z"),
+    ("c04_aadhaar", "aadhaar_number", X.FIRST, "Aadhaar: 2000 1{3} {4}, not 2000 1{3} {4}", "20001{3}{4}"),
+    ("c05_vid", "aadhaar_vid", X.SECOND, "vid 1234 5678 {4} 3456.", "1234 5678 {4} 3456"),
+    ("c06_upi", "upi_id", X.SECOND, "pay User{4}@ybl or x{4}@bank", "user{4}@ybl"),
+    ("c07_account", "account_number", X.FIRST, "account: 111{9}, order {9}", "111{9}"),
+    ("c08_ifsc", "ifsc_code", X.FIRST, "IFSC ABCD0{6} ABCD1{6}", "ABCD0{6}"),
+    ("c09_vehicle", "vehicle_number", X.FIRST, "car ZZ-01 AB {4}", "ZZ01AB{4}"),
+    ("c11_url", "url", X.FIRST, "see https://example.org/a?b={5}", "https://example.org/a?b={5}"),
+    ("c12_pincode", "pincode", X.FIRST, "pin: 4{5}, not 5{5}", "4{5}"),
+    ("c13_amount", "amount", X.FIRST, "Rs 12,{3} and 5 lakh", "Rs 12,{3}"),
+    ("c14_date", "date", X.FIRST, "on 3rd March 20{2}", "3rd March 20{2}"),
+    ("c15_address", "address", X.FIRST, "at flat {4} lake view tower", "flat {4} lake view tower"),
+    ("c16_crypto", "crypto_address", X.SECOND, "to 0x" + "aB" * 16 + "{8}", "0x" + "ab" * 16 + "{8}"),
+    ("c17_social", "social_handle", X.SECOND, "by @Some_{5}", "@some_{5}"),
+    ("c18_id", "id_number", X.SECOND, "no AB{6} x", "ab{6}"),
+    ("c21_company", "company", X.FIRST, "of {segment} Works Pvt Ltd today", "{segment} Works"),
+):
+    _run, _sql = _of_customers(_kind, _catalog, _text, _wanted)
+    query(f"{_id}_customers", _sql())(_run)
+
 _MAIL_SQL = r"SELECT doc_id AS doc, unnest(list_distinct(list_transform(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b'), lambda x: lower(x)))) AS normalized FROM documents"
 
 
