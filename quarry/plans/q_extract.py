@@ -50,34 +50,31 @@ for _id, _kind, _catalog, _cases in (
     _run, _sql = _fixture(_kind, _catalog, _cases)
     query(_id, _sql)(_run)
 
-def _notes(template: str) -> tuple[Column, str]:
-    """A text of each customer, as a column and in SQL: {n} is the key in n digits, {segment} the market segment."""
-    parts = re.split(r"\{(\w+)\}", template)
-    columns, sql = [], []
-    for k, part in enumerate(parts):
-        if k % 2 == 0:
-            columns.append(F.lit(part))
-            sql.append("'" + part.replace("'", "''") + "'")
-        elif part == "segment":
-            columns.append(F.initcap("c_mktsegment"))
-            sql.append("upper(c_mktsegment[1]) || lower(c_mktsegment[2:])")
-        else:
-            columns.append(F.lpad(F.col("c_custkey").cast("string"), int(part), "0"))
-            sql.append(f"lpad(CAST(c_custkey AS VARCHAR), {part}, '0')")
-    return F.concat(*columns), " || ".join(sql)
-
-
-def _of_customers(kind: str, catalog: X.Catalog, text: str, wanted: str):
+def _note(template: str) -> Column:
+    """A text of each customer: {n} is the key in n digits, {segment} the market segment."""
+    columns = []
+    for k, part in enumerate(re.split(r"\{(\w+)\}", template)):
+        key = F.initcap("c_mktsegment") if part == "segment" else F.lpad(F.col("c_custkey").cast("string"), int(part), "0") if k % 2 else F.lit(part)
+        columns.append(key)
+    return F.concat(*columns)
+
+
+def _note_sql(template: str) -> str:
+    """The same text in SQL."""
+    parts = []
+    for k, part in enumerate(re.split(r"\{(\w+)\}", template)):
+        parts.append("upper(c_mktsegment[1]) || lower(c_mktsegment[2:])" if part == "segment" else f"lpad(CAST(c_custkey AS VARCHAR), {part}, '0')" if k % 2 else f"'{part}'")
+    return " || ".join(parts)
+
+
+def _of_customers(kind: str, catalog: X.Catalog, text: str):
     """A query over a text of every customer: what is found of one type."""
 
     def run(t) -> DataFrame:
-        notes = t("customer").select(F.col("c_custkey").alias("doc_id"), _notes(text)[0].alias("text"))
+        notes = t("customer").select(F.col("c_custkey").alias("doc_id"), _note(text).alias("text"))
         return X.extract(notes, catalog=catalog, kinds=[kind]).select("doc", "normalized")
 
-    def sql() -> str:
-        return f"SELECT c_custkey AS doc, {_notes(wanted)[1]} AS normalized FROM customer"
-
-    return run, sql
+    return run
 
 
 for _id, _kind, _catalog, _text, _wanted in (
@@ -99,8 +96,7 @@ for _id, _kind, _catalog, _text, _wanted in (
     ("c18_id", "id_number", X.SECOND, "no AB{6} x", "ab{6}"),
     ("c21_company", "company", X.FIRST, "of {segment} Works Pvt Ltd today", "{segment} Works"),
 ):
-    _run, _sql = _of_customers(_kind, _catalog, _text, _wanted)
-    query(f"{_id}_customers", _sql())(_run)
+    query(f"{_id}_customers", f"SELECT c_custkey AS doc, {_note_sql(_wanted)} AS normalized FROM customer")(_of_customers(_kind, _catalog, _text))
 
 _MAIL_SQL = r"SELECT doc_id AS doc, unnest(list_distinct(list_transform(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b'), lambda x: lower(x)))) AS normalized FROM documents"
 
