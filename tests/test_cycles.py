@@ -81,3 +81,15 @@ def test_paths_from_both_ends(spark):
     for goal in ("m", "n4", "q"):
         all_ = sorted(walk(["n0"], goal, 10), key=lambda p: (len(p), p))
         assert [tuple(r["path"]) for r in graph.shortest_path(df, "n0", goal).collect()] == all_[:1]
+
+
+def test_triangles_are_listed_in_tiles(spark, monkeypatch):
+    """Ways over links are never an exchange's rows, neither where cycles are listed nor where they are counted."""
+    monkeypatch.setattr(graph, "TILE_LISTED", 40)
+    rng = random.Random(4)
+    links = [(f"n{rng.randrange(12)}", f"n{rng.randrange(12)}") for _ in range(60)] + [(f"m{k}", f"m{(k + 1) % 3}") for k in range(3)]
+    near, _, _ = brute(links)
+    df = graph.cycles(spark.createDataFrame(links, "a string, b string"), 3)
+    assert sorted(tuple(r["cycle"]) for r in df.collect()) == sorted(t for t in itertools.combinations(sorted(near), 3) if all(y in near[x] for x, y in itertools.combinations(t, 2)))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan.split("FlatMapCoGroupsInArrow")[0]
