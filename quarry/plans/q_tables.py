@@ -188,7 +188,7 @@ def relations_of_people(t) -> DataFrame:
     where = F.concat_ws(" ", F.lower("c_mktsegment"), F.col("c_nationkey").cast("string"), F.lit("road"), (F.col("c_custkey") % 50).cast("string"))
     people = c.join(p, F.col("p_partkey") == F.col("c_custkey"), "left").select(key.alias("id"), F.lit("person").alias("type"), none.alias("name"), where.alias("address"), F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("Part "), "p_name")).alias("company"))
     firms = p.select(F.concat(F.lit("f"), F.lpad(F.col("p_partkey").cast("string"), 6, "0")).alias("id"), F.lit("company").alias("type"), F.concat(F.lit("part "), "p_name").alias("name"), none.alias("address"), none.alias("company"))
-    return E.relations(people.unionByName(firms).withColumns(blank)).withColumn("strength", F.round("strength", 6))
+    return E.relations(people.unionByName(firms).withColumns(blank), firsts=True).withColumn("strength", F.round("strength", 6))
 
 
 @query("f19_relations_customers", f"""WITH {_CONTACTS}, i AS (SELECT lpad(k::VARCHAR, 6, '0') AS id, * FROM e), s AS (SELECT right(phone, 10) AS v, min(id) AS a FROM i GROUP BY 1), m AS (SELECT lower(trim(email)) AS v, min(id) AS a FROM i WHERE email IS NOT NULL GROUP BY 1), c AS (SELECT account AS v, min(id) AS a FROM i GROUP BY 1)

@@ -19,3 +19,13 @@ def test_values_are_compared_once_for_all_their_rows(spark, monkeypatch):
     want = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.id") < F.col("y.id"))).select("x.id", "y.id", text.similarity(F.col("x.v"), F.col("y.v"))).collect()
     assert got == {(a, b): s for a, b, s in want} and len(got) == len(want) == resolve.scored_pairs(df, "id", "v", ["block"]).count()
 
+
+def test_all_who_share_near_addresses_are_related(spark):
+    """Copies of an address are each related with the copies of one that is near it."""
+    rows = [("p1", "12 lake road pune"), ("p2", "12 Lake Road, Pune"), ("p3", "12 lake rd pune"), ("p4", "12 Lake Rd. Pune"), ("p5", "9 hill street")]
+    none = F.lit(None).cast("string")
+    df = spark.createDataFrame(rows, "id string, address string").select("id", F.lit("person").alias("type"), *(none.alias(c) for c in ("name", "phone", "email", "company", "account")), "address")
+    pairs = lambda **how: sorted((r["a"], r["b"]) for r in resolve.relations(df, **how).collect())
+    assert pairs() == list(itertools.combinations(["p1", "p2", "p3", "p4"], 2))
+    assert pairs(firsts=True) == [("p1", "p2"), ("p1", "p3"), ("p3", "p4")]
+
