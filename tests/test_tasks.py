@@ -29,3 +29,20 @@ def test_all_who_share_near_addresses_are_related(spark):
     assert pairs() == list(itertools.combinations(["p1", "p2", "p3", "p4"], 2))
     assert pairs(firsts=True) == [("p1", "p2"), ("p1", "p3"), ("p3", "p4")]
 
+
+def test_pairs_are_counted_in_tasks_that_follow_the_mentions(spark, monkeypatch):
+    monkeypatch.setattr(graph, "TASK_MENTIONS", 100)
+    rng = random.Random(6)
+    rows = [(rng.randrange(60), f"e{rng.randrange(20)}", k) for k in range(900)]
+    df = spark.createDataFrame(rows, "record_id int, entity string, ts int").select("*", F.substring("entity", 2, 1).alias("type"))
+    out = graph.pair_counts(df)
+    assert out.rdd.getNumPartitions() == 9
+    names = {}
+    for record, entity, _ in rows:
+        names.setdefault(record, set()).add(entity)
+    want = {}
+    for found in names.values():
+        for pair in itertools.combinations(sorted(found), 2):
+            want[pair] = want.get(pair, 0) + 1
+    assert {(r["a"], r["b"]): r["weight"] for r in out.collect()} == want
+
