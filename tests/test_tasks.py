@@ -46,3 +46,10 @@ def test_pairs_are_counted_in_tasks_that_follow_the_mentions(spark, monkeypatch)
             want[pair] = want.get(pair, 0) + 1
     assert {(r["a"], r["b"]): r["weight"] for r in out.collect()} == want
 
+
+def test_a_small_level_sends_no_links(spark):
+    edges = spark.range(1000).select(F.concat(F.lit("a"), F.col("id") % 50).alias("a"), F.concat(F.lit("b"), "id").alias("b"))
+    out = graph._next(graph._level_of(["a7"], edges), edges, True)
+    assert out.count() == 20 and {r["a"] for r in out.collect()} == {"a7"}
+    assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+
