@@ -53,3 +53,11 @@ def test_a_small_level_sends_no_links(spark):
     assert out.count() == 20 and {r["a"] for r in out.collect()} == {"a7"}
     assert "hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
 
+
+def test_records_link_what_pairs_link(spark):
+    rng = random.Random(7)
+    df = spark.createDataFrame([(rng.randrange(40), f"e{rng.randrange(60)}") for _ in range(70)], "record_id int, entity string")
+    links = graph.record_links(df)
+    assert links.count() <= df.count()
+    assert sorted(graph.components(links).collect()) == sorted(graph.components(graph.pair_counts(df)).collect())
+
