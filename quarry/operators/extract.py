@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import digits, similarity
+from ..functions.text import digits, lowered, similarity
 from . import gazetteer
 from .near import near_pairs
 from .terms import held_terms
@@ -216,13 +216,17 @@ def _in_context(kind: str):
     return lambda p: F.struct(F.lit(kind).alias("type"), _normal_2(kind, p["v"]).alias("value"), F.concat(p["l"], p["m"], p["r"]).alias("context"))
 
 
+#: What parts the words of aliases: the white space of SQL's expressions, which has no vertical tab, and signs.
+WORD_BREAK = r"[ \t\n\f\r,;:\-]+"
+
+
 def fuzzy_aliases(docs: DataFrame, entities: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.85) -> DataFrame:
     """(doc, normalized, alias): words of the same document that are nearly the entity.
 
     Words and entities of a document meet by rare bigrams (near_pairs), so a long text with many entities is not compared
     word by word with each. Words and entities that differ in case only are the same."""
-    words = docs.select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(F.split(text_col, r"[\s,;:\-]+"))).alias("alias")).where("length(alias) > 2").withColumn("v", F.lower("alias"))
-    known = entities.select("doc", "normalized", F.lower("normalized").alias("v")).where("doc is not null and v is not null")
+    words = docs.select(F.col(id_col).alias("doc"), F.explode(F.array_distinct(F.split(text_col, WORD_BREAK))).alias("alias")).where("length(alias) > 2").withColumn("v", lowered(F.col("alias")))
+    known = entities.select("doc", "normalized", lowered(F.col("normalized")).alias("v")).where("doc is not null and v is not null")
     # only words as long as some entity of the document, or nearly so, can be its aliases
     n = F.length("v")
     lengths = known.groupBy("doc").agg(F.floor(F.min(n) * threshold).alias("least"), F.ceil(F.max(n) / threshold).alias("most"))

@@ -90,3 +90,20 @@ def test_resolve_at_any_threshold(spark, t):
     scored = df.alias("x").join(df.alias("y"), F.col("x.id") < F.col("y.id")).where(resolve.similarity_score("x", "y") >= t - 1e-9).select("x.id", "y.id").collect()
     want = roots(len(rows), [(int(a), int(b)) for a, b in scored])
     assert {int(r["id"]): int(r["cluster"]) for r in resolve.resolve(df, t).collect()} == dict(enumerate(want))
+
+
+def test_aliases_of_documents_as_their_sql(spark, tmp_path):
+    """An accent costs two edits of bytes; words part at white space but not at a vertical tab."""
+    import duckdb
+
+    from quarry.plans import load
+
+    texts = ["menteau mentêeau", "abcdefghijklmn abcdefgêhijklmn", "abcdefgh Abcdefghi", "abcdefgh\u000babcdefghi abcdefgh", "istanbuls İstanbuls istanbulis", "abcdefgh  abcdefg", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    queries, sql = load()
+    name = "c34_aliases_documents"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(f"select doc, normalized, alias from ({sql[name]})").fetchall())
+    assert sorted(map(tuple, queries[name](spark, str(tmp_path)).select("doc", "normalized", "alias").collect())) == want
+    assert len(want) >= 3
