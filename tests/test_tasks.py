@@ -61,3 +61,18 @@ def test_records_link_what_pairs_link(spark):
     assert links.count() <= df.count()
     assert sorted(graph.components(links).collect()) == sorted(graph.components(graph.pair_counts(df)).collect())
 
+
+
+def test_neighbours_send_only_what_leaves_a_frontier(spark, monkeypatch):
+    """Nodes within two hops as by plain search, without all links being sent."""
+    rng = random.Random(8)
+    links = {tuple(rng.sample(range(80), 2)) for _ in range(150)}
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in links] + [("n0", "n0")], "a string, b string")
+    near = {k: {b for a, b in links if a == k} | {a for a, b in links if b == k} for k in range(80)}
+    one = near[0] - {0}
+    two = set().union(*(near[k] for k in one)) - one - {0}
+    want = sorted([(f"n{k}", 1) for k in one] + [(f"n{k}", 2) for k in two])
+    monkeypatch.setattr(graph, "both_ways", None)
+    for level in (100_000, 1):
+        monkeypatch.setattr(graph, "LEVEL", level)
+        assert sorted(map(tuple, graph.neighbours(edges, "n0", 2).collect())) == want
