@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quarry.llm import common, jaccard, langid, mixing, packing, quality
 
@@ -164,3 +165,25 @@ def test_large_group_of_copies_in_parts_and_leaves(spark, monkeypatch):
         monkeypatch.setattr(jaccard, "LEAF", leaf)
         monkeypatch.setattr(jaccard, "REPRESENTATIVE_TURNS", turns)
         assert {r["doc_id"]: r["component_id"] for r in jaccard.jaccard_components(df).collect()} == want
+
+
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    """Draws are of all rows, in proportion to their weights; the threshold counts them all."""
+    rows = [(i, i, 0, 0, 0, 0, 1, i % 2 == 0) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, good boolean")
+    got = quality.draw(df.repartition(7), {True: 1.0, False: 0.1}).select("tree", "n_words").collect()
+    again = quality.draw(df.repartition(3), {True: 1.0, False: 0.1}).select("tree", "n_words").collect()
+    assert sorted(got) == sorted(again) and len(got) == 100 * 256 == len(set(got))
+    good = sum(r["n_words"] % 2 == 0 for r in got) / len(got)
+    assert 0.89 < good < 0.93 and len({r["n_words"] for r in got}) > 3500
+    good, bad = np.array([10, 85, 4, 1, 0]), np.array([0, 1, 1, 3, 45])
+    assert quality.calibrate(np.array([1, 2, 3, 4, 5]), good, bad) == 3 / quality.STEPS
+    # more labelled rows than a bounded fit would take
+    texts = [(i, " ".join(f"w{(i * 7 + k) % 97}{k}" for k in range(55)) + (" # $ % *" * 10 if i % 40 == 0 else "")) for i in range(24_000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    seen = []
+    plain = quality.calibrate
+    monkeypatch.setattr(quality, "calibrate", lambda bins, good, bad: seen.append((int(good.sum()), int(bad.sum()))) or plain(bins, good, bad))
+    out = quality.quality_rules(docs, docs.select("doc_id", (F.col("doc_id") % 40 != 0).cast("int").alias("quality")))
+    assert out.where("kept and doc_id % 40 = 0").count() == 0 and out.where("kept").count() > 22_900
+    assert seen == [(23_400, 600)]
