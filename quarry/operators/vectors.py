@@ -73,6 +73,10 @@ def _best(shared, k: int):
 
 #: Rows of a block, and directions by which blocks are kept apart.
 BLOCK, PIVOTS = 2048, 16
+#: Blocks along a side of a tile at most, which one task holds, and rows of a block that are multiplied at a time.
+TILE, STRIP = 16, 256
+#: Ids of a round that are looked up in a broadcast table; more are joined.
+ROUND_IDS = 1_000_000
 
 
 def near_pairs(vectors: DataFrame, threshold: float = 0.9, id_col: str = "id", vec_col: str = "vector", recall: float | None = None, planes: int = 8, block: int = BLOCK) -> DataFrame:
@@ -122,22 +126,31 @@ def _exact_pairs(rows: DataFrame, threshold: float, block: int) -> DataFrame:
     limit = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-9
     apart = F.exists(F.arrays_zip("lx", "hx", "lo", "hi"), lambda p: (p["lx"] - p["hi"] > limit) | (p["lo"] - p["hx"] > limit))
     open_ = pairs.where(~apart) if threshold > 0 else pairs
-    one, other = blocks.select(F.col("block").alias("x"), F.col("ids").alias("ia"), F.col("data").alias("da")), blocks.select("block", F.col("ids").alias("ib"), F.col("data").alias("db"))
-    met = open_.select("x", "block").repartition(max(1, min(total * (total + 1) // 2, 100_000)), "x", "block").join(one, "x").join(other, "block")
+    # blocks meet in tiles: a block is sent once to each tile that it has an open pair in, not once per pair
+    wide = max(1, min(TILE, total // 8))  # a small table has tiles enough for all cores as well
+    side = F.floor(F.col("x") / wide), F.floor(F.col("block") / wide)
+    cells = open_.select("x", "block", (side[1] * (side[1] + 1) / 2 + side[0]).cast("int").alias("tile"))
+    asked = cells.groupBy("tile", F.col("x").alias("block")).agg(F.collect_list("block").alias("others"))
+    needed = asked.unionByName(cells.select("tile", "block").distinct().withColumn("others", F.array().cast("array<int>"))).groupBy("tile", "block").agg(F.flatten(F.collect_list("others")).alias("others"))
+    along = -(-total // wide)
+    sent = needed.join(blocks.select("block", "ids", "data"), "block").repartitionById(along * (along + 1) // 2, F.col("tile"))
 
     def product(frames):
-        for f in frames:
-            for r in f.itertuples(index=False):
-                n, m = len(r.ia), len(r.ib)
-                s = np.frombuffer(r.da).reshape(n, -1) @ np.frombuffer(r.db).reshape(m, -1).T
-                i, j = np.nonzero(s >= threshold)
-                a, b = np.asarray(r.ia)[i], np.asarray(r.ib)[j]
-                # within a block each pair comes twice, and each row meets itself
-                keep = a < b if r.x == r.block else a != b
-                a, b, s = a[keep], b[keep], s[i, j][keep]
-                yield pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "similarity": s})
-
-    return met.select("x", "block", "ia", "da", "ib", "db").mapInPandas(product, f"a {kind}, b {kind}, similarity double")
+        held = {r.block: (r.others, np.asarray(r.ids), np.frombuffer(r.data).reshape(len(r.ids), -1)) for f in frames for r in f.itertuples(index=False)}
+        for x, (others, ids, data) in sorted(held.items()):
+            for y in sorted(others):
+                _, mine, against = held[y]
+                for at in range(0, len(ids), STRIP):
+                    s = data[at : at + STRIP] @ against.T
+                    i, j = np.nonzero(s >= threshold)
+                    a, b = ids[at + i], mine[j]
+                    # within a block each pair comes twice, and each row meets itself
+                    keep = a < b if x == y else a != b
+                    a, b, s = a[keep], b[keep], s[i, j][keep]
+                    if len(a):
+                        yield pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "similarity": s})
+
+    return sent.select("block", "others", "ids", "data").mapInPandas(product, f"a {kind}, b {kind}, similarity double")
 
 
 def tables_for(threshold: float, recall: float, planes: int) -> int:
@@ -179,13 +192,16 @@ def leader_clusters(vectors: DataFrame, threshold: float = 0.85, id_col: str = "
     solid = rows.where(F.col("v").isNotNull() & (norm("v") > 0)) if threshold > 0 else rows.where("v is not null")
     same = solid.groupBy("v").agg(F.min("id").alias("first"))
     pairs = written(near_pairs(same.select(F.col("first").alias("id"), "v"), threshold, "id", "v", block=chunk).select("a", "b"))
+    few = same.count() <= ROUND_IDS
+    ids = lambda table, name: F.broadcast(table.toDF(name)) if few else table.toDF(name)
     left, out = pairs, None
     while left.limit(1).count():
         waiting = left.select(F.col("b").alias("a")).distinct()
-        leads = left.select("a").distinct().join(waiting, "a", "left_anti")
-        gone = left.join(leads, "a").select("b").distinct()
+        leads = written(left.select("a").distinct().join(waiting, "a", "left_anti"))
+        gone = left.join(ids(leads, "a"), "a", "left_semi").select("b").distinct()
         joined = written(gone if out is None else out.unionByName(gone))
-        rest = written(left.join(joined.select(F.col("b").alias("a")), "a", "left_anti").join(joined, "b", "left_anti").select("a", "b"))
+        rest = written(left.join(ids(joined, "a"), "a", "left_anti").join(ids(joined, "b"), "b", "left_anti").select("a", "b"))
+        dropped(leads)
         if out is not None:
             dropped(out, left)
         left, out = rest, joined
@@ -193,7 +209,7 @@ def leader_clusters(vectors: DataFrame, threshold: float = 0.85, id_col: str = "
         found = same.select(F.col("first"), F.lit(None).cast(dict(rows.dtypes)["id"]).alias("leader"))
     else:
         # all pairs of a row that follows, but for those with other followers
-        first = pairs.join(out.select(F.col("b").alias("a")), "a", "left_anti").join(out, "b").groupBy(F.col("b").alias("first")).agg(F.min("a").alias("leader"))
+        first = pairs.join(ids(out, "a"), "a", "left_anti").join(ids(out, "b"), "b", "left_semi").groupBy(F.col("b").alias("first")).agg(F.min("a").alias("leader"))
         found = same.select("first").join(first, "first", "left")
     members = solid.join(same, "v").select("id", "first").join(found, "first", "left").select("id", F.coalesce("leader", "first").alias("leader"))
     return rows.select("id").join(members, "id", "left").select(F.coalesce("leader", "id").alias("leader"), "id")

@@ -76,3 +76,31 @@ def test_neighbours_send_only_what_leaves_a_frontier(spark, monkeypatch):
     for level in (100_000, 1):
         monkeypatch.setattr(graph, "LEVEL", level)
         assert sorted(map(tuple, graph.neighbours(edges, "n0", 2).collect())) == want
+
+
+def test_blocks_of_vectors_meet_in_tiles(spark, monkeypatch):
+    """All near pairs and the leaders of the sequential rule, of blocks in many tiles and products in strips, and ids that
+    are looked up or joined; a tile is a task."""
+    import numpy as np
+
+    from quarry.operators import vectors
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(0, 1, (300, 5))
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, vector array<double>")
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if u[i] @ u[j] >= 0.8}
+    leaders, joined = [], []
+    for k in range(300):
+        near = [x for x in leaders if u[x] @ u[k] >= 0.8]
+        joined.append((near[0] if near else k, k))
+        leaders += [] if near else [k]
+    monkeypatch.setattr(vectors, "STRIP", 7)
+    for tile, ids in ((1, 1_000_000), (2, 1)):
+        monkeypatch.setattr(vectors, "TILE", tile)
+        monkeypatch.setattr(vectors, "ROUND_IDS", ids)
+        out = vectors.near_pairs(df, 0.8, block=10)
+        got = [(r["a"], r["b"]) for r in out.collect()]
+        assert set(got) == want and len(got) == len(want)
+        assert out.rdd.getNumPartitions() > 100 // tile**2
+        assert sorted(map(tuple, vectors.leader_clusters(df, 0.8, chunk=10).collect())) == sorted(joined)
