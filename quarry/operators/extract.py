@@ -167,12 +167,15 @@ def names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first
     as named or Mr that don't begin with a stop word. The lists are bounded parameters; words count by their letters
     a-z, in any case. Each name once per document, whatever the order. A run that ends in a surname counts .9, another .75,
     a surname alone .7, a name known by the words before it .85; what the lists have goes before what the words say."""
-    words = F.transform(F.split(text_col, r"\s+"), lambda w: F.regexp_replace(F.lower(w), "[^a-z]", ""))
+    # a word without letters leaves an empty one, so that its neighbours don't become adjacent
+    words = F.split(F.regexp_replace(F.regexp_replace(F.lower(text_col), r"\s+", " "), "[^a-z ]", ""), " ")
     firsts, lasts, stops = (sorted(set(x)) for x in (first_names, surnames, gazetteer.NAME_STOP_WORDS))
-    marked = F.array_join(F.transform(words, lambda w: F.when(w.isin(*stops), "-").when(w.isin(*firsts), F.concat(F.lit("F:"), w)).when(w.isin(*lasts), F.concat(F.lit("S:"), w)).otherwise("-")), " ")
-    runs = F.regexp_extract_all(marked, F.lit(r"(?=(?<![^ ])(F:[a-z]+(?: [FS]:[a-z]+)*))F"), F.lit(1))
-    alone = F.regexp_extract_all(marked, F.lit(r"(?<!F:[a-z]{1,40} )(S:[a-z]+)"), F.lit(1))
-    said = [F.regexp_extract_all(text_col, F.lit(p + r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"), F.lit(1)) for p in (r"(?:name(?:d)?|called|known as)[:\s]+", r"(?i:mr\.?|mrs\.?|ms\.?|dr\.?|sri|smt|shri|shrimati)\s+")]
+    tagged = F.array_join(F.transform(words, lambda w: F.when(w.isin(*stops), "-").when(w.isin(*firsts), F.concat(F.lit("F:"), w)).when(w.isin(*lasts), F.concat(F.lit("S:"), w)).otherwise("-")), " ")
+    # each step is a projection of its own: what the next one reads twice, or once per name, is made once per text
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), tagged.alias("marked"))
+    runs = F.regexp_extract_all("marked", F.lit(r"(?=(?<![^ ])(F:[a-z]+(?: [FS]:[a-z]+)*))F"), F.lit(1))
+    alone = F.regexp_extract_all("marked", F.lit(r"(?<!F:[a-z]{1,40} )(S:[a-z]+)"), F.lit(1))
+    said = [F.regexp_extract_all("text", F.lit(p + r"([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"), F.lit(1)) for p in (r"(?:name(?:d)?|called|known as)[:\s]+", r"(?i:mr\.?|mrs\.?|ms\.?|dr\.?|sri|smt|shri|shrimati)\s+")]
     given = F.filter(F.concat(*said), lambda n: ~F.lower(F.regexp_extract(n, r"^\w+", 0)).isin(*stops))
     plain = lambda n: F.initcap(F.regexp_replace(n, "[FS]:", ""))
     worth = lambda n, c: F.struct(n.alias("name"), c.alias("confidence"))
@@ -181,8 +184,9 @@ def names(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", first
         F.transform(alone, lambda n: worth(plain(n), F.lit(NAME_CONFIDENCE["last"]))),
     )
     both = F.concat(F.transform(listed, lambda x: F.struct(F.lit(1).alias("rank"), x["confidence"].alias("confidence"), x["name"].alias("name"))), F.transform(given, lambda n: F.struct(F.lit(0).alias("rank"), F.lit(NAME_CONFIDENCE["said"]).alias("confidence"), F.initcap(F.regexp_replace(n, r"\s+", " ")).alias("name"))))
-    best = F.transform(F.array_distinct(F.transform(both, lambda x: x["name"])), lambda n: F.array_max(F.filter(both, lambda x: x["name"] == n)))
-    return docs.select(F.col(id_col).alias("doc"), F.explode(best).alias("b")).select("doc", "b.name", "b.confidence")
+    rows = rows.select("doc", both.alias("found"))
+    best = F.transform(F.array_distinct(F.transform("found", lambda x: x["name"])), lambda n: F.array_max(F.filter("found", lambda x: x["name"] == n)))
+    return rows.select("doc", F.explode(best).alias("b")).select("doc", "b.name", "b.confidence")
 
 
 def locations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", places: tuple[str, ...] = PLACES, states: tuple[str, ...] = gazetteer.STATES) -> DataFrame:

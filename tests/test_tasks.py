@@ -104,3 +104,15 @@ def test_blocks_of_vectors_meet_in_tiles(spark, monkeypatch):
         assert set(got) == want and len(got) == len(want)
         assert out.rdd.getNumPartitions() > 100 // tile**2
         assert sorted(map(tuple, vectors.leader_clusters(df, 0.8, chunk=10).collect())) == sorted(joined)
+
+
+def test_names_read_a_text_once(spark):
+    """Words without letters part names; the words of a text are made once, not per rule and name."""
+    from quarry.operators import extract
+
+    first, last = extract.FIRST_NAMES[0], extract.gazetteer.SURNAMES[0]
+    texts = [f"{first}\n {last.upper()}, x", f"{first} - {last}", f"x. {last}!", f"{first} {last} named Zora Quill", None, ""]
+    out = extract.names(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"))
+    full = f"{first} {last}".title()
+    assert sorted((r["doc"], r["name"]) for r in out.collect()) == sorted([(0, full), (1, first.title()), (1, last.title()), (2, last.title()), (3, full), (3, "Zora Quill")])
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
