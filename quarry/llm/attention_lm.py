@@ -7,14 +7,25 @@ of adjacent subwords. All factors are proper distributions, so a score is the lo
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import map_rows
 
 SLOTS, CLASSES, WIDTH = 2048, 32, 16
 #: A window has CONTEXT subwords before the STRIDE ones that it scores.
 STRIDE, CONTEXT = 16, 8
 SPAN = STRIDE + CONTEXT
+#: What gradient steps change.
+LEARNT = ("query", "key", "value", "rest", "lag", "out", "bias")
+#: Windows of a step; subwords that a task lays out at a time, and that it learns from at least.
+BATCH, HELD, TASK_SUBWORDS = 512, 1 << 18, 1_000_000
+#: Shares of the texts that each round learns from; rows that a model is summed in.
+ROUNDS, PARTS = (1, 2, 4, 8), 16
 
 
 def smoothed(pairs: np.ndarray, strength: float = 20.0) -> np.ndarray:
@@ -156,42 +167,150 @@ class AttentionLM:
         before[first] = end
         return (within[before * SLOTS + slots].astype(np.float64) + gain[place]) / np.log(10)
 
-    def fit(self, slots: np.ndarray, steps: int = 700, batch: int = 192, rate: float = 0.01, seed: int = 11) -> list[float]:
-        """Adam on random windows of one long sequence; returns the loss of each step, in nats per subword over classes."""
-        if len(slots) < 2 * SPAN + 2:
-            return []
-        rng = np.random.default_rng(seed)
-        names = ("query", "key", "value", "rest", "lag", "out", "bias")
-        m1 = {n: np.zeros_like(getattr(self, n)) for n in names}
-        m2 = {n: np.zeros_like(getattr(self, n)) for n in names}
-        losses = []
-        distance = np.arange(CONTEXT, SPAN)[:, None] - np.arange(SPAN)[None, :]
-        for step in range(1, steps + 1):
-            at = rng.integers(0, len(slots) - SPAN - 1, batch)[:, None] + np.arange(SPAN)
-            x, target = slots[at], slots[at + 1][:, CONTEXT:]
-            q, k, v = self.query[x[:, CONTEXT:]], self.key[x], self.value[x]
-            a, h, z = self._forward(q, k, v, self.rest[x[:, CONTEXT:]], self.base[x[:, CONTEXT:].ravel()])
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            rows, c = np.arange(len(p)), self.classes[target.ravel()]
-            losses.append(float(-np.log(np.maximum(p[rows, c], 1e-12)).mean()))
-            p[rows, c] -= 1
-            p /= len(p)
-            grads = {"out": h.T @ p, "bias": p.sum(axis=0)}
-            dh = ((p @ self.out.T) * (1 - np.abs(h)) ** 2).reshape(batch, STRIDE, WIDTH)
-            da = np.matmul(dh, v.transpose(0, 2, 1))
-            ds = a * (da - (a * da).sum(axis=2, keepdims=True))
-            grads["lag"] = np.bincount(np.clip(distance, 0, SPAN - 1).ravel(), (ds.sum(axis=0) * (distance >= 0)).ravel(), minlength=SPAN).astype(np.float32)
-            ds = ds * np.float32(WIDTH**-0.5)
-            for name, index, g in (("query", x[:, CONTEXT:], np.matmul(ds, k)), ("key", x, np.matmul(ds.transpose(0, 2, 1), q)), ("value", x, np.matmul(a.transpose(0, 2, 1), dh)), ("rest", x[:, CONTEXT:], dh)):
-                flat, g = index.ravel(), g.reshape(-1, WIDTH)
-                order = np.argsort(flat, kind="stable")
-                ids, starts = np.unique(flat[order], return_index=True)
-                grads[name] = np.zeros_like(getattr(self, name))
-                grads[name][ids] = np.add.reduceat(g[order], starts, axis=0)
-            now = rate * min(1.0, step / 50) * (1 - 0.9 * step / steps)
-            for n in names:
-                m1[n] += 0.1 * (grads[n] - m1[n])
-                m2[n] += 0.01 * (grads[n] ** 2 - m2[n])
-                getattr(self, n)[...] -= (now * (m1[n] / (1 - 0.9**step)) / (np.sqrt(m2[n] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    def vector(self) -> np.ndarray:
+        """All that gradient steps change, as one vector."""
+        return np.concatenate([getattr(self, n).ravel() for n in LEARNT])
+
+    def take_over(self, vector: np.ndarray) -> None:
+        """Set what gradient steps change."""
+        at = 0
+        for n in LEARNT:
+            old = getattr(self, n)
+            getattr(self, n)[...] = vector[at : at + old.size].reshape(old.shape)
+            at += old.size
+        self.__dict__.pop("_made", None)
+
+    def _gradients(self, kv: np.ndarray, qr: np.ndarray, x: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Summed loss in nats over classes, and the mean gradients, of windows x (windows, SPAN) with their next slots
+        (windows, STRIDE); those below 0 don't count. kv and qr: key and value, query and rest, side by side."""
+        n, scale, scored = len(x), np.float32(WIDTH**-0.5), x[:, CONTEXT:]
+        both, mine = np.take(kv, x, axis=0, mode="clip"), np.take(qr, scored, axis=0, mode="clip")
+        q, k, v = mine[..., :WIDTH], both[..., :WIDTH], both[..., WIDTH:]
+        a, h, z = self._forward(q, k, v, mine[..., WIDTH:], np.take(self.base, scored.ravel(), axis=0, mode="clip"))
+        np.exp(z, out=z)  # no more than 80
+        z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
+        want, rows = target.ravel(), np.arange(len(z))
+        counts = want >= 0
+        c = self.classes[want]
+        loss = float(-np.log(np.maximum(z[rows, c], 1e-12))[counts].sum())
+        z[rows, c] -= 1
+        if not counts.all():
+            z[~counts] = 0
+        z *= np.float32(1 / max(1, counts.sum()))
+        grads = {"out": h.T @ z, "bias": z.sum(axis=0)}
+        slope = 1 - np.abs(h)
+        slope *= slope
+        slope *= z @ self.out.T
+        dh = slope.reshape(n, STRIDE, WIDTH)
+        ds = np.matmul(dh, v.transpose(0, 2, 1))
+        ds -= np.matmul(a * ds, np.ones((SPAN, 1), np.float32))
+        ds *= a
+        seen = np.arange(CONTEXT, SPAN)[:, None] - np.arange(SPAN)[None, :]
+        grads["lag"] = np.bincount(np.clip(seen, 0, SPAN - 1).ravel(), (ds.sum(axis=0) * (seen >= 0)).ravel(), minlength=SPAN).astype(np.float32)
+        ds *= scale
+        for name, index, one, two in (("qr", scored, np.matmul(ds, k), dh), ("kv", x, np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dh))):
+            flat = index.astype(np.uint16).ravel()
+            order = np.argsort(flat, kind="stable")
+            flat = flat[order]
+            starts = np.concatenate([[0], np.nonzero(flat[1:] != flat[:-1])[0] + 1])
+            g = np.take(np.concatenate([one.reshape(-1, WIDTH), two.reshape(-1, WIDTH)], axis=1), order, axis=0, mode="clip")
+            grads[name] = np.zeros_like(kv)
+            # sums two numbers at a time
+            grads[name][flat[starts]] = np.add.reduceat(g.view(np.complex64), starts, axis=0).view(np.float32)
+        return loss, grads
+
+    def learn(self, texts: Iterator[np.ndarray], rates: tuple[float, float], planned: int, times: int = 1, seed: int = 11) -> tuple[float, int]:
+        """Adam over texts, each closed by the end mark: every subword of every text is predicted once, or
+        ``times`` times. The rate goes from the first to the second in the planned number of steps. Returns the summed
+        loss and how many subwords were predicted. HELD subwords are laid out at a time; for more times all are held."""
+        rng, step, loss, total = np.random.default_rng(seed), 0, 0.0, 0
+        now = {"kv": np.hstack([self.key, self.value]), "qr": np.hstack([self.query, self.rest]), "lag": self.lag, "out": self.out, "bias": self.bias}
+        m1, m2 = ({n: np.zeros_like(p) for n, p in now.items()} for _ in range(2))
+        all_, parts = [], held_parts(texts)
+        for k in range(times):
+            for part in parts if k == 0 else all_:
+                if times > 1 and k == 0:
+                    all_.append(part)
+                n = -(-(len(part) - CONTEXT - 1) // STRIDE)
+                stream = np.zeros(n * STRIDE + CONTEXT + 1, np.int64)
+                stream[: len(part)] = part
+                wanted = stream.copy()
+                wanted[len(part) :] = -1
+                view = np.lib.stride_tricks.sliding_window_view
+                x, target = view(stream, SPAN)[::STRIDE][:n], view(wanted[CONTEXT + 1 :], STRIDE)[::STRIDE]
+                for at in np.array_split(rng.permutation(n), -(-n // BATCH)):
+                    step += 1
+                    lost, grads = self._gradients(now["kv"], now["qr"], x[at], target[at])
+                    loss += lost
+                    rate = (rates[0] + (rates[1] - rates[0]) * min(1.0, step / planned)) * min(1.0, step / 50)
+                    for name, p in now.items():
+                        g, a, b = grads[name], m1[name], m2[name]
+                        a += np.float32(0.1) * (g - a)
+                        g *= g
+                        b += np.float32(0.01) * (g - b)
+                        root = np.sqrt(b * np.float32(1 / (1 - 0.99**step)))
+                        root += np.float32(1e-8)
+                        p -= np.float32(rate / (1 - 0.9**step)) * a / root
+                total += len(part) - CONTEXT - 1
+        self.key[...], self.value[...] = now["kv"][:, :WIDTH], now["kv"][:, WIDTH:]
+        self.query[...], self.rest[...] = now["qr"][:, :WIDTH], now["qr"][:, WIDTH:]
+        return loss, total
+
+    def fit(self, texts: DataFrame, steps: int = 400, rate: float = 0.01) -> list[float]:
+        """Learn from all texts: texts has (slots binary, share long from 0 to the sum of ROUNDS). Every subword of every
+        text is predicted once and gives its gradient, in ROUNDS; after each the tasks' models are averaged, by how much
+        they learnt from, and the next one begins with that. Texts too few for two tasks are learnt by one, as often as it
+        takes for so many steps. Returns the mean loss of each round, in nats per subword over classes."""
+        spark, losses = texts.sparkSession, []
+        total = texts.agg(F.sum(F.length("slots"))).first()[0]
+        if not total:
+            return losses
+        total //= 2
+        alone = total < 2 * TASK_SUBWORDS
+        times = max(1, -(-steps * BATCH * STRIDE // total)) if alone else 1
+        rounds, done = (sum(ROUNDS),) if alone else ROUNDS, 0
+        for k, share in enumerate(rounds):
+            tasks = max(1, total * share // sum(rounds) // TASK_SUBWORDS) if not alone else 1
+            planned = max(1, total * times * share // sum(rounds) // tasks // (BATCH * STRIDE))
+            rates = tuple(rate * (1 - 0.9 * x / len(rounds)) for x in (k, k + 1))
+            begun = spark.sparkContext.broadcast(replace(self, pair=np.zeros(0, np.float32)))  # SLOTS * (4 * WIDTH + CLASSES) floats
+
+            def run(slices, begun=begun, planned=planned, rates=rates):
+                model = replace(begun.value, **{n: getattr(begun.value, n).copy() for n in LEARNT})
+                loss, n = model.learn((np.frombuffer(x, "<u2") for b in slices for x in b.column(0).to_pylist()), rates, planned, times)
+                if n:
+                    for part, piece in enumerate(np.array_split(model.vector().astype(np.float64) * n, PARTS)):
+                        yield {"part": [part], "data": [piece.tobytes()], "loss": [loss], "n": [n]}
+
+            def summed(slices):
+                sums = {}
+                for b in slices:
+                    for part, data, loss, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                        old = sums.get(part, (0, 0.0, 0))
+                        sums[part] = (old[0] + np.frombuffer(data), old[1] + loss, old[2] + n)
+                for part, (data, loss, n) in sums.items():
+                    yield {"part": [part], "data": [data.tobytes()], "loss": [loss], "n": [n]}
+
+            schema = "part int, data binary, loss double, n long"
+            learnt = map_rows(texts.where((F.col("share") >= done) & (F.col("share") < done + share)).select("slots").coalesce(tasks), run, schema)
+            # PARTS rows
+            found = sorted(map_rows(learnt.repartition(PARTS, "part"), summed, schema).collect(), key=lambda r: r["part"])
+            done += share
+            begun.destroy()
+            if found:
+                self.take_over(np.concatenate([np.frombuffer(r["data"]) / r["n"] for r in found]))
+                losses.append(found[0]["loss"] / found[0]["n"])
         return losses
+
+
+def held_parts(texts: Iterator[np.ndarray]) -> Iterator[np.ndarray]:
+    """The texts one after the other, CONTEXT + 1 end marks before them, in parts of about HELD slots."""
+    held, size = [], 0
+    for x in texts:
+        held.append(x)
+        size += len(x)
+        if size >= HELD:
+            yield np.concatenate([np.full(CONTEXT + 1, held[0][-1], np.uint16), *held])
+            held, size = [], 0
+    if size:
+        yield np.concatenate([np.full(CONTEXT + 1, held[0][-1], np.uint16), *held])

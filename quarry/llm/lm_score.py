@@ -13,15 +13,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .attention_lm import SLOTS, AttentionLM
+from .attention_lm import ROUNDS, SLOTS, AttentionLM
 from .common import crc_mod, discard, lookup, map_rows, materialize, split_words
 from .encode import encoder, public_path
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words of the highest counts that are broadcast, at most; all other words are looked up by a join.
 HEAD = 300_000
-#: Pieces of texts, and slots of each, that the gradient steps of the attention layer see at most. All counts cover all of every text.
-FIT_PIECES, PIECE = 4000, 2048
 #: Words, and segments, that a map task holds before it gives their counts away.
 HELD_WORDS, HELD_SEGMENTS = 3_000_000, 200_000
 #: A segment begins where the MEMORY subwords before it have a hash of which 2 ** -RATE have the like.
@@ -196,9 +194,9 @@ def count_pairs(pairs: np.ndarray, flat: np.ndarray, lengths: np.ndarray, learn:
     np.add.at(pairs, at[np.repeat(learn, lengths)], 1)
 
 
-def train(coded: DataFrame, end: int, subwords: int, ends: int) -> AttentionLM:
-    """coded: rows of texts (held_out, th, slots), and rows (at, n) of packed counts of adjacent slots of all texts to learn
-    from. The gradient steps alone take a sample: FIT_PIECES pieces of PIECE slots from any place of any text, by hash."""
+def train(coded: DataFrame) -> AttentionLM:
+    """coded: rows of texts (doc_id, held_out, th, slots), and rows (at, n) of packed counts of adjacent slots of all texts
+    to learn from. The gradient steps take all of them as well."""
 
     def summed(slices):
         pairs = np.zeros(SLOTS * SLOTS, np.int64)
@@ -213,11 +211,8 @@ def train(coded: DataFrame, end: int, subwords: int, ends: int) -> AttentionLM:
     pair = np.zeros(SLOTS * SLOTS)
     pair[table.column("at").to_numpy()] = table.column("n").to_numpy()
     model = AttentionLM.start(pair.reshape(SLOTS, SLOTS))
-    share = max(1, -(-(subwords // PIECE + ends) // FIT_PIECES))
-    pieces = coded.where("slots is not null and not held_out").select("th", "slots", F.explode(F.sequence(F.lit(0), ((F.length("slots") - 1) / (2 * PIECE)).cast("int"))).alias("piece"))
-    chosen = pieces.withColumn("h", F.xxhash64("th", "piece")).where(F.pmod("h", F.lit(share)) == 0).select("h", F.substring("slots", F.col("piece") * (2 * PIECE) + 1, F.lit(2 * PIECE)).alias("slots")).dropDuplicates(["h"])
-    sample = chosen.orderBy("h").limit(FIT_PIECES).select("slots").toArrow()
-    model.fit(np.concatenate([np.array([end]), *(np.frombuffer(x, "<u2").astype(np.int64) for x in sample.column("slots").to_pylist())]))
+    share = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "th"), F.lit(sum(ROUNDS)))
+    model.fit(coded.where("slots is not null and not held_out").select("slots", share.alias("share")))
     return model
 
 
@@ -232,8 +227,8 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     c times, P(segment) = (max(c - 1, 0) + N P') / C, where P' is what the subwords give. As all P' of a context sum to
     one, so do these. score is the log10 of the model's probability of the whole text and the end.
 
-    The gradient steps of the attention layer take a sample, FIT_PIECES pieces of PIECE subwords from any place of any
-    text to learn from, those of the least hashes; all counts and the memory take everything.
+    The gradient steps of the attention layer, all counts and the memory take all of every text to learn from: tasks learn
+    from the texts they read, and their models are averaged after each round.
 
     The HEAD words of the highest counts are broadcast; every other word of a document is looked up by a join.
     Null and empty texts are an end alone. With nothing to learn from, counts are zero and the model is uniform over what
@@ -307,7 +302,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
     names = ("doc_id", "held_out", "row", "th", "n_tokens", "n_known", "base_score", "tail", "slots", "start", "context", "content", "within")
     numbered = rows.select("doc_id", "text", "held_out", F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("th"))
     coded = materialize(map_rows(numbered, code, schema, rows=2048), "coded")
-    model = spark.sparkContext.broadcast(train(coded, coder.end, subwords, ends))  # SLOTS * SLOTS floats at most
+    model = spark.sparkContext.broadcast(train(coded))  # SLOTS * SLOTS floats at most
     end = coder.end
 
     def run(slices):

@@ -5,8 +5,9 @@ import math
 import zlib
 
 import numpy as np
+import pytest
 
-from quarry.llm import lm_score
+from quarry.llm import attention_lm, lm_score
 from quarry.llm.attention_lm import SLOTS, AttentionLM
 
 
@@ -93,3 +94,22 @@ def test_attention_gains_over_counts_of_adjacent_subwords(spark, monkeypatch):
     monkeypatch.setattr(AttentionLM, "start", without)
     monkeypatch.setattr(AttentionLM, "fit", lambda self, slots: [])
     assert whole > 0.97 * held()
+
+
+@pytest.mark.parametrize("least", [attention_lm.TASK_SUBWORDS, 5000])
+def test_gradient_steps_see_every_text(spark, monkeypatch, least):
+    """What only one short text of thousands holds is learnt too, by one task and by several whose models are averaged."""
+    monkeypatch.setattr(attention_lm, "TASK_SUBWORDS", least)
+    model, rest, coders, start, fit, code = [], [], [], AttentionLM.start, AttentionLM.fit, lm_score.make_coder
+    monkeypatch.setattr(AttentionLM, "start", lambda *a: model.append(start(*a)) or rest.append(model[0].rest.copy()) or model[0])
+    losses = []
+    monkeypatch.setattr(AttentionLM, "fit", lambda self, texts: losses.extend(fit(self, texts)))
+    monkeypatch.setattr(lm_score, "make_coder", lambda *a: coders.append(code(*a)) or coders[0])
+    enc = lm_score.encoder(lm_score.VOCABULARY)
+    rare = [chr(a) + chr(b) for a in range(97, 123) for b in range(97, 123)]
+    texts = {i: f"river glass {rare[i // 13]} stone" if i % 13 == 5 else "river stone glass" for i in range(13 * len(rare))}
+    lm_score.lm_score(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(8)).count()
+    learnt = [x for i, x in texts.items() if zlib.crc32(str(i).encode()) % 10]
+    seen = {int(coders[0][0].slot_of[k]) for x in learnt for k in np.frombuffer(enc.encode(x), "<u4")}
+    assert len(seen) > 300 and len(losses) == (1 if least > 5000 else len(attention_lm.ROUNDS))
+    assert [s for s in seen if (model[0].rest[s] == rest[0][s]).all()] == []
