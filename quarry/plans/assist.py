@@ -68,9 +68,11 @@ def suggested_queries(facts: dict, model: Model | None = None) -> list[str]:
     return asked(model, _prompt("Suggest ten questions.", facts), SUGGESTED)
 
 
-def extracted(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, type, value, confidence) of each text: a model's entities, called per text on the executors, or the patterns'."""
-    rules = F.transform(X.found(F.col(text_col)), lambda e: F.struct(e["type"].alias("type"), e["normalized"].alias("value"), e["confidence"].alias("confidence")))
+def extracted(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id", text_col: str = "text", kinds: list[str] | None = None) -> DataFrame:
+    """(doc, type, value, confidence) of each text: a model's entities, called per text on the executors, or the patterns'.
+    kinds: the types wanted, all if none; no pattern of another type is tried."""
+    # spellings of one value are one
+    rules = F.array_distinct(F.transform(X.found(F.col(text_col), kinds=kinds), lambda e: F.struct(e["type"].alias("type"), e["normalized"].alias("value"), e["confidence"].alias("confidence"))))
     if model is None:
         return docs.select(F.col(id_col).alias("doc"), F.inline(rules))
 
@@ -80,7 +82,8 @@ def extracted(docs: DataFrame, model: Model | None = None, id_col: str = "doc_id
         return None if got is None else [(str(e.get("type")), str(e.get("value")), float(e.get("confidence") or 0)) for e in got if isinstance(e, dict)]
 
     # the rule where the model gives nothing
-    return docs.select(F.col(id_col).alias("doc"), ask(text_col).alias("said"), rules.alias("rules")).select("doc", F.inline(F.coalesce("said", "rules")))
+    out = docs.select(F.col(id_col).alias("doc"), ask(text_col).alias("said"), rules.alias("rules")).select("doc", F.inline(F.coalesce("said", "rules")))
+    return out.where(F.col("type").isin(kinds)) if kinds else out
 
 
 def disambiguated(entities: DataFrame, model: Model | None = None) -> DataFrame:

@@ -185,7 +185,7 @@ def without_model(t) -> DataFrame:
 
 @query("n08_extracted", _MAIL_SQL.replace("AS normalized FROM", "AS value FROM"))
 def extracted(t) -> DataFrame:
-    return A.extracted(t("documents")).where("type = 'email'").select("doc", "value")
+    return A.extracted(t("documents"), kinds=["email"]).select("doc", "value")
 
 
 @query("n08_disambiguated", "SELECT 'brand' AS type, p_brand AS value, p_brand AS meant FROM part GROUP BY p_brand UNION ALL SELECT 'brand', lower(p_brand), p_brand FROM part WHERE p_size = 1 GROUP BY p_brand")

@@ -135,3 +135,17 @@ def test_a_cluster_must_name_its_folder():
 
     with pytest.raises(ValueError):
         shared.shared_dir(Session())
+
+
+def test_extraction_tries_only_the_wanted_types(spark):
+    """The same rows as all types give, without the patterns of the others; a model's entities are chosen as well."""
+    from quarry.plans import assist, load
+
+    docs = spark.createDataFrame([(1, "Mail A@b.org or a@B.org, call 9000000001"), (2, None), (3, "nothing"), (4, "x@y.in 10.0.0.1")], "doc_id long, text string")
+    want = sorted(map(tuple, assist.extracted(docs).where("type = 'email'").collect()))
+    assert [r[:3] for r in want] == [(1, "email", "a@b.org"), (4, "email", "x@y.in")]
+    assert sorted(map(tuple, assist.extracted(docs, kinds=["email"]).collect())) == want
+    said = lambda prompt: json.dumps({"entities": [{"type": t, "value": t[0], "confidence": 1} for t in ("name", "email")]}) if "nothing" in prompt else ""
+    assert sorted(map(tuple, assist.extracted(docs, said, kinds=["email"]).collect())) == sorted([*want, (3, "email", "e", 1.0)])
+    plan = load()[0]["n08_extracted"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
