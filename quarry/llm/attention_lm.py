@@ -89,22 +89,24 @@ class AttentionLM:
         return np.where(distance >= 0, self.lag[np.clip(distance, 0, SPAN - 1)], np.float32(-1e4)).astype(np.float32)
 
     def _forward(self, q: np.ndarray, k: np.ndarray, v: np.ndarray, rest: np.ndarray, base: np.ndarray):
-        """Masked attention over a batch of windows: q and rest (windows, STRIDE, width), k and v (windows, SPAN, width)."""
+        """Masked attention over a batch of windows: q and rest (windows, STRIDE, width), k and v (windows, SPAN, width).
+        base has the bias in it."""
         s = np.matmul(q, k.transpose(0, 2, 1))
         s *= np.float32(WIDTH**-0.5)
         s += self._bias()
         # scores stay small, so no maximum is taken off; sums over short axes are fastest as products
-        np.minimum(s, np.float32(60), out=s)
+        if s.max() > 60:
+            np.minimum(s, np.float32(60), out=s)
         np.exp(s, out=s)
-        s /= np.matmul(s, np.ones((SPAN, 1), np.float32))
+        s *= 1 / np.matmul(s, np.ones((SPAN, 1), np.float32))
         h = np.matmul(s, v)
         h += rest
         h /= 1 + np.abs(h)
         flat = h.reshape(-1, WIDTH)
         z = flat @ self.out
-        z += self.bias
         z += base
-        np.minimum(z, np.float32(80), out=z)
+        if z.max() > 80:
+            np.minimum(z, np.float32(80), out=z)
         return s, flat, z
 
     def _tables(self) -> tuple[np.ndarray, ...]:
@@ -148,7 +150,8 @@ class AttentionLM:
             np.take(base, x[CONTEXT:], axis=0, out=more[:m], mode="clip")
             q, w = mine[:m].reshape(n, STRIDE, -1), windows[:n]
             np.matmul(q[..., :WIDTH], w[..., :WIDTH].transpose(0, 2, 1), out=s[:n])
-            np.minimum(s[:n], np.float32(60), out=s[:n])
+            if s[:n].max() > 60:
+                np.minimum(s[:n], np.float32(60), out=s[:n])
             np.exp(s[:n], out=s[:n])
             s[:n] *= decay
             # the ones beside the values sum the weights up
@@ -158,7 +161,8 @@ class AttentionLM:
             g /= 1 + np.abs(g)
             np.matmul(g.reshape(m, WIDTH), self.out, out=z[:m])
             z[:m] += more[:m]
-            np.minimum(z[:m], np.float32(80), out=z[:m])
+            if z[:m].max() > 80:
+                np.minimum(z[:m], np.float32(80), out=z[:m])
             found = z.ravel()[rows[:m] + wanted[a : a + m]]
             np.exp(z[:m], out=z[:m])
             gain[a : a + m] = found - np.log(z[:m] @ ones)
@@ -186,21 +190,23 @@ class AttentionLM:
         n, scale, scored = len(x), np.float32(WIDTH**-0.5), x[:, CONTEXT:]
         both, mine = np.take(kv, x, axis=0, mode="clip"), np.take(qr, scored, axis=0, mode="clip")
         q, k, v = mine[..., :WIDTH], both[..., :WIDTH], both[..., WIDTH:]
-        a, h, z = self._forward(q, k, v, mine[..., WIDTH:], np.take(self.base, scored.ravel(), axis=0, mode="clip"))
+        a, h, z = self._forward(q, k, v, mine[..., WIDTH:], np.take(self.base + self.bias, scored.ravel(), axis=0, mode="clip"))
         np.exp(z, out=z)  # no more than 80
-        z /= (z @ np.ones(z.shape[1], np.float32))[:, None]
-        want, rows = target.ravel(), np.arange(len(z))
+        z *= (1 / (z @ np.ones(z.shape[1], np.float32)))[:, None]
+        want = target.ravel()
         counts = want >= 0
-        c = self.classes[want]
-        loss = float(-np.log(np.maximum(z[rows, c], 1e-12))[counts].sum())
-        z[rows, c] -= 1
+        cell = np.arange(len(z)) * z.shape[1] + self.classes[want]
+        p = z.ravel()[cell]
+        loss = float(-np.log(np.maximum(p, 1e-12))[counts].sum())
+        z.ravel()[cell] = p - 1
         if not counts.all():
             z[~counts] = 0
-        z *= np.float32(1 / max(1, counts.sum()))
-        grads = {"out": h.T @ z, "bias": z.sum(axis=0)}
+        # the mean is taken of what comes of it
+        mean = np.float32(1 / max(1, counts.sum()))
+        grads = {"out": h.T @ z * mean, "bias": np.ones(len(z), np.float32) @ z * mean}
         slope = 1 - np.abs(h)
         slope *= slope
-        slope *= z @ self.out.T
+        slope *= z @ (self.out.T * mean)
         dh = slope.reshape(n, STRIDE, WIDTH)
         ds = np.matmul(dh, v.transpose(0, 2, 1))
         ds -= np.matmul(a * ds, np.ones((SPAN, 1), np.float32))
@@ -208,12 +214,18 @@ class AttentionLM:
         seen = np.arange(CONTEXT, SPAN)[:, None] - np.arange(SPAN)[None, :]
         grads["lag"] = np.bincount(np.clip(seen, 0, SPAN - 1).ravel(), (ds.sum(axis=0) * (seen >= 0)).ravel(), minlength=SPAN).astype(np.float32)
         ds *= scale
-        for name, index, one, two in (("qr", scored, np.matmul(ds, k), dh), ("kv", x, np.matmul(ds.transpose(0, 2, 1), q), np.matmul(a.transpose(0, 2, 1), dh))):
+        # side by side as in the tables
+        both, mine = np.empty_like(both), np.empty_like(mine)
+        np.matmul(ds, k, out=mine[..., :WIDTH])
+        mine[..., WIDTH:] = dh
+        np.matmul(ds.transpose(0, 2, 1), q, out=both[..., :WIDTH])
+        np.matmul(a.transpose(0, 2, 1), dh, out=both[..., WIDTH:])
+        for name, index, each in (("qr", scored, mine), ("kv", x, both)):
             flat = index.astype(np.uint16).ravel()
             order = np.argsort(flat, kind="stable")
             flat = flat[order]
             starts = np.concatenate([[0], np.nonzero(flat[1:] != flat[:-1])[0] + 1])
-            g = np.take(np.concatenate([one.reshape(-1, WIDTH), two.reshape(-1, WIDTH)], axis=1), order, axis=0, mode="clip")
+            g = np.take(each.reshape(-1, 2 * WIDTH), order, axis=0, mode="clip")
             grads[name] = np.zeros_like(kv)
             # sums two numbers at a time
             grads[name][flat[starts]] = np.add.reduceat(g.view(np.complex64), starts, axis=0).view(np.float32)

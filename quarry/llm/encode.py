@@ -6,6 +6,7 @@ import json
 import re
 import struct
 import unicodedata
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -17,9 +18,31 @@ from .common import split_words
 _PLAIN = re.compile("[^\x00-įı-ɏ]")
 _MAX_ENTRIES = 500_000
 _MAX_WORD = 64
+#: How the vocabulary cuts a word into pieces that it encodes one by one, and the same for lines of words of _LATIN alone.
+_CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LATIN = re.compile("[\\n!-~À-ÖØ-öø-įı-ſ]*").fullmatch
+_CUT_LATIN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|\\n|[^\\na-z0-9ß-öø-ſ]+").findall
+_MAX_PIECES = 100_000
 _encoders: dict[str, "WordEncoder"] = {}
 
 
+class _Pieces(dict):
+    """piece of a word -> its ids, packed; a line end has none. Bounded: begun anew after _MAX_PIECES pieces."""
+
+    def __init__(self, tokenizer, letters: dict[int, str]) -> None:
+        super().__init__()
+        self.tokenize, self.letters = tokenizer.model.tokenize, letters
+
+    def __missing__(self, piece: str) -> bytes:
+        letters = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = array("I", [x.id for x in self.tokenize(letters)] if piece != "\n" else []).tobytes()
+        if len(piece) <= _MAX_WORD:
+            if len(self) >= _MAX_PIECES:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class _Cache(dict):
     """word -> its ids as little-endian unsigned 32-bit bytes. Bounded: beyond _MAX_ENTRIES words are encoded anew each time."""
 
@@ -34,6 +57,7 @@ class _Cache(dict):
         self.tail = {p: self.raw(p) for p in ",."}
         #: folding case outside the tokenizer only if it folds case itself
         self.folds = self.raw("A") == self.raw("a")
+        self.pieces = _Pieces(tokenizer, self.bytes) if self.by_model and self.folds and steps[0]["pattern"]["Regex"] == _CUT and steps[0]["invert"] else None
 
     def raw(self, word: str) -> bytes:
         if self.by_model and word.isalpha() and not _PLAIN.search(word) and word.islower():
@@ -55,6 +79,18 @@ class _Cache(dict):
             word = word.lower()
         return self.raw(word)
 
+    def raw_all(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, how many each has), past the cache. Latin words are cut into pieces together."""
+        lines = b"\n".join(words).decode("utf-8", "surrogatepass")
+        if self.pieces is None or "<|" in lines or not _LATIN(lines):
+            parts = [self.raw_words(w.decode("utf-8", "surrogatepass")) for w in words]
+            return np.frombuffer(b"".join(parts), "<u4"), np.array([len(x) // 4 for x in parts], np.int64)
+        cut = _CUT_LATIN(lines.lower())
+        parts = list(map(self.pieces.__getitem__, cut))
+        owner = np.cumsum(np.array([x == "\n" for x in cut], np.int64))
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        return np.frombuffer(b"".join(parts), "<u4"), np.bincount(owner, size, minlength=len(words)).astype(np.int64)
+
     def __missing__(self, word: str) -> bytes:
         # a comma or full stop after a letter is a piece of its own, so the word before it can be shared
         ids = self[word[:-1]] + self.tail[word[-1]] if len(word) > 1 and word[-1] in ",." and word[-2].isalpha() else self.raw(word)

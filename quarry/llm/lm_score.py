@@ -4,8 +4,8 @@ beside smoothed word counts."""
 from __future__ import annotations
 
 import math
-import uuid
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -56,51 +56,59 @@ class Coder:
     slot_of: np.ndarray  # slot of each subword id
     within: np.ndarray  # log10 P(id | slot): 0 but for the ids of slot 0
     end: int  # slot of the end of a text
-    known: dict  # log10 P of each of the most frequent words
+    known: dict  # place of each of the most frequent words, HEAD at most
+    score: np.ndarray  # log10 P of each, as a word
+    slots: np.ndarray  # slots of all of them in a row
+    sizes: np.ndarray  # how many slots each has
+    inside: np.ndarray  # the sum of within of each
     vocabulary: str
 
-
-_ids: dict[int, dict] = {}
-
-
-def word_ids(key: int, coder: Coder, words: list[bytes]) -> list[bytes]:
-    """Packed ids of each word. Those of the most frequent words, HEAD at most, are kept in the worker process, and also
-    serve a word that only has a comma or full stop more; all others are encoded when they come."""
-    if key not in _ids:
-        _ids.clear()
-        _ids[key] = {}
-    kept, cache = _ids[key], encoder(coder.vocabulary).cache
-    out = list(map(kept.get, words))
-    tail = {ord(c): ids for c, ids in cache.tail.items()} if cache.folds and cache.by_model else {}
-    for k, w in enumerate(words):
-        if out[k] is None:
-            stem = kept.get(w[:-1]) if w[-1] in tail and w[:-1].isalpha() else None
-            out[k] = stem + tail[w[-1]] if stem is not None else cache.raw_words(w.decode("utf-8", "surrogatepass"))
-            if w in coder.known:
-                kept[w] = out[k]
-    return out
-
-
-def make_coder(counts: DataFrame, known: dict, vocabulary: str = VOCABULARY) -> tuple[Coder, int]:
-    """The slots by the counts of all words, and how many subwords there are in all."""
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, ...]:
+        """(log10 P, nan if not known; slots of all words that may come; first, number and sum of within of each word's).
+        Words that are not known are encoded when they come."""
+        found = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.nonzero(found < 0)[0]
+        ids, more = encoder(self.vocabulary).cache.raw_all([words[k] for k in new.tolist()])
+        # what comes after the known words' own
+        score, size, within = (np.append(x, y)[found] for x, y in ((self.score, np.nan), (self.sizes, 0), (self.inside, 0.0)))
+        first = np.append(np.cumsum(self.sizes) - self.sizes, 0)[found]
+        first[new], size[new] = len(self.slots) + np.cumsum(more) - more, more
+        total = np.concatenate([[0.0], np.cumsum(self.within[ids])])
+        stop = np.cumsum(more)
+        within[new] = total[stop] - total[stop - more]
+        return score, np.concatenate([self.slots, self.slot_of[ids].astype(np.uint16)]), first, size, within
+
+
+def make_coder(counts: DataFrame, least: int, bottom: float, vocabulary: str = VOCABULARY) -> tuple[Coder, int]:
+    """The slots by the counts of all words, and how many subwords there are in all. Words with ``least`` and more are
+    known, HEAD of them at most; P of one is (n + 0.1) / bottom."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(vocabulary if "/" in vocabulary else public_path(vocabulary))
     size = tokenizer.get_vocab_size()
 
     def subwords(slices):
-        enc, single = encoder(vocabulary), np.zeros(size, np.int64)
+        encode, single = encoder(vocabulary).cache.raw_all, np.zeros(size, np.int64)
         for b in slices:
-            parts = [enc.cache.raw_words(w.decode("utf-8", "surrogatepass")) for w in b.column(0).to_pylist()]
-            n = np.repeat(b.column(1).to_numpy(zero_copy_only=False), [len(p) // 4 for p in parts])
-            np.add.at(single, np.frombuffer(b"".join(parts), "<u4"), n)
+            ids, sizes = encode(b.column(0).to_pylist())
+            np.add.at(single, ids, np.repeat(b.column(1).to_numpy(zero_copy_only=False), sizes))
         s = np.nonzero(single)[0]
         yield {"id": s, "n": single[s]}
 
+    def known_words(slices):
+        encode = encoder(vocabulary).cache.raw_all
+        for b in slices:
+            yield {"word": b.column(0), "n": b.column(1), "ids": packed(*encode(b.column(0).to_pylist()), "<u4")}
+
+    words = counts.where("word is not null")
+    head = map_rows(words.where(F.col("n") >= least), known_words, "word binary, n long, ids binary", rows=4096).toArrow()  # HEAD rows at most
+    often, parts = head.column("n").to_numpy(), head.column("ids").to_pylist()
+    ids, sizes = np.frombuffer(b"".join(parts), "<u4"), np.array([len(p) // 4 for p in parts], np.int64)
     # the vocabulary's ids at most
-    table = map_rows(counts.where("word is not null"), subwords, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    table = map_rows(words.where(F.col("n") < least), subwords, "id long, n long", rows=4096).groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     single = np.zeros(size, np.int64)
     single[table.column("id").to_numpy()] = table.column("n").to_numpy()
+    np.add.at(single, ids, np.repeat(often, sizes))
     end = size - 1  # the vocabulary's own end mark
     frequency = single.copy()
     frequency[end] = frequency.sum() + 1  # always with a slot of its own
@@ -111,7 +119,9 @@ def make_coder(counts: DataFrame, known: dict, vocabulary: str = VOCABULARY) ->
     within = np.zeros(size)
     if other.any():
         within[other] = np.log10((single[other] + 0.1) / (single[other].sum() + 0.1 * other.sum()))
-    return Coder(slot_of, within, int(slot_of[end]), known, vocabulary), int(single.sum())
+    known = dict(zip(head.column("word").to_pylist(), range(head.num_rows), strict=True))
+    inside = np.bincount(np.repeat(np.arange(len(sizes)), sizes), within[ids], minlength=len(sizes))
+    return Coder(slot_of, within, int(slot_of[end]), known, np.log10((often + 0.1) / bottom), slot_of[ids].astype(np.uint16), sizes, inside, vocabulary), int(single.sum())
 
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
@@ -248,13 +258,10 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
             break
         least = r["least"]
     bottom = total + 0.1 * (kinds + 1)
-    head = counts.where((F.col("word").isNotNull()) & (F.col("n") >= least)).toArrow()
-    known = dict(zip(head.column("word").to_pylist(), np.log10((head.column("n").to_numpy() + 0.1) / bottom).tolist(), strict=True))
     end_score = math.log10((ends + 0.1) / bottom)
-    coder, subwords = make_coder(counts, known, vocabulary)
+    coder, subwords = make_coder(counts, least, bottom, vocabulary)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(coder)  # HEAD words at most
-    key = uuid.uuid4().int
 
     def code(slices):
         coder = shared.value
@@ -264,14 +271,8 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
             n = b.num_rows
             owner, place, distinct = split_words(b.column(1), lower=True)
             listed = distinct.to_numpy(zero_copy_only=False).tolist()
-            parts = word_ids(key, coder, listed)
-            sizes = np.array([len(p) // 4 for p in parts], dtype=np.int64)
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            stop = np.cumsum(sizes)
-            inside = np.concatenate([[0.0], np.cumsum(coder.within[ids])])
-            score = np.array([coder.known.get(w, math.nan) for w in listed])[place] if listed else np.zeros(0)
-            within, size = (inside[stop] - inside[stop - sizes])[place], sizes[place]
-            slots = coder.slot_of[ids][np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size - (stop - sizes)[place], size)]
+            score, pool, begin, sizes, inside = (x if k == 1 else x[place] for k, x in enumerate(coder.look_up(listed)))
+            slots = pool[np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes - begin, sizes)]
             unknown = np.isnan(score)
             # of each text the words to be looked up, each once
             pair, often = np.unique(owner[unknown] * len(listed) + place[unknown], return_counts=True)
@@ -279,7 +280,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
             tails = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([distinct.take(pa.array(pair % max(1, len(listed)))), pa.array(often, pa.int64())], ["word", "k"]))
             base = np.bincount(owner, np.where(unknown, 0.0, score), minlength=n) + end_score
             missing = np.bincount(owner[unknown], minlength=n)
-            lengths = np.bincount(owner, size, minlength=n).astype(np.int64) + 1
+            lengths = np.bincount(owner, sizes, minlength=n).astype(np.int64) + 1
             # each text's slots, then the end
             flat = np.full(int(lengths.sum()), coder.end, np.int64)
             inner = np.ones(len(flat), bool)
@@ -291,7 +292,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fo
             start = start - np.repeat(np.cumsum(lengths) - lengths, cuts)
             yield {
                 "doc_id": b.column(0), "held_out": b.column(2), "row": b.column(3), "th": b.column(4), "n_tokens": counts_ + 1, "n_known": counts_ - missing + int(ends > 0), "base_score": base,
-                "tail": tails, "slots": packed(flat, lengths, "<u2"), "start": packed(start, cuts, "<i4"), "context": packed(context, cuts, "<i8"), "content": packed(content, cuts, "<i8"), "within": np.bincount(owner, within, minlength=n),
+                "tail": tails, "slots": packed(flat, lengths, "<u2"), "start": packed(start, cuts, "<i4"), "context": packed(context, cuts, "<i8"), "content": packed(content, cuts, "<i8"), "within": np.bincount(owner, inside, minlength=n),
                 **{c: v * n for c, v in nothing.items()},
             }
         at = np.nonzero(pairs)[0]
