@@ -93,3 +93,20 @@ def test_triangles_are_listed_in_tiles(spark, monkeypatch):
     assert sorted(tuple(r["cycle"]) for r in df.collect()) == sorted(t for t in itertools.combinations(sorted(near), 3) if all(y in near[x] for x, y in itertools.combinations(t, 2)))
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan.split("FlatMapCoGroupsInArrow")[0]
+
+
+def test_cycles_send_no_copies_of_links(spark, monkeypatch, tmp_path):
+    """However many tiles there are, they read their links from the shared folder: nothing is dealt to tiles by an
+    exchange, and the tables that were written hold each link a few times at most."""
+    monkeypatch.setattr(graph, "TILE_LINKS", 30)
+    monkeypatch.setattr(graph, "TILE_WAYS", 20)
+    rng = random.Random(6)
+    links = sorted({tuple(sorted(rng.sample(range(16), 2))) for _ in range(90)})
+    rows = []
+    write = graph.written
+    monkeypatch.setattr(graph, "written", lambda df, *a, **b: rows.append((out := write(df, *a, **b)).count()) or out)
+    _, no, want = brute([(f"n{a}", f"n{b}") for a, b in links])
+    got = graph.cycle_classes(spark.createDataFrame(links, "a long, b long"), lambda c: F.concat(F.lit("n"), c), True).collect()
+    assert {(r["hub"], r["size"]): r["cycles"] for r in got} == want
+    assert all(r["example"][0] == r["hub"] == max(r["example"], key=no.get) for r in got)
+    assert max(rows) <= 2 * len(links)
