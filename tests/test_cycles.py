@@ -110,3 +110,15 @@ def test_cycles_send_no_copies_of_links(spark, monkeypatch, tmp_path):
     assert {(r["hub"], r["size"]): r["cycles"] for r in got} == want
     assert all(r["example"][0] == r["hub"] == max(r["example"], key=no.get) for r in got)
     assert max(rows) <= 2 * len(links)
+
+
+def test_listed_cycles_send_each_link_once(spark, monkeypatch):
+    """Blocks of links are read by the tasks that list, so no link is dealt to several tiles."""
+    monkeypatch.setattr(graph, "TILE_LINKS", 30)
+    monkeypatch.setattr(graph, "TILE_LISTED", 40)
+    rng = random.Random(7)
+    links = sorted({tuple(sorted(rng.sample(range(14), 2))) for _ in range(70)})
+    df = graph.cycles(spark.createDataFrame([(f"n{a}", f"n{b}") for a, b in links], "a string, b string"), 3)
+    near, _, _ = brute([(f"n{a}", f"n{b}") for a, b in links])
+    assert sorted(tuple(r["cycle"]) for r in df.collect()) == sorted(t for t in itertools.combinations(sorted(near), 3) if all(y in near[x] for x, y in itertools.combinations(t, 2)))
+    assert "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
