@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import digits, lowered, similarity
+from ..functions.text import byte_edits, digits, lowered, similarity
+from ..sources.shared import written
 from . import gazetteer
 from .near import near_pairs
 from .terms import held_terms
@@ -244,6 +245,24 @@ def fuzzy_aliases(docs: DataFrame, entities: DataFrame, id_col: str = "doc_id",
     return found_.join(known, ["doc", "v"]).join(words.withColumnRenamed("v", "w"), ["doc", "w"]).select("doc", "normalized", "alias")
 
 
+def aliases_of_longest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.85) -> DataFrame:
+    """(doc, normalized, alias): words of each document that are nearly its longest plain word, by the edits of bytes, which
+    are no fewer than those of characters, and by lengths in characters.
+
+    A text is split once, where it is read, and only words go on that are long enough beside the longest plain one of their
+    own row; that of the document, which may have several rows, is no shorter."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.array_distinct(F.split(text_col, WORD_BREAK)).alias("words"))
+    plain = F.filter("words", lambda w: w.rlike(r"^[a-z]+\z"))
+    rows = rows.withColumn("best", F.array_max(F.transform(plain, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))))
+    least = threshold * F.coalesce(F.col("best.n"), F.lit(0)) - 1e-9
+    rows = written(rows.select("doc", "best", F.filter("words", lambda w: (F.length(w) > 2) & (F.length(w) >= least)).alias("words")))
+    longest = rows.where("best is not null").groupBy("doc").agg(F.max("best")["w"].alias("normalized"))
+    n, m = F.length("alias"), F.length("normalized")
+    more, v = F.greatest(n, m), lowered(F.col("alias"))
+    pairs = rows.select("doc", F.explode("words").alias("alias")).distinct().join(longest, "doc").where((v != F.col("normalized")) & (F.abs(n - m) <= (1 - threshold) * more + 1e-9))
+    return pairs.where(1 - byte_edits(v, F.col("normalized")) / more >= threshold - 1e-9).select("doc", "normalized", "alias")
+
+
 def raised_confidence(entities: DataFrame, context: Column | None = None, aliases: Column | None = None) -> DataFrame:
     """Adds .05 per other entity of the document with the same value, .05 for a context, .02 per alias up to .1; 1 at most."""
     same = F.count(F.lit(1)).over(Window.partitionBy("doc", "normalized")) - 1

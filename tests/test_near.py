@@ -107,3 +107,22 @@ def test_aliases_of_documents_as_their_sql(spark, tmp_path):
     want = sorted(con.execute(f"select doc, normalized, alias from ({sql[name]})").fetchall())
     assert sorted(map(tuple, queries[name](spark, str(tmp_path)).select("doc", "normalized", "alias").collect())) == want
     assert len(want) >= 3
+
+
+def test_aliases_of_longest_words_send_few_words(spark, tmp_path):
+    """A document may have several rows; only words as long as the longest plain one of their row, or nearly so, go on."""
+    import duckdb
+
+    from quarry.plans import load
+
+    rows = [(1, "short words and abcdefghijklmn"), (1, "Abcdefghijklmno here"), (1, "abcdefghijklm!"), (1, "12 34"), (2, "abcdefgh ABCDEFGHI"), (2, "abcdefgh ABCDEFGHI"), (None, "abcdefgh abcdefghi"), (3, "123 456")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    queries, sql = load()
+    name = "c34_aliases_documents"
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(con.execute(f"select doc, normalized, alias from ({sql[name]})").fetchall())
+    df = queries[name](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == want and len(want) >= 3
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "gram" not in plan and "split" not in plan
